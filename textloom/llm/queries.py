@@ -12,6 +12,12 @@ def op2_token_files(spark, sf_dir):
     return encode_to_files(spark, table(spark, sf_dir, "documents"), common.tokenizer_path("byte_bpe_50k.json"), end_id=2, vocabulary=50257).drop("shard")
 
 
+def op8_jaccard_join(spark, sf_dir):
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op9_token_counts(spark, sf_dir):
     from .token_counts import token_counts
 
@@ -19,7 +25,7 @@ def op9_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_files, op9_token_counts)}
+    return {f.__name__: f for f in (op2_token_files, op8_jaccard_join, op9_token_counts)}
 
 
 def oracle_sql():
