@@ -6,12 +6,32 @@ from . import common
 from .common import table
 
 
+def op1_sentencepiece(spark, sf_dir):
+    from .sentencepiece_sa import encode_and_decode
+
+    return encode_and_decode(table(spark, sf_dir, "documents"), common.tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_token_files(spark, sf_dir):
     from .token_files import encode_to_files
 
     return encode_to_files(spark, table(spark, sf_dir, "documents"), common.tokenizer_path("byte_bpe_50k.json"), end_id=2, vocabulary=50257).drop("shard")
 
 
+def op4_toxicity(spark, sf_dir):
+    from .toxicity import held_out, learned, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity(docs, learned(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_hits", "n_words")
+
+
+def op7_decontamination(spark, sf_dir):
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard_join(spark, sf_dir):
     from .jaccard_join import jaccard_join
 
@@ -25,7 +45,7 @@ def op9_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_files, op8_jaccard_join, op9_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_files, op4_toxicity, op7_decontamination, op8_jaccard_join, op9_token_counts)}
 
 
 def oracle_sql():
