@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -121,9 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def count(only):
         def run(batches):
-            from collections import Counter
-
-                for b in batches:
+            for b in batches:
                 n = Counter()
                 for t in b["text"]:
                     n.update(features(t) if only is None else features(t) & only)
