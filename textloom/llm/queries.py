@@ -18,6 +18,15 @@ def op2_token_files(spark, sf_dir):
     return encode_to_files(spark, table(spark, sf_dir, "documents"), common.tokenizer_path("byte_bpe_50k.json"), end_id=2, vocabulary=50257).drop("shard")
 
 
+def op3_chat_tree(spark, sf_dir):
+    from .chat_tree import chat_tree, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_back(*chat_tree(rows, common.tokenizer_path("byte_bpe_50k.json")))
+
+
 def op4_toxicity(spark, sf_dir):
     from .toxicity import held_out, learned, toxicity
 
@@ -26,6 +35,18 @@ def op4_toxicity(spark, sf_dir):
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_hits", "n_words")
 
 
+def op5_license_scan(spark, sf_dir):
+    from .license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).drop("places")
+
+
+def op6_lm_scores(spark, sf_dir):
+    from .lm_scoring import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     from .decontaminate import contaminated
 
@@ -44,8 +65,15 @@ def op9_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), common.tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op10_winnowing(spark, sf_dir):
+    from .winnowing import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_files, op4_toxicity, op7_decontamination, op8_jaccard_join, op9_token_counts)}
+    found = (op1_sentencepiece, op2_token_files, op3_chat_tree, op4_toxicity, op5_license_scan, op6_lm_scores, op7_decontamination, op8_jaccard_join, op9_token_counts, op10_winnowing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
