@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -60,38 +60,64 @@ HACKY = [
 INTENSIFIER = r"(?i)\b(a|an|the|this|that|these|those|our|your|their|its|my)\s+(?:genuine|real|actual|truly|true|specific|deeper|deep)\s+(?=(?-i:[a-z][a-z'\-]{2,})\b)"
 
 
-def applied(text: Column, rules: list[Rule]) -> Column:
-    """The text after all rules, in order, whatever the case of letters."""
-    return reduce(lambda t, r: F.regexp_replace(t, "(?i)" + r.pattern, r.replacement), rules, text)
+def folded(text: Column, rules: list[Rule]) -> Column:
+    """struct<text, log>: the text after all rules, in order, whatever the case of letters; of each rule that matched, tag and count.
+
+    The rules are data, not nested expressions, so a plan stays small however many there are.
+    """
+    table = F.array(*[F.struct(F.lit("(?i)" + r.pattern).alias("p"), F.lit(r.replacement).alias("r"), F.lit(r.tag).alias("tag")) for r in rules])
+    begin = F.struct(text.alias("text"), F.array().cast("array<struct<tag:string,n:int>>").alias("log"))
+
+    def step(done, r):
+        n = F.regexp_count(done["text"], r["p"])
+        return F.struct(F.regexp_replace(done["text"], r["p"], r["r"]).alias("text"), F.when(n > 0, F.concat(done["log"], F.array(F.struct(r["tag"].alias("tag"), n.alias("n"))))).otherwise(done["log"]).alias("log"))
+
+    return F.aggregate(table, begin, step)
+
+
+def hits(text: Column, rules: list[Rule]) -> Column:
+    """Whether any rule may match: one pattern that settles most texts."""
+    return text.rlike("(?i)" + "|".join(f"(?:{r.pattern})" for r in rules))
 
 
 def rule_counts(text: Column, rules: list[Rule]) -> Column:
     """array<struct<tag, n>> of the rules that match, each counted on the text as the rules before it leave it."""
-    counts = []
-    for r in rules:
-        counts.append(F.struct(F.lit(r.tag).alias("tag"), F.regexp_count(text, F.lit("(?i)" + r.pattern)).alias("n")))
-        text = F.regexp_replace(text, "(?i)" + r.pattern, r.replacement)
-    return F.filter(F.array(*counts), lambda c: c["n"] > 0)
+    return F.when(hits(text, rules), folded(text, rules)["log"]).otherwise(F.array().cast("array<struct<tag:string,n:int>>"))
+
+
+def summed(log: Column, rules: list[Rule]) -> Column:
+    """One entry for each tag of a log that may have several."""
+    total = lambda tag: F.aggregate(F.filter(log, lambda x: x["tag"] == tag), F.lit(0), lambda a, x: a + x["n"])
+    tags = F.array(*[F.lit(r.tag) for r in rules])
+    return F.filter(F.transform(tags, lambda t: F.struct(t.alias("tag"), total(t).alias("n"))), lambda x: x["n"] > 0)
 
 
 def audit(counts: Column, layer: str) -> Column:
     return F.transform(counts, lambda c: F.concat(F.lit(f"{layer}:"), c["tag"], F.lit(":"), c["n"].cast("string")))
 
 
+def tidy(t: str | None) -> str | None:
+    """Blanks collapsed, none before an end mark, and a capital at the start and behind each end mark."""
+    if not t:
+        return t
+    t = re.sub(r"[ \t]{2,}", " ", t)
+    t = re.sub(r"[ \t]+([,.;:!?])", r"\1", t)
+    t = re.sub(r"([.!?][ \t\n]+)([a-z])", lambda m: m[1] + m[2].upper(), t)
+    return re.sub(r"^(\s*)([a-z])", lambda m: m[1] + m[2].upper(), t)
+
+
 @F.pandas_udf(StringType())
 def recapitalised(texts):
-    """Blanks collapsed, none before an end mark, and a capital at the start and behind each end mark."""
-    import re
+    return texts.map(tidy)
 
-    def one(t):
-        if not t:
-            return t
-        t = re.sub(r"[ \t]{2,}", " ", t)
-        t = re.sub(r"[ \t]+([,.;:!?])", r"\1", t)
-        t = re.sub(r"([.!?][ \t\n]+)([a-z])", lambda m: m[1] + m[2].upper(), t)
-        return re.sub(r"^(\s*)([a-z])", lambda m: m[1] + m[2].upper(), t)
 
-    return texts.map(one)
+def folded_text(text: str, rules: list[Rule], log: dict[str, int]) -> str:
+    """folded() for Python, within a chain of other steps there; counts go to log."""
+    for r in rules:
+        text, n = re.subn("(?i)" + r.pattern, re.sub(r"\$(\d)", r"\\g<\1>", r.replacement), text)
+        if n:
+            log[r.tag] = log.get(r.tag, 0) + n
+    return text
 
 
 def outside(text: Column, spans: Column, change) -> Column:
@@ -109,11 +135,12 @@ def scrub_tells(df: DataFrame, rules: list[Rule] = TELLS) -> DataFrame:
 
     Headings aren't protected here. A text that no rule changes stays as it is; null stays null.
     """
-    hit = F.col("text").rlike("(?i)" + "|".join(f"(?:{r.pattern})" for r in rules))
-    found = with_spans(df, headings=False).withColumn("_new", outside(F.col("text"), F.col("_spans"), lambda t: applied(t, rules)))
-    free = F.concat_ws("\n", F.transform(F.filter(lines.gaps(F.col("text"), F.col("_spans")), lambda g: ~g["keep"]), lambda g: g["text"]))
-    found = found.withColumn("transformations", F.when(hit, audit(rule_counts(free, rules), "tells")).otherwise(F.array().cast("array<string>")))
-    return found.withColumn("text", F.when(hit & (F.col("_new") != F.col("text")), recapitalised("_new")).otherwise(F.col("text"))).drop("_new", "_spans")
+    hit = hits(F.col("text"), rules)
+    parts = F.transform(lines.gaps(F.col("text"), F.col("_spans")), lambda g: F.when(g["keep"], F.struct(g["text"].alias("text"), F.array().cast("array<struct<tag:string,n:int>>").alias("log"))).otherwise(folded(g["text"], rules)))
+    found = with_spans(df, headings=False).withColumn("_parts", F.when(hit, parts))
+    found = found.withColumn("_new", F.when(F.col("_parts").isNotNull(), F.concat_ws("", F.transform("_parts", lambda p: p["text"]))).otherwise(F.col("text")))
+    found = found.withColumn("transformations", F.coalesce(audit(summed(F.flatten(F.transform("_parts", lambda p: p["log"])), rules), "tells"), F.array().cast("array<string>")))
+    return found.withColumn("text", F.when(F.col("_new") != F.col("text"), recapitalised("_new")).otherwise(F.col("text"))).drop("_new", "_parts", "_spans")
 
 
 def comma_spaced(text: Column) -> Column:

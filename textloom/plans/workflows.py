@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import hidden, metrics, rewrite, rules, scorer
+from ..operators import hidden, metrics, rewrite, scorer
 from ..sources.documents import with_options
 
 LOG_LIMIT = 50
@@ -23,16 +23,6 @@ def detect(df: DataFrame, keys: list[str], load=None) -> DataFrame:
     return found.join(marks, keys).join(top, keys, "left")
 
 
-def _layers(df: DataFrame, keys: list[str]) -> DataFrame:
-    df = rewrite.headings(df, keys)
-    before = F.col("transformations")
-    df = rules.scrub_tells(df.withColumn("_t", before)).withColumn("transformations", F.concat("_t", "transformations")).drop("_t")
-    df = rules.numbers(df).withColumn("transformations", F.concat("transformations", F.when(F.col("n_changed") > 0, F.array(F.concat(F.lit("numbers:"), F.col("n_changed").cast("string")))).otherwise(F.array()))).drop("n_changed")
-    for step in (rewrite.lexical_swap, rewrite.restructure, rewrite.vary_vocabulary, rewrite.post_polish):
-        df = step(df, keys)
-    return df
-
-
 def _cleaned(df: DataFrame, wanted) -> DataFrame:
     """Cleaned where wanted, with the report as `report`."""
     out = hidden.clean(df.withColumn("_raw", F.col("text")))
@@ -46,7 +36,7 @@ def rewritten(df: DataFrame, keys: list[str], client=None, use_client: bool = Fa
     df = _cleaned(df, F.col("clean_watermarks")).withColumnRenamed("report", "first_report")
     if use_client:
         df = _cleaned(scorer.rewritten_by(df, client), F.lit(True)).drop("report")
-    df = _layers(df.withColumn("transformations", F.array().cast("array<string>")), keys)
+    df = rewrite.layers(df, keys)
     df = _cleaned(df, F.lit(True)).drop("report")
     return df.withColumn("transformations", F.slice("transformations", 1, LOG_LIMIT)).withColumnRenamed("first_report", "report")
 
