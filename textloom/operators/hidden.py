@@ -10,13 +10,13 @@ from pyspark.sql.types import StringType
 
 # Characters that are stripped, only reported, or turned into plain spaces.
 STRIP = {
-    "​": "ZERO WIDTH SPACE", "‌": "ZERO WIDTH NON-JOINER", "‍": "ZERO WIDTH JOINER", "⁠": "WORD JOINER", "᠎": "MONGOLIAN VOWEL SEPARATOR",
-    "­": "SOFT HYPHEN", "‪": "LEFT-TO-RIGHT EMBEDDING", "‫": "RIGHT-TO-LEFT EMBEDDING", "‬": "POP DIRECTIONAL FORMATTING", "‭": "LEFT-TO-RIGHT OVERRIDE",
-    "‮": "RIGHT-TO-LEFT OVERRIDE", "⁡": "FUNCTION APPLICATION (invisible)", "⁢": "INVISIBLE TIMES", "⁣": "INVISIBLE SEPARATOR", "⁤": "INVISIBLE PLUS",
+    "\u200B": "ZERO WIDTH SPACE", "\u200C": "ZERO WIDTH NON-JOINER", "\u200D": "ZERO WIDTH JOINER", "\u2060": "WORD JOINER", "\u180E": "MONGOLIAN VOWEL SEPARATOR",
+    "\u00AD": "SOFT HYPHEN", "\u202A": "LEFT-TO-RIGHT EMBEDDING", "\u202B": "RIGHT-TO-LEFT EMBEDDING", "\u202C": "POP DIRECTIONAL FORMATTING", "\u202D": "LEFT-TO-RIGHT OVERRIDE",
+    "\u202E": "RIGHT-TO-LEFT OVERRIDE", "\u2061": "FUNCTION APPLICATION (invisible)", "\u2062": "INVISIBLE TIMES", "\u2063": "INVISIBLE SEPARATOR", "\u2064": "INVISIBLE PLUS",
 }
-REPORT_ONLY = {"‎": "LEFT-TO-RIGHT MARK", "‏": "RIGHT-TO-LEFT MARK"}
-SPACES = {" ": "NO-BREAK SPACE", " ": "NARROW NO-BREAK SPACE", " ": "FIGURE SPACE", " ": "PUNCTUATION SPACE", " ": "THIN SPACE", " ": "HAIR SPACE", " ": "MEDIUM MATHEMATICAL SPACE", "　": "IDEOGRAPHIC SPACE"}
-BOM = "﻿"
+REPORT_ONLY = {"\u200E": "LEFT-TO-RIGHT MARK", "\u200F": "RIGHT-TO-LEFT MARK"}
+SPACES = {"\u00A0": "NO-BREAK SPACE", "\u202F": "NARROW NO-BREAK SPACE", "\u2007": "FIGURE SPACE", "\u2008": "PUNCTUATION SPACE", "\u2009": "THIN SPACE", "\u200A": "HAIR SPACE", "\u205F": "MEDIUM MATHEMATICAL SPACE", "\u3000": "IDEOGRAPHIC SPACE"}
+BOM = "\uFEFF"
 KINDS = ["zero_width", "bidi_mark", "bom", "nbsp", "special_space", "control", "homoglyph", "excessive_whitespace"]
 #: Characters of the classes Cc and Cf, but for newline, tab and carriage return.
 CONTROL = r"[\p{Cc}\p{Cf}&&[^\n\t\r]]"
@@ -41,7 +41,7 @@ def scan(text: Column) -> Column:
     """Findings of the character scan, in order; most texts have none and are settled by one regular expression."""
 
     def one(ch, i):
-        kind = F.when(ch.isin(*STRIP), "zero_width").when(ch.isin(*REPORT_ONLY), "bidi_mark").when(ch == BOM, "bom").when(ch == " ", "nbsp").when(ch.isin(*SPACES), "special_space").when(ch.rlike(CONTROL), "control")
+        kind = F.when(ch.isin(*STRIP), "zero_width").when(ch.isin(*REPORT_ONLY), "bidi_mark").when(ch == BOM, "bom").when(ch == "\u00A0", "nbsp").when(ch.isin(*SPACES), "special_space").when(ch.rlike(CONTROL), "control")
         note = _note(ch, STRIP | REPORT_ONLY | SPACES | {BOM: "BYTE ORDER MARK"}).otherwise(F.lit("UNKNOWN"))
         return F.struct(kind.alias("kind"), ch.alias("char"), code_point(ch).alias("codepoint"), i.cast("int").alias("index"), note.alias("note"))
 

@@ -16,7 +16,7 @@ from . import workflows
 INJECTED = {
     1: "'Moreover, this is fine. Furthermore, we leverage robust plans in order to help. ' || text",
     2: "text || ' It might possibly be a comprehensive plan, perhaps. It was broken and they were taken by several people and a lot of others.'",
-    3: "substring(text, 1, 12) || '​' || substring(text, 13, 8) || ' ' || substring(text, 21, 9) || '﻿' || substring(text, 30) || '‎'",
+    3: "substring(text, 1, 12) || '\u200B' || substring(text, 13, 8) || '\u00A0' || substring(text, 21, 9) || '\uFEFF' || substring(text, 30) || '\u200E'",
     4: "text || ' It was good — very good. Sold 12500 and 8000 units in 2026'",
     5: "'# The Big Plan\n1. First Part\n- a longer list item that ends here with many words in it.\nMeta Title (12 characters): the body\n> quoted words stand here and go on for quite some time.\n\n' || text",
     6: "text || ' See https://example.org/a_b and `code here`, [a link](https://x.org/y_(z)), @someone and #topic (see 12).'",
@@ -195,7 +195,7 @@ SELECT doc_id, rank, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "en
 
 # Hidden characters
 
-_KIND = f"""CASE WHEN c IN ({_q(hidden.STRIP)}) THEN 'zero_width' WHEN c IN ({_q(hidden.REPORT_ONLY)}) THEN 'bidi_mark' WHEN c = '{hidden.BOM}' THEN 'bom' WHEN c = ' ' THEN 'nbsp' WHEN c IN ({_q(hidden.SPACES)}) THEN 'special_space' END"""
+_KIND = f"""CASE WHEN c IN ({_q(hidden.STRIP)}) THEN 'zero_width' WHEN c IN ({_q(hidden.REPORT_ONLY)}) THEN 'bidi_mark' WHEN c = '{hidden.BOM}' THEN 'bom' WHEN c = '\u00A0' THEN 'nbsp' WHEN c IN ({_q(hidden.SPACES)}) THEN 'special_space' END"""
 
 
 def invisible_findings(spark, sf_dir):

@@ -68,7 +68,7 @@ def ranks(df: DataFrame, word: str = "word", n: int = 5000) -> DataFrame:
 
 def write_markdown(df: DataFrame, path: str, text: str = "text") -> None:
     """Texts as Markdown files that begin with a byte order mark, a row each."""
-    df.select(F.concat(F.lit("﻿"), F.col(text)).alias("value")).write.mode("overwrite").option("lineSep", "\n\n").text(path)
+    df.select(F.concat(F.lit("\uFEFF"), F.col(text)).alias("value")).write.mode("overwrite").option("lineSep", "\n\n").text(path)
 
 
 def findings_json(df: DataFrame, keys: list[str]) -> DataFrame:
