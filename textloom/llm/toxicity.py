@@ -126,7 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 n = Counter()
                 for t in b["text"]:
                     n.update(features(t) if only is None else features(t) & only)
-                yield pd.DataFrame({"feature": list(n.keys()), "n": list(n.values())})
+                if n:
+                    yield pd.DataFrame({"feature": list(n.keys()), "n": list(n.values())})
 
         return run
 
