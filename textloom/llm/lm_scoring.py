@@ -86,7 +86,8 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Da
         edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
         low = value & np.uint64((1 << _LOW) - 1)
         ends = np.r_[edge[1:], len(part)] if len(part) else edge
-        return pd.DataFrame({"chunk": key[0], "part": part[edge], "grams": [_packed(low[a:z]) for a, z in zip(edge, ends, strict=True)], "counts": [n[a:z].astype("<u4").tobytes() for a, z in zip(edge, ends, strict=True)]})
+        packed = [_packed(low[a:z]) for a, z in zip(edge, ends, strict=True)]
+        return pd.DataFrame({"chunk": np.full(len(edge), key[0], np.int64), "part": part[edge], "grams": pd.Series(packed, dtype=object), "counts": pd.Series([n[a:z].astype("<u4").tobytes() for a, z in zip(edge, ends, strict=True)], dtype=object)})
 
     def total(key, rows):
         import numpy as np

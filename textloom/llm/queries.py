@@ -24,7 +24,16 @@ def op3_chat_tree(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return read_back(*chat_tree(rows, common.tokenizer_path("byte_bpe_50k.json")))
+    return read_back(*chat_tree(rows, common.tokenizer_path("byte_bpe_50k.json"))).drop("n_ids")
+
+
+#: The same from the conversations themselves, with the lengths of the template's marks.
+OP3 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|ROLE:|/ROLE\]|\|endoftext\|>)', '\1\\\2\3', 'g')) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 18 + length(url_encode(role)) END AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(length(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id"""
 
 
 def op4_toxicity(spark, sf_dir):
@@ -77,4 +86,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op3_chat_tree": OP3}
