@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
+
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _CHARS_PER_KEY, _SEPARATOR = 4, "\x00"
+#: Rank of no piece; words longer than LONG are relaxed one by one.
+NONE, LONG = 1 << 30, 64
 
 
 class SuffixIndex:
@@ -113,7 +116,10 @@ class SuffixArrayPieces:
     # Encoding
 
     def edges(self, text: str):
-        """(start, length, rank, id) of every occurrence of a piece in the text, sorted by position."""
+        """Tables by position and length: rank and id of the piece that stands there, or NONE and -1.
+
+        Writing every occurrence to its row is the sort by position: occurrences come piece by piece.
+        """
         import numpy as np
 
         found = SuffixIndex(text, self.letters, self.longest)
@@ -124,28 +130,51 @@ class SuffixArrayPieces:
         size = self.piece_len[piece]
         inside = at + size <= len(text)
         at, size, piece = at[inside], size[inside], piece[inside]
-        by = np.lexsort((size, at))
-        return at[by], size[by], self.piece_rank[piece[by]], self.piece_id[piece[by]]
+        rank, ids = np.full((len(text) + 1, self.longest + 1), NONE, np.int64), np.full((len(text) + 1, self.longest + 1), -1, np.int32)
+        rank[at, size], ids[at, size] = self.piece_rank[piece], self.piece_id[piece]
+        return rank, ids
 
     def learn(self, units: list[str]) -> None:
-        """Encodes new words and keeps their ids, packed as uint16 or uint32."""
+        """Encodes new words and keeps their ids, packed as unsigned 32-bit integers."""
+        lo = 0
+        while lo < len(units):
+            hi, chars = lo, 0
+            while hi < len(units) and chars < 400_000:
+                chars += len(units[hi]) + 1
+                hi += 1
+            self._learn(units[lo:hi])
+            lo = hi
+
+    def _learn(self, units: list[str]) -> None:
         import numpy as np
 
         text = _SEPARATOR.join(units)
-        start, size, rank, ids = self.edges(text)
-        begin = np.cumsum([0, *(len(u) + 1 for u in units[:-1])])
-        first = np.searchsorted(start, np.r_[begin, len(text) + 1]).tolist()
-        start, end, rank, ids = start.tolist(), (start + size).tolist(), rank.tolist(), ids.tolist()
-        for k, (u, s) in enumerate(zip(units, begin.tolist(), strict=True)):
-            lo, hi = first[k], first[k + 1]
-            span = {(a - s, z - s): (r, i) for a, z, r, i in zip(start[lo:hi], end[lo:hi], rank[lo:hi], ids[lo:hi], strict=True)}
-            out: list[int] = []
-            for a, z in relaxed(len(u), span):
-                if (edge := span.get((a, z))) is not None:
-                    out.append(edge[1])
-                else:
-                    out.extend(map(self.byte_id.__getitem__, u[a:z].encode("utf-8", "surrogatepass")))
-            self.cache[u] = np.array(out, "<u4").tobytes()
+        rank, ids = self.edges(text)
+        size = np.array([len(u) for u in units], np.int64)
+        begin = np.cumsum(size + 1) - size - 1
+        starts, owner = relaxed_together(rank, np.where(size <= LONG, size, 0), begin, self.longest)
+        for k in np.flatnonzero(size > LONG).tolist():
+            s, n = int(begin[k]), int(size[k])
+            where, length = np.nonzero(rank[s : s + n] < NONE)
+            span = dict(zip(zip(where.tolist(), (where + length).tolist(), strict=True), rank[s + where, length].tolist(), strict=True))
+            cut = np.array(relaxed(n, span), np.int64)
+            starts, owner = np.r_[starts, s + cut], np.r_[owner, np.full(len(cut), k)]
+        by = np.argsort(starts)
+        starts, owner = starts[by], owner[by]
+        last = np.r_[owner[1:] != owner[:-1], True] if len(owner) else np.empty(0, bool)
+        ends = np.where(last, begin[owner] + size[owner], np.r_[starts[1:], 0])
+        found = ids[starts, np.minimum(ends - starts, self.longest)]
+        n_ids = np.ones(len(starts), np.int64)
+        bare = np.flatnonzero(found < 0).tolist()  # characters that no piece has: their bytes
+        raw = {i: list(map(self.byte_id.__getitem__, text[starts[i] : ends[i]].encode("utf-8", "surrogatepass"))) for i in bare}
+        n_ids[bare] = [len(raw[i]) for i in bare]
+        at = np.cumsum(n_ids) - n_ids
+        flat = np.repeat(found, n_ids)
+        for i in bare:
+            flat[at[i] : at[i] + len(raw[i])] = raw[i]
+        data = flat.astype("<u4").tobytes()
+        edge = (4 * np.r_[0, np.cumsum(np.bincount(owner, n_ids, len(units)).astype(np.int64))]).tolist()
+        self.cache.update((u, data[a:z]) for u, a, z in zip(units, edge[:-1], edge[1:], strict=True))
 
     def encode(self, texts: list[str]):
         """The ids of each text, as arrays of unsigned 32-bit integers."""
@@ -175,22 +204,38 @@ class SuffixArrayPieces:
         return text[1:] if text[:1] == " " else text
 
 
-def relaxed(n: int, span: dict[tuple[int, int], tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pieces of a word of n characters as (start, end), from its edges (start, end) -> (rank, id)."""
-    if n <= 24:
-        cut = list(range(n + 1))
-        while len(cut) > 2:
-            best, at = None, 0
-            for k in range(len(cut) - 2):
-                edge = span.get((cut[k], cut[k + 2]))
-                if edge is not None and (best is None or edge[0] < best):
-                    best, at = edge[0], k
-            if best is None:
-                break
-            del cut[at + 1]
-        return list(zip(cut[:-1], cut[1:], strict=True))
+def relaxed_together(rank, size, begin, longest: int):
+    """Where the pieces of many words begin, and whose they are. Each round joins one pair in every word that still has one."""
+    import numpy as np
+
+    owner = np.repeat(np.arange(len(size)), size)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+    end = at + 1
+    done_at, done_owner = [], []
+    while len(at):
+        pair = np.full(len(at), NONE, np.int64)
+        if len(at) > 1:
+            length = end[1:] - at[:-1]
+            ok = (owner[1:] == owner[:-1]) & (length <= longest)
+            pair[:-1] = np.where(ok, rank[at[:-1], np.where(ok, length, 0)], NONE)
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        best = np.minimum.reduceat((pair << 32) | np.arange(len(at)), first)
+        live = (best >> 32) < NONE
+        n = np.diff(np.r_[first, len(at)])
+        stays = np.repeat(live, n)
+        done_at.append(at[~stays])
+        done_owner.append(owner[~stays])
+        left = best[live] & 0xFFFFFFFF
+        end[left] = end[left + 1]
+        stays[left + 1] = False
+        at, end, owner = at[stays], end[stays], owner[stays]
+    return np.concatenate([*done_at, np.empty(0, np.int64)]), np.concatenate([*done_owner, np.empty(0, np.int64)])
+
+
+def relaxed(n: int, span: dict[tuple[int, int], int]) -> list[int]:
+    """Where the pieces of one long word of n characters begin, from its edges (start, end) -> rank, by a heap of pairs."""
     end, before = list(range(1, n + 1)), list(range(-1, n))  # of the piece that begins there
-    heap = [(e[0], k, k + 1, k + 2) for k in range(n - 1) if (e := span.get((k, k + 2)))]
+    heap = [(r, k, k + 1, k + 2) for k in range(n - 1) if (r := span.get((k, k + 2))) is not None]
     heapq.heapify(heap)
     while heap:
         _, a, m, z = heapq.heappop(heap)
@@ -199,13 +244,13 @@ def relaxed(n: int, span: dict[tuple[int, int], tuple[int, int]]) -> list[tuple[
         end[a], end[m] = z, -1
         if z < n:
             before[z] = a
-            if e := span.get((a, end[z])):
-                heapq.heappush(heap, (e[0], a, z, end[z]))
-        if (b := before[a]) >= 0 and (e := span.get((b, z))):
-            heapq.heappush(heap, (e[0], b, a, z))
+            if (r := span.get((a, end[z]))) is not None:
+                heapq.heappush(heap, (r, a, z, end[z]))
+        if (b := before[a]) >= 0 and (r := span.get((b, z))) is not None:
+            heapq.heappush(heap, (r, b, a, z))
     out, a = [], 0
     while a < n:
-        out.append((a, end[a]))
+        out.append(a)
         a = end[a]
     return out
 
