@@ -46,3 +46,12 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of numbers that may be broadcast: 16 bytes each, 32 MB at most.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, marked to be broadcast if a count says that it is small; else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

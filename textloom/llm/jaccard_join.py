@@ -25,10 +25,10 @@ KNOWN_TOKENS = 500_000
 FEW, BLOCK, ORDERS = 12, 1000, 3
 
 
-def frequent_tokens(docs: DataFrame, k: int, least: int = 16):
-    """Sorted shingles that many documents hold, and the power of two of each one's count: at most KNOWN_TOKENS.
+def frequent_tokens(docs: DataFrame, k: int, least: int = 4):
+    """Sorted shingles that many documents hold, and a level for each one's count: at most KNOWN_TOKENS.
 
-    Tokens that are rare within every batch of documents are not counted, so counts are lower bounds. They only steer the
+    Tokens that occur once in every batch of documents are not counted, so counts are lower bounds. They only steer the
     orders; the join is exact under any.
     """
     import numpy as np
@@ -39,17 +39,59 @@ def frequent_tokens(docs: DataFrame, k: int, least: int = 16):
         for b in batches:
             sets = [shingles.shingle_set(t, k) for t in b["text"]]
             token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pd.DataFrame({"token": token[n > 2].view(np.int64), "n": n[n > 2]})
+            yield pd.DataFrame({"token": token[n > 1].view(np.int64), "n": n[n > 1]})
 
     counts = docs.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(KNOWN_TOKENS).toPandas()
-    token = rows["token"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(token)
-    return token[by], np.log2(rows["n"].to_numpy(np.float64)[by]).astype(np.uint64)
+    return _levels(rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
+
+
+def _levels(token, n):
+    """Tokens in order, and eight levels for each doubling of their counts."""
+    import numpy as np
+
+    token, by = np.unique(token.view(np.uint64), return_index=True)
+    return token, np.minimum(8 * np.log2(n[by]), 253).astype(np.uint64)
+
+
+def _with_long_lists(known, heavy: DataFrame):
+    """The frequent tokens, and behind all of them those of long lists."""
+    import numpy as np
+
+    late = heavy.toPandas()["t"].to_numpy(np.int64).view(np.uint64)
+    token, by = np.unique(np.concatenate([late, known[0]]), return_index=True)
+    return token, np.concatenate([np.full(len(late), 254, np.uint64), known[1]])[by]
+
+
+def _known(s, frequent):
+    """Which tokens are among the frequent ones, and where."""
+    import numpy as np
+
+    if not len(frequent):
+        return np.zeros(len(s), bool), np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    return frequent[at] == s, at
+
+
+def _slack(n: int, percent: int) -> int:
+    """How many tokens more than its prefix a set sends: as many may prove frequent without a second look at the text."""
+    return (n - -(-percent * n // 100) + 1) // 4 + 8
+
+
+def _front(s, known, percent: int, order: int, more: int = 0):
+    """The prefix of a set under one of the orders, and the next few tokens."""
+    import numpy as np
+
+    frequent, levels = known
+    n, level = len(s), np.zeros(len(s), np.uint64)
+    is_known, at = _known(s, frequent)
+    level[is_known] = levels[at[is_known]] + np.uint64(1)
+    key = (level << np.uint64(56)) | (shingles.mixed(s + np.uint64(order)) >> np.uint64(8))
+    return s[np.argsort(key, kind="stable")[: n - -(-percent * n // 100) + 1 + more if n else 0]]
 
 
 def _prints(docs: DataFrame, k: int, percent: int, known) -> DataFrame:
-    """doc_id, n, c (digest of the set), p1 (prefix under the first order), p2, p3 ... (shortened, of the others)."""
+    """doc_id, n, c (digest of the set), and the prefix with its slack under the first order: its tokens of few documents, and those of many."""
     known = docs.sparkSession.sparkContext.broadcast(known)
 
     def prints(batches):
@@ -58,41 +100,48 @@ def _prints(docs: DataFrame, k: int, percent: int, known) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        frequent, power = known.value
+        frequent = known.value[0]
         for b in batches:
             rows = []
             for i, text in zip(b["doc_id"], b["text"], strict=True):
                 s = shingles.shingle_set(text, k)
-                n = len(s)
-                first = n - -(-percent * n // 100) + 1 if n else 0
-                level = np.zeros(n, np.uint64)
-                if n and len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    level = np.where(frequent[at] == s, power[at] + np.uint64(1), np.uint64(0))
-                row = [i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest()]
-                for o in range(ORDERS):
-                    key = (level << np.uint64(56)) | (shingles.mixed(s + np.uint64(o)) >> np.uint64(8))
-                    front = s[np.argsort(key, kind="stable")[:first]]
-                    row.append(front.view(np.int64) if not o else (front >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "c", *names])
-
-    names = [f"p{o + 1}" for o in range(ORDERS)]
-    return docs.mapInPandas(prints, "doc_id long, n long, c binary, p1 array<long>, " + ", ".join(f"{p} array<int>" for p in names[1:]))
+                front = _front(s, known.value, percent, 0, _slack(len(s), percent))
+                many = _known(front, frequent)[0]
+                own = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+                rows.append([i, len(s), len(front) - own, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), front[~many].view(np.int64), front[many].view(np.int64)])
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "slack", "c", "few", "many"])
+
+    return docs.mapInPandas(prints, "doc_id long, n long, slack long, c binary, few array<long>, many array<long>")
+
+
+def _fronts(docs: DataFrame, k: int, percent: int, known, orders: range) -> DataFrame:
+    """cid, n, and for each of the orders the prefix (p1 as it is, p2, p3 ... shortened)."""
+    known = docs.sparkSession.sparkContext.broadcast(known)
+
+    def fronts(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            sets = [shingles.shingle_set(t, k) for t in b["text"]]
+            out = {"cid": b["doc_id"], "n": [len(s) for s in sets]}
+            for o in orders:
+                found = [_front(s, known.value, percent, o) for s in sets]
+                out[f"p{o + 1}"] = [f.view(np.int64) if not o else (f >> np.uint64(32)).astype(np.uint32).view(np.int32) for f in found]
+            yield pd.DataFrame(out)
+
+    return docs.mapInPandas(fronts, "cid long, n long, " + ", ".join(f"p{o + 1} array<{'int' if o else 'long'}>" for o in orders))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def sets(batches):
-        import hashlib
-
         import numpy as np
         import pandas as pd
 
         for b in batches:
-            found = [shingles.shingle_set(t, k) for t in b["text"]]
-            yield pd.DataFrame({"c": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], "s": [s.view(np.int64) for s in found]})
+            yield pd.DataFrame({"cid": b["doc_id"], "s": [shingles.shingle_set(t, k).view(np.int64) for t in b["text"]]})
 
-    return docs.mapInPandas(sets, "c binary, s array<long>")
+    return docs.mapInPandas(sets, "cid long, s array<long>")
 
 
 def _within_blocks(percent: int):
@@ -102,7 +151,7 @@ def _within_blocks(percent: int):
         import numpy as np
         import pandas as pd
 
-        rows = rows.drop_duplicates("c").reset_index(drop=True)
+        rows = rows.reset_index(drop=True)
         m, n = len(rows), rows["n"].to_numpy(np.int64)
         each = np.array([len(d) for d in rows["d"]], np.int64)
         owner, element = np.repeat(np.arange(m), each), np.unique(np.concatenate([np.asarray(d, np.int64) for d in rows["d"]] + [np.empty(0, np.int64)]), return_inverse=True)[1]
@@ -132,6 +181,25 @@ def _within_blocks(percent: int):
     return link
 
 
+def _shared_tokens(classes: DataFrame, folder: str) -> DataFrame:
+    """(cid, t, size) of each class's prefix tokens that other classes' prefixes have too; size counts the classes.
+
+    Tokens that no batch of documents holds twice are in as many documents as there are batches at most: their lists are short and may be gathered by a
+    window. The others' counts are added up before they are joined.
+    """
+    from pyspark.sql.window import Window
+
+    few = classes.select("cid", F.explode("few").alias("t")).withColumn("size", F.count("*").over(Window.partitionBy("t")))
+    many = classes.select("cid", F.explode("many").alias("t"))
+    many = many.join(many.groupBy("t").agg(F.count("*").alias("size")), "t").select("cid", "t", "size")
+    return common.stored(few.unionByName(many).filter("size > 1"), folder, "tokens-0")
+
+
+def _lists(tokens: DataFrame) -> DataFrame:
+    """Of each token that is a prefix token of several classes: how many, and the least and greatest of them."""
+    return tokens.groupBy("t").agg(F.count("*").alias("size"), F.min("cid").alias("a"), F.max("cid").alias("b")).filter("size > 1")
+
+
 def jaccard_join(df: DataFrame, k: int, percent: int, folder: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: 100 * intersection >= percent * union links two rows' sets.
 
@@ -142,37 +210,56 @@ def jaccard_join(df: DataFrame, k: int, percent: int, folder: str | None = None)
     spark = df.sparkSession
     folder = folder or common.shared_folder(spark)
     docs = common.texts(df)
-    prints = common.stored(_prints(docs, k, percent, frequent_tokens(docs, k)), folder, "prints")
-    others = [f"p{o + 1}" for o in range(1, ORDERS)]
-    classes = prints.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in ("p1", *others)])
+    known = frequent_tokens(docs, k)
+    known = frequent_tokens(docs, k)
+    prints = common.stored(_prints(docs, k, percent, known), folder, "prints")
+    classes = prints.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("slack").alias("slack"), F.first("few").alias("few"), F.first("many").alias("many"))
     classes = common.stored(classes, folder, "classes")
-
-    tokens = classes.select("c", "cid", "copies", F.explode("p1").alias("t"))
-    lists = tokens.groupBy("t").agg(F.count("*").alias("size"), F.min("c").alias("a"), F.max("c").alias("b"), F.max(F.struct("copies", (-F.col("cid")).alias("first"), "c")).alias("pivot")).filter("size > 1")
-    lists = common.stored(lists, folder, "lists")
-    some = tokens.select("t", "c").join(lists.filter(f"size BETWEEN 3 AND {FEW}").select("t"), "t")
-    pairs = lists.filter("size = 2").select("a", "b").unionByName(some.withColumnRenamed("c", "a").join(some.withColumnRenamed("c", "b"), "t").filter("a < b").select("a", "b")).distinct()
-    side = lambda x: classes.select(F.col("c").alias(x), *[F.col(v).alias(f"{x}_{v}") for v in ("cid", "n", *others)])
+    tokens = _shared_tokens(classes, folder)
+
+    # Long lists show tokens that are frequent after all: they go to the end of the first order. A set's slack makes up for some; sets that
+    # hold more of them than that get their new prefix from the text.
+    heavy = common.stored(tokens.filter(f"size > {FEW}").groupBy("t").agg(F.max("size").alias("size")).orderBy(F.desc("size"), "t").limit(KNOWN_TOKENS), folder, "heavy")
+    late = F.broadcast(heavy.select("t"))  # KNOWN_TOKENS numbers at most
+    held = tokens.join(late, "t", "left_semi").groupBy("cid").agg(F.count("*").alias("held")).join(classes.select("cid", "slack"), "cid").filter("held > slack")
+    moved = common.small(common.stored(held.select(F.col("cid").alias("doc_id")).distinct(), folder, "moved"))
+    again = _fronts(docs.join(moved, "doc_id", "left_semi"), k, percent, _with_long_lists(known, heavy), range(1))
+    again = common.stored(again.select("cid", F.explode("p1").alias("t")).distinct(), folder, "again")
+    stay = lambda rows: rows.join(moved.withColumnRenamed("doc_id", "cid"), "cid", "left_anti")
+    met = common.small(common.stored(again.select("t").distinct(), folder, "again-tokens"))
+    others = stay(classes.select("cid", F.explode(F.concat("few", "many")).alias("t")).join(met, "t", "left_semi")).select("cid", "t")
+    tokens = tokens.join(late, "t", "left_anti")
+    tokens = common.stored(stay(tokens.select("cid", "t")).unionByName(again).unionByName(others).distinct(), folder, "tokens")
+    lists = common.stored(_lists(tokens), folder, "lists")
+
+    some = tokens.join(lists.filter(f"size BETWEEN 3 AND {FEW}").select("t"), "t")
+    pairs = lists.filter("size = 2 AND a < b").select("a", "b").unionByName(some.withColumnRenamed("cid", "a").join(some.withColumnRenamed("cid", "b"), "t").filter("a < b").select("a", "b")).distinct()
+    pairs = common.stored(pairs, folder, "candidates")
+    ends = common.small(common.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), folder, "candidate-ids"))
+    fronts = common.stored(_fronts(docs.join(ends, "doc_id", "left_semi"), k, percent, known, range(1, ORDERS)), folder, "fronts")
+    side = lambda x: fronts.select(*[F.col(v).alias(x if v == "cid" else f"{x}_{v}") for v in fronts.columns])
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-    for p in others:
-        pairs = pairs.filter(F.arrays_overlap(f"a_{p}", f"b_{p}"))
-    pairs = common.stored(pairs.select("a", "b", "a_cid", "b_cid"), folder, "pairs")
-
-    many = tokens.select("t", "c", "cid").join(lists.filter(f"size > {FEW}").select("t", F.col("pivot.c").alias("pivot"), (-F.col("pivot.first")).alias("pivot_cid")), "t")
-    many = common.stored(many.drop("t").filter("c <> pivot").distinct(), folder, "many")
-
-    ids = pairs.select(F.explode(F.array("a_cid", "b_cid")).alias("doc_id")).unionByName(many.select(F.explode(F.array("cid", "pivot_cid")).alias("doc_id"))).distinct()
-    sets = common.stored(_sets(docs.join(ids, "doc_id", "left_semi"), k).dropDuplicates(["c"]), folder, "sets")
-    of = lambda x: sets.select(F.col("c").alias(x), F.col("s").alias(f"s_{x}"))
-    checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a_cid", "b_cid", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"), F.size(F.array_intersect("s_a", "s_b")).alias("n"))
-    links = checked.filter(f"100 * n >= {percent} * (n_a + n_b - n)").select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
-
-    apart = many.join(of("c"), "c").join(of("pivot"), "pivot").select("c", "cid", "pivot", "pivot_cid", F.size("s_c").alias("n"), F.size("s_pivot").alias("n_pivot"), F.array_union(F.array_except("s_c", "s_pivot"), F.array_except("s_pivot", "s_c")).alias("d"))
+    for o in range(1, ORDERS):
+        pairs = pairs.filter(F.arrays_overlap(f"a_p{o + 1}", f"b_p{o + 1}"))
+    pairs = common.stored(pairs.select("a", "b").distinct(), folder, "pairs")
+
+    many = tokens.join(lists.filter(f"size > {FEW}").select("t"), "t").join(classes.select("cid", "copies"), "cid")
+    pivots = many.groupBy("t").agg(F.max(F.struct("copies", F.bitwise_not("cid").alias("down"))).alias("top")).select("t", F.bitwise_not("top.down").alias("pivot"))
+    many = common.stored(many.join(pivots, "t").filter("cid <> pivot").select("cid", "pivot").distinct(), folder, "many")
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(many.select(F.explode(F.array("cid", "pivot")).alias("doc_id"))).distinct()
+    ids = common.small(common.stored(ids, folder, "ids"))
+    sets = common.stored(_sets(docs.join(ids, "doc_id", "left_semi"), k), folder, "sets")
+    of = lambda x: sets.select(F.col("cid").alias(x), F.col("s").alias(f"s_{x}"))
+    checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"), F.size(F.array_intersect("s_a", "s_b")).alias("n"))
+    links = checked.filter(f"100 * n >= {percent} * (n_a + n_b - n)").select("a", "b")
+
+    apart = many.join(of("cid"), "cid").join(of("pivot"), "pivot").select("cid", "pivot", F.size("s_cid").alias("n"), F.size("s_pivot").alias("n_pivot"), F.array_union(F.array_except("s_cid", "s_pivot"), F.array_except("s_pivot", "s_cid")).alias("d"))
     apart = common.stored(apart.withColumn("linked", F.expr(f"100 * (n + n_pivot - size(d)) >= {percent} * (n + n_pivot + size(d))")), folder, "apart")
-    links = links.unionByName(apart.filter("linked").select(F.col("cid").alias("a"), F.col("pivot_cid").alias("b")))
+    links = links.unionByName(apart.filter("linked").select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
     open_ = apart.groupBy("pivot").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("open")).filter("size > 1 AND open > 0").select("pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    blocks = apart.join(open_, "pivot").withColumn("x", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("pivot", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "c", "cid", "n", "d", "linked")
+    blocks = apart.join(open_, "pivot").withColumn("x", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select("pivot", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "cid", "n", "d", "linked")
     links = links.unionByName(blocks.groupBy("pivot", "x", "y").applyInPandas(_within_blocks(percent), "a long, b long"))
 
     found = components(links, folder)
@@ -182,8 +269,14 @@ def jaccard_join(df: DataFrame, k: int, percent: int, folder: str | None = None)
 
 
 def one_of_each(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df without near duplicates: of each component the row with its least doc_id. Rows without doc_id stay, repeated ids don't."""
-    found = jaccard_join(df, k, percent)
-    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = df.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.select(df.columns).unionByName(df.filter("doc_id IS NULL"))
+    """The rows of df without near duplicates: of each component the row with its least doc_id. Rows without doc_id stay, repeated ids don't.
+
+    Only the ids of what stays, and the ids that are repeated, meet the rows; texts are not shuffled as long as the ids can be broadcast.
+    """
+    folder = common.shared_folder(df.sparkSession)
+    found = jaccard_join(df, k, percent, folder)
+    stay = common.small(common.stored(found.filter("doc_id = component_id").select("doc_id").distinct(), folder, "stay"))
+    repeated = common.small(common.stored(df.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), folder, "repeated"))
+    rows = df.join(stay, "doc_id", "left_semi")
+    once = rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return once.select(df.columns).unionByName(df.filter("doc_id IS NULL"))

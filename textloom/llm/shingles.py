@@ -8,7 +8,7 @@ from functools import lru_cache
 class WordHashes(dict):
     """Hash of each word seen; cleared when it holds more than `bound` words."""
 
-    bound = 1_000_000
+    bound = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
