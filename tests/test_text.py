@@ -177,8 +177,8 @@ def test_admission_batch_and_stream(spark, tmp_path):
     assert {r["event_id"]: r["allowed"] for r in adm.admission(df, 5, 30.0).collect()} == want
     df.orderBy("ts", "event_id").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = admission_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 5, 30.0)
-    query = stream.writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
+    query = stream.writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
     query.stop()
     assert {r["event_id"]: r["allowed"] for r in spark.table("admitted").collect()} == want
 
