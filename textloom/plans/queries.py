@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+from inspect import signature
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,18 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return en.unionByName(he)
 
 
+#: Every stored document with its own text, those of other languages read as English like the reference reads what is sent as 'en'; the texts with something put in are rows beside them.
+_SQL_WHOLE = f"""docs AS (SELECT doc_id, text, CASE WHEN lang = 'he' THEN 'he' ELSE 'en' END AS language, source FROM documents UNION ALL SELECT -1 - doc_id, {TEXT}, 'en', source FROM documents WHERE lang = 'en' AND doc_id % 10 IN ({", ".join(map(str, INJECTED))})
+ UNION ALL SELECT -1 - doc_id, '{HEBREW}', 'he', source FROM documents WHERE lang <> 'en' AND doc_id % 10 = 0)"""
+
+
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("CASE WHEN lang = 'he' THEN 'he' ELSE 'en' END").alias("language"), "source")
+    he, case = F.col("language") == "he", F.expr("CAST(doc_id % 10 AS INT)").isin(*INJECTED)
+    extra = injected(spark, sf_dir).filter(he | case).withColumn("doc_id", F.when(he, F.col("doc_id")).otherwise(F.expr("-1 - doc_id")))
+    return stored.unionByName(extra)
+
+
 def _q(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -76,8 +91,8 @@ def _occurrences_sql(phrases) -> str:
     return " + ".join(f"((length(lower(text)) - length(replace(lower(text), '{p.replace(chr(39), chr(39) * 2)}', ''))) // {len(p)})" for p in phrases) or "0"
 
 
-def token_stats(spark, sf_dir):
-    found = metrics.with_shape(injected(spark, sf_dir))
+def token_stats(spark, sf_dir, texts=injected):
+    found = metrics.with_shape(texts(spark, sf_dir))
     r = lambda c: F.round(c, 6).alias(c)
     return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_sentences").cast("long").alias("n_sentences"), r("avg_sentence_length"), r("sentence_length_stdev"), r("burstiness"), r("vocab_diversity"), r("sentence_start_diversity"))
 
@@ -132,8 +147,8 @@ _VERDICT = "CASE WHEN ai_probability < 0.35::DOUBLE THEN 'human' WHEN ai_probabi
 _KEYED = "keyed AS (SELECT *, doc_id AS row_id FROM docs)"
 
 
-def detect_verdict(spark, sf_dir):
-    found = metrics.detect(injected(spark, sf_dir), ["doc_id"])
+def detect_verdict(spark, sf_dir, texts=injected):
+    found = metrics.detect(texts(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", "language", F.col("n_words").cast("long").alias("n_words"), *[F.round(m, 6).alias(m) for m in metrics.METRICS], F.round("ai_probability", 6).alias("ai_probability"), "verdict")
 
 
@@ -141,9 +156,9 @@ DETECT = f"""WITH {_SQL_DOCS}, {_KEYED}, {_detect_sql("keyed")}
 SELECT row_id AS doc_id, language, CAST(n_words AS BIGINT) AS n_words, {", ".join(f"round({m}, 6) AS {m}" for m in metrics.METRICS)}, round(ai_probability, 6) AS ai_probability, {_VERDICT} AS verdict FROM fused"""
 
 
-def lexicon_hits(spark, sf_dir):
+def lexicon_hits(spark, sf_dir, texts=injected):
     """Words in the lexicon's classes over the whole corpus, by language: the counted semi-joins."""
-    docs = injected(spark, sf_dir)
+    docs = texts(spark, sf_dir)
     rows = docs.select("language", F.explode(tokens.words(F.col("text"), F.col("language"))).alias("word")).join(F.broadcast(lx.lexicon(spark)), ["language", "word"])
     return rows.groupBy("language").agg(*[F.count_if(c).cast("long").alias(c) for c in ("is_machine", "is_transition", "is_hedge", "is_quantifier", "is_pronoun")], F.count("rank").cast("long").alias("ranked"))
 
@@ -152,16 +167,16 @@ LEXICON_HITS = f"""WITH {_SQL_DOCS}, {_lexicon_sql()} SELECT language, CAST(sum(
 FROM (SELECT language, unnest({_WORDS.format("text")}) AS word FROM docs) JOIN lex USING (language, word) GROUP BY language"""
 
 
-def verdict_by_source(spark, sf_dir):
-    found = metrics.detect(injected(spark, sf_dir), ["doc_id"], ["source"])
+def verdict_by_source(spark, sf_dir, texts=injected):
+    found = metrics.detect(texts(spark, sf_dir), ["doc_id"], ["source"])
     return found.groupBy("source", "verdict").agg(F.count("*").alias("n"), F.round(F.avg("ai_probability"), 6).alias("mean_probability"))
 
 
 VERDICT_BY_SOURCE = f"""WITH {_SQL_DOCS}, {_KEYED}, {_detect_sql("keyed", ", source")} SELECT source, {_VERDICT} AS verdict, count(*) AS n, round(avg(ai_probability), 6) AS mean_probability FROM fused GROUP BY 1, 2"""
 
 
-def labels_vs_score(spark, sf_dir):
-    found = metrics.detect(injected(spark, sf_dir), ["doc_id"]).join(table(spark, sf_dir, "labels"), "doc_id")
+def labels_vs_score(spark, sf_dir, texts=injected):
+    found = metrics.detect(texts(spark, sf_dir), ["doc_id"]).join(table(spark, sf_dir, "labels"), "doc_id")
     return found.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("ai_probability"), 6).alias("mean_probability"))
 
 
@@ -178,8 +193,8 @@ def conversation_roles(spark, sf_dir):
 ROLES = f"""WITH keyed AS (SELECT conv_id || '-' || turn AS row_id, role, text, 'en' AS language FROM conversations), {_detect_sql("keyed", ", role")} SELECT role, count(*) AS n, round(avg(ai_probability), 6) AS mean_probability FROM fused GROUP BY role"""
 
 
-def top_segments(spark, sf_dir):
-    found = metrics.top_segments(injected(spark, sf_dir), ["doc_id"])
+def top_segments(spark, sf_dir, texts=injected):
+    found = metrics.top_segments(texts(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("text").alias("text_md5"), F.round("sub_score", 6).alias("sub_score"), "reason")
 
 
@@ -198,8 +213,8 @@ SELECT doc_id, rank, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "en
 _KIND = f"""CASE WHEN c IN ({_q(hidden.STRIP)}) THEN 'zero_width' WHEN c IN ({_q(hidden.REPORT_ONLY)}) THEN 'bidi_mark' WHEN c = '{hidden.BOM}' THEN 'bom' WHEN c = '\u00A0' THEN 'nbsp' WHEN c IN ({_q(hidden.SPACES)}) THEN 'special_space' END"""
 
 
-def invisible_findings(spark, sf_dir):
-    rows = injected(spark, sf_dir).select("doc_id", F.explode(hidden.scan(F.col("text"))).alias("f"))
+def invisible_findings(spark, sf_dir, texts=injected):
+    rows = texts(spark, sf_dir).select("doc_id", F.explode(hidden.scan(F.col("text"))).alias("f"))
     return rows.select("doc_id", "f.kind", "f.codepoint", F.col("f.index").cast("long").alias("index"), "f.note")
 
 
@@ -208,8 +223,8 @@ FINDINGS = f"""WITH {_SQL_DOCS}, chars AS (SELECT doc_id, unnest(string_split(te
 SELECT doc_id, {_KIND} AS kind, 'U+' || lpad(upper(to_hex(unicode(c))), 4, '0') AS codepoint, CAST(i AS BIGINT) AS index, CASE c {_NOTES} END AS note FROM chars WHERE {_KIND} IS NOT NULL"""
 
 
-def finding_counts(spark, sf_dir):
-    return hidden.finding_counts(injected(spark, sf_dir), ["doc_id"])
+def finding_counts(spark, sf_dir, texts=injected):
+    return hidden.finding_counts(texts(spark, sf_dir), ["doc_id"])
 
 
 _PLAIN_KINDS = ["zero_width", "bidi_mark", "bom", "nbsp", "special_space"]
@@ -219,8 +234,8 @@ SELECT doc_id, {", ".join(f"coalesce({k}, 0) AS {k}" for k in _PLAIN_KINDS)}, CA
  CAST(coalesce(zero_width + bom + nbsp + special_space, 0) AS BIGINT) AS total FROM docs LEFT JOIN n USING (doc_id)"""
 
 
-def clean_text(spark, sf_dir):
-    out = hidden.clean(injected(spark, sf_dir))
+def clean_text(spark, sf_dir, texts=injected):
+    out = hidden.clean(texts(spark, sf_dir))
     return out.select("doc_id", F.md5("text").alias("text_md5"), "removed_count", "normalized_count")
 
 
@@ -231,8 +246,8 @@ CLEAN = f"""WITH {_SQL_DOCS} SELECT doc_id, md5(regexp_replace((CASE WHEN text[1
 # Lines and spans
 
 
-def line_kinds(spark, sf_dir):
-    found = lines.line_kinds(injected(spark, sf_dir), ["doc_id"])
+def line_kinds(spark, sf_dir, texts=injected):
+    found = lines.line_kinds(texts(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", F.col("line").cast("long").alias("line"), "start", "end", "kind", F.col("body_start").cast("long").alias("body_start"))
 
 
@@ -250,8 +265,8 @@ named AS (SELECT *, CASE WHEN regexp_full_match(x, '\\s*') THEN 'blank' WHEN reg
 SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(start AS BIGINT) AS start, CAST(start + length(x) AS BIGINT) AS "end", kind, CAST(CASE kind WHEN 'list_item' THEN CASE WHEN q > 0 THEN q ELSE b END WHEN 'label_line' THEN p ELSE 0 END AS BIGINT) AS body_start FROM named"""
 
 
-def protected_spans(spark, sf_dir):
-    rows = injected(spark, sf_dir).select("doc_id", F.explode(lines.protected_spans()("text")).alias("r"))
+def protected_spans(spark, sf_dir, texts=injected):
+    rows = texts(spark, sf_dir).select("doc_id", F.explode(lines.protected_spans()("text")).alias("r"))
     return rows.select("doc_id", F.col("r.s").cast("long").alias("s"), F.col("r.e").cast("long").alias("e"), "r.kind")
 
 
@@ -271,9 +286,9 @@ SELECT user_id, min(s) AS s, max(e) AS e FROM z GROUP BY user_id, island"""
 # Rewriting
 
 
-def rule_audit(spark, sf_dir):
+def rule_audit(spark, sf_dir, texts=injected):
     """How often each tell rule applies, corpus-wide, on the whole text."""
-    rows = injected(spark, sf_dir).select(F.explode(rules.rule_counts(F.col("text"), rules.TELLS)).alias("c"))
+    rows = texts(spark, sf_dir).select(F.explode(rules.rule_counts(F.col("text"), rules.TELLS)).alias("c"))
     return rows.groupBy(F.col("c.tag").alias("tag")).agg(F.sum("c.n").cast("long").alias("n"), F.count("*").alias("docs"))
 
 
@@ -295,39 +310,39 @@ def _digest(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.md5("text").alias("text_md5"), F.char_length("text").cast("long").alias("chars"), F.size("transformations").cast("long").alias("n_changes"))
 
 
-def tell_scrub(spark, sf_dir):
-    return _digest(rules.scrub_tells(injected(spark, sf_dir)))
+def tell_scrub(spark, sf_dir, texts=injected):
+    return _digest(rules.scrub_tells(texts(spark, sf_dir)))
 
 
-def thousands(spark, sf_dir):
-    return rules.numbers(injected(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_md5"), "n_changed")
+def thousands(spark, sf_dir, texts=injected):
+    return rules.numbers(texts(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_md5"), "n_changed")
 
 
-def headings(spark, sf_dir):
-    return _digest(rewrite.headings(_stated(injected(spark, sf_dir)), ["doc_id"]))
+def headings(spark, sf_dir, texts=injected):
+    return _digest(rewrite.headings(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
-def lexical_swap(spark, sf_dir):
-    return _digest(rewrite.lexical_swap(_stated(injected(spark, sf_dir)), ["doc_id"]))
+def lexical_swap(spark, sf_dir, texts=injected):
+    return _digest(rewrite.lexical_swap(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
-def restructure(spark, sf_dir):
-    return _digest(rewrite.restructure(_stated(injected(spark, sf_dir)), ["doc_id"]))
+def restructure(spark, sf_dir, texts=injected):
+    return _digest(rewrite.restructure(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
-def vary_vocabulary(spark, sf_dir):
-    return _digest(rewrite.vary_vocabulary(_stated(injected(spark, sf_dir)), ["doc_id"]))
+def vary_vocabulary(spark, sf_dir, texts=injected):
+    return _digest(rewrite.vary_vocabulary(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
-def post_polish(spark, sf_dir):
-    return _digest(rewrite.post_polish(_stated(injected(spark, sf_dir)), ["doc_id"]))
+def post_polish(spark, sf_dir, texts=injected):
+    return _digest(rewrite.post_polish(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
-def swap_candidates(spark, sf_dir):
+def swap_candidates(spark, sf_dir, texts=injected):
     """Words of the text that a swap may replace, and by how many words: the equi-join of words and alternatives."""
     known = [(lang, w, len(o)) for lang, t in lx.MACHINE_WORDS.items() for w, o in t.items()]
     options = spark.createDataFrame(known, "language string, word string, options int")
-    words = injected(spark, sf_dir).select("doc_id", "language", F.explode(tokens.words(F.col("text"), F.col("language"))).alias("word"))
+    words = texts(spark, sf_dir).select("doc_id", "language", F.explode(tokens.words(F.col("text"), F.col("language"))).alias("word"))
     return words.join(F.broadcast(options), ["language", "word"]).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.max("options").cast("long").alias("options"))
 
 
@@ -335,31 +350,31 @@ SWAP_CANDIDATES = f"""WITH {_SQL_DOCS}, o(language, word, options) AS (VALUES {"
 SELECT doc_id, word, count(*) AS n, CAST(max(options) AS BIGINT) AS options FROM (SELECT doc_id, language, unnest({_WORDS.format("text")}) AS word FROM docs) JOIN o USING (language, word) GROUP BY doc_id, word"""
 
 
-def rewritten(spark, sf_dir):
-    return _digest(workflows.rewritten(_stated(injected(spark, sf_dir)), ["doc_id"]))
+def rewritten(spark, sf_dir, texts=injected):
+    return _digest(workflows.rewritten(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
-def before_after(spark, sf_dir):
-    found = workflows.before_and_after(workflows.rewritten(_stated(injected(spark, sf_dir)), ["doc_id"]), ["doc_id"])
+def before_after(spark, sf_dir, texts=injected):
+    found = workflows.before_and_after(workflows.rewritten(_stated(texts(spark, sf_dir)), ["doc_id"]), ["doc_id"])
     return found.select("doc_id", F.round("probability_before", 6).alias("probability_before"), "verdict_before", F.round("probability_after", 6).alias("probability_after"), "verdict_after")
 
 
-def detect_report(spark, sf_dir):
-    found = workflows.detect(injected(spark, sf_dir), ["doc_id"])
+def detect_report(spark, sf_dir, texts=injected):
+    found = workflows.detect(texts(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", F.round("ai_probability", 6).alias("ai_probability"), "verdict", F.size("findings").alias("n_findings"), F.size("segments").alias("n_segments"), F.to_json("segments").alias("segments"))
 
 
-def model_score(spark, sf_dir):
+def model_score(spark, sf_dir, texts=injected):
     """The optional model's three states, with a stand-in that scores by length."""
-    docs = injected(spark, sf_dir).withColumn("length", F.char_length("text"))
+    docs = texts(spark, sf_dir).withColumn("length", F.char_length("text"))
     return scorer.score_with(docs, lambda: lambda t: {"score": len(t) / 1000}).select("doc_id", "model_score.enabled", "model_score.available", F.round("model_score.score", 6).alias("score"))
 
 
 MODEL_SCORE = f"WITH {_SQL_DOCS} SELECT doc_id, true AS enabled, true AS available, round(least(1.0, length(text) / 1000.0::DOUBLE), 6) AS score FROM docs"
 
 
-def findings_report(spark, sf_dir):
-    return src.findings_json(hidden.findings(injected(spark, sf_dir)), ["doc_id"])
+def findings_report(spark, sf_dir, texts=injected):
+    return src.findings_json(hidden.findings(texts(spark, sf_dir)), ["doc_id"])
 
 
 # State
@@ -386,12 +401,21 @@ QUERIES = (
 )
 
 
+#: DuckDB takes only ASCII letters as part of a word at \b; the reference and Spark take all ('übe den' holds no 'be'). The first queries' texts have no others there.
+_ASCII_PASSIVE = f"regexp_extract_all(text, '{metrics.PASSIVE['en'].replace(chr(39), chr(39) * 2)}')"
+_PASSIVE = _ASCII_PASSIVE.replace("(text,", r"(regexp_replace(text, '[^\x00-\x7F\P{L}]', '_', 'g'),")
+
+#: The queries of documents over whole(): the first ones keep to English rows, some with their texts replaced.
+WHOLE = {f"{f.__name__}_whole": partial(f, texts=whole) for f in QUERIES if "texts" in signature(f).parameters}
+
+
 def queries():
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | WHOLE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    known = {
         "detect_verdict": DETECT, "validate_docs": VALIDATE, "token_stats": TOKEN_STATS, "lexicon_hits": LEXICON_HITS, "verdict_by_source": VERDICT_BY_SOURCE, "labels_vs_score": LABELS, "conversation_roles": ROLES, "top_segments": SEGMENTS,
         "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(), "swap_candidates": SWAP_CANDIDATES, "model_score": MODEL_SCORE, "admission": ADMISSION,
     }
+    return known | {f"{k}_whole": v.replace(_SQL_DOCS, _SQL_WHOLE).replace(_ASCII_PASSIVE, _PASSIVE) for k, v in known.items() if f"{k}_whole" in WHOLE}
