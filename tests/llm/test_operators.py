@@ -168,6 +168,21 @@ def test_licenses(spark, none):
     assert license_scan(none).count() == 0
 
 
+def test_licenses_that_open_with_the_key_phrase(spark):
+    from textloom.llm.license_scan import TEMPLATES, license_scan
+
+    cut = [(label, " ".join(words[words.index(key) :].split())) for label, words, key in TEMPLATES]
+    named = [("apache-2.0", "Apache License\nVersion 2.0, January 2004"), ("lgpl", "GNU Lesser General Public License"), ("mpl-2.0", "Mozilla Public License Version 2.0"), ("mpl-2.0", "of the Mozilla Public License, v. 2.0")]
+    texts = [*cut, *named, *((label, f"{text} {'and other words ' * 9}") for label, text in cut)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    for r in license_scan(df).collect():
+        label, text = texts[r["doc_id"]]
+        assert label in r["labels"].split(",") and r["score"] >= 0.6, text
+        assert any(p["label"] == label and p["at"] == 0 for p in r["places"]), text
+    # the phrase's end alone isn't the phrase
+    assert [(r["labels"], r["score"]) for r in license_scan(spark.createDataFrame([(1, "public license v 2 0"), (2, "commons attribution 4 0 international license")], "doc_id long, text string")).collect()] == [("", 0.0)] * 2
+
+
 def test_lm_scores(docs, none, spark):
     from textloom.llm.lm_scoring import lm_scores
 

@@ -39,7 +39,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
 RARE, LEAST_COVERAGE = 3, 0.6
-POSTING = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("word", T.StringType()), ("at", T.IntegerType()), ("template", T.IntegerType()))]))
+POSTING = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("word", T.StringType()), ("at", T.IntegerType()), ("template", T.IntegerType()), ("key_at", T.IntegerType()))]))
 TEMPLATE = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (
     ("template", T.IntegerType()), ("label", T.StringType()), ("base", T.BooleanType()), ("words", T.ArrayType(T.StringType())), ("weights", T.ArrayType(T.DoubleType())), ("key_at", T.IntegerType()), ("key", T.ArrayType(T.StringType())), ("agree", T.IntegerType()))]))
 
@@ -72,7 +72,7 @@ def index(idf: dict[str, float]) -> tuple[list, list]:
     for k, (label, words, key_at, key, base) in enumerate(templates()):
         in_key = [i for i in range(key_at, key_at + len(key))]
         by = sorted(in_key, key=lambda i: (-idf[words[i]], i))[: 1 if base else RARE]
-        postings += [(words[i], i, k) for i in by]
+        postings += [(words[i], i, k, key_at) for i in by]
         table.append((k, label, base, words, [idf[w] for w in words], key_at, key, min(2, len(by))))
     return postings, table
 
@@ -90,28 +90,33 @@ def _literal(rows: list, kind: T.ArrayType) -> Column:
 
 
 def places(words: Column, idf: dict[str, float]) -> Column:
-    """Each place of each template in an array of words: template, label, base, at (words from 0), coverage (0 to 1, by IDF)."""
+    """Each place of each template in an array of words: template, label, base, at (words from 0), coverage (0 to 1, by IDF).
+
+    A template may begin before the text does, as when the text opens with its key phrase: the key phrase decides. Its place is then 0, and
+    coverage is of the words from there on.
+    """
     postings, table = index(idf)
-    rare = sorted({w for w, _, _ in postings})
+    rare = sorted({w for w, *_ in postings})
     table_col, postings_col = _literal(table, TEMPLATE), _literal(postings, POSTING)
     hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*rare), F.struct(w.alias("word"), i.alias("i")))), lambda h: h.isNotNull())
-    begun = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(postings_col, lambda p: p["word"] == h["word"]), lambda p: F.struct(p["template"].alias("template"), (h["i"] - p["at"]).alias("at")))))
+    begun = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(postings_col, lambda p: (p["word"] == h["word"]) & (h["i"] - p["at"] + p["key_at"] >= 0)), lambda p: F.struct(p["template"].alias("template"), (h["i"] - p["at"]).alias("at")))))
 
     def verified(found: Column) -> Column:
         def one(c):
             def known(t):
-                there = F.slice(words, c["at"] + 1, F.size(t["words"]))
-                agree = F.aggregate(F.zip_with(there, t["words"], lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(0), lambda n, same: n + same.cast("int"))
-                covered = F.aggregate(F.zip_with(F.zip_with(there, t["words"], lambda a, b: F.coalesce(a == b, F.lit(False))), t["weights"], lambda same, v: F.when(same, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-                total = F.aggregate(t["weights"], F.lit(0.0), lambda s, v: s + v)
+                at, left = F.greatest(c["at"], F.lit(0)), F.greatest(-c["at"], F.lit(0))
+                size = F.size(t["words"]) - left
+                own, weights = F.slice(t["words"], left + 1, size), F.slice(t["weights"], left + 1, size)
+                there = F.slice(words, at + 1, size)
+                agree = F.aggregate(F.zip_with(there, own, lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(0), lambda n, same: n + same.cast("int"))
+                covered = F.aggregate(F.zip_with(F.zip_with(there, own, lambda a, b: F.coalesce(a == b, F.lit(False))), weights, lambda same, v: F.when(same, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+                total = F.aggregate(weights, F.lit(0.0), lambda s, v: s + v)
                 key = F.slice(words, c["at"] + t["key_at"] + 1, F.size(t["key"])) == t["key"]
-                return F.struct(t["template"].alias("template"), t["label"].alias("label"), t["base"].alias("base"), c["at"].alias("at"), F.when(key & (agree >= t["agree"]), covered / total).alias("coverage"))
+                return F.struct(t["template"].alias("template"), t["label"].alias("label"), t["base"].alias("base"), at.alias("at"), F.when(key & (agree >= t["agree"]), covered / total).alias("coverage"))
 
             return known(F.element_at(table_col, c["template"] + 1))
 
-        # A template may begin before the text does, when the text opens in its middle: its key phrase decides, so shift to it.
-        inside = F.filter(found, lambda c: c["at"] >= 0)
-        return F.filter(F.transform(F.array_distinct(inside), one), lambda p: p["base"] & p["coverage"].isNotNull() | (p["coverage"] >= LEAST_COVERAGE))
+        return F.filter(F.transform(F.array_distinct(found), one), lambda p: p["base"] & p["coverage"].isNotNull() | (p["coverage"] >= LEAST_COVERAGE))
 
     return verified(begun)
 
