@@ -333,6 +333,22 @@ def test_winnowing(spark, docs, none):
     assert K + W > 2
 
 
+def test_winnowing_wherever_a_passage_stands(spark):
+    from textloom.llm.winnowing import K, W, fingerprints
+
+    r = random.Random(5)
+    runs = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(300)), "".join(r.choice("abcdefghij/+=0123") for _ in range(300)), "".join(r.choice("漢😀字🎉x") for _ in range(300)), "words of a text that is put in anew, " * 3]
+    rows = [(10 * i + j, front + t) for i, t in enumerate(runs) for j, front in enumerate(("", "x", "😀", "xyz "))]
+    rows += [(100 + j, front + runs[0][120 : 120 + K + W - 1]) for j, front in enumerate(("", "q"))]
+    got = {f["doc_id"]: dict(zip(f["positions"], f["hashes"], strict=True)) for f in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(runs):
+        n, kept = len("".join(t.split())) - K + 1, got[10 * i]
+        for j, shift in ((1, 1), (2, 1), (3, 3)):
+            both = {p for p, h in kept.items() if got[10 * i + j].get(p + shift) == h}
+            assert all(both & set(range(a, a + W)) for a in range(n - W + 1)), (i, j)
+    assert all(set(got[100 + j].values()) & set(got[k].values()) for j in (0, 1) for k in (0, 1, 2, 3))
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

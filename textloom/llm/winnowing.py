@@ -1,8 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-A text is cut into units of up to four characters that are no blanks (a word's first four, the next four, ...). Each run of K
-units has a hash; from every window of W hashes the least is kept, the rightmost of equal ones, with its position.
-Two texts that share K + W - 1 units in a row share a kept hash.
+Of a text's code points that are no blanks, each K in a row have a hash, at every position; from every window of W hashes the least is
+kept, the rightmost of equal ones, with its position. Two texts that share K + W - 1 such code points in a row, wherever they
+stand, share a kept hash.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from . import common
 
-K, W, UNIT = 3, 4, r"\S{1,4}"
+K, W = 12, 4
 #: Low bits of a kept value hold its position, counted down so that the least value is the rightmost of equal hashes.
 POSITION_BITS = 24
 _MASK = (1 << POSITION_BITS) - 1
@@ -25,21 +25,22 @@ def _let(value: Column, body) -> Column:
 
 
 def winnowed(text: Column, k: int = K, w: int = W) -> Column:
-    """array<long> of kept values: hash in the upper 40 bits, position (in units, from the end of the mask) in the lower 24."""
+    """array<long> of kept values: hash in the upper 40 bits, position (in code points that are no blanks, from the end of the mask) in the lower 24."""
 
-    def grams(units):
-        n = F.size(units)
-        whole = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(units)))
-        return F.when(n < k, whole).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(units, i, k))))
+    def grams(solid):
+        n = F.char_length(solid)
+        whole = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array(solid))
+        # Looks ahead from each code point, so that the grams overlap.
+        return F.when(n < k, whole).otherwise(F.regexp_extract_all(solid, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1)))
 
-    def placed(hashes):
-        return F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~_MASK)).bitwiseOR((F.lit(_MASK) - F.pmod(i, F.lit(_MASK + 1))).cast("long")))
+    def placed(grams_):
+        return F.transform(grams_, lambda g, i: F.xxhash64(g).bitwiseAND(F.lit(~_MASK)).bitwiseOR((F.lit(_MASK) - F.pmod(i, F.lit(_MASK + 1))).cast("long")))
 
     def least(values):
         n = F.size(values)
         return F.when(n == 0, values).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(values, i, w)))))
 
-    return _let(_let(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: placed(grams(u))), least)
+    return _let(_let(F.regexp_replace(text, r"\s+", ""), lambda s: placed(grams(s))), least)
 
 
 def hashes(kept: Column) -> Column:
