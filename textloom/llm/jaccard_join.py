@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -28,7 +28,7 @@ FEW, BLOCK, ORDERS = 12, 1000, 3
 def frequent_tokens(docs: DataFrame, k: int, least: int = 4):
     """Sorted shingles that many documents hold, and a level for each one's count: at most KNOWN_TOKENS.
 
-    Tokens that occur once in every batch of documents are not counted, so counts are lower bounds. They only steer the
+    Tokens that occur once in every group of documents are not counted, so counts are lower bounds. They only steer the
     orders; the join is exact under any.
     """
     import numpy as np
@@ -37,9 +37,10 @@ def frequent_tokens(docs: DataFrame, k: int, least: int = 4):
         import pandas as pd
 
         for b in batches:
-            sets = [shingles.shingle_set(t, k) for t in b["text"]]
-            token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pd.DataFrame({"token": token[n > 1].view(np.int64), "n": n[n > 1]})
+            texts = b["text"].tolist()
+            for g in shingles.groups(texts, 16_000_000):
+                token, n = np.unique(shingles.shingle_sets(texts[g], k)[0], return_counts=True)
+                yield pd.DataFrame({"token": token[n > 1].view(np.int64), "n": n[n > 1]})
 
     counts = docs.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(KNOWN_TOKENS).toPandas()
@@ -63,35 +64,54 @@ def _with_long_lists(known, heavy: DataFrame):
     return token, np.concatenate([np.full(len(late), 254, np.uint64), known[1]])[by]
 
 
-def _known(s, frequent):
-    """Which tokens are among the frequent ones, and where."""
+def _level(s, known):
+    """0 for a token of few documents, else one more than its level."""
     import numpy as np
 
+    frequent, levels = known
     if not len(frequent):
-        return np.zeros(len(s), bool), np.zeros(len(s), np.int64)
+        return np.zeros(len(s), np.uint64)
     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    return frequent[at] == s, at
+    return np.where(frequent[at] == s, levels[at] + np.uint64(1), np.uint64(0))
 
 
-def _slack(n: int, percent: int) -> int:
-    """How many tokens more than its prefix a set sends: as many may prove frequent without a second look at the text."""
-    return (n - -(-percent * n // 100) + 1) // 4 + 8
+def prefix_size(n, percent: int):
+    """How many tokens of a set of n, under any order, hold one at least of every set that it links with."""
+    return n - -(-percent * n // 100) + 1
 
 
-def _front(s, known, percent: int, order: int, more: int = 0):
-    """The prefix of a set under one of the orders, and the next few tokens."""
+def _order(s, level, order: int):
+    """The sort key of each token under one of the orders: its level, then a hash that differs from order to order."""
     import numpy as np
 
-    frequent, levels = known
-    n, level = len(s), np.zeros(len(s), np.uint64)
-    is_known, at = _known(s, frequent)
-    level[is_known] = levels[at[is_known]] + np.uint64(1)
-    key = (level << np.uint64(56)) | (shingles.mixed(s + np.uint64(order)) >> np.uint64(8))
-    return s[np.argsort(key, kind="stable")[: n - -(-percent * n // 100) + 1 + more if n else 0]]
+    return (level << np.uint64(56)) | (shingles.mixed(s + np.uint64(order)) >> np.uint64(8))
+
+
+def _first(s, key, n: int):
+    """The n tokens with the least keys, in any order."""
+    import numpy as np
+
+    return s[np.argpartition(key, n - 1)[:n]] if n < len(s) else s
+
+
+def parity(s, n: int):
+    """Of a set of n tokens, a bit for each of its 64, 128, 256 ... places (n at least): whether an odd number of tokens falls there.
+
+    Two sets that differ in d tokens differ in d of these bits at most.
+    """
+    import numpy as np
+
+    size = max(64, 1 << (n - 1).bit_length())
+    bits = (np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool)
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+PRINTS = "doc_id long, n long, slack long, c binary, few array<long>, many array<long>, bits array<long>, " + ", ".join(f"p{o + 1} array<int>" for o in range(1, ORDERS))
 
 
 def _prints(docs: DataFrame, k: int, percent: int, known) -> DataFrame:
-    """doc_id, n, c (digest of the set), and the prefix with its slack under the first order: its tokens of few documents, and those of many."""
+    """doc_id, n, c (digest of the set), its parity bits, the prefix with its slack under the first order (tokens of few documents, and of many),
+    and the prefixes under the other orders, shortened to 32 bits a token."""
     known = docs.sparkSession.sparkContext.broadcast(known)
 
     def prints(batches):
@@ -100,22 +120,29 @@ def _prints(docs: DataFrame, k: int, percent: int, known) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        frequent = known.value[0]
         for b in batches:
-            rows = []
-            for i, text in zip(b["doc_id"], b["text"], strict=True):
-                s = shingles.shingle_set(text, k)
-                front = _front(s, known.value, percent, 0, _slack(len(s), percent))
-                many = _known(front, frequent)[0]
-                own = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                rows.append([i, len(s), len(front) - own, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), front[~many].view(np.int64), front[many].view(np.int64)])
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "slack", "c", "few", "many"])
-
-    return docs.mapInPandas(prints, "doc_id long, n long, slack long, c binary, few array<long>, many array<long>")
-
-
-def _fronts(docs: DataFrame, k: int, percent: int, known, orders: range) -> DataFrame:
-    """cid, n, and for each of the orders the prefix (p1 as it is, p2, p3 ... shortened)."""
+            texts, ids = b["text"].tolist(), b["doc_id"]
+            for g in shingles.groups(texts):
+                flat, edge = shingles.shingle_sets(texts[g], k)
+                level = _level(flat, known.value)
+                key = [_order(flat, level, o) for o in range(ORDERS)]
+                low, rows = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32), []
+                for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    s, n = flat[a:z], z - a
+                    own = prefix_size(n, percent) if n else 0
+                    front = min(n, own + own // 4 + 8)
+                    at = np.argpartition(key[0][a:z], front - 1)[:front] if front < n else np.arange(n)
+                    late = level[a:z][at] > 0
+                    rows.append([n, front - own, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[at[~late]].view(np.int64), s[at[late]].view(np.int64), parity(s, n) if n else np.empty(0, np.int64), *(_first(low[a:z], x[a:z], own) for x in key[1:])])
+                out = pd.DataFrame(rows, columns=["n", "slack", "c", "few", "many", "bits", *(f"p{o + 1}" for o in range(1, ORDERS))])
+                out.insert(0, "doc_id", ids[g].to_numpy())
+                yield out
+
+    return docs.mapInPandas(prints, PRINTS)
+
+
+def _fronts(docs: DataFrame, k: int, percent: int, known) -> DataFrame:
+    """cid, n, and the prefix under the first order."""
     known = docs.sparkSession.sparkContext.broadcast(known)
 
     def fronts(batches):
@@ -123,14 +150,14 @@ def _fronts(docs: DataFrame, k: int, percent: int, known, orders: range) -> Data
         import pandas as pd
 
         for b in batches:
-            sets = [shingles.shingle_set(t, k) for t in b["text"]]
-            out = {"cid": b["doc_id"], "n": [len(s) for s in sets]}
-            for o in orders:
-                found = [_front(s, known.value, percent, o) for s in sets]
-                out[f"p{o + 1}"] = [f.view(np.int64) if not o else (f >> np.uint64(32)).astype(np.uint32).view(np.int32) for f in found]
-            yield pd.DataFrame(out)
+            texts, ids = b["text"].tolist(), b["doc_id"]
+            for g in shingles.groups(texts):
+                flat, edge = shingles.shingle_sets(texts[g], k)
+                key = _order(flat, _level(flat, known.value), 0)
+                ends = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+                yield pd.DataFrame({"cid": ids[g].to_numpy(), "n": np.diff(edge), "p1": pd.Series([_first(flat[a:z], key[a:z], prefix_size(z - a, percent)).view(np.int64) for a, z in ends], dtype=object)})
 
-    return docs.mapInPandas(fronts, "cid long, n long, " + ", ".join(f"p{o + 1} array<{'int' if o else 'long'}>" for o in orders))
+    return docs.mapInPandas(fronts, "cid long, n long, p1 array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -139,7 +166,10 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         import pandas as pd
 
         for b in batches:
-            yield pd.DataFrame({"cid": b["doc_id"], "s": [shingles.shingle_set(t, k).view(np.int64) for t in b["text"]]})
+            texts, ids = b["text"].tolist(), b["doc_id"]
+            for g in shingles.groups(texts):
+                flat, edge = shingles.shingle_sets(texts[g], k)
+                yield pd.DataFrame({"cid": ids[g].to_numpy(), "s": pd.Series([x.view(np.int64) for x in np.split(flat, edge[1:-1])], dtype=object)})
 
     return docs.mapInPandas(sets, "cid long, s array<long>")
 
@@ -182,28 +212,55 @@ def _within_blocks(percent: int):
 
 
 def _shared_tokens(classes: DataFrame, folder: str) -> DataFrame:
-    """(cid, t, size) of each class's prefix tokens that other classes' prefixes have too; size counts the classes.
+    """(cid, n, t, size) of each class's prefix tokens that other classes' prefixes have too; size counts the classes."""
+    both = classes.select("cid", "n", F.explode(F.concat("few", "many")).alias("t"))
+    return common.stored(both.join(both.groupBy("t").agg(F.count("*").alias("size")).filter("size > 1"), "t"), folder, "tokens-0")
 
-    Tokens that no batch of documents holds twice are in as many documents as there are batches at most: their lists are short and may be gathered by a
-    window. The others' counts are added up before they are joined.
-    """
-    from pyspark.sql.window import Window
 
-    few = classes.select("cid", F.explode("few").alias("t")).withColumn("size", F.count("*").over(Window.partitionBy("t")))
-    many = classes.select("cid", F.explode("many").alias("t"))
-    many = many.join(many.groupBy("t").agg(F.count("*").alias("size")), "t").select("cid", "t", "size")
-    return common.stored(few.unionByName(many).filter("size > 1"), folder, "tokens-0")
+def _lists(tokens: DataFrame) -> DataFrame:
+    """Of each token that is a prefix token of several classes: of how many."""
+    return tokens.groupBy("t").agg(F.count("*").alias("size")).filter("size > 1")
+
 
+def _differing_bits(a: str, b: str) -> Column:
+    """In how many parity bits two sets differ. The longer row of bits is folded to the other's length: halves are added without carry."""
+
+    def folded(x, n):
+        whole = F.size(x)
+        return F.when(whole == n, x).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(F.sequence(F.lit(0), (whole / n).cast("int") - 1), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(x, i + j * n)))))
+
+    a, b = F.col(a), F.col(b)
+    n = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(folded(a, n), folded(b, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
 
-def _lists(tokens: DataFrame) -> DataFrame:
-    """Of each token that is a prefix token of several classes: how many, and the least and greatest of them."""
-    return tokens.groupBy("t").agg(F.count("*").alias("size"), F.min("cid").alias("a"), F.max("cid").alias("b")).filter("size > 1")
+
+def near(n_a, n_b, apart, percent: int):
+    """Whether sets that differ in `apart` tokens (at least) can link."""
+    return (100 + percent) * apart <= (100 - percent) * (n_a + n_b)
+
+
+def _candidates(tokens: DataFrame, lists: DataFrame, classes: DataFrame, percent: int, folder: str) -> DataFrame:
+    """(a, b) of classes that share a prefix token of at most FEW classes under the first order, and one under every other, whose sizes and parity bits allow a link.
+
+    Sizes are compared where pairs are made, so that few pairs meet the prefixes of the other orders.
+    """
+    some = tokens.join(lists.filter(f"size <= {FEW}").select("t"), "t").select("t", "cid", "n")
+    side = lambda x: some.select("t", F.col("cid").alias(x), F.col("n").alias(f"n_{x}"))
+    pairs = side("a").join(side("b"), "t").filter(f"a < b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    pairs = common.stored(pairs.select("a", "b").distinct(), folder, "pairs-0")
+    others = [f"p{o + 1}" for o in range(1, ORDERS)]
+    of = lambda x: classes.select(F.col("cid").alias(x), *[F.col(v).alias(f"{x}_{v}") for v in ("n", "bits", *others)])
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b")
+    for v in others:
+        pairs = pairs.filter(F.arrays_overlap(f"a_{v}", f"b_{v}"))
+    pairs = pairs.filter(near(F.col("a_n"), F.col("b_n"), _differing_bits("a_bits", "b_bits"), percent))
+    return common.stored(pairs.select("a", "b"), folder, "pairs")
 
 
 def jaccard_join(df: DataFrame, k: int, percent: int, folder: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: 100 * intersection >= percent * union links two rows' sets.
 
-    Sets hold the distinct shingles of k words (shingles.shingle_set). Null, empty and wordless texts have empty sets, n_shingles 0
+    Sets hold the distinct shingles of k words (shingles.shingle_sets). Null, empty and wordless texts have empty sets, n_shingles 0
     and link with nothing: component_id is their doc_id. Equal sets link. Rows that share a doc_id count as one document; a row
     without doc_id gets the component of its equals, if any. An empty table gives an empty result.
     """
@@ -211,10 +268,12 @@ def jaccard_join(df: DataFrame, k: int, percent: int, folder: str | None = None)
     folder = folder or common.shared_folder(spark)
     docs = common.texts(df)
     known = frequent_tokens(docs, k)
-    known = frequent_tokens(docs, k)
     prints = common.stored(_prints(docs, k, percent, known), folder, "prints")
-    classes = prints.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("slack").alias("slack"), F.first("few").alias("few"), F.first("many").alias("many"))
-    classes = common.stored(classes, folder, "classes")
+    firsts = [F.first(v).alias(v) for v in ("n", "slack", "few", "many", "bits", *(f"p{o + 1}" for o in range(1, ORDERS)))]
+    one = prints.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"))
+    # Copies are counted without their arrays; those come from the class's first row.
+    rows = prints.join(one.select("c", F.col("cid").alias("doc_id"), "copies"), ["c", "doc_id"])
+    classes = common.stored(rows.groupBy("c", F.col("doc_id").alias("cid")).agg(F.first("copies").alias("copies"), *firsts), folder, "classes")
     tokens = _shared_tokens(classes, folder)
 
     # Long lists show tokens that are frequent after all: they go to the end of the first order. A set's slack makes up for some; sets that
@@ -223,25 +282,15 @@ def jaccard_join(df: DataFrame, k: int, percent: int, folder: str | None = None)
     late = F.broadcast(heavy.select("t"))  # KNOWN_TOKENS numbers at most
     held = tokens.join(late, "t", "left_semi").groupBy("cid").agg(F.count("*").alias("held")).join(classes.select("cid", "slack"), "cid").filter("held > slack")
     moved = common.small(common.stored(held.select(F.col("cid").alias("doc_id")).distinct(), folder, "moved"))
-    again = _fronts(docs.join(moved, "doc_id", "left_semi"), k, percent, _with_long_lists(known, heavy), range(1))
-    again = common.stored(again.select("cid", F.explode("p1").alias("t")).distinct(), folder, "again")
+    again = _fronts(docs.join(moved, "doc_id", "left_semi"), k, percent, _with_long_lists(known, heavy))
+    again = common.stored(again.select("cid", "n", F.explode("p1").alias("t")).distinct(), folder, "again")
     stay = lambda rows: rows.join(moved.withColumnRenamed("doc_id", "cid"), "cid", "left_anti")
     met = common.small(common.stored(again.select("t").distinct(), folder, "again-tokens"))
-    others = stay(classes.select("cid", F.explode(F.concat("few", "many")).alias("t")).join(met, "t", "left_semi")).select("cid", "t")
+    others = stay(classes.select("cid", "n", F.explode(F.concat("few", "many")).alias("t")).join(met, "t", "left_semi"))
     tokens = tokens.join(late, "t", "left_anti")
-    tokens = common.stored(stay(tokens.select("cid", "t")).unionByName(again).unionByName(others).distinct(), folder, "tokens")
+    tokens = common.stored(stay(tokens).select("cid", "n", "t").unionByName(again).unionByName(others.select("cid", "n", "t")).distinct(), folder, "tokens")
     lists = common.stored(_lists(tokens), folder, "lists")
-
-    some = tokens.join(lists.filter(f"size BETWEEN 3 AND {FEW}").select("t"), "t")
-    pairs = lists.filter("size = 2 AND a < b").select("a", "b").unionByName(some.withColumnRenamed("cid", "a").join(some.withColumnRenamed("cid", "b"), "t").filter("a < b").select("a", "b")).distinct()
-    pairs = common.stored(pairs, folder, "candidates")
-    ends = common.small(common.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), folder, "candidate-ids"))
-    fronts = common.stored(_fronts(docs.join(ends, "doc_id", "left_semi"), k, percent, known, range(1, ORDERS)), folder, "fronts")
-    side = lambda x: fronts.select(*[F.col(v).alias(x if v == "cid" else f"{x}_{v}") for v in fronts.columns])
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-    for o in range(1, ORDERS):
-        pairs = pairs.filter(F.arrays_overlap(f"a_p{o + 1}", f"b_p{o + 1}"))
-    pairs = common.stored(pairs.select("a", "b").distinct(), folder, "pairs")
+    pairs = _candidates(tokens, lists, classes, percent, folder)
 
     many = tokens.join(lists.filter(f"size > {FEW}").select("t"), "t").join(classes.select("cid", "copies"), "cid")
     pivots = many.groupBy("t").agg(F.max(F.struct("copies", F.bitwise_not("cid").alias("down"))).alias("top")).select("t", F.bitwise_not("top.down").alias("pivot"))
@@ -255,7 +304,7 @@ def jaccard_join(df: DataFrame, k: int, percent: int, folder: str | None = None)
     links = checked.filter(f"100 * n >= {percent} * (n_a + n_b - n)").select("a", "b")
 
     apart = many.join(of("cid"), "cid").join(of("pivot"), "pivot").select("cid", "pivot", F.size("s_cid").alias("n"), F.size("s_pivot").alias("n_pivot"), F.array_union(F.array_except("s_cid", "s_pivot"), F.array_except("s_pivot", "s_cid")).alias("d"))
-    apart = common.stored(apart.withColumn("linked", F.expr(f"100 * (n + n_pivot - size(d)) >= {percent} * (n + n_pivot + size(d))")), folder, "apart")
+    apart = common.stored(apart.withColumn("linked", near(F.col("n"), F.col("n_pivot"), F.size("d"), percent)), folder, "apart")
     links = links.unionByName(apart.filter("linked").select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
     open_ = apart.groupBy("pivot").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("open")).filter("size > 1 AND open > 0").select("pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     blocks = apart.join(open_, "pivot").withColumn("x", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

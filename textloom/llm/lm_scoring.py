@@ -21,10 +21,9 @@ def _chunk_grams(texts, order: int):
     """Per order: hash of the n-gram that ends at each word (0: none), the document of each word, and the document lengths."""
     import numpy as np
 
-    found = [shingles.hashed(shingles.words(t)) for t in texts]
-    sizes = np.array([len(h) for h in found], np.int64)
-    flat = np.concatenate([*found, np.empty(0, np.uint64)])
-    doc = np.repeat(np.arange(len(found)), sizes)
+    texts = list(texts)
+    flat, sizes = shingles.word_hashes(texts)
+    doc = np.repeat(np.arange(len(texts)), sizes)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     grams = []
     for n in range(1, order + 1):
