@@ -23,26 +23,37 @@ from .components import components
 #: Frequent tokens that the orders know of. It bounds the broadcast, 16 bytes each; no result depends on it.
 KNOWN_TOKENS = 500_000
 FEW, BLOCK, ORDERS = 12, 1000, 3
+#: Characters whose shingles are made at once, and shingles that are counted at once.
+SLICE, COUNTED_TOGETHER = 2_000_000, 2_000_000
 
 
 def frequent_tokens(docs: DataFrame, k: int, least: int = 4):
     """Sorted shingles that many documents hold, and a level for each one's count: at most KNOWN_TOKENS.
 
-    Tokens that occur once in every group of documents are not counted, so counts are lower bounds. They only steer the
+    Tokens that occur once in every group of documents (COUNTED_TOGETHER shingles) are not counted, so counts are lower bounds. They only steer the
     orders; the join is exact under any.
     """
     import numpy as np
 
     def count(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for b in batches:
-            texts = b["text"].tolist()
-            for g in shingles.groups(texts, 16_000_000):
-                token, n = np.unique(shingles.shingle_sets(texts[g], k)[0], return_counts=True)
-                yield pd.DataFrame({"token": token[n > 1].view(np.int64), "n": n[n > 1]})
+        def counted(sets):
+            token, n = np.unique(np.concatenate(sets), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
 
-    counts = docs.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        for b in batches:
+            texts, sets, size = b.column("text").to_pylist(), [], 0
+            for g in common.sliced(texts, SLICE):
+                sets.append(shingles.shingle_sets(texts[g], k)[0])
+                size += len(sets[-1])
+                if size > COUNTED_TOGETHER:
+                    yield counted(sets)
+                    sets, size = [], 0
+            if sets:
+                yield counted(sets)
+
+    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(KNOWN_TOKENS).toPandas()
     return _levels(rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
 
@@ -106,72 +117,66 @@ def parity(s, n: int):
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-PRINTS = "doc_id long, n long, slack long, c binary, few array<long>, many array<long>, bits array<long>, " + ", ".join(f"p{o + 1} array<int>" for o in range(1, ORDERS))
+PRINTS = {"n": "long", "slack": "long", "c": "binary", "few": "array<long>", "many": "array<long>", "bits": "array<long>"} | {f"p{o + 1}": "array<int>" for o in range(1, ORDERS)}
 
 
 def _prints(docs: DataFrame, k: int, percent: int, known) -> DataFrame:
-    """doc_id, n, c (digest of the set), its parity bits, the prefix with its slack under the first order (tokens of few documents, and of many),
+    """doc_id, n, c (digest of the set), the prefix with its slack under the first order (tokens of few documents, and of many), parity bits,
     and the prefixes under the other orders, shortened to 32 bits a token."""
     known = docs.sparkSession.sparkContext.broadcast(known)
 
-    def prints(batches):
+    def make():
         import hashlib
 
         import numpy as np
-        import pandas as pd
 
-        for b in batches:
-            texts, ids = b["text"].tolist(), b["doc_id"]
-            for g in shingles.groups(texts):
-                flat, edge = shingles.shingle_sets(texts[g], k)
-                level = _level(flat, known.value)
-                key = [_order(flat, level, o) for o in range(ORDERS)]
-                low, rows = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32), []
-                for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    s, n = flat[a:z], z - a
-                    own = prefix_size(n, percent) if n else 0
-                    front = min(n, own + own // 4 + 8)
-                    at = np.argpartition(key[0][a:z], front - 1)[:front] if front < n else np.arange(n)
-                    late = level[a:z][at] > 0
-                    rows.append([n, front - own, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[at[~late]].view(np.int64), s[at[late]].view(np.int64), parity(s, n) if n else np.empty(0, np.int64), *(_first(low[a:z], x[a:z], own) for x in key[1:])])
-                out = pd.DataFrame(rows, columns=["n", "slack", "c", "few", "many", "bits", *(f"p{o + 1}" for o in range(1, ORDERS))])
-                out.insert(0, "doc_id", ids[g].to_numpy())
-                yield out
-
-    return docs.mapInPandas(prints, PRINTS)
+        def prints(texts):
+            flat, edge = shingles.shingle_sets(texts, k)
+            level = _level(flat, known.value)
+            key = [_order(flat, level, o) for o in range(ORDERS)]
+            low, rows = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32), []
+            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                s, n = flat[a:z], z - a
+                own = prefix_size(n, percent) if n else 0
+                front = min(n, own + own // 4 + 8)
+                at = np.argpartition(key[0][a:z], front - 1)[:front] if front < n else np.arange(n)
+                late = level[a:z][at] > 0
+                rows.append([n, front - own, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[at[~late]].view(np.int64), s[at[late]].view(np.int64), parity(s, n) if n else np.empty(0, np.int64), *(_first(low[a:z], x[a:z], own) for x in key[1:])])
+            return list(zip(*rows, strict=True))
+
+        return prints
+
+    return common.per_text(docs, PRINTS, make, SLICE)
 
 
 def _fronts(docs: DataFrame, k: int, percent: int, known) -> DataFrame:
     """cid, n, and the prefix under the first order."""
     known = docs.sparkSession.sparkContext.broadcast(known)
 
-    def fronts(batches):
+    def make():
         import numpy as np
-        import pandas as pd
 
-        for b in batches:
-            texts, ids = b["text"].tolist(), b["doc_id"]
-            for g in shingles.groups(texts):
-                flat, edge = shingles.shingle_sets(texts[g], k)
-                key = _order(flat, _level(flat, known.value), 0)
-                ends = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-                yield pd.DataFrame({"cid": ids[g].to_numpy(), "n": np.diff(edge), "p1": pd.Series([_first(flat[a:z], key[a:z], prefix_size(z - a, percent)).view(np.int64) for a, z in ends], dtype=object)})
+        def fronts(texts):
+            flat, edge = shingles.shingle_sets(texts, k)
+            key = _order(flat, _level(flat, known.value), 0)
+            return np.diff(edge), [_first(flat[a:z], key[a:z], prefix_size(z - a, percent)).view(np.int64) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+        return fronts
 
-    return docs.mapInPandas(fronts, "cid long, n long, p1 array<long>")
+    return common.per_text(docs, {"n": "long", "p1": "array<long>"}, make, SLICE).withColumnRenamed("doc_id", "cid")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    def sets(batches):
+    def make():
         import numpy as np
-        import pandas as pd
 
-        for b in batches:
-            texts, ids = b["text"].tolist(), b["doc_id"]
-            for g in shingles.groups(texts):
-                flat, edge = shingles.shingle_sets(texts[g], k)
-                yield pd.DataFrame({"cid": ids[g].to_numpy(), "s": pd.Series([x.view(np.int64) for x in np.split(flat, edge[1:-1])], dtype=object)})
+        def sets(texts):
+            flat, edge = shingles.shingle_sets(texts, k)
+            return [[x.view(np.int64) for x in np.split(flat, edge[1:-1])]]
+
+        return sets
 
-    return docs.mapInPandas(sets, "cid long, s array<long>")
+    return common.per_text(docs, {"s": "array<long>"}, make, SLICE).withColumnRenamed("doc_id", "cid")
 
 
 def _within_blocks(percent: int):

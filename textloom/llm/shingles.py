@@ -6,12 +6,11 @@ taken from running sums over the batch's bytes, then scrambled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 _SEED, _BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-#: Characters of a group of texts, and bytes that are hashed at once. A longer word is hashed in one go.
-GROUP_CHARS, SPAN = 2_000_000, 1 << 18
+#: Bytes that are hashed at once; a longer word is hashed in one go.
+SPAN = 1 << 18
 
 
 def mixed(x):
@@ -124,15 +123,3 @@ def shingle_sets(texts: list[str], k: int):
     new[1:] = flat[1:] != flat[:-1]
     new[edge[:-1][m > 0]] = True
     return flat[new], np.r_[0, np.cumsum(new)][edge]
-
-
-def groups(texts, chars: int = GROUP_CHARS) -> Iterator[slice]:
-    """Slices of a series of texts that have about so many characters each."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield slice(lo, i + 1)
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield slice(lo, len(texts))
