@@ -13,8 +13,12 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,28 @@ _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _CHARS_PER_KEY, _SEPARATOR = 4, "\x00"
 #: Rank of no piece; words longer than LONG are relaxed one by one.
 NONE, LONG = 1 << 30, 64
+#: Characters that are indexed at once; a longer text is indexed in overlapping blocks.
+BLOCK = 400_000
+#: What remembered words may take, in bytes; words longer than KEPT characters aren't remembered.
+CACHE_BYTES, KEPT, _ENTRY = 96_000_000, 1000, 220
+
+
+class Edges(NamedTuple):
+    """Occurrences of pieces, sorted by position and length: those at a position p are first[p] to first[p + 1]."""
+
+    first: object
+    size: object
+    rank: object
+    ids: object
+
+    def find(self, at, size):
+        """The ids of the pieces that stand at some positions with some lengths; -1 where none does."""
+        import numpy as np
+
+        key = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first)) * 64 + self.size
+        wanted = at * 64 + size
+        k = np.minimum(np.searchsorted(key, wanted), max(0, len(key) - 1))
+        return np.where(key[k] == wanted, self.ids[k], -1) if len(key) else np.full(len(at), -1)
 
 
 class SuffixIndex:
@@ -75,7 +101,7 @@ def _search(key, wanted, low, high, after: bool):
 
 
 class SuffixArrayPieces:
-    def __init__(self, path: str, cache_size: int = 1_200_000):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         import numpy as np
         from sentencepiece import SentencePieceProcessor
 
@@ -111,15 +137,25 @@ class SuffixArrayPieces:
         self.piece_rank = np.array([self.rank[c] for _, c, _ in kept], np.int64)
         self.piece_id = np.array([i for _, _, i in kept], np.int64)
         self.cache: dict[str, bytes] = {}
-        self.cache_size = cache_size
+        self.cache_bytes, self.held = cache_bytes, 0
 
     # Encoding
 
-    def edges(self, text: str):
-        """Tables by position and length: rank and id of the piece that stands there, or NONE and -1.
+    def edges(self, text: str, block: int = BLOCK) -> Edges:
+        """All pieces that stand in a text. Blocks overlap by the longest piece, so none is lost at an edge."""
+        import numpy as np
 
-        Writing every occurrence to its row is the sort by position: occurrences come piece by piece.
-        """
+        parts = []
+        for lo in range(0, max(1, len(text)), block):
+            at, size, piece = self._occurrences(text[lo : lo + block + self.longest])
+            own = at < block
+            parts.append(((at[own] + lo).astype(np.int64), size[own].astype(np.uint8), piece[own].astype(np.int32)))
+        at, size, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.argsort(at * 64 + size)
+        first = np.r_[0, np.cumsum(np.bincount(at, minlength=len(text)))].astype(np.int64)
+        return Edges(first, size[by], self.piece_rank[piece[by]].astype(np.int32), self.piece_id[piece[by]].astype(np.int32))
+
+    def _occurrences(self, text: str):
         import numpy as np
 
         found = SuffixIndex(text, self.letters, self.longest)
@@ -129,41 +165,48 @@ class SuffixArrayPieces:
         at = found.order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
         size = self.piece_len[piece]
         inside = at + size <= len(text)
-        at, size, piece = at[inside], size[inside], piece[inside]
-        rank, ids = np.full((len(text) + 1, self.longest + 1), NONE, np.int64), np.full((len(text) + 1, self.longest + 1), -1, np.int32)
-        rank[at, size], ids[at, size] = self.piece_rank[piece], self.piece_id[piece]
-        return rank, ids
+        return at[inside], size[inside], piece[inside]
 
-    def learn(self, units: list[str]) -> None:
-        """Encodes new words and keeps their ids, packed as unsigned 32-bit integers."""
+    def learn(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of words, packed as unsigned 32-bit integers."""
+        out: dict[str, bytes] = {}
         lo = 0
         while lo < len(units):
             hi, chars = lo, 0
-            while hi < len(units) and chars < 400_000:
+            while hi < len(units) and (hi == lo or chars + len(units[hi]) < BLOCK):
                 chars += len(units[hi]) + 1
                 hi += 1
-            self._learn(units[lo:hi])
+            self._learn(units[lo:hi], out)
             lo = hi
+        return out
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: list[str], out: dict[str, bytes]) -> None:
         import numpy as np
 
         text = _SEPARATOR.join(units)
-        rank, ids = self.edges(text)
+        edges = self.edges(text)
         size = np.array([len(u) for u in units], np.int64)
         begin = np.cumsum(size + 1) - size - 1
-        starts, owner = relaxed_together(rank, np.where(size <= LONG, size, 0), begin, self.longest)
-        for k in np.flatnonzero(size > LONG).tolist():
+        starts, owner = [], []
+        if (size <= LONG).any():
+            rank = np.full((len(text) + 1, self.longest + 1), NONE, np.int32)
+            rank[np.repeat(np.arange(len(text)), np.diff(edges.first)), edges.size] = edges.rank
+            cut, whose = relaxed_together(rank, np.where(size <= LONG, size, 0), begin, self.longest)
+            starts, owner = [cut], [whose]
+            del rank
+        long = np.flatnonzero(size > LONG).tolist()
+        sizes, ranks = (edges.size.tobytes(), array("i", edges.rank.tobytes())) if long else (b"", array("i"))
+        for k in long:
             s, n = int(begin[k]), int(size[k])
-            where, length = np.nonzero(rank[s : s + n] < NONE)
-            span = dict(zip(zip(where.tolist(), (where + length).tolist(), strict=True), rank[s + where, length].tolist(), strict=True))
-            cut = np.array(relaxed(n, span), np.int64)
-            starts, owner = np.r_[starts, s + cut], np.r_[owner, np.full(len(cut), k)]
+            cut = np.frombuffer(relaxed(n, array("q", edges.first[s : s + n + 1].tobytes()), sizes, ranks), np.int64) + s
+            starts.append(cut)
+            owner.append(np.full(len(cut), k))
+        starts, owner = np.concatenate([*starts, np.empty(0, np.int64)]), np.concatenate([*owner, np.empty(0, np.int64)])
         by = np.argsort(starts)
         starts, owner = starts[by], owner[by]
         last = np.r_[owner[1:] != owner[:-1], True] if len(owner) else np.empty(0, bool)
         ends = np.where(last, begin[owner] + size[owner], np.r_[starts[1:], 0])
-        found = ids[starts, np.minimum(ends - starts, self.longest)]
+        found = edges.find(starts, np.minimum(ends - starts, 63))
         n_ids = np.ones(len(starts), np.int64)
         bare = np.flatnonzero(found < 0).tolist()  # characters that no piece has: their bytes
         raw = {i: list(map(self.byte_id.__getitem__, text[starts[i] : ends[i]].encode("utf-8", "surrogatepass"))) for i in bare}
@@ -174,26 +217,24 @@ class SuffixArrayPieces:
             flat[at[i] : at[i] + len(raw[i])] = raw[i]
         data = flat.astype("<u4").tobytes()
         edge = (4 * np.r_[0, np.cumsum(np.bincount(owner, n_ids, len(units)).astype(np.int64))]).tolist()
-        self.cache.update((u, data[a:z]) for u, a, z in zip(units, edge[:-1], edge[1:], strict=True))
+        out.update((u, data[a:z]) for u, a, z in zip(units, edge[:-1], edge[1:], strict=True))
 
     def encode(self, texts: list[str]):
         """The ids of each text, as arrays of unsigned 32-bit integers."""
         import numpy as np
 
         out: list = []
-        lo = 0
-        while lo < len(texts):
-            hi, chars = lo, 0
-            while hi < len(texts) and chars < 4_000_000:
-                chars += len(texts[hi])
-                hi += 1
-            cut = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[lo:hi]]
-            if len(self.cache) > self.cache_size:
+        for g in common.sliced(texts, 1_000_000):
+            cut = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[g]]
+            if self.held > self.cache_bytes:
                 self.cache.clear()
-            if new := list(set().union(*cut).difference(self.cache)):
-                self.learn(new)
-            out.extend(np.frombuffer(b"".join(map(self.cache.__getitem__, c)), "<u4") for c in cut)
-            lo = hi
+                self.held = 0
+            found = self.learn(list(set().union(*cut).difference(self.cache)))
+            rare = {u: found.pop(u) for u in [u for u in found if len(u) > KEPT]}
+            self.held += sum(len(u) + len(d) + _ENTRY for u, d in found.items())
+            self.cache.update(found)
+            get = self.cache.__getitem__ if not rare else lambda u, rare=rare: rare.get(u) or self.cache[u]
+            out.extend(np.frombuffer(b"".join(map(get, c)), "<u4") for c in cut)
         return out
 
     # Decoding
@@ -232,23 +273,40 @@ def relaxed_together(rank, size, begin, longest: int):
     return np.concatenate([*done_at, np.empty(0, np.int64)]), np.concatenate([*done_owner, np.empty(0, np.int64)])
 
 
-def relaxed(n: int, span: dict[tuple[int, int], int]) -> list[int]:
-    """Where the pieces of one long word of n characters begin, from its edges (start, end) -> rank, by a heap of pairs."""
-    end, before = list(range(1, n + 1)), list(range(-1, n))  # of the piece that begins there
-    heap = [(r, k, k + 1, k + 2) for k in range(n - 1) if (r := span.get((k, k + 2))) is not None]
+def relaxed(n: int, first: array, sizes: bytes, ranks: array) -> array:
+    """Where the pieces of one long word of n characters begin, by a heap of pairs.
+
+    first, sizes and ranks are those of its edges. An entry is (rank, start) in one number; it holds if the pair there still has that rank.
+    """
+    end, before, now = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("q", [-1]) * n  # of the piece that begins there
+    heap: list[int] = []
+
+    def offer(a: int) -> None:
+        m = end[a]
+        if m < n and (k := sizes.find(min(end[m] - a, 255), first[a], first[a + 1])) >= 0:
+            now[a] = ranks[k]
+            heapq.heappush(heap, (ranks[k] << 40) | a)
+        else:
+            now[a] = -1
+
+    for a in range(n - 1):
+        if (k := sizes.find(2, first[a], first[a + 1])) >= 0:
+            now[a] = ranks[k]
+            heap.append((ranks[k] << 40) | a)
     heapq.heapify(heap)
     while heap:
-        _, a, m, z = heapq.heappop(heap)
-        if end[a] != m or end[m] != z:
+        top = heapq.heappop(heap)
+        a = top & ((1 << 40) - 1)
+        if now[a] != top >> 40:
             continue
-        end[a], end[m] = z, -1
-        if z < n:
-            before[z] = a
-            if (r := span.get((a, end[z]))) is not None:
-                heapq.heappush(heap, (r, a, z, end[z]))
-        if (b := before[a]) >= 0 and (r := span.get((b, z))) is not None:
-            heapq.heappush(heap, (r, b, a, z))
-    out, a = [], 0
+        m = end[a]
+        end[a], end[m], now[m] = end[m], -1, -1
+        if end[a] < n:
+            before[end[a]] = a
+        offer(a)
+        if before[a] >= 0:
+            offer(before[a])
+    out, a = array("q"), 0
     while a < n:
         out.append(a)
         a = end[a]
@@ -260,29 +318,11 @@ def pieces(path: str) -> SuffixArrayPieces:
     return SuffixArrayPieces(path)
 
 
-def encoded(path: str):
-    """A column function: text to array<int> of piece ids; null and empty texts give an empty array."""
-
-    @F.pandas_udf("array<int>")
-    def run(texts):
-        import numpy as np
-        import pandas as pd
-
-        return pd.Series([x.view(np.int32) for x in pieces(path).encode([t or "" for t in texts])], index=texts.index, dtype=object)
-
-    return run
-
-
-def decoded(path: str):
-    """A column function: array<int> of piece ids to text; null gives an empty text."""
-
-    @F.pandas_udf("string")
-    def run(ids):
-        import pandas as pd
-
-        return pd.Series([pieces(path).decode(() if x is None else x.tolist()) for x in ids], index=ids.index, dtype=object)
+def _lists(rows):
+    """Arrays of unsigned integers as one Arrow array of lists."""
+    import numpy as np
 
-    return run
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in rows])], pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, "<u4")]).view(np.int32)))
 
 
 def encode_and_decode(df: DataFrame, path: str) -> DataFrame:
@@ -293,20 +333,32 @@ def encode_and_decode(df: DataFrame, path: str) -> DataFrame:
     space, U+2581, comes back as a space; no other character is lost.
     """
 
-    def run(batches):
+    def make():
         import hashlib
 
-        import pandas as pd
-
-        for b in batches:
-            ids = pieces(path).encode(list(b["text"]))
+        def run(texts):
+            ids = pieces(path).encode(texts)
             back = [pieces(path).decode(x.tolist()) for x in ids]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_pieces": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids], "same": [x == t for x, t in zip(back, b["text"], strict=True)], "decoded_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back]})
+            return [len(x) for x in ids], [zlib.crc32(x) for x in ids], [x == t for x, t in zip(back, texts, strict=True)], [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back]
+
+        return run
 
-    return common.texts(df).mapInPandas(run, "doc_id long, n_pieces long, ids_crc32 long, same boolean, decoded_sha256 string")
+    return common.per_text(common.texts(df), {"n_pieces": "long", "ids_crc32": "long", "same": "boolean", "decoded_sha256": "string"}, make, 1_000_000)
 
 
 def with_pieces(df: DataFrame, path: str) -> DataFrame:
-    """df with columns piece_ids (array<int>) and decoded (the text they give back)."""
-    out = df.withColumn("piece_ids", encoded(path)(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return out.withColumn("decoded", decoded(path)("piece_ids"))
+    """df with columns piece_ids (array<int>) and decoded (the text they give back). Null and empty texts have no pieces and give an empty text.
+
+    Both come from one pass over the texts, some at a time; other columns never leave the JVM.
+    """
+
+    @F.arrow_udf("struct<piece_ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            texts = b.to_pylist()
+            for g in common.sliced(texts, 1_000_000):
+                ids = pieces(path).encode(texts[g])
+                yield pa.StructArray.from_arrays([_lists(ids), pa.array([pieces(path).decode(x.tolist()) for x in ids], pa.string())], ["piece_ids", "decoded"])
+
+    out = df.drop("piece_ids", "decoded").withColumn("_both", both(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return out.select(*[c for c in df.columns if c not in ("piece_ids", "decoded")], "_both.*")
