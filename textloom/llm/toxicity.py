@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +27,10 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Phrases in which an otherwise abusive word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "sore loser", "idiot proof")
 
-#: Learning bounds: rows of the sample, entries of the lexicon, candidates counted among clean rows.
-SAMPLE_ROWS, LEXICON_SIZE, CANDIDATES = 20_000, 2_000, 20_000
-PREFIXES, LEAST_ROWS, LEAST_SHARE, LEAST_PRECISION = (4, 5, 6, 7), 8, 0.02, 0.9
+#: Rows of the sample that is learned from. Only this bounds the learning.
+SAMPLE_ROWS = 20_000
+#: Lengths of word beginnings; the share of entries that may stand in the lexicon by chance; the share of toxic rows among those with an entry.
+PREFIXES, FALSE_SHARE, LEAST_PRECISION = (4, 5, 6, 7), 0.05, 0.9
 
 _FOLD = str.maketrans(LOOKALIKES)
 _UNLEET = str.maketrans(SUBSTITUTES)
@@ -106,15 +108,43 @@ def strength(total: float, n_words: int) -> float:
     return total / (1.0 + math.log1p(n_words / 200.0))
 
 
+def weight(n: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """Log of how much likelier a feature is in toxic rows, from counts with half a row added to each."""
+    return round(math.log((n + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1)), 6)
+
+
+def chance(n: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """How likely a feature of n toxic and `clean` clean rows is so unevenly spread by chance: likelihood ratio test. 1 if it isn't commoner in toxic rows."""
+    if n * n_clean <= clean * n_toxic:
+        return 1.0
+    total, found = n_toxic + n_clean, n + clean
+    cells = ((n, found, n_toxic), (clean, found, n_clean), (n_toxic - n, total - found, n_toxic), (n_clean - clean, total - found, n_clean))
+    ratio = 2 * sum(x * math.log(x * total / (row * column)) for x, row, column in cells if x)
+    return math.erfc(math.sqrt(max(0.0, ratio) / 2))
+
+
+def accepted(chances: list[tuple[float, int]], tests: int | None = None) -> float:
+    """The greatest chance at which FALSE_SHARE of the accepted at most are expected to be accidents (Benjamini and Hochberg), of (chance, how many) out of `tests`."""
+    limit, k = -1.0, 0
+    tests = sum(many for _, many in chances) if tests is None else tests
+    for p, many in sorted(chances):
+        k += many
+        if p * tests <= FALSE_SHARE * k:
+            limit = p
+    return limit
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """The lexicon and curve from labelled rows (doc_id, toxic), a sample of at most sample_rows rows by hash of doc_id.
 
-    docs: (doc_id, text). Equal texts count once. Without toxic or clean rows the model matches nothing and says 0.
+    docs: (doc_id, text). Equal texts count once. A feature enters if it is commoner in toxic rows than chance allows (accepted()) and
+    nearly all rows that have it are toxic. Without toxic or clean rows the model matches nothing and says 0.
     """
     # The sample is bounded, so it may be broadcast, and so may what is counted in it.
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.join(F.broadcast(sample), "doc_id").groupBy(F.xxhash64("text").alias("same"), F.length("text")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = common.stored(rows.select("text", "toxic"), common.shared_folder(docs.sparkSession), "labelled")
+    folder = common.shared_folder(docs.sparkSession)
+    rows = common.stored(rows.select("text", "toxic"), folder, "labelled")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -131,15 +161,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
         return run
 
-    def counted(which, only=None, least=1):
-        return rows.filter(F.col("toxic") == which).select("text").mapInPandas(count(only), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-
-    least = max(LEAST_ROWS, LEAST_SHARE * n_toxic)
-    toxic = {r["feature"]: r["n"] for r in counted(1, None, least).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
-    clean = {r["feature"]: r["n"] for r in counted(0, frozenset(toxic)).collect()}
-    weigh = lambda f: math.log((toxic[f] + 0.5) / (n_toxic + 1)) - math.log((clean.get(f, 0) + 0.5) / (n_clean + 1))
-    ranked = sorted(((round(weigh(f), 6), f) for f, n in toxic.items() if n >= LEAST_PRECISION * (n + clean.get(f, 0))), key=lambda x: (-x[0], x[1]))
-    lexicon = tuple((f, w) for w, f in ranked[:LEXICON_SIZE] if w > 0)
+    def counted(which, only=None):
+        return rows.filter(F.col("toxic") == which).select("text").mapInPandas(count(only), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+    toxic_counts = common.stored(counted(1), folder, "toxic-features")
+    by_rows = {r["n"]: r["count"] for r in toxic_counts.groupBy("n").count().collect()}
+    # A feature of so many toxic rows has this chance at best, with no clean row: fewer rows can't pass, whatever clean rows say.
+    chances = [(chance(n, 0, n_toxic, n_clean), many) for n, many in by_rows.items()]
+    limit, tests = accepted(chances), sum(by_rows.values())
+    toxic = {r["feature"]: r["n"] for r in toxic_counts.filter(F.col("n").isin([n for n in by_rows if chance(n, 0, n_toxic, n_clean) <= limit])).collect()}
+    clean = {r["feature"]: r["n"] for r in counted(0, frozenset(toxic)).collect()} if toxic else {}
+    p = {f: chance(n, clean.get(f, 0), n_toxic, n_clean) for f, n in toxic.items()}
+    limit = accepted([(x, 1) for x in p.values()], tests)
+    lexicon = tuple(sorted((f, weight(n, clean.get(f, 0), n_toxic, n_clean)) for f, n in toxic.items() if p[f] <= limit and n >= LEAST_PRECISION * (n + clean.get(f, 0))))
     draft = Model(lexicon, 1.0, 0.0)
 
     def place(batches):
@@ -174,13 +208,16 @@ def toxicity(df: DataFrame, model: Model) -> DataFrame:
     The whole text is read; no shuffle.
     """
 
-    def run(batches):
+    def make():
         match = Matcher(model)
-        for b in batches:
-            found = [match(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": [match.score(w, n) for w, _, n in found], "n_hits": [h for _, h, _ in found], "n_words": [n for _, _, n in found]})
 
-    out = common.texts(df).mapInPandas(run, "doc_id long, score double, n_hits long, n_words long")
+        def score(texts):
+            found = [match(t) for t in texts]
+            return [match.score(w, n) for w, _, n in found], [h for _, h, _ in found], [n for _, _, n in found]
+
+        return score
+
+    out = common.per_text(common.texts(df), {"score": "double", "n_hits": "long", "n_words": "long"}, make)
     return out.select("doc_id", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_hits", "n_words")
 
 
@@ -197,10 +234,10 @@ def without_toxic(df: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of df, all columns, whose text isn't predicted to be toxic. The verdict is on the text, row by row."""
     model = learned(df, labels)
 
-    @F.pandas_udf("boolean")
-    def bad(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def bad(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         match = Matcher(model)
         for texts in batches:
-            yield pd.Series([match.score(w, n) >= 0.5 for w, _, n in map(match, texts)], dtype=bool)
+            yield pa.array([match.score(w, n) >= 0.5 for w, _, n in map(match, texts.to_pylist())], pa.bool_())
 
     return df.filter(~bad(F.coalesce(F.col("text").cast("string"), F.lit(""))))
