@@ -13,6 +13,8 @@ import re
 
 #: The published pattern of the byte-level pre-tokenizer.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What remembered chunks may take, in bytes, with what an entry costs besides; longer chunks than KEPT characters aren't remembered.
+CACHE_BYTES, KEPT, _ENTRY = 96_000_000, 1000, 200
 _BETWEEN_SPACES = re.compile(r" (?<=\s )(?:\s|\Z)")
 
 
@@ -39,7 +41,7 @@ def byte_letters() -> list[str]:
 class MergeCounter:
     """Counts a text's tokens by merging: heap of adjacent pairs by rank, symbols in a linked list; no ids come out."""
 
-    def __init__(self, path: str, cache_size: int = 1_500_000):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -54,7 +56,7 @@ class MergeCounter:
         specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.specials = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.cache: dict[str, int] = {}
-        self.cache_size = cache_size
+        self.cache_bytes, self.held = cache_bytes, 0
 
     def piece(self, word: str) -> int:
         """Initial symbols minus merges of one piece, in O(n log n)."""
@@ -94,25 +96,31 @@ class MergeCounter:
         cut = chunks(text)
         if cut is None:
             return self.plain(text)
-        if len(self.cache) > self.cache_size:
+        if self.held > self.cache_bytes:
             self.cache.clear()
+            self.held = 0
         try:
             return sum(map(self.cache.__getitem__, cut))
         except KeyError:
+            rare = 0  # tokens of chunks that aren't remembered
+            for c in [c for c in cut if len(c) > KEPT]:
+                rare += self.plain(c)
+            cut = [c for c in cut if len(c) <= KEPT]
             for c in set(cut).difference(self.cache):
                 self.cache[c] = self.plain(c)
-            return sum(map(self.cache.__getitem__, cut))
+                self.held += len(c) + _ENTRY
+            return rare + sum(map(self.cache.__getitem__, cut))
 
 
 class CachedEncoder:
     """Ids by the tokenizers library, as packed bytes; the library encodes each distinct chunk once and then a cache answers."""
 
-    def __init__(self, path: str, dtype: str, cache_size: int = 1_500_000):
+    def __init__(self, path: str, dtype: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = tuple(special_tokens(path))
-        self.dtype, self.cache_size = dtype, cache_size
+        self.dtype, self.cache_bytes, self.held = dtype, cache_bytes, 0
         self.cache: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
@@ -135,10 +143,19 @@ class CachedEncoder:
         import numpy as np
 
         cut = [None if any(s in t for s in self.specials) else chunks(t) for t in batch]
-        if len(self.cache) > self.cache_size:
+        if self.held > self.cache_bytes:
             self.cache.clear()
+            self.held = 0
         new = list(set().union(*filter(None, cut)).difference(self.cache))
+        rare: dict[str, bytes] = {}
         if new:
             encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(new, encoded, strict=True))
-        return [self.packed(t) if parts is None else b"".join(map(self.cache.__getitem__, parts)) for t, parts in zip(batch, cut, strict=True)]
+            for w, e in zip(new, encoded, strict=True):
+                packed = np.array(e.ids, self.dtype).tobytes()
+                if len(w) > KEPT:
+                    rare[w] = packed
+                else:
+                    self.cache[w] = packed
+                    self.held += len(w) + len(packed) + _ENTRY
+        get = self.cache.__getitem__ if not rare else lambda w: rare[w] if w in rare else self.cache[w]
+        return [self.packed(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(batch, cut, strict=True)]

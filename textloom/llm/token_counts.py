@@ -24,13 +24,9 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     rows stay. Other columns of df are ignored. No shuffle: each row on its own, each worker with a bounded cache.
     """
 
-    def count(batches):
-        import pandas as pd
-
+    def make():
         one = _counter(tokenizer)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": [one.count(t) for t in b["text"]]})
+        return lambda texts: [[one.count(t) for t in texts], [len(t.encode("utf-8", "surrogatepass")) for t in texts]]
 
-    rows = common.texts(df).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    out = rows.mapInPandas(count, "doc_id long, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = common.per_text(common.texts(df), {"n_tokens": "long", "n_bytes": "long"}, make)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

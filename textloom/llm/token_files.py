@@ -49,7 +49,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, v
 
     def write(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         task = TaskContext.get()
         store, root = _filesystem(folder)
@@ -59,22 +59,24 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, v
         ids, offsets, at = [], [0], 0
         with store.open_output_stream(own + ".bin") as out:
             for b in batches:
-                for i, packed in zip(b["doc_id"], encode.encode_all(list(b["text"])), strict=True):
-                    out.write(packed)
-                    out.write(end)
-                    at += len(packed) // len(end) + 1
-                    ids.append(NULL_ID if pd.isna(i) else int(i))
-                    offsets.append(at)
+                texts, own_ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
+                for g in common.sliced(texts):
+                    for i, packed in zip(own_ids[g], encode.encode_all(texts[g]), strict=True):
+                        out.write(packed)
+                        out.write(end)
+                        at += len(packed) // len(end) + 1
+                        ids.append(NULL_ID if i is None else i)
+                        offsets.append(at)
         for kind, values in (("idx", offsets), ("ids", ids)):
             with store.open_output_stream(f"{own}.{kind}") as out:
                 out.write(np.array(values, "<i8").tobytes())
         for kind in ("bin", "idx", "ids"):
             store.move(f"{own}.{kind}", f"{stem}.{kind}")
         if ids:
-            yield pd.DataFrame({"shard": [task.partitionId()], "stem": [f"{folder}/{task.partitionId():05d}"], "n_docs": [len(ids)], "n_tokens": [at], "dtype": [dtype]})
+            yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "stem": [f"{folder}/{task.partitionId():05d}"], "n_docs": [len(ids)], "n_tokens": [at], "dtype": [dtype]})
 
     sorted_rows = common.texts(df).repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    manifest = common.stored(sorted_rows.mapInPandas(write, MANIFEST), folder, "manifest")
+    manifest = common.stored(sorted_rows.mapInArrow(write, MANIFEST), folder, "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard, not per document
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
