@@ -38,6 +38,16 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark hands to a worker at once, where the session leaves it at Spark's own 10,000: whole documents are large rows.
+ROWS_AT_ONCE = 1_000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(ROWS_AT_ONCE))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -99,4 +109,5 @@ def per_text(docs: DataFrame, columns: dict[str, str], make: Callable, chars: in
                 found = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(function(texts[g]), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(g.start, g.stop - g.start), *found], names=["doc_id", *columns])
 
+    modest_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {k}" for n, k in columns.items()))

@@ -42,17 +42,19 @@ def frequent_tokens(docs: DataFrame, k: int, least: int = 4):
             token, n = np.unique(np.concatenate(sets), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
 
+        sets, size = [], 0
         for b in batches:
-            texts, sets, size = b.column("text").to_pylist(), [], 0
+            texts = b.column("text").to_pylist()
             for g in common.sliced(texts, SLICE):
                 sets.append(shingles.shingle_sets(texts[g], k)[0])
                 size += len(sets[-1])
                 if size > COUNTED_TOGETHER:
                     yield counted(sets)
                     sets, size = [], 0
-            if sets:
-                yield counted(sets)
+        if sets:
+            yield counted(sets)
 
+    common.modest_batches(docs.sparkSession)
     counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(KNOWN_TOKENS).toPandas()
     return _levels(rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
@@ -217,9 +219,13 @@ def _within_blocks(percent: int):
 
 
 def _shared_tokens(classes: DataFrame, folder: str) -> DataFrame:
-    """(cid, n, t, size) of each class's prefix tokens that other classes' prefixes have too; size counts the classes."""
-    both = classes.select("cid", "n", F.explode(F.concat("few", "many")).alias("t"))
-    return common.stored(both.join(both.groupBy("t").agg(F.count("*").alias("size")).filter("size > 1"), "t"), folder, "tokens-0")
+    """(cid, n, t, size) of each class's prefix tokens that other classes' prefixes have too; size counts the classes.
+
+    Counting and joining read the same shuffle: both sides take all columns, so that Spark writes it once.
+    """
+    each = classes.select("cid", "n", F.explode(F.concat("few", "many")).alias("t")).repartition(common.shuffle_partitions(classes.sparkSession), "t")
+    shared = each.groupBy("t").agg(F.count("cid").alias("size"), F.max("n").alias("most")).filter("size > 1")
+    return common.stored(each.join(shared.hint("merge"), "t").select("cid", "n", "t", "size"), folder, "tokens-0")
 
 
 def _lists(tokens: DataFrame) -> DataFrame:
@@ -273,12 +279,11 @@ def jaccard_join(df: DataFrame, k: int, percent: int, folder: str | None = None)
     folder = folder or common.shared_folder(spark)
     docs = common.texts(df)
     known = frequent_tokens(docs, k)
-    prints = common.stored(_prints(docs, k, percent, known), folder, "prints")
-    firsts = [F.first(v).alias(v) for v in ("n", "slack", "few", "many", "bits", *(f"p{o + 1}" for o in range(1, ORDERS)))]
-    one = prints.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"))
-    # Copies are counted without their arrays; those come from the class's first row.
-    rows = prints.join(one.select("c", F.col("cid").alias("doc_id"), "copies"), ["c", "doc_id"])
-    classes = common.stored(rows.groupBy("c", F.col("doc_id").alias("cid")).agg(F.first("copies").alias("copies"), *firsts), folder, "classes")
+    prints = common.stored(_prints(docs, k, percent, known).withColumn("r", F.monotonically_increasing_id()), folder, "prints")
+    # A class is its first row: classes are the rows of prints that this small table names, and no arrays are shuffled while it can be broadcast.
+    one = prints.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "r")).alias("first"), F.count("*").alias("copies"))
+    one = common.stored(one.select("c", F.col("first.doc_id").alias("cid"), F.col("first.r").alias("r"), "copies"), folder, "one")
+    classes = prints.drop("doc_id", "c").join(common.small(one.select("r", "cid", "copies")), "r")
     tokens = _shared_tokens(classes, folder)
 
     # Long lists show tokens that are frequent after all: they go to the end of the first order. A set's slack makes up for some; sets that
@@ -317,7 +322,7 @@ def jaccard_join(df: DataFrame, k: int, percent: int, folder: str | None = None)
     links = links.unionByName(blocks.groupBy("pivot", "x", "y").applyInPandas(_within_blocks(percent), "a long, b long"))
 
     found = components(links, folder)
-    named = prints.select("doc_id", "c", F.col("n").alias("n_shingles")).join(classes.select("c", "cid"), "c", "left")
+    named = prints.select("doc_id", "c", F.col("n").alias("n_shingles")).join(one.select("c", "cid"), "c", "left")
     named = named.join(found.withColumnRenamed("id", "cid"), "cid", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "cid", "doc_id")).alias("component_id"))
 

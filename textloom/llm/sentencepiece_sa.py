@@ -352,6 +352,7 @@ def with_pieces(df: DataFrame, path: str) -> DataFrame:
     Both come from one pass over the texts, some at a time; other columns never leave the JVM.
     """
 
+    common.modest_batches(df.sparkSession)
     @F.arrow_udf("struct<piece_ids:array<int>,decoded:string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:

@@ -75,6 +75,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, v
         if ids:
             yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "stem": [f"{folder}/{task.partitionId():05d}"], "n_docs": [len(ids)], "n_tokens": [at], "dtype": [dtype]})
 
+    common.modest_batches(spark)
     sorted_rows = common.texts(df).repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
     manifest = common.stored(sorted_rows.mapInArrow(write, MANIFEST), folder, "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard, not per document

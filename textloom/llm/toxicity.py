@@ -234,6 +234,7 @@ def without_toxic(df: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of df, all columns, whose text isn't predicted to be toxic. The verdict is on the text, row by row."""
     model = learned(df, labels)
 
+    common.modest_batches(df.sparkSession)
     @F.arrow_udf("boolean")
     def bad(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         match = Matcher(model)
