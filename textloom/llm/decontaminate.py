@@ -2,25 +2,31 @@
 
 Texts are compared as lower-case letters and digits with single spaces between. A document holds an item if a
 window of the item (WINDOW characters, or all of a shorter one) aligns with a place in the document within
-`percent` % edits. A window of w characters with e edits keeps at least w + 1 - q (e + 1) of its q-grams, and the
+PERCENT % edits. A window of w characters with e edits keeps at least w + 1 - q (e + 1) of its q-grams, and the
 diagonals of those differ by e at most. So shared q-grams are counted in overlapping bands of diagonals; regions
 that reach the bound are kept and aligned, in a band of the same width.
+
+Items so short that no q-gram of Q need be left are counted by shorter q-grams (SHORT_Q). Items of fewer than SHORT_Q
+characters bear no edit, so no filter is needed: their words are looked up as they are, by Aho-Corasick, and must be
+whole words of the text.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-Q, WINDOW, PERCENT = 10, 120, 8
-#: Characters of benchmark that are broadcast at once; a larger benchmark takes several passes.
-BLOCK_CHARS = 4_000_000
+Q, SHORT_Q, WINDOW, PERCENT = 10, 5, 120, 8
+#: Characters of benchmark that are broadcast at once; a larger benchmark takes several passes, each over a table that the one before has written.
+BLOCK_CHARS = 2_000_000
 FOUND = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 
 
@@ -71,8 +77,9 @@ def grams(code, q: int):
 
 @dataclass
 class Index:
-    """The q-grams of a block of the benchmark."""
+    """The q-grams of some items."""
 
+    q: int
     ids: list
     codes: list
     gram: object  # sorted distinct hashes
@@ -85,12 +92,42 @@ class Index:
     least: object
 
 
-def index(items: list[tuple[int, str]]) -> Index:
-    import numpy as np
+def budget(n: int) -> tuple[int, int]:
+    """Length and edits of the window of an item of n characters."""
+    w = min(n, WINDOW)
+    return w, w * PERCENT // 100
+
+
+@dataclass
+class Block:
+    """A block of the benchmark: items by length of their q-grams, and the shortest ones as an automaton."""
+
+    parts: list
+    words: object
+
+
+def index(items: list[tuple[int, str]]) -> Block:
+    import ahocorasick
 
     kept = [(i, c[:-1] if c[-1] == 32 else c) for i, t in items if len(c := plain(t or "")[0])]
+    chosen: dict[int, list] = {Q: [], SHORT_Q: []}
+    words = ahocorasick.Automaton()
+    for i, c in kept:
+        w, e = budget(len(c))
+        if len(c) < SHORT_Q:
+            spaced = " " + c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") + " "
+            words.add_word(spaced, (len(c), (*words.get(spaced, (0, ()))[1], i)))
+        else:
+            chosen[Q if w + 1 > Q * (e + 1) else SHORT_Q].append((i, c))
+    words.make_automaton()
+    return Block([_grams_of(found, q) for q, found in chosen.items() if found], words if len(words) else None)
+
+
+def _grams_of(kept: list, q: int) -> Index:
+    import numpy as np
+
     codes = [c for _, c in kept]
-    all_grams = [grams(c, Q) for c in codes]
+    all_grams = [grams(c, q) for c in codes]
     flat = np.concatenate([*all_grams, np.empty(0, np.uint64)])
     item = np.repeat(np.arange(len(codes)), [len(g) for g in all_grams])
     place = np.concatenate([*(np.arange(len(g)) for g in all_grams), np.empty(0, np.int64)]).astype(np.int64)
@@ -98,24 +135,22 @@ def index(items: list[tuple[int, str]]) -> Index:
     gram, first = np.unique(flat[by], return_index=True)
     small = np.zeros(1 << 22, bool)
     small[(gram >> np.uint64(42)).astype(np.int64)] = True
-    window = np.array([min(len(c), WINDOW) for c in codes], np.int64)
-    # Short items bear fewer edits: at least three q-grams must be left for the filter to count.
-    edits = np.minimum(window * PERCENT // 100, np.maximum(0, (window + 1 - 3) // Q - 1))
-    return Index([i for i, _ in kept], codes, gram, np.append(first, len(flat)), item[by], place[by], small, window, edits, np.maximum(1, window + 1 - Q * (edits + 1)))
+    window, edits = np.array([budget(len(c)) for c in codes], np.int64).T
+    return Index(q, [i for i, _ in kept], codes, gram, np.append(first, len(flat)), item[by], place[by], small, window, edits, window + 1 - q * (edits + 1))
 
 
 def regions(code, x: Index):
     """(item, band's first diagonal, its q-grams' places in the document, and in the item) for each band that reaches the bound."""
     import numpy as np
 
-    g = grams(code, Q)
+    g = grams(code, x.q)
     at = np.flatnonzero(x.small[(g >> np.uint64(42)).astype(np.int64)])
     if not len(at):
         return
     k = np.minimum(np.searchsorted(x.gram, g[at]), len(x.gram) - 1)
     same = x.gram[k] == g[at]
     at, k = at[same], k[same]
-    least, span = int(x.least.min()), int((x.window + x.edits).max()) - Q
+    least, span = int(x.least.min()), int((x.window + x.edits).max()) - x.q
     if len(at) < least:
         return
     dense = np.zeros(len(at), bool)  # places with enough shared q-grams near them, of whatever item
@@ -146,7 +181,7 @@ def regions(code, x: Index):
         if len(new := np.flatnonzero(np.r_[True, d[1:] != d[:-1]])) < need:
             continue
         each = d[new]
-        if (each[need - 1 :] - each[: len(each) - need + 1] <= x.window[i] + x.edits[i] - Q).any():
+        if (each[need - 1 :] - each[: len(each) - need + 1] <= x.window[i] + x.edits[i] - x.q).any():
             yield i, int(band[lo] * (x.edits[i] + 1)), d, p
 
 
@@ -196,67 +231,88 @@ def verbatim(d, p, n: int):
     return int(d[full[0]]) if len(full) else None
 
 
-def matches(text: str, x: Index) -> list[tuple[int, int, int, int]]:
+def matches(text: str, block: Block) -> list[tuple[int, int, int, int]]:
     """(item_id, start, end, edits): for each item that the text holds, its best place, in code points of the text."""
+    code, where = plain(text)
+    best: dict[int, tuple[int, int, int]] = {}
+    for x in block.parts:
+        for i, found in _in(code, x).items():
+            best[x.ids[i]] = min(found, best.get(x.ids[i], found))
+    if block.words is not None:
+        line = " " + code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").rstrip(" ") + " "
+        for end, (size, ids) in block.words.iter(line):
+            for i in ids:
+                best.setdefault(i, (0, end - 1 - size, end - 1))
+    out = []
+    for i, (cost, a, z) in sorted(best.items()):
+        a, z = max(a, 0), min(max(z, a + 1), len(code))
+        out.append((i, int(where[a]), int(where[z - 1]) + 1, cost))
+    return out
+
+
+def _in(code, x: Index) -> dict[int, tuple[int, int, int]]:
+    """Edits, start and end of the best place of each item, by its number in x."""
     import numpy as np
 
-    if not len(x.gram):
-        return []
-    code, where = plain(text)
     best: dict[int, tuple[int, int, int]] = {}
     for i, low, d, p in regions(code, x):
         if i in best and best[i][0] == 0:
             continue
         w, e, item_code = int(x.window[i]), int(x.edits[i]), x.codes[i]
-        if (same := verbatim(d, p, w - Q + 1)) is not None:
+        if (same := verbatim(d, p, w - x.q + 1)) is not None:
             best[i] = 0, same, same + w
             continue
         held = np.zeros(len(item_code) + 1, np.int64)  # windows of the item with too few of its q-grams can't match
         held[np.unique(p) + 1] = 1
         held = np.cumsum(held)
         starts = np.arange(len(item_code) - w + 1)
-        starts = starts[held[np.minimum(starts + w - Q + 1, len(item_code))] - held[starts] >= x.least[i]]
+        starts = starts[held[np.minimum(starts + w - x.q + 1, len(item_code))] - held[starts] >= x.least[i]]
         for part in range(0, len(starts), 256):
             cost, a, z = aligned(code, item_code, low, e, w, starts[part : part + 256])
             if cost <= e and (i not in best or cost < best[i][0]):
                 best[i] = cost, a, z
-    out = []
-    for i, (cost, a, z) in sorted(best.items()):
-        a, z = max(a, 0), min(max(z, a + 1), len(code))
-        out.append((x.ids[i], int(where[a]), int(where[z - 1]) + 1, cost))
-    return out
+    return best
 
 
-def find(df: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find(df: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """df with a column `found`: for each benchmark item (item_id, text) that the row's text holds, where and with how many edits.
 
-    Null and empty texts hold nothing, and null, empty or letterless items are in nothing. The benchmark is collected in blocks of bounded
-    size, one pass over df each; df is not shuffled, and rows keep their columns (but `found` itself is replaced).
+    Null and empty texts hold nothing, and null, empty or letterless items are in nothing; an item of fewer than SHORT_Q letters and digits is held
+    where it stands as whole words. The benchmark is collected in blocks of bounded size, one pass over df each (with several, df is written between
+    them, so that a worker holds one block's index at a time); df is not shuffled, and rows keep their columns (but `found` itself is replaced).
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS) or 1
+    blocks = -(-chars // block_chars) or 1
+    folder = common.shared_folder(df.sparkSession) if blocks > 1 else ""
+    common.modest_batches(df.sparkSession)
     out = df.withColumn("found", F.array().cast(FOUND))
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().orderBy("item_id", "text").collect()
         shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in rows]))
+        held = _held(shared)
+        out = out.withColumn("found", F.concat("found", held(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+        if blocks > 1:
+            out = common.stored(out, folder, f"block-{b}")
+    return out
 
-        @F.pandas_udf(FOUND)
-        def held(texts, shared=shared):
-            import pandas as pd
 
+def _held(shared):
+    @F.arrow_udf(FOUND)
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
+        for texts in batches:
             x = _index(shared)
-            return pd.Series([[{"item_id": i, "start": s, "end": e, "edits": n} for i, s, e, n in matches(t, x)] for t in texts])
+            yield pa.array([[{"item_id": i, "start": s, "end": e, "edits": n} for i, s, e, n in matches(t, x)] for t in texts.to_pylist()], kind)
 
-        out = out.withColumn("found", F.concat("found", held(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    return out
+    return held
 
 
-_built: dict[str, Index] = {}
+_built: dict[str, Block] = {}
 
 
-def _index(shared) -> Index:
-    """The index of a broadcast block, built once per worker."""
+def _index(shared) -> Block:
+    """The index of a broadcast block, built once per worker, which holds one at a time."""
     key, items = shared.value
     if key not in _built:
         _built.clear()
