@@ -24,7 +24,8 @@ def op3_chat_tree(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return read_back(*chat_tree(rows, common.tokenizer_path("byte_bpe_50k.json"))).drop("n_ids")
+    tokenizer = common.tokenizer_path("byte_bpe_50k.json")
+    return read_back(*chat_tree(rows, tokenizer), tokenizer).drop("n_ids")
 
 
 #: The same from the conversations themselves, with the lengths of the template's marks.
