@@ -1,8 +1,9 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-Of a text's code points that are no blanks, each K in a row have a hash, at every position; from every window of W hashes the least is
-kept, the rightmost of equal ones, with its position. Two texts that share K + W - 1 such code points in a row, wherever they
-stand, share a kept hash.
+Of a text's code points that are no blanks, each K in a row have a rolling hash, at every position: the cyclic polynomial of the code points' own
+hashes (each turned left by its distance from the gram's end, added without carry), built up for the whole array at once from grams of half
+the length. From every window of W hashes the least is kept, the rightmost of equal ones, with its position. Two texts that share K + W - 1
+such code points in a row, wherever they stand, share a kept hash.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from pyspark.sql.window import Window
 
 from . import common
 
-K, W = 12, 4
-#: Low bits of a kept value hold its position, counted down so that the least value is the rightmost of equal hashes.
-POSITION_BITS = 24
+K, W = 16, 8
+#: Windows compare the upper 33 bits of hashes; the 31 bits below hold the position, counted down so that the least value is the rightmost of equal hashes.
+POSITION_BITS = 31
 _MASK = (1 << POSITION_BITS) - 1
+KEPT = "array<struct<hash:bigint,position:int>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -24,47 +26,128 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _turned(x: Column, by: Column) -> Column:
+    """64 bits turned left."""
+    return F.call_function("shiftleft", x, by).bitwiseOR(F.call_function("shiftrightunsigned", x, -by))  # shifts count modulo 64
+
+
+def _together(values: Column, n: int, join) -> Column:
+    """join() over every n neighbours of an array, in about log n steps: a run of 2 m is two of m. Runs that would end beyond the array give anything."""
+    have: dict[int, Column] = {1: values}
+
+    def grown(size: int, bits: str) -> Column:
+        if not bits:
+            return have[size]
+        v = have[size]
+        double = F.zip_with(v, F.slice(v, size + 1, F.greatest(F.size(v) - size, F.lit(0))), join)
+
+        def further(d: Column) -> Column:
+            have[2 * size] = d
+            if bits[0] == "0":
+                return grown(2 * size, bits[1:])
+            return _let(F.zip_with(d, F.slice(values, 2 * size + 1, F.greatest(F.size(values) - 2 * size, F.lit(0))), join), lambda o: (have.update({2 * size + 1: o}), grown(2 * size + 1, bits[1:]))[1])
+
+        return _let(double, further)
+
+    return grown(1, f"{n:b}"[1:])
+
+
+def rolled(solid: Column, k: int) -> Column:
+    """The sums of every k neighbours of at least k code points. A code point's hash is turned right by its own place before they are added (without
+    carry); turned left by the gram's place, a sum is the gram's cyclic polynomial."""
+    placed = F.transform(F.split(solid, ""), lambda c, i: _turned(F.xxhash64(c), -i))
+    return F.slice(_let(placed, lambda v: _together(v, k, lambda x, y: x.bitwiseXOR(y))), 1, F.char_length(solid) - (k - 1))
+
+
+def _least_of(values: Column, w: int) -> Column:
+    """The least of every w neighbours; of all, if there are fewer."""
+    if w == 1:
+        return values
+    return F.slice(_together(values, w, lambda a, b: F.least(a, b)), 1, F.greatest(F.size(values) - (w - 1), F.least(F.size(values), F.lit(1))))
+
+
+def _packed(hash_: Column, position: Column) -> Column:
+    return hash_.bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.lit(_MASK).cast("long") - position)
+
+
+def solid(text: Column) -> Column:
+    """A text without its blanks."""
+    return F.regexp_replace(text, r"\s+", "")
+
+
 def winnowed(text: Column, k: int = K, w: int = W) -> Column:
-    """array<long> of kept values: hash in the upper 40 bits, position (in code points that are no blanks, from the end of the mask) in the lower 24."""
+    """array<struct<hash, position>> of what is kept, in order of position (in code points that are no blanks).
+
+    A text with fewer than k such code points has one hash, of all of them; a text with none has none.
+    """
+    return _let(solid(text), lambda s: _kept(s, k, w))
+
+
+def _kept(solid_: Column, k: int, w: int) -> Column:
+    n = F.char_length(solid_)
+    sums = F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(solid_))).otherwise(rolled(solid_, k))
+
+    def chosen(sums: Column) -> Column:
+        packed = F.transform(sums, lambda x, i: _packed(_turned(x, i), i))
+        at = lambda v: (F.lit(_MASK) - v.bitwiseAND(F.lit(_MASK))).cast("int")
+        return F.transform(F.array_distinct(_let(packed, lambda v: _least_of(v, w))), lambda v: F.struct(_turned(F.element_at(sums, at(v) + 1), at(v)).alias("hash"), at(v).alias("position")))
+
+    return _let(sums, chosen)
+
+
+def spliced(kept: Column, front: Column, back: Column, k: int = K, w: int = W) -> Column:
+    """winnowed() of a text whose front is that of a text with these kept hashes, without hashing the front again.
+
+    front and back have no blanks. Windows within the front keep what they kept; the others are looked at anew. A window that begins before those
+    may still keep a place behind their beginning: its least hash is the least of those kept within it.
+    """
+    begin = F.greatest(F.char_length(front) - (k + w - 2), F.lit(0))
+
+    def put_together(p: Column) -> Column:
+        rest = F.transform(_let(F.concat(F.substring(front, p + 1, F.char_length(front)), back), lambda s: _kept(s, k, w)), lambda v: F.struct(v["hash"].alias("hash"), (v["position"] + p).alias("position")))
+        near = F.filter(kept, lambda v: (v["position"] > p - w) & (v["position"] < p + w - 1))
+        pack = lambda v: _packed(v["hash"], v["position"])
+
+        def crossing(near: Column, rest: Column) -> Column:
+            least = F.transform(F.sequence(F.greatest(p - (w - 1), F.lit(0)), F.greatest(p - 1, F.lit(0))), lambda s: F.array_min(F.transform(F.filter(near, lambda v: (v["position"] >= s) & (v["position"] < s + w)), pack)))
+            return F.filter(near, lambda v: (v["position"] >= p) & F.array_contains(least, pack(v)) & ~F.exists(F.slice(rest, 1, 2 * w), lambda r: r["position"] == v["position"]))
+
+        def whole(rest: Column) -> Column:
+            across = _let(near, lambda n: crossing(n, rest))
+            both = lambda a: F.concat(F.filter(kept, lambda v: v["position"] < p), F.array_sort(F.concat(a, F.slice(rest, 1, 2 * w)), _by_position), F.slice(rest, 2 * w + 1, F.size(rest)))
+            return F.when(p == 0, rest).otherwise(_let(across, both))
 
-    def grams(solid):
-        n = F.char_length(solid)
-        whole = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array(solid))
-        # Looks ahead from each code point, so that the grams overlap.
-        return F.when(n < k, whole).otherwise(F.regexp_extract_all(solid, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1)))
+        return _let(rest, whole)
 
-    def placed(grams_):
-        return F.transform(grams_, lambda g, i: F.xxhash64(g).bitwiseAND(F.lit(~_MASK)).bitwiseOR((F.lit(_MASK) - F.pmod(i, F.lit(_MASK + 1))).cast("long")))
+    return _let(begin, put_together)
 
-    def least(values):
-        n = F.size(values)
-        return F.when(n == 0, values).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(values, i, w)))))
 
-    return _let(_let(F.regexp_replace(text, r"\s+", ""), lambda s: placed(grams(s))), least)
+def _by_position(a: Column, b: Column) -> Column:
+    return a["position"] - b["position"]
 
 
 def hashes(kept: Column) -> Column:
-    return F.array_distinct(F.transform(kept, lambda v: F.shiftright(v, POSITION_BITS)))
+    return F.array_distinct(F.transform(kept, lambda v: v["hash"]))
 
 
 def positions(kept: Column) -> Column:
-    return F.transform(kept, lambda v: (F.lit(_MASK) - v.bitwiseAND(F.lit(_MASK))).cast("int"))
+    return F.transform(kept, lambda v: v["position"])
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of distinct hashes; 1 if both are empty."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+    return _let(F.size(F.array_intersect(a, b)), lambda both: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both)))
 
 
-def digest(hashes_: Column) -> Column:
-    return F.md5(F.array_join(F.transform(hashes_, lambda h: h.cast("string")), ","))
+def digest(kept: Column) -> Column:
+    """A text's fingerprint as one word of 128 bits: of the kept hashes and their positions."""
+    return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), kept)), 16, "0") for seed in (1, 2)]))
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
     """doc_id, hashes, positions of each row: the general form. Null and blank texts keep nothing."""
     out = common.texts(df).withColumn("kept", winnowed(F.col("text")))
-    return out.select("doc_id", F.transform("kept", lambda v: F.shiftright(v, POSITION_BITS)).alias("hashes"), positions(F.col("kept")).alias("positions"))
+    return out.select("doc_id", F.transform("kept", lambda v: v["hash"]).alias("hashes"), positions(F.col("kept")).alias("positions"))
 
 
 def _with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
@@ -77,15 +160,16 @@ def _with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     at = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("at")).first()["at"]
     bounds = sorted(set(at or []))  # n - 1 numbers at most
     above = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b >= F.col("doc_id")))
-    placed = docs.select("doc_id", "text", F.coalesce(above, F.lit(len(bounds) + 1)).alias("bucket"), F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not("doc_id").alias("down"), F.col("text").alias("text")).alias("place"))
-    heads = placed.groupBy("bucket").agg(F.min("place").alias("place"))  # a row per bucket
+    placed = docs.select("doc_id", "text", F.coalesce(above, F.lit(len(bounds) + 1)).alias("bucket"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not("doc_id").alias("down"), F.col("text").alias("text"))
+    heads = placed.groupBy("bucket").agg(F.min(place).alias("place"))  # a row per bucket
     heads = common.stored(heads, common.shared_folder(spark), "heads")
     order = [r["bucket"] for r in heads.select("bucket").orderBy("bucket").collect()]
     before = {b: order[i - 1] for i, b in enumerate(order)}
     target = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("bucket")) if before else F.lit(0)
-    extra = heads.select(F.bitwise_not("place.down").alias("doc_id"), F.col("place.text").alias("text"), target.cast("int").alias("bucket"), "place", F.lit(True).alias("extra"))
+    extra = heads.select(F.bitwise_not("place.down").alias("doc_id"), F.col("place.text").alias("text"), target.cast("int").alias("bucket"), F.lit(True).alias("extra"))
     rows = placed.withColumn("extra", F.lit(False)).unionByName(extra)
-    return rows, Window.partitionBy("bucket").orderBy("extra", "place")
+    return rows, Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").isNull(), F.desc("doc_id"), "text")
 
 
 def edited_fingerprints(df: DataFrame) -> DataFrame:
@@ -94,13 +178,19 @@ def edited_fingerprints(df: DataFrame) -> DataFrame:
     The edited text: the last floor(n_chars / 2) code points give way to the first as many (or all) of the next document, in descending
     doc_id; after the last comes the first, so a lone row follows itself. Null and empty texts: 0 characters, an empty set,
     likeness 1 to another empty one and 0 to any other. Repeated ids are ordered by text. Columns: doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint (digests of the kept hashes in order), near_edited, near_next, n_kept.
+    edited_sha256, fingerprint, edited_fingerprint (digests of the kept hashes with their positions), near_edited, near_next, n_kept,
+    same_until (the last position up to which every kept hash of the text is one of the edited text's, at the same place; -1 if not even the first).
     """
     rows, window = _with_next(common.texts(df))
-    rows = rows.withColumn("next", F.lead("text").over(window)).withColumn("h", hashes(winnowed(F.col("text"))))
+    # Only texts cross the shuffle: hashes are made behind it, between two windows that share its order.
+    rows = rows.withColumn("next", F.lead("text").over(window)).withColumn("kept", winnowed(F.col("text"))).withColumn("h", hashes(F.col("kept")))
     rows = rows.withColumn("next_h", F.lead("h").over(window)).filter(~F.col("extra"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half)).alias("edited"), "h", "next_h")
-    rows = rows.withColumn("edited_h", hashes(winnowed(F.col("edited"))))
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("h")).alias("fingerprint"), digest(F.col("edited_h")).alias("edited_fingerprint"), likeness(F.col("h"), F.col("edited_h")).alias("near_edited"), likeness(F.col("h"), F.col("next_h")).alias("near_next"), F.size("h").cast("long").alias("n_kept"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.substring(F.col("text"), F.lit(1), n - half).alias("front"), F.substring(F.col("next"), F.lit(1), half).alias("back"), "kept", "h", "next_h")
+    rows = rows.withColumn("edited_kept", spliced(F.col("kept"), solid(F.col("front")), solid(F.col("back")))).withColumn("edited_h", hashes(F.col("edited_kept")))
+    alike = F.array_position(F.zip_with(F.slice("kept", 1, F.least(F.size("kept"), F.size("edited_kept"))), F.slice("edited_kept", 1, F.least(F.size("kept"), F.size("edited_kept"))), lambda a, b: a == b), False)
+    n_alike = F.when(alike > 0, alike - 1).otherwise(F.least(F.size("kept"), F.size("edited_kept"))).cast("int")
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.concat("front", "back"), 256).alias("edited_sha256"), digest(F.col("kept")).alias("fingerprint"), digest(F.col("edited_kept")).alias("edited_fingerprint"), likeness(F.col("h"), F.col("edited_h")).alias("near_edited"),
+        likeness(F.col("h"), F.col("next_h")).alias("near_next"), F.size("h").cast("long").alias("n_kept"), F.when(n_alike > 0, F.element_at("kept", n_alike)["position"]).otherwise(-1).cast("long").alias("same_until"))
