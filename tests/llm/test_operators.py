@@ -106,7 +106,7 @@ def test_chat_tree(spark):
     said = defaultdict(list)
     for c, t, r, x in rows:
         said[c].append((-1 if t is None else t, r or "", x or ""))
-    got = {r["conv_id"]: r for r in read_back(nodes, members).collect()}
+    got = {r["conv_id"]: r for r in read_back(nodes, members, common.tokenizer_path("byte_bpe_50k.json")).collect()}
     for c, turns in said.items():
         turns.sort()
         loss = "".join(x for _, r, x in turns if r == "assistant")
@@ -125,7 +125,31 @@ def test_chat_tree(spark):
             assert n["position"] == sum(len(p["ids"]) for p in path[:k])
     texts = spark.createDataFrame([(nasty,), (None,), ("",)], "t string")
     assert [r[0] for r in texts.select(unescaped(escaped(F.col("t")))).collect()] == [nasty, None, ""]
-    assert read_back(*chat_tree(df.filter("false"), common.tokenizer_path("byte_bpe_50k.json"))).count() == 0
+    path = common.tokenizer_path("byte_bpe_50k.json")
+    assert read_back(*chat_tree(df.filter("false"), path), path).count() == 0
+    from tokenizers import Tokenizer
+
+    decode = Tokenizer.from_file(path).decode
+    for n in tree.values():  # the ids under the loss mask are the assistant's text, and nothing else is
+        assert decode(n["ids"], skip_special_tokens=False) == n["formatted"]
+        if n["formatted"].startswith("<s>"):
+            assert n["loss_at"] is None
+        else:
+            assert " " + decode(n["ids"][n["loss_at"] : n["loss_at"] + n["loss_ids"]], skip_special_tokens=False) + " </s>" == n["formatted"]
+
+
+def test_chat_tree_is_read_through_the_stream(spark):
+    """Nodes whose places or intervals are wrong give wrong conversations."""
+    from textloom.llm.chat_tree import chat_tree, read_back
+
+    path = common.tokenizer_path("byte_bpe_50k.json")
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t}" if t < 3 else f"turn {t} of {c}") for c in range(4) for t in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("k1", F.lit(1)).withColumn("path", F.lit("x"))
+    nodes, members = chat_tree(df, path)
+    right = {r["conv_id"]: r for r in read_back(nodes, members, path).collect()}
+    assert len({r["turns_sha256"] for r in right.values()}) == 4 and all(r["n_turns"] == 6 for r in right.values())
+    moved = nodes.withColumn("start", F.col("start") + 1).withColumn("end", F.col("end") + 1)
+    assert {r["conv_id"]: r for r in read_back(moved, members, path).collect()} != right
 
 
 def test_toxicity(spark, docs, none):
@@ -231,7 +255,7 @@ def test_decontamination(spark, docs, none):
             changed[j] = rng.choice(["", "x", "yz", changed[j] + "q"])
         x = index([(1, item)])
         text = "foo bar " + "".join(changed) + " baz"
-        assert bool(matches(text, x)) == edits_fit(plain(text)[0], x.codes[0], int(x.window[0]), int(x.edits[0]))
+        assert bool(matches(text, x)) == edits_fit(plain(text)[0], x.parts[0].codes[0], int(x.parts[0].window[0]), int(x.parts[0].edits[0]))
     passage = AWKWARD[0][1]
     bench = spark.createDataFrame([(1, passage.upper().replace(" ", "  ")), (2, None), (3, ""), (4, "...")], "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()) == [(1, 1), (6, 1), (10, 1), (10, 1)]
@@ -262,6 +286,37 @@ def components_by_hand(rows, k, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of any length are found: short ones by shorter q-grams, the shortest as whole words; against plain edit distance."""
+    from textloom.llm.decontaminate import SHORT_Q, budget, index, matches, plain
+
+    assert [m[0] for m in matches("say abc def g and hello wor there", index([(1, "abc def g"), (2, "hello wor"), (3, "AND!"), (4, "her"), (5, "say"), (6, "there")]))] == [1, 2, 3, 5, 6]
+    rng = random.Random(2)
+    for _ in range(60):
+        n = rng.randint(SHORT_Q, 60)
+        item = "".join(rng.choice("abcdef ") for _ in range(n)).strip() or "abcdef"
+        changed = list(item)
+        for _ in range(rng.randint(0, 5)):
+            j = rng.randrange(len(changed))
+            changed[j] = rng.choice(["", "x", "yz", changed[j] + "q"])
+        text = "foo bar " + "".join(changed) + " baz"
+        code = plain(item)[0]
+        code = code[:-1] if len(code) and code[-1] == 32 else code
+        if len(code) >= SHORT_Q:
+            assert bool(matches(text, index([(1, item)]))) == edits_fit(plain(text)[0], code, *budget(len(code))), (item, text)
+
+
+def test_decontamination_in_blocks(spark):
+    from textloom.llm.decontaminate import find
+
+    items = [(i, f"item {i} asks what number {i * 7919} and word {chr(97 + i % 26) * 5} have to do with each other in the end") for i in range(12)]
+    bench = spark.createDataFrame([*items, (99, None), (100, ""), (101, "...")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before it {t} after it", "kept") for i, t in items] + [(50, None, "x"), (51, "nothing here", "y")], "doc_id long, text string, found string")
+    for chars in (10**6, 200):
+        got = {r["doc_id"]: [m["item_id"] for m in r["found"]] for r in find(docs, bench, chars).collect()}
+        assert all(i in got[i] for i, _ in items) and got[50] == got[51] == []
+
+
 @pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
 def test_jaccard_join(spark, none, k, percent, monkeypatch):
     from textloom.llm import jaccard_join as jj
@@ -303,34 +358,66 @@ def test_components(spark):
     assert got == {x: p for x, p in parent.items() if x in got} and set(got) >= {x for a, b in links if a != b for x in (a, b)}
 
 
-def winnow_by_hand(text, k=3, w=4):
-    units = re.findall(r"[^ \t\n\x0b\f\r]{1,4}", text or "")
-    return units, max(0, len(units) - k + 1)
-
-
-def test_winnowing(spark, docs, none):
-    from textloom.llm.winnowing import K, W, edited_fingerprints, fingerprints
-
-    got = fingerprints(docs).collect()
-    for r in got:
-        assert len(r["hashes"]) == len(r["positions"]) and r["positions"] == sorted(r["positions"])
-        units, n = winnow_by_hand(dict((i, t) for i, t in AWKWARD)[r["doc_id"]])
-        assert bool(r["hashes"]) == bool(units)
-        if n >= W:  # a kept position in every window
-            assert all(any(p in r["positions"] for p in range(i, i + W)) for i in range(n - W + 1))
+def winnow_by_hand(text, k, w):
+    """Kept (hash, position): the cyclic polynomial rolled along the text, the least of each window by its upper 33 bits, rightmost of equal ones."""
+    import xxhash
+
+    turn = lambda x, by: ((x << by % 64) | (x >> (64 - by % 64))) & (2**64 - 1) if by % 64 else x
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    s = re.sub(r"[ \t\n\x0b\f\r]+", "", text or "")
+    letters = [xxhash.xxh64_intdigest(c.encode(), 42) for c in s]
+    if not s:
+        return []
+    if len(s) < k:
+        found = [signed(xxhash.xxh64_intdigest(s.encode(), 42))]
+    else:
+        now, found = 0, []
+        for i, x in enumerate(letters):
+            now = turn(now, 1) ^ x ^ (turn(letters[i - k], k) if i >= k else 0)
+            if i >= k - 1:
+                found.append(signed(turn(now, 1 - k)))
+    out = []
+    for i in range(max(1, len(found) - w + 1)):
+        window = found[i : i + w]
+        least = min(x >> 31 for x in window)
+        at = i + max(j for j, x in enumerate(window) if x >> 31 == least)
+        if not out or out[-1][1] != at:
+            out.append((found[at], at))
+    return out
+
+
+@pytest.mark.parametrize("k, w", [(16, 8), (5, 3), (7, 1), (1, 6), (12, 4)])
+def test_winnowing(spark, k, w):
+    from textloom.llm.winnowing import winnowed
+
+    r = random.Random(3)
+    texts = [t for _, t in AWKWARD] + ["abcdefghijklmno", "abcdefghijklmnop", "abcdefghijklmnopq", "a" * 60, "ab" * 40, "漢字😀" * 20] + ["".join(r.choice("abc d\n") for _ in range(r.randint(0, 300))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("t", F.coalesce("text", F.lit("")))
+    got = {x["doc_id"]: [tuple(v) for v in x["kept"]] for x in df.select("doc_id", winnowed(F.col("t"), k, w).alias("kept")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == winnow_by_hand(t, k, w), (i, k, w)
+
+
+def test_edited_fingerprints(spark, docs, none):
+    from textloom.llm.winnowing import K, W, digest, edited_fingerprints, winnowed
+
+    r = random.Random(4)
     rows = [(i, t) for i, t in AWKWARD if i is not None][:-1]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(1000 + i, "".join(r.choice("abcdef gh") for _ in range(r.randint(0, 400)))) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1)).withColumn("next", F.lit("x")).withColumn("h", F.lit(2))
     order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    edits = {i: t[: len(t) - len(t) // 2] + order[(j + 1) % len(order)][1][: len(t) // 2] for j, (i, t) in enumerate(order)}
     found = by_id(edited_fingerprints(df))
+    direct = {x[0]: x[1] for x in spark.createDataFrame(list(edits.items()), "doc_id long, text string").select("doc_id", digest(winnowed(F.col("text")))).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for j, (i, t) in enumerate(order):
-        half, following = len(t) // 2, order[(j + 1) % len(order)][1]
-        edited = t[: len(t) - half] + following[:half]
-        r = found[i]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 and (t != edited or r["fingerprint"] == r["edited_fingerprint"])
+        one, two, three = ({h for h, _ in winnow_by_hand(x, K, W)} for x in (t, edits[i], order[(j + 1) % len(order)][1]))
+        got = found[i]
+        assert (got["n_chars"], got["edited_sha256"], got["edited_fingerprint"]) == (len(t), hashlib.sha256(edits[i].encode()).hexdigest(), direct[i])
+        assert (got["near_edited"], got["near_next"], got["n_kept"]) == (pytest.approx(like(one, two)), pytest.approx(like(one, three)), len(one))
+        assert t != edits[i] or got["fingerprint"] == got["edited_fingerprint"]
     assert found[1]["fingerprint"] == found[6]["fingerprint"]
     assert edited_fingerprints(docs).count() == len(AWKWARD) and edited_fingerprints(none).count() == 0
-    assert K + W > 2
 
 
 def test_winnowing_wherever_a_passage_stands(spark):
