@@ -51,9 +51,27 @@ def test_code_points_of_any_plane(spark):
     assert spark.createDataFrame([("a",), ("\u200B",), ("😀",)], "c string").select(hidden.code_point(F.col("c"))).collect() == [("U+0061",), ("U+200B",), ("U+1F600",)]
 
 
-def test_homoglyphs_keep_to_equal_lengths(spark):
-    rows = hidden.findings(frame(spark, ["ａb", "ﬁ x"])).orderBy("doc_id").collect()
-    assert [[f["kind"] for f in r["findings"]] for r in rows] == [["homoglyph"], []]
+def test_homoglyphs(spark):
+    """The scan compares place by place as far as both forms go; cleaning only where the length stays."""
+    df = frame(spark, ["ａb", "ﬁ x"])
+    assert [[f["kind"] for f in r["findings"]] for r in hidden.findings(df).orderBy("doc_id").collect()] == [["homoglyph"], ["homoglyph"] * 2]
+    assert [[f["kind"] for f in r["findings"]] for r in hidden.clean(df).orderBy("doc_id").collect()] == [["homoglyph"], []]
+
+
+def test_runs_of_blanks_are_findings_with_their_places(spark):
+    text = "  a  b\t\tc \n   d   "
+    found = hidden.clean(frame(spark, [text])).first()["findings"]
+    assert [(f["kind"], f["index"], f["char"], f["note"]) for f in found] == [("excessive_whitespace", 3, " ", "2 blanks in a row"), ("excessive_whitespace", 6, "\t", "2 blanks in a row"), ("excessive_whitespace", 15, " ", "3 blanks in a row")]
+
+
+def test_names_of_format_characters(spark):
+    found = hidden.findings(frame(spark, ["a\u0007b\u2066c"])).first()["findings"]
+    assert [(f["kind"], f["note"]) for f in found] == [("control", "UNKNOWN"), ("control", "LEFT-TO-RIGHT ISOLATE")]
+
+
+def test_dashes(spark):
+    texts = ["2020–2024", "a – b", "a–b–c", "so —  it", "3 – 4"]
+    assert texts_of(hidden.clean(frame(spark, texts))) == ["2020–2024", "a - b", "a - b - c", "so, it", "3  -  4"]
 
 
 def test_line_kinds_agree_in_both_forms(spark):
@@ -75,16 +93,16 @@ def test_merging_spans(spark):
     assert [tuple(x) for x in df.select(lines.merged(F.col("r"))).first()[0]] == [(0, 4), (5, 9)]
 
 
-@pytest.mark.parametrize("before, after", [("sold 12500 in 2026", "sold 12,500 in 2026"), ("2100 and 1999", "2,100 and 1999"), ("12500. 12,500 12500.5", "12500. 12,500 12500.5"), ("1234567 x", "1,234,567 x")])
+@pytest.mark.parametrize("before, after", [("sold 12500 in 2026", "sold 12,500 in 2026"), ("2100 and 1999", "2,100 and 1999"), ("12500. 12,500 12500.5", "12500. 12,500 12500.5"), ("1234567 x", "1,234,567 x"), ("0012500 and 00000", "12,500 and 0"), ("9" * 25 + " x", "9," + ",".join(["999"] * 8) + " x")])
 def test_thousands(spark, before, after):
     padded = f"of all that we have seen here so far, {before} and so on it goes."
-    assert texts_of(rules.numbers(frame(spark, [padded]))) == [padded.replace(before, after)] == [rewrite.numbered(padded)[0]]
+    assert texts_of(rules.numbers(frame(spark, [padded]))) == [padded.replace(before, after)] == [rules.numbered(padded)[0]]
 
 
 def test_tells_in_both_forms(spark):
     texts = ["Moreover, we delve into it in order to learn, as it serves as a guide to all of us here.", "Nothing to do in this line, that much is plain to see.", "See `in order to` there and in order to go on with all the rest of it."]
     rows = rules.scrub_tells(frame(spark, texts)).orderBy("doc_id").collect()
-    assert [(r["text"], r["transformations"]) for r in rows] == [rewrite.scrubbed(t) for t in texts]
+    assert [(r["text"], r["transformations"]) for r in rows] == [rules.scrubbed(t) for t in texts]
     assert rows[0]["text"] == "We examine it to learn, as it is a guide to all of us here." and "`in order to`" in rows[2]["text"]
 
 
@@ -109,8 +127,17 @@ def test_long_sentences_are_split():
     assert rewrite.structure(text, "en", "light", rewrite.Chance(1, "s")) == text
 
 
+def test_long_paragraphs_are_cut_whole():
+    four = "Here is one of them. Here is two of them.\nHere is three of them. Here is four of them."
+    assert rewrite.wrapped(four) == "Here is one of them. Here is two of them. Here is three of them.\n\nHere is four of them."
+    assert rewrite.wrapped("- " + four) == "- " + four and rewrite.burstiness("One two. One two.") == 0
+
+
 def test_pivots():
-    assert rewrite.unpivoted("It isn't just about speed; it's about trust.")[0] == "Speed. It's trust."
+    assert rewrite.unpivoted("It isn't just about speed; it's about trust.") == ("Speed. It's trust.", 1)
+    assert rewrite.unpivoted("This was not merely about; that is all about us.")[0] == "That is us."
+    assert rewrite.unpivoted("One; two three four; this is so. Next; no.") == ("One; Two three four. This is so. Next; no.", 1)
+    assert rewrite.unpivoted("A short; it's x.") == ("A short; it's x.", 0)
 
 
 def test_workflow(spark):
@@ -165,14 +192,43 @@ def brute(rows, capacity, window):
     return out
 
 
-def test_admission(spark):
+def requests_of(seed, n=300):
     import random
 
-    random.seed(1)
-    rows = [(i, random.choice("abc"), float(random.randint(0, 400))) for i in range(300)]
-    df = spark.createDataFrame(rows, "event_id long, key string, ts double")
-    want = brute(rows, 5, 30.0)
-    assert {r["event_id"]: r["allowed"] for r in adm.admission(df, 5, 30.0).collect()} == want
+    r = random.Random(seed)
+    return [(i, r.choice("aaab"), float(r.randint(0, 400))) for i in range(n)]
+
+
+@pytest.mark.parametrize("capacity, window", [(5, 30.0), (1, 10.0), (0, 10.0)])
+def test_admission(spark, capacity, window):
+    rows = requests_of(1)
+    df = spark.createDataFrame([*rows, (900, None, 1.0), (901, "a", None)], "event_id long, key string, ts double").withColumn("allowed", F.lit(1))
+    assert {r["event_id"]: r["allowed"] for r in adm.admission(df, capacity, window).collect()} == brute(rows, capacity, window)
+
+
+def test_admission_opens_and_keeps_keys_apart(spark):
+    rows = [(1, "a", 100.0), (2, "a", 105.0), (3, "a", 110.0), (4, "a", 111.0), (5, "b", 100.0)]
+    got = {r["event_id"]: (r["allowed"], r["retry_after_s"]) for r in adm.admission(spark.createDataFrame(rows, "event_id long, key string, ts double"), 1, 10.0).collect()}
+    assert got == {1: (True, 0), 2: (False, 6), 3: (False, 1), 4: (True, 0), 5: (True, 0)}
+
+
+def test_admission_stream(spark, tmp_path):
+    """The stream decides like the batch form when rows come in order of time, over several micro-batches and a restart."""
+    from textloom.streaming.admission import admission_stream
+
+    rows = sorted(requests_of(2, 120), key=lambda r: (r[2], r[0]))
+    schema = "event_id long, key string, ts double"
+
+    def run(part, k):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = admission_stream(stream, 3, 20.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+
+    run(rows[:70], 0)
+    run(rows[70:], 1)
+    got = {r["event_id"]: r["allowed"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == brute(rows, 3, 20.0)
 
 
 def test_sinks_and_dictionaries(spark, tmp_path):
@@ -186,6 +242,18 @@ def test_sinks_and_dictionaries(spark, tmp_path):
 
 
 def test_entry_without_the_subpackage():
-    import __spark_entry__
-
-    assert "detect_verdict" in __spark_entry__.queries()
+    """In a copy without the two folders and the pipeline, the entry and the other queries still stand."""
+    import shutil
+    import subprocess
+    import sys
+    import tempfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    with tempfile.TemporaryDirectory() as copy:
+        for name in ("textloom", "__spark_entry__.py"):
+            (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, Path(copy) / name)
+        shutil.rmtree(Path(copy) / "textloom" / "llm", ignore_errors=True)
+        code = "import __spark_entry__ as e; q = e.queries(); assert 'detect_verdict' in q and 'pipeline' not in q and not [n for n in q if n.startswith('op')]; print(len(q), len(e.oracle_sql()))"
+        done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+        assert done.returncode == 0, done.stderr

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: What a word is, by language, and where sentences end.
 WORD = {"en": "[A-Za-z']+", "he": "[\\u05D0-\\u05EA]+"}
 SENTENCE_END = r"[.!?]+\s+"
-SEGMENT_END = r"(?<=[.!?])\s+"
+SEGMENT_CUT = r"(?<=[.!?])(?=\s)"
 
 
 def words(text: Column, language: Column) -> Column:
@@ -27,16 +27,20 @@ def sentences(text: Column) -> Column:
 
 
 def segments(text: Column) -> Column:
-    """array<struct<start, end, text>> (code points) of the sentences with their end marks."""
-    pieces = F.filter(F.split(text, SEGMENT_END, -1), lambda s: s != "")
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    """array<struct<start, end, text>> (code points) of the sentences with their end marks.
 
-    def step(found, piece):
-        cursor = F.when(F.size(found) == 0, F.lit(0)).otherwise(F.element_at(found, -1)["end"])
-        start = F.call_function("locate", piece, text, cursor + 1) - 1
-        return F.concat(found, F.array(F.struct(start.cast("int").alias("start"), (start + F.char_length(piece)).cast("int").alias("end"), piece.alias("text"))))
+    The text is cut before the blanks that follow an end mark, so that the pieces' lengths add up to places.
+    """
+    pieces = F.split(text, SEGMENT_CUT, -1)
+    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda found, p: F.array_append(found, F.element_at(found, -1) + F.char_length(p)))
+    found = F.element_at(F.transform(F.array(F.struct(pieces.alias("p"), ends.alias("e"))), lambda x: F.transform(x["p"], lambda piece, i: _placed(piece, i, x["e"]))), 1)
+    return F.filter(found, lambda s: s["text"] != "")
 
-    return F.aggregate(pieces, none, step)
+
+def _placed(piece: Column, i: Column, ends: Column) -> Column:
+    own = F.when(i == 0, piece).otherwise(F.regexp_replace(piece, r"^\s+", ""))
+    end = F.element_at(ends, i + 2)
+    return F.struct((end - F.char_length(own)).alias("start"), end.alias("end"), own.alias("text"))
 
 
 def occurrences(text: Column, phrase: str) -> Column:

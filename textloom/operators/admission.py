@@ -12,21 +12,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OUT = "event_id long, key string, ts double, allowed boolean, retry_after_s long"
+COLUMNS = {"event_id": "long", "key": "string", "ts": "double"}
 
 
-class Window:
-    """The admitted times of one key, oldest first; never more than capacity."""
+class Gate:
+    """Decides requests of one key after another, each key's in order of time.
+
+    Only the latest `capacity` admitted times matter: a request is refused if the oldest of so many still lies in its window.
+    """
+
+    def __init__(self, capacity: int, window_s: float, key=None, admitted=()):
+        self.window_s, self.full, self.key, self.admitted = window_s, capacity, key, deque(admitted, maxlen=capacity)
+
+    def wait(self, key, at: float) -> float | None:
+        """None if the request is admitted, else the seconds until the window opens."""
+        if key != self.key:
+            self.key = key
+            self.admitted.clear()
+        oldest = self.admitted[0] if len(self.admitted) == self.full > 0 else None
+        if self.full and (oldest is None or oldest + self.window_s < at):
+            self.admitted.append(at)
+            return None
+        return self.window_s if oldest is None else max(0.0, oldest + self.window_s - at)
+
+    def decide(self, keys, times) -> tuple[list[bool], list[int]]:
+        waits = [self.wait(k, t) for k, t in zip(keys, times, strict=True)]
+        return [w is None for w in waits], [0 if w is None else int(w) + 1 for w in waits]
 
-    def __init__(self, capacity: int, window_s: float, times=()):
-        self.capacity, self.window_s, self.times = capacity, window_s, deque(times)
 
-    def check(self, now: float) -> tuple[bool, float]:
-        while self.times and self.times[0] < now - self.window_s:
-            self.times.popleft()
-        if len(self.times) >= self.capacity:
-            return False, max(0.0, self.window_s - (now - self.times[0])) if self.times else self.window_s
-        self.times.append(now)
-        return True, 0.0
+def requests(df: DataFrame) -> DataFrame:
+    """The columns that decisions take, without rows that lack a key or a time."""
+    return df.select(*[F.col(c).cast(kind).alias(c) for c, kind in COLUMNS.items()]).dropna(subset=["key", "ts"])
 
 
 def request_key(forwarded: Column, peer: Column) -> Column:
@@ -35,24 +51,19 @@ def request_key(forwarded: Column, peer: Column) -> Column:
     return F.coalesce(F.when(first != "", first), peer)
 
 
-def _decide(rows, state: Window):
-    import pandas as pd
-
-    rows = rows.sort_values(["ts", "event_id"])
-    found = [state.check(t) for t in rows["ts"]]
-    return pd.DataFrame({"event_id": rows["event_id"], "key": rows["key"], "ts": rows["ts"], "allowed": [a for a, _ in found], "retry_after_s": [0 if a else int(r) + 1 for a, r in found]})
-
-
 def admission(df: DataFrame, capacity: int, window_s: float) -> DataFrame:
     """event_id, key, ts, allowed, retry_after_s of each row of df (event_id, key, ts in seconds). Equal times go by event_id.
 
-    Only within a session (a run of a key's requests without a gap longer than the window) can one decision bear on another. Keys are cut into such
-    sessions first, by a window function that Spark spills, so a task holds a session, not a key. Null keys or times are left out.
+    One shuffle: a key's rows come to one partition, sorted there by Spark, which spills; they then flow by in batches, and a task holds no more than
+    `capacity` times. Each decision hangs on the ones before, so a key stays one task's work. Null keys or times are left out.
     """
-    from pyspark.sql.window import Window as W
 
-    rows = df.select(F.col("event_id").cast("long").alias("event_id"), F.col("key").cast("string").alias("key"), F.col("ts").cast("double").alias("ts")).dropna(subset=["key", "ts"])
-    order = W.partitionBy("key").orderBy("ts", "event_id")
-    rows = rows.withColumn("new", (F.col("ts") - F.lag("ts").over(order) > window_s).cast("int"))
-    rows = rows.withColumn("session", F.sum(F.coalesce("new", F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy("key", "session").applyInPandas(lambda pdf: _decide(pdf, Window(capacity, window_s)), OUT)
+    def walk(batches):
+        import pyarrow as pa
+
+        gate = Gate(capacity, window_s)
+        for b in batches:
+            allowed, retry = gate.decide(b.column("key").to_pylist(), b.column("ts").to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(allowed, pa.bool_()), pa.array(retry, pa.int64())], names=[*COLUMNS, "allowed", "retry_after_s"])
+
+    return requests(df).repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInArrow(walk, OUT)

@@ -12,11 +12,13 @@ from pyspark.sql.types import StringType
 STRIP = {
     "\u200B": "ZERO WIDTH SPACE", "\u200C": "ZERO WIDTH NON-JOINER", "\u200D": "ZERO WIDTH JOINER", "\u2060": "WORD JOINER", "\u180E": "MONGOLIAN VOWEL SEPARATOR",
     "\u00AD": "SOFT HYPHEN", "\u202A": "LEFT-TO-RIGHT EMBEDDING", "\u202B": "RIGHT-TO-LEFT EMBEDDING", "\u202C": "POP DIRECTIONAL FORMATTING", "\u202D": "LEFT-TO-RIGHT OVERRIDE",
-    "\u202E": "RIGHT-TO-LEFT OVERRIDE", "\u2061": "FUNCTION APPLICATION (invisible)", "\u2062": "INVISIBLE TIMES", "\u2063": "INVISIBLE SEPARATOR", "\u2064": "INVISIBLE PLUS",
+    "\u202E": "RIGHT-TO-LEFT OVERRIDE", "\u2061": "FUNCTION APPLICATION", "\u2062": "INVISIBLE TIMES", "\u2063": "INVISIBLE SEPARATOR", "\u2064": "INVISIBLE PLUS",
 }
 REPORT_ONLY = {"\u200E": "LEFT-TO-RIGHT MARK", "\u200F": "RIGHT-TO-LEFT MARK"}
 SPACES = {"\u00A0": "NO-BREAK SPACE", "\u202F": "NARROW NO-BREAK SPACE", "\u2007": "FIGURE SPACE", "\u2008": "PUNCTUATION SPACE", "\u2009": "THIN SPACE", "\u200A": "HAIR SPACE", "\u205F": "MEDIUM MATHEMATICAL SPACE", "\u3000": "IDEOGRAPHIC SPACE"}
 BOM = "\uFEFF"
+#: Unicode's own names of format characters; those of the class Cc have none.
+NAMES = {c: name for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cf" and (name := unicodedata.name(c, ""))}
 KINDS = ["zero_width", "bidi_mark", "bom", "nbsp", "special_space", "control", "homoglyph", "excessive_whitespace"]
 #: Characters of the classes Cc and Cf, but for newline, tab and carriage return.
 CONTROL = r"[\p{Cc}\p{Cf}&&[^\n\t\r]]"
@@ -30,11 +32,10 @@ def code_point(ch: Column) -> Column:
     return F.concat(F.lit("U+"), F.when(F.length(digits) >= 4, digits).otherwise(F.concat(F.repeat(F.lit("0"), F.lit(4) - F.length(digits)), digits)))
 
 
-def _note(ch: Column, names: dict[str, str]) -> Column:
-    out = F
-    for c, name in names.items():
-        out = out.when(ch == c, name)
-    return out
+def _note(ch: Column) -> Column:
+    names = NAMES | STRIP | REPORT_ONLY | SPACES | {BOM: "BYTE ORDER MARK"}
+    known = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+    return F.coalesce(F.try_element_at(known, ch), F.lit("UNKNOWN"))
 
 
 def scan(text: Column) -> Column:
@@ -42,10 +43,9 @@ def scan(text: Column) -> Column:
 
     def one(ch, i):
         kind = F.when(ch.isin(*STRIP), "zero_width").when(ch.isin(*REPORT_ONLY), "bidi_mark").when(ch == BOM, "bom").when(ch == "\u00A0", "nbsp").when(ch.isin(*SPACES), "special_space").when(ch.rlike(CONTROL), "control")
-        note = _note(ch, STRIP | REPORT_ONLY | SPACES | {BOM: "BYTE ORDER MARK"}).otherwise(F.lit("UNKNOWN"))
-        return F.struct(kind.alias("kind"), ch.alias("char"), code_point(ch).alias("codepoint"), i.cast("int").alias("index"), note.alias("note"))
+        return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), ch.alias("char"), code_point(ch).alias("codepoint"), i.cast("int").alias("index"), _note(ch).alias("note")))
 
-    found = F.filter(F.transform(F.split(text, ""), one), lambda f: f["kind"].isNotNull()).cast(FINDING)
+    found = F.filter(F.transform(F.split(text, ""), one), lambda f: f.isNotNull()).cast(FINDING)
     return F.when(text.rlike(_ANY), found).otherwise(F.array().cast(FINDING))
 
 
@@ -54,17 +54,43 @@ def nfkc(texts):
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def homoglyphs(text: Column, normal: Column) -> Column:
-    """Characters that compatibility normalisation replaces, where it keeps the length; an index is one of the text's own."""
-    pairs = F.transform(F.arrays_zip(F.split(text, "").alias("a"), F.split(normal, "").alias("b")), lambda p, i: F.struct(F.lit("homoglyph").alias("kind"), p["a"].alias("char"), code_point(p["a"]).alias("codepoint"), i.cast("int").alias("index"), F.concat(F.lit("normalizes to "), p["b"]).alias("note"), (p["a"] != p["b"]).alias("differs")))
-    found = F.transform(F.filter(pairs, lambda p: p["differs"] & ~p["char"].rlike(r"(?U)^\s$")), lambda p: F.struct(p["kind"].alias("kind"), p["char"].alias("char"), p["codepoint"].alias("codepoint"), p["index"].alias("index"), p["note"].alias("note")))
-    return F.when((text != normal) & (F.char_length(text) == F.char_length(normal)), found.cast(FINDING)).otherwise(F.array().cast(FINDING))
+def homoglyphs(text: Column, normal: Column, equal_lengths: bool) -> Column:
+    """Characters beside which compatibility normalisation puts another one; an index is one of the text's own.
+
+    equal_lengths: only where normalisation keeps the length. Else the shorter of the two decides how far they are compared, and what stands behind
+    a character that became several is compared with what has moved there.
+    """
+    n = F.least(F.char_length(text), F.char_length(normal))
+    pairs = F.slice(F.arrays_zip(F.split(text, "").alias("a"), F.split(normal, "").alias("b")), 1, n)
+    placed = F.transform(pairs, lambda p, i: F.when((p["a"] != p["b"]) & ~p["a"].rlike(r"(?U)^\s$"), F.struct(F.lit("homoglyph").alias("kind"), p["a"].alias("char"), code_point(p["a"]).alias("codepoint"), i.cast("int").alias("index"), F.concat(F.lit("normalizes to "), p["b"]).alias("note"))))
+    differ = text != normal
+    if equal_lengths:
+        differ = differ & (F.char_length(text) == F.char_length(normal))
+    return F.when(differ, F.filter(placed, lambda f: f.isNotNull()).cast(FINDING)).otherwise(F.array().cast(FINDING))
+
+
+SURPLUS = r"(?<=\S)[ \t]{2,}"
+
+
+def surplus(text: Column) -> Column:
+    """A finding for each run of several blanks behind something on its line."""
+    runs, between = F.regexp_extract_all(text, F.lit(SURPLUS), F.lit(0)), F.split(text, SURPLUS, -1)
+    none = F.array().cast(FINDING)
+
+    def step(done, x):
+        at = done["at"] + F.char_length(x["between"])
+        one = F.struct(F.lit("excessive_whitespace").alias("kind"), F.substring(x["run"], 1, 1).alias("char"), code_point(x["run"]).alias("codepoint"), at.alias("index"), F.concat(F.char_length(x["run"]).cast("string"), F.lit(" blanks in a row")).alias("note"))
+        return F.struct((at + F.char_length(x["run"])).alias("at"), F.concat(done["found"], F.array(one)).alias("found"))
+
+    pairs = F.slice(F.arrays_zip(runs.alias("run"), between.alias("between")), 1, F.size(runs))
+    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
+    return F.when(text.rlike(SURPLUS), found).otherwise(none)
 
 
 def findings(df: DataFrame) -> DataFrame:
     """df with `findings`: the read-only scan of text, with look-alikes. A null text has none."""
     text = F.coalesce("text", F.lit(""))
-    return df.withColumn("_n", nfkc(text)).withColumn("findings", F.concat(scan(text), homoglyphs(text, F.col("_n")))).drop("_n")
+    return df.withColumn("_n", nfkc(text)).withColumn("findings", F.concat(scan(text), homoglyphs(text, F.col("_n"), equal_lengths=False))).drop("_n")
 
 
 def finding_counts(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,20 +109,22 @@ def cleaned(text: Column) -> Column:
     return F.regexp_replace(out, "[\\p{Cc}\\p{Cf}&&[^\\n\\t\\r" + BOM + "".join(REPORT_ONLY) + "]]", "")
 
 
+#: What an em dash and an en dash become, and where; a number behind an en dash keeps it.
+DASHES = [(r"\s*—\s*", ", "), (r"(?<=\D)\s*–\s*(?=\D)", " - ")]
+
+
 def dashes(text: Column) -> Column:
-    """An em dash becomes a comma; an en dash becomes a spaced hyphen, but not between numbers, spaced or not."""
-    out = F.regexp_replace(text, r"\s*—\s*", ", ")
-    return F.regexp_replace(out, r"(?<=\D)(?<!\d\s{0,8})\s*–\s*(?=\D)", " - ")
+    for pattern, new in DASHES:
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
 
 def clean(df: DataFrame) -> DataFrame:
     """df with text cleaned, and removed_count, normalized_count, findings of what was there. Null stays null."""
     text = F.coalesce("text", F.lit(""))
     out = df.withColumn("_f", scan(text)).withColumn("_c", cleaned(F.col("text"))).withColumn("_n", nfkc("_c"))
-    surplus = F.regexp_count(text, F.lit(r"(?<=\S)[ \t]{2,}"))
     kind = lambda *k: F.size(F.filter("_f", lambda f: f["kind"].isin(*k)))
     removed = (kind("zero_width", "control") + F.size(F.filter("_f", lambda f: (f["kind"] == "bom") & (f["index"] > 0)))).cast("long")
-    extra = F.when(surplus > 0, F.array(F.struct(F.lit("excessive_whitespace").alias("kind"), F.lit(" ").alias("char"), F.lit("U+0020").alias("codepoint"), (F.regexp_instr(text, F.lit(r"(?<=\S)[ \t]{2,}")) - 1).cast("int").alias("index"), F.concat(surplus.cast("string"), F.lit(" runs")).alias("note")))).otherwise(F.array()).cast(FINDING)
-    found = F.concat(F.filter("_f", lambda f: ~((f["kind"] == "bom") & (f["index"] == 0))), extra, homoglyphs(F.col("_c"), F.col("_n")))
+    found = F.concat(F.filter("_f", lambda f: ~((f["kind"] == "bom") & (f["index"] == 0))), surplus(text), homoglyphs(F.col("_c"), F.col("_n"), equal_lengths=True))
     out = out.withColumn("removed_count", removed).withColumn("normalized_count", kind("nbsp", "special_space").cast("long"))
     return out.withColumn("findings", F.when(F.col("text").isNotNull(), found)).withColumn("text", dashes(F.col("_n"))).drop("_f", "_c", "_n")

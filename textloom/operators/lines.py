@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,13 +57,14 @@ def line_kind(line: Column) -> Column:
 
 
 def line_kinds(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line (from 0), start, end (code points), text, kind, body_start of every line. Null texts have none."""
-    from pyspark.sql.window import Window
+    """keys, line (from 0), start, end (code points), text, kind, body_start of every line. Null texts have none.
 
-    rows = df.select(*keys, F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    before = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.char_length("text") + 1).over(before), F.lit(0))
-    return rows.withColumn("start", start.cast("long")).withColumn("end", (F.col("start") + F.char_length("text")).cast("long")).withColumn("k", line_kind(F.col("text"))).select(*keys, "line", "start", "end", "text", "k.kind", "k.body_start")
+    Starts are added up within the row, so no line's text is shuffled.
+    """
+    cut = df.select(*keys, F.split("text", "\n", -1).alias("_lines"))
+    starts = F.aggregate("_lines", F.array(F.lit(0).cast("long")), lambda found, x: F.array_append(found, F.element_at(found, -1) + F.char_length(x) + 1))
+    rows = cut.select(*keys, F.posexplode(F.arrays_zip(F.col("_lines").alias("text"), F.slice(starts, 1, F.size("_lines")).alias("start"))).alias("line", "x")).select(*keys, "line", "x.*")
+    return rows.withColumn("end", (F.col("start") + F.char_length("text")).cast("long")).withColumn("k", line_kind(F.col("text"))).select(*keys, "line", "start", "end", "text", "k.kind", "k.body_start")
 
 
 def merged(spans: Column) -> Column:
@@ -85,14 +87,6 @@ def covers(spans: Column, at: Column) -> Column:
     return F.exists(spans, lambda r: (r["s"] <= at) & (at < r["e"]))
 
 
-def gaps(text: Column, spans: Column) -> Column:
-    """array<struct<text, keep>>: the text cut into what merged spans cover (keep) and what they don't."""
-    n = F.char_length(text)
-    bounds = F.concat(F.array(F.lit(0)), F.flatten(F.transform(spans, lambda r: F.array(r["s"], r["e"]))), F.array(n))
-    piece = lambda i: F.substring(text, F.element_at(bounds, i) + 1, F.element_at(bounds, i + 1) - F.element_at(bounds, i))
-    return F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda i: F.struct(piece(i).alias("text"), (i % 2 == 0).alias("keep")))
-
-
 # Matches with offsets have no built-in function: this part runs in Python, in Arrow batches.
 
 _compiled = {k: re.compile(p) for k, p in SPANS.items()}
@@ -137,14 +131,35 @@ def spans_of(text: str, headings: bool = True) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def merged_spans(text: str, headings: bool = True) -> list[tuple[int, int]]:
+@lru_cache(maxsize=16)
+def merged_spans(text: str, headings: bool = True) -> tuple[tuple[int, int], ...]:
+    """The union of a text's protected spans. Remembered for a few texts: steps that change nothing ask for the same ones again."""
     out: list[list[int]] = []
     for s, e, _ in spans_of(text, headings):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
             out.append([s, e])
-    return [(s, e) for s, e in out]
+    return tuple((s, e) for s, e in out)
+
+
+def free_parts(text: str, change, headings: bool = True) -> str:
+    """The text with change() made to each part outside protected spans."""
+    out, at = [], 0
+    for s, e in merged_spans(text, headings):
+        out += [change(text[at:s]), text[s:e]]
+        at = e
+    return "".join([*out, change(text[at:])])
+
+
+def merged_ranges(headings: bool = True):
+    """A column function: text to array<struct<s, e>>, the union of its protected spans, in order and apart."""
+
+    @F.pandas_udf("array<struct<s:int,e:int>>")
+    def run(texts):
+        return texts.map(lambda t: [{"s": s, "e": e} for s, e in merged_spans(t or "", headings)])
+
+    return run
 
 
 def protected_spans(headings: bool = True):

@@ -17,7 +17,7 @@ from ..functions import tokens
 
 #: The passive's pattern by language, and the weights of the sub-scores (sum 1).
 PASSIVE = {
-    "en": r"(?i)\b(am|is|are|was|were|be|been|being)\s+[A-Za-z]+(ed|en|own|orn|ought|ought|ought|aught|ade|one)\b",
+    "en": r"(?i)\b(am|is|are|was|were|be|been|being)\s+[A-Za-z]+(ed|en|own|orn|ought|aught|ade|one)\b",
     "he": "(?<![\\u05D0-\\u05EA])(?:\\u05E0[\\u05D0-\\u05EA]{3,5}|\\u05D4\\u05D5[\\u05D0-\\u05EA]{2,4})(?![\\u05D0-\\u05EA])",
 }
 WEIGHTS = {"perplexity": 0.14, "burstiness": 0.14, "phrase": 0.16, "passive": 0.06, "transition": 0.08, "vocab": 0.10, "hedge": 0.04, "start": 0.08, "quantifier": 0.06, "pronoun": 0.14}

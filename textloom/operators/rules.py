@@ -96,14 +96,17 @@ def audit(counts: Column, layer: str) -> Column:
     return F.transform(counts, lambda c: F.concat(F.lit(f"{layer}:"), c["tag"], F.lit(":"), c["n"].cast("string")))
 
 
+_BLANKS = re.compile(r"(?P<many>  +)|[ \t]+(?=[!?.,:;])")
+_START = re.compile(r"(?:\A|(?<=[.!?])[ \t]+)[a-z]")
+
+
 def tidy(t: str | None) -> str | None:
-    """Blanks collapsed, none before an end mark, and a capital at the start and behind each end mark."""
+    """One blank where there were several, none before an end mark, and a capital letter at the start and behind end marks of the same line."""
     if not t:
         return t
-    t = re.sub(r"[ \t]{2,}", " ", t)
-    t = re.sub(r"[ \t]+([,.;:!?])", r"\1", t)
-    t = re.sub(r"([.!?][ \t\n]+)([a-z])", lambda m: m[1] + m[2].upper(), t)
-    return re.sub(r"^(\s*)([a-z])", lambda m: m[1] + m[2].upper(), t)
+    t = _BLANKS.sub(lambda m: " " if m["many"] else "", t)
+    t = re.sub(r" (?=[!?.,:;])", "", t)  # of several blanks before an end mark one is left
+    return _START.sub(lambda m: m[0][:-1] + m[0][-1].upper(), t)
 
 
 @F.pandas_udf(StringType())
@@ -120,27 +123,29 @@ def folded_text(text: str, rules: list[Rule], log: dict[str, int]) -> str:
     return text
 
 
-def outside(text: Column, spans: Column, change) -> Column:
-    """change() on what spans leave free, the rest as it is."""
-    return F.concat_ws("", F.transform(lines.gaps(text, spans), lambda g: F.when(g["keep"], g["text"]).otherwise(change(g["text"]))))
-
-
-def with_spans(df: DataFrame, headings: bool = True) -> DataFrame:
-    spans = lines.protected_spans(headings)(F.coalesce("text", F.lit("")))
-    return df.withColumn("_spans", lines.merged(F.transform(spans, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e")))))
+def scrubbed(text: str, table: list[Rule] = TELLS) -> tuple[str, list[str]]:
+    """The text with the rules applied outside protected spans (headings aren't protected), and what each changed."""
+    counts: dict[str, int] = {}
+    new = lines.free_parts(text, lambda t: folded_text(t, table, counts), headings=False)
+    return (tidy(new) if new != text else text), [f"tells:{r}:{counts[r]}" for r in dict.fromkeys(r.tag for r in table) if r in counts]
 
 
 def scrub_tells(df: DataFrame, rules: list[Rule] = TELLS) -> DataFrame:
     """df with the rules applied to text outside protected spans, and `transformations`, an audit of layer:tag:count.
 
-    Headings aren't protected here. A text that no rule changes stays as it is; null stays null.
+    Headings aren't protected here. A text that no rule changes stays as it is; null stays null. One pattern of all rules settles most texts in the
+    JVM; the others' spans and rules take one way through Python, in Arrow batches.
     """
-    hit = hits(F.col("text"), rules)
-    parts = F.transform(lines.gaps(F.col("text"), F.col("_spans")), lambda g: F.when(g["keep"], F.struct(g["text"].alias("text"), F.array().cast("array<struct<tag:string,n:int>>").alias("log"))).otherwise(folded(g["text"], rules)))
-    found = with_spans(df, headings=False).withColumn("_parts", F.when(hit, parts))
-    found = found.withColumn("_new", F.when(F.col("_parts").isNotNull(), F.concat_ws("", F.transform("_parts", lambda p: p["text"]))).otherwise(F.col("text")))
-    found = found.withColumn("transformations", F.coalesce(audit(summed(F.flatten(F.transform("_parts", lambda p: p["log"])), rules), "tells"), F.array().cast("array<string>")))
-    return found.withColumn("text", F.when(F.col("_new") != F.col("text"), recapitalised("_new")).otherwise(F.col("text"))).drop("_new", "_parts", "_spans")
+
+    @F.pandas_udf("struct<text:string,log:array<string>>")
+    def run(texts):
+        import pandas as pd
+
+        rows = [(None, []) if t is None else scrubbed(t, rules) for t in texts]
+        return pd.DataFrame({"text": [t for t, _ in rows], "log": [x for _, x in rows]})
+
+    found = df.withColumn("_r", run(F.when(hits(F.col("text"), rules), F.col("text"))))
+    return found.withColumn("text", F.coalesce("_r.text", "text")).withColumn("transformations", F.coalesce("_r.log", F.array().cast("array<string>"))).drop("_r")
 
 
 def comma_spaced(text: Column) -> Column:
@@ -151,14 +156,38 @@ def without_intensifiers(text: Column) -> Column:
     return F.regexp_replace(text, INTENSIFIER, "$1 ")
 
 
-def thousands(text: Column) -> Column:
-    """A comma before every third digit from the right of numbers of four or more digits; years 1900 to 2099, decimals, ranges and numbers that end a sentence stay."""
-    return F.regexp_replace(text, r"(?<=(?<![\d,.\-])\d{1,18})(?=(?:\d{3})+(?![\d,.]))(?!(?<=(?<!\d)1)9\d\d(?!\d))(?!(?<=(?<!\d)2)0\d\d(?!\d))", ",")
+_NUMBER = re.compile(r"(?<![\d,.\-])\d{4,}(?![\d,.])", re.ASCII)
+_YEAR = re.compile(r"(?:19|20)\d\d", re.ASCII)
+
+
+def numbered(text: str) -> tuple[str, int]:
+    """Commas at the thousands of whole numbers of four or more digits outside protected spans, and how many numbers that concerns.
+
+    Years 1900 to 2099, decimals, numbers with commas already and numbers that end a sentence stay. Leading zeros go.
+    """
+    n = 0
+
+    def one(m):
+        nonlocal n
+        if _YEAR.fullmatch(m[0]):
+            return m[0]
+        n += 1
+        digits = m[0].lstrip("0") or "0"
+        head = len(digits) % 3 or 3
+        return ",".join([digits[:head], *(digits[i : i + 3] for i in range(head, len(digits), 3))])
+
+    return lines.free_parts(text, lambda t: _NUMBER.sub(one, t)), n
 
 
 def numbers(df: DataFrame) -> DataFrame:
-    """df with thousands() on text outside protected spans, and n_changed, how many numbers it altered."""
-    out = with_spans(df).withColumn("_new", outside(F.col("text"), F.col("_spans"), thousands))
-    free = F.concat_ws("\n", F.transform(F.filter(lines.gaps(F.col("text"), F.col("_spans")), lambda g: ~g["keep"]), lambda g: g["text"]))
-    any_, years = F.regexp_count(free, F.lit(r"(?<![\d,.\-])\d{4,}(?![\d,.])")), F.regexp_count(free, F.lit(r"(?<![\d,.\-])(?:19|20)\d\d(?![\d,.])"))
-    return out.withColumn("n_changed", (any_ - years).cast("long")).withColumn("text", F.col("_new")).drop("_new", "_spans")
+    """df with numbered() texts, and n_changed, how many numbers it altered. Texts without such digits never leave the JVM's side of the batch."""
+
+    @F.pandas_udf("struct<text:string,n:long>")
+    def run(texts):
+        import pandas as pd
+
+        rows = [(None, 0) if t is None else numbered(t) for t in texts]
+        return pd.DataFrame({"text": [t for t, _ in rows], "n": [n for _, n in rows]})
+
+    out = df.withColumn("_r", run(F.when(F.col("text").rlike("[0-9]{4}"), F.col("text"))))
+    return out.withColumn("text", F.coalesce("_r.text", "text")).withColumn("n_changed", F.coalesce("_r.n", F.lit(0)).cast("long")).drop("_r")

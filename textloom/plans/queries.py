@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
-from inspect import signature
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +14,9 @@ from ..operators import hidden, lines, metrics, rewrite, rules, scorer
 from ..sources import documents as src
 from . import workflows
 
-#: The stored documents lack most of what the operators look for: some rows get it put in, by doc_id, in Spark and in SQL alike.
+#: The stored documents lack most of what the operators look for: rows with something put in stand beside them, by doc_id, in Spark and in SQL alike.
 INJECTED = {
+    0: "'The \u0007bell, \u00ADⅠ and ａbc – so we say, ＡＢ for 10–20 or 30 – 40,  twice   \u2064over and Ⅷ times. ' || text",
     1: "'Moreover, this is fine. Furthermore, we leverage robust plans in order to help. ' || text",
     2: "text || ' It might possibly be a comprehensive plan, perhaps. It was broken and they were taken by several people and a lot of others.'",
     3: "substring(text, 1, 12) || '\u200B' || substring(text, 13, 8) || '\u00A0' || substring(text, 21, 9) || '\uFEFF' || substring(text, 30) || '\u200E'",
@@ -25,34 +25,26 @@ INJECTED = {
     6: "text || ' See https://example.org/a_b and `code here`, [a link](https://x.org/y_(z)), @someone and #topic (see 12).'",
     7: "'12 + 30 = 42?!'",
     8: "'It is important to note that data plays a crucial role. It is due to the fact that things that actually work serve us. ' || text",
+    9: "'It isn''t just about speed,or a deep look; it''s about trust. Here 0012500 and 00123 were sold. At the end of the day, we harness the power of data. ' || text",
 }
 HEBREW = "חשוב לציין כי המוצר הזה הוא מקיף. אולי נראה אותו מחר, אולם לא היום. אנחנו רוצים לראות הרבה דברים."
 _CASES = " ".join(f"WHEN {k} THEN {v}" for k, v in INJECTED.items())
 TEXT = f"CASE CAST(doc_id % 10 AS INT) {_CASES} ELSE text END"
-_SQL_DOCS = f"docs AS (SELECT doc_id, {TEXT} AS text, 'en' AS language, source FROM documents WHERE lang = 'en' UNION ALL SELECT -1 - doc_id, '{HEBREW}', 'he', source FROM documents WHERE lang <> 'en' AND doc_id % 10 = 0)"
+_READ_AS = "CASE WHEN lang = 'he' THEN 'he' ELSE 'en' END"
+#: Every stored document with its own text, all languages but Hebrew read as English; the texts with something put in are rows beside them.
+_SQL_DOCS = f"""docs AS (SELECT doc_id, text, {_READ_AS} AS language, source FROM documents UNION ALL SELECT -1 - doc_id, {TEXT}, 'en', source FROM documents WHERE lang = 'en'
+ UNION ALL SELECT -1 - doc_id, '{HEBREW}', 'he', source FROM documents WHERE lang <> 'en')"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    en = docs.filter("lang = 'en'").select("doc_id", F.expr(TEXT.replace("\n", "\\n")).alias("text"), F.lit("en").alias("language"), "source")
-    he = docs.filter("lang <> 'en' AND doc_id % 10 = 0").select(F.expr("-1 - doc_id").alias("doc_id"), F.lit(HEBREW).alias("text"), F.lit("he").alias("language"), "source")
-    return en.unionByName(he)
-
-
-#: Every stored document with its own text, those of other languages read as English like the reference reads what is sent as 'en'; the texts with something put in are rows beside them.
-_SQL_WHOLE = f"""docs AS (SELECT doc_id, text, CASE WHEN lang = 'he' THEN 'he' ELSE 'en' END AS language, source FROM documents UNION ALL SELECT -1 - doc_id, {TEXT}, 'en', source FROM documents WHERE lang = 'en' AND doc_id % 10 IN ({", ".join(map(str, INJECTED))})
- UNION ALL SELECT -1 - doc_id, '{HEBREW}', 'he', source FROM documents WHERE lang <> 'en' AND doc_id % 10 = 0)"""
-
-
 def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("CASE WHEN lang = 'he' THEN 'he' ELSE 'en' END").alias("language"), "source")
-    he, case = F.col("language") == "he", F.expr("CAST(doc_id % 10 AS INT)").isin(*INJECTED)
-    extra = injected(spark, sf_dir).filter(he | case).withColumn("doc_id", F.when(he, F.col("doc_id")).otherwise(F.expr("-1 - doc_id")))
-    return stored.unionByName(extra)
+    """All rows of documents with their own texts; below them, under negative ids, a row for each with a text that the operators have work with."""
+    docs = table(spark, sf_dir, "documents")
+    beside = docs.select(F.expr("-1 - doc_id").alias("doc_id"), F.when(F.col("lang") == "en", F.expr(TEXT.replace("\n", "\\n").replace("''", "\\'"))).otherwise(F.lit(HEBREW)).alias("text"), F.when(F.col("lang") == "en", "en").otherwise("he").alias("language"), "source", "lang")
+    return docs.select("doc_id", "text", F.expr(_READ_AS).alias("language"), "source").unionByName(beside.filter("lang IS NOT NULL").drop("lang"))
 
 
 def _q(words) -> str:
@@ -91,7 +83,7 @@ def _occurrences_sql(phrases) -> str:
     return " + ".join(f"((length(lower(text)) - length(replace(lower(text), '{p.replace(chr(39), chr(39) * 2)}', ''))) // {len(p)})" for p in phrases) or "0"
 
 
-def token_stats(spark, sf_dir, texts=injected):
+def token_stats(spark, sf_dir, texts=whole):
     found = metrics.with_shape(texts(spark, sf_dir))
     r = lambda c: F.round(c, 6).alias(c)
     return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_sentences").cast("long").alias("n_sentences"), r("avg_sentence_length"), r("sentence_length_stdev"), r("burstiness"), r("vocab_diversity"), r("sentence_start_diversity"))
@@ -147,7 +139,7 @@ _VERDICT = "CASE WHEN ai_probability < 0.35::DOUBLE THEN 'human' WHEN ai_probabi
 _KEYED = "keyed AS (SELECT *, doc_id AS row_id FROM docs)"
 
 
-def detect_verdict(spark, sf_dir, texts=injected):
+def detect_verdict(spark, sf_dir, texts=whole):
     found = metrics.detect(texts(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", "language", F.col("n_words").cast("long").alias("n_words"), *[F.round(m, 6).alias(m) for m in metrics.METRICS], F.round("ai_probability", 6).alias("ai_probability"), "verdict")
 
@@ -156,7 +148,7 @@ DETECT = f"""WITH {_SQL_DOCS}, {_KEYED}, {_detect_sql("keyed")}
 SELECT row_id AS doc_id, language, CAST(n_words AS BIGINT) AS n_words, {", ".join(f"round({m}, 6) AS {m}" for m in metrics.METRICS)}, round(ai_probability, 6) AS ai_probability, {_VERDICT} AS verdict FROM fused"""
 
 
-def lexicon_hits(spark, sf_dir, texts=injected):
+def lexicon_hits(spark, sf_dir, texts=whole):
     """Words in the lexicon's classes over the whole corpus, by language: the counted semi-joins."""
     docs = texts(spark, sf_dir)
     rows = docs.select("language", F.explode(tokens.words(F.col("text"), F.col("language"))).alias("word")).join(F.broadcast(lx.lexicon(spark)), ["language", "word"])
@@ -167,7 +159,7 @@ LEXICON_HITS = f"""WITH {_SQL_DOCS}, {_lexicon_sql()} SELECT language, CAST(sum(
 FROM (SELECT language, unnest({_WORDS.format("text")}) AS word FROM docs) JOIN lex USING (language, word) GROUP BY language"""
 
 
-def verdict_by_source(spark, sf_dir, texts=injected):
+def verdict_by_source(spark, sf_dir, texts=whole):
     found = metrics.detect(texts(spark, sf_dir), ["doc_id"], ["source"])
     return found.groupBy("source", "verdict").agg(F.count("*").alias("n"), F.round(F.avg("ai_probability"), 6).alias("mean_probability"))
 
@@ -175,7 +167,7 @@ def verdict_by_source(spark, sf_dir, texts=injected):
 VERDICT_BY_SOURCE = f"""WITH {_SQL_DOCS}, {_KEYED}, {_detect_sql("keyed", ", source")} SELECT source, {_VERDICT} AS verdict, count(*) AS n, round(avg(ai_probability), 6) AS mean_probability FROM fused GROUP BY 1, 2"""
 
 
-def labels_vs_score(spark, sf_dir, texts=injected):
+def labels_vs_score(spark, sf_dir, texts=whole):
     found = metrics.detect(texts(spark, sf_dir), ["doc_id"]).join(table(spark, sf_dir, "labels"), "doc_id")
     return found.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("ai_probability"), 6).alias("mean_probability"))
 
@@ -193,7 +185,7 @@ def conversation_roles(spark, sf_dir):
 ROLES = f"""WITH keyed AS (SELECT conv_id || '-' || turn AS row_id, role, text, 'en' AS language FROM conversations), {_detect_sql("keyed", ", role")} SELECT role, count(*) AS n, round(avg(ai_probability), 6) AS mean_probability FROM fused GROUP BY role"""
 
 
-def top_segments(spark, sf_dir, texts=injected):
+def top_segments(spark, sf_dir, texts=whole):
     found = metrics.top_segments(texts(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("text").alias("text_md5"), F.round("sub_score", 6).alias("sub_score"), "reason")
 
@@ -210,43 +202,84 @@ SELECT doc_id, rank, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "en
 
 # Hidden characters
 
-_KIND = f"""CASE WHEN c IN ({_q(hidden.STRIP)}) THEN 'zero_width' WHEN c IN ({_q(hidden.REPORT_ONLY)}) THEN 'bidi_mark' WHEN c = '{hidden.BOM}' THEN 'bom' WHEN c = '\u00A0' THEN 'nbsp' WHEN c IN ({_q(hidden.SPACES)}) THEN 'special_space' END"""
+_SPACES = "".join(hidden.SPACES)
+_STRIP = "".join(hidden.STRIP)
+_CONTROL_SQL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}]"
+_KIND = f"""CASE WHEN c IN ({_q(hidden.STRIP)}) THEN 'zero_width' WHEN c IN ({_q(hidden.REPORT_ONLY)}) THEN 'bidi_mark' WHEN c = '{hidden.BOM}' THEN 'bom' WHEN c = '{chr(0xA0)}' THEN 'nbsp' WHEN c IN ({_q(hidden.SPACES)}) THEN 'special_space'
+ WHEN regexp_full_match(c, '{_CONTROL_SQL}') THEN 'control' END"""
+_KINDS = ["zero_width", "bidi_mark", "bom", "nbsp", "special_space", "control"]
+_WHITE = r"[\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _compatible() -> dict[str, str]:
+    """Every character that compatibility normalisation replaces by something else, by Unicode's own tables."""
+    return {c: n for c in map(chr, range(1, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (n := unicodedata.normalize("NFKC", c)) != c}
+
+
+def _class_of(chars) -> str:
+    """A class of RE2 for some characters, as ranges."""
+    points, out = sorted(map(ord, chars)), []
+    for c in points:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{z:X}}}" if z > a else "") for a, z in out) + "]"
 
 
-def invisible_findings(spark, sf_dir, texts=injected):
+def _nfkc_sql(source: str, name: str) -> str:
+    """CTEs from `source` (row_id, t) to `name` (row_id, t, u): u is t in compatibility form. Characters are replaced one by one, then composed."""
+    known = _compatible()
+    rows = ", ".join(f"('{c}', '{n.replace(chr(39), chr(39) * 2)}')" for c, n in known.items())
+    return f"""{name}_map(c, n) AS (VALUES {rows}), {name}_hit AS (SELECT row_id, t FROM {source} WHERE regexp_matches(t, '{_class_of(known)}')),
+{name}_chars AS (SELECT row_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM {name}_hit),
+{name}_back AS (SELECT row_id, string_agg(coalesce(n, c), '' ORDER BY i) AS u FROM {name}_chars LEFT JOIN {name}_map USING (c) GROUP BY row_id),
+{name} AS (SELECT row_id, t, nfc_normalize(coalesce(u, t)) AS u FROM {source} LEFT JOIN {name}_back USING (row_id))"""
+
+
+def invisible_findings(spark, sf_dir, texts=whole):
     rows = texts(spark, sf_dir).select("doc_id", F.explode(hidden.scan(F.col("text"))).alias("f"))
     return rows.select("doc_id", "f.kind", "f.codepoint", F.col("f.index").cast("long").alias("index"), "f.note")
 
 
-_NOTES = " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in (hidden.STRIP | hidden.REPORT_ONLY | hidden.SPACES | {hidden.BOM: "BYTE ORDER MARK"}).items())
-FINDINGS = f"""WITH {_SQL_DOCS}, chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM docs)
-SELECT doc_id, {_KIND} AS kind, 'U+' || lpad(upper(to_hex(unicode(c))), 4, '0') AS codepoint, CAST(i AS BIGINT) AS index, CASE c {_NOTES} END AS note FROM chars WHERE {_KIND} IS NOT NULL"""
+_NOTES = " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in sorted((hidden.NAMES | hidden.STRIP | hidden.REPORT_ONLY | hidden.SPACES | {hidden.BOM: "BYTE ORDER MARK"}).items()))
+_CHARS = "chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM docs)"
+_CODE = "'U+' || lpad(upper(to_hex(unicode(c))), CAST(greatest(4, length(to_hex(unicode(c)))) AS INTEGER), '0')"
+FINDINGS = f"""WITH {_SQL_DOCS}, {_CHARS}
+SELECT doc_id, {_KIND} AS kind, {_CODE} AS codepoint, CAST(i AS BIGINT) AS index, CASE c {_NOTES} ELSE 'UNKNOWN' END AS note FROM chars WHERE {_KIND} IS NOT NULL"""
 
 
-def finding_counts(spark, sf_dir, texts=injected):
+def finding_counts(spark, sf_dir, texts=whole):
     return hidden.finding_counts(texts(spark, sf_dir), ["doc_id"])
 
 
-_PLAIN_KINDS = ["zero_width", "bidi_mark", "bom", "nbsp", "special_space"]
-COUNTS = f"""WITH {_SQL_DOCS}, chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM docs), found AS (SELECT doc_id, {_KIND} AS kind FROM chars),
-n AS (SELECT doc_id, {", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS {k}" for k in _PLAIN_KINDS)} FROM found GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"coalesce({k}, 0) AS {k}" for k in _PLAIN_KINDS)}, CAST(0 AS BIGINT) AS control, CASE WHEN coalesce(nbsp, 0) > 0 THEN coalesce(nbsp, 0) * 0 ELSE 0 END::BIGINT AS homoglyph,
- CAST(coalesce(zero_width + bom + nbsp + special_space, 0) AS BIGINT) AS total FROM docs LEFT JOIN n USING (doc_id)"""
+#: Characters beside which the normal form has another one, as far as the shorter of the two goes.
+_SWAPPED = f"""raw AS (SELECT doc_id AS row_id, text AS t FROM docs), {_nfkc_sql("raw", "normal")},
+swapped AS (SELECT row_id AS doc_id, unnest(string_split(t, '')[:least(length(t), length(u))]) AS c, unnest(string_split(u, '')[:least(length(t), length(u))]) AS d, generate_subscripts(string_split(t, '')[:least(length(t), length(u))], 1) - 1 AS i FROM normal WHERE t <> u)"""
+COUNTS = f"""WITH {_SQL_DOCS}, {_CHARS}, found AS (SELECT doc_id, {_KIND} AS kind FROM chars), {_SWAPPED},
+n AS (SELECT doc_id, {", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS {k}" for k in _KINDS)} FROM found GROUP BY doc_id), h AS (SELECT doc_id, count(*) AS homoglyph FROM swapped WHERE c <> d AND NOT regexp_full_match(c, '{_WHITE}') GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce({k}, 0) AS {k}" for k in [*_KINDS, "homoglyph"])}, CAST({" + ".join(f"coalesce({k}, 0)" for k in [*_KINDS, "homoglyph"] if k != "bidi_mark")} AS BIGINT) AS total FROM docs LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id)"""
 
 
-def clean_text(spark, sf_dir, texts=injected):
+def clean_text(spark, sf_dir, texts=whole):
     out = hidden.clean(texts(spark, sf_dir))
     return out.select("doc_id", F.md5("text").alias("text_md5"), "removed_count", "normalized_count")
 
 
-_SPACES = "".join(hidden.SPACES)
-CLEAN = f"""WITH {_SQL_DOCS} SELECT doc_id, md5(regexp_replace((CASE WHEN text[1] = '{hidden.BOM}' THEN '{hidden.BOM}' ELSE '' END) || replace(translate(translate(text, '{"".join(hidden.STRIP)}', ''), '{_SPACES}', '{" " * len(_SPACES)}'), '{hidden.BOM}', ''), '\\s*—\\s*', ', ', 'g')) AS text_md5,
- CAST(len(regexp_extract_all(text, '[{"".join(hidden.STRIP)}]')) + len(regexp_extract_all(text[2:], '{hidden.BOM}')) AS BIGINT) AS removed_count, CAST(len(regexp_extract_all(text, '[{_SPACES}]')) AS BIGINT) AS normalized_count FROM docs"""
+_KEPT_CONTROL = f"{hidden.BOM}{''.join(hidden.REPORT_ONLY)}"
+_STRIPPED = f"replace(translate(translate(text, '{_STRIP}', ''), '{_SPACES}', '{' ' * len(_SPACES)}'), '{hidden.BOM}', '')"
+#: Of the class Cf, all but the marks that stay; RE2 has no difference of classes, so those are put aside as characters that are no text.
+_ASIDE = f"translate({_STRIPPED}, '{''.join(hidden.REPORT_ONLY)}', '{chr(0xE000)}{chr(0xE001)}')"
+_DASHED = r"""regexp_replace(regexp_replace(regexp_replace(u, '\s*—\s*', ', ', 'g'), '(\D)(\s*)–(\s*)(\D)', '\1 - \4', 'g'), '(\D)(\s*)–(\s*)(\D)', '\1 - \4', 'g')"""
+CLEAN = f"""WITH {_SQL_DOCS}, bare AS (SELECT doc_id AS row_id, (CASE WHEN text[1] = '{hidden.BOM}' THEN '{hidden.BOM}' ELSE '' END) || translate(regexp_replace({_ASIDE}, '{_CONTROL_SQL}', '', 'g'), '{chr(0xE000)}{chr(0xE001)}', '{"".join(hidden.REPORT_ONLY)}') AS t FROM docs),
+{_nfkc_sql("bare", "normal")}
+SELECT doc_id, md5({_DASHED}) AS text_md5,
+ CAST(len(regexp_extract_all(text, '[{_STRIP}]')) + len(regexp_extract_all(text[2:], '{hidden.BOM}')) + len(regexp_extract_all(translate(text, '{_STRIP}{_KEPT_CONTROL}', ''), '{_CONTROL_SQL}')) AS BIGINT) AS removed_count, CAST(len(regexp_extract_all(text, '[{_SPACES}]')) AS BIGINT) AS normalized_count FROM docs JOIN normal ON row_id = doc_id"""
 
 # Lines and spans
 
 
-def line_kinds(spark, sf_dir, texts=injected):
+def line_kinds(spark, sf_dir, texts=whole):
     found = lines.line_kinds(texts(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", F.col("line").cast("long").alias("line"), "start", "end", "kind", F.col("body_start").cast("long").alias("body_start"))
 
@@ -265,17 +298,28 @@ named AS (SELECT *, CASE WHEN regexp_full_match(x, '\\s*') THEN 'blank' WHEN reg
 SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(start AS BIGINT) AS start, CAST(start + length(x) AS BIGINT) AS "end", kind, CAST(CASE kind WHEN 'list_item' THEN CASE WHEN q > 0 THEN q ELSE b END WHEN 'label_line' THEN p ELSE 0 END AS BIGINT) AS body_start FROM named"""
 
 
-def protected_spans(spark, sf_dir, texts=injected):
+def protected_spans(spark, sf_dir, texts=whole):
     rows = texts(spark, sf_dir).select("doc_id", F.explode(lines.protected_spans()("text")).alias("r"))
     return rows.select("doc_id", F.col("r.s").cast("long").alias("s"), F.col("r.e").cast("long").alias("e"), "r.kind")
 
 
+def merged_spans(spark, sf_dir, texts=whole):
+    """The union of each text's protected spans, headings included: how many, how many characters they cover, and the outermost places."""
+    rows = texts(spark, sf_dir).select("doc_id", lines.merged_ranges()("text").alias("r"))
+    covered = F.aggregate("r", F.lit(0), lambda n, x: n + x["e"] - x["s"])
+    return rows.select("doc_id", F.size("r").cast("long").alias("n"), covered.cast("long").alias("covered"), F.array_min(F.transform("r", lambda x: x["s"])).cast("long").alias("first"), F.array_max(F.transform("r", lambda x: x["e"])).cast("long").alias("last"))
+
+
 def merge_ranges(spark, sf_dir):
-    """Union of intervals: each user's events as [second, second + 600 * (1 + event_id % 5)), merged."""
-    events = table(spark, sf_dir, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("long").alias("t"), "event_id")
-    spans = events.groupBy("user_id").agg(F.min("t").alias("t0"), F.collect_list(F.struct("t", "event_id")).alias("e"))
-    spans = spans.withColumn("m", lines.merged(F.transform("e", lambda x: F.struct((x["t"] - F.col("t0")).cast("int").alias("s"), (x["t"] - F.col("t0") + 600 * (1 + x["event_id"] % 5)).cast("int").alias("e")))))
-    return spans.select("user_id", F.col("t0"), F.explode("m").alias("r")).select("user_id", (F.col("t0") + F.col("r.s")).alias("s"), (F.col("t0") + F.col("r.e")).alias("e"))
+    """Union of intervals: each user's events as [second, second + 600 * (1 + event_id % 5)), merged. An island begins where no earlier interval reaches."""
+    from pyspark.sql.window import Window
+
+    events = table(spark, sf_dir, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("long").alias("s"), "event_id").withColumn("e", F.expr("s + 600 * (1 + event_id % 5)"))
+    order = Window.partitionBy("user_id").orderBy("s", "e")
+    reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = events.withColumn("new", F.coalesce((F.col("s") > reached).cast("int"), F.lit(1)))
+    marked = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("user_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
 MERGE = """WITH x AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + 600 * (1 + event_id % 5) AS e FROM events),
@@ -286,7 +330,7 @@ SELECT user_id, min(s) AS s, max(e) AS e FROM z GROUP BY user_id, island"""
 # Rewriting
 
 
-def rule_audit(spark, sf_dir, texts=injected):
+def rule_audit(spark, sf_dir, texts=whole):
     """How often each tell rule applies, corpus-wide, on the whole text."""
     rows = texts(spark, sf_dir).select(F.explode(rules.rule_counts(F.col("text"), rules.TELLS)).alias("c"))
     return rows.groupBy(F.col("c.tag").alias("tag")).agg(F.sum("c.n").cast("long").alias("n"), F.count("*").alias("docs"))
@@ -310,35 +354,35 @@ def _digest(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.md5("text").alias("text_md5"), F.char_length("text").cast("long").alias("chars"), F.size("transformations").cast("long").alias("n_changes"))
 
 
-def tell_scrub(spark, sf_dir, texts=injected):
+def tell_scrub(spark, sf_dir, texts=whole):
     return _digest(rules.scrub_tells(texts(spark, sf_dir)))
 
 
-def thousands(spark, sf_dir, texts=injected):
+def thousands(spark, sf_dir, texts=whole):
     return rules.numbers(texts(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_md5"), "n_changed")
 
 
-def headings(spark, sf_dir, texts=injected):
+def headings(spark, sf_dir, texts=whole):
     return _digest(rewrite.headings(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
-def lexical_swap(spark, sf_dir, texts=injected):
+def lexical_swap(spark, sf_dir, texts=whole):
     return _digest(rewrite.lexical_swap(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
-def restructure(spark, sf_dir, texts=injected):
+def restructure(spark, sf_dir, texts=whole):
     return _digest(rewrite.restructure(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
-def vary_vocabulary(spark, sf_dir, texts=injected):
+def vary_vocabulary(spark, sf_dir, texts=whole):
     return _digest(rewrite.vary_vocabulary(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
-def post_polish(spark, sf_dir, texts=injected):
+def post_polish(spark, sf_dir, texts=whole):
     return _digest(rewrite.post_polish(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
-def swap_candidates(spark, sf_dir, texts=injected):
+def swap_candidates(spark, sf_dir, texts=whole):
     """Words of the text that a swap may replace, and by how many words: the equi-join of words and alternatives."""
     known = [(lang, w, len(o)) for lang, t in lx.MACHINE_WORDS.items() for w, o in t.items()]
     options = spark.createDataFrame(known, "language string, word string, options int")
@@ -350,21 +394,30 @@ SWAP_CANDIDATES = f"""WITH {_SQL_DOCS}, o(language, word, options) AS (VALUES {"
 SELECT doc_id, word, count(*) AS n, CAST(max(options) AS BIGINT) AS options FROM (SELECT doc_id, language, unnest({_WORDS.format("text")}) AS word FROM docs) JOIN o USING (language, word) GROUP BY doc_id, word"""
 
 
-def rewritten(spark, sf_dir, texts=injected):
+def rewritten(spark, sf_dir, texts=whole):
     return _digest(workflows.rewritten(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
-def before_after(spark, sf_dir, texts=injected):
+def before_after(spark, sf_dir, texts=whole):
     found = workflows.before_and_after(workflows.rewritten(_stated(texts(spark, sf_dir)), ["doc_id"]), ["doc_id"])
     return found.select("doc_id", F.round("probability_before", 6).alias("probability_before"), "verdict_before", F.round("probability_after", 6).alias("probability_after"), "verdict_after")
 
 
-def detect_report(spark, sf_dir, texts=injected):
+def detect_report(spark, sf_dir, texts=whole):
     found = workflows.detect(texts(spark, sf_dir), ["doc_id"])
-    return found.select("doc_id", F.round("ai_probability", 6).alias("ai_probability"), "verdict", F.size("findings").alias("n_findings"), F.size("segments").alias("n_segments"), F.to_json("segments").alias("segments"))
+    places = F.concat_ws(",", F.transform("segments", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
+    return found.select("doc_id", F.round("ai_probability", 6).alias("ai_probability"), "verdict", F.size("findings").cast("long").alias("n_findings"), F.coalesce(F.size("segments"), F.lit(0)).cast("long").alias("n_segments"), places.alias("places"))
 
 
-def model_score(spark, sf_dir, texts=injected):
+def _detect_report_sql() -> str:
+    one = SEGMENTS[len(f"WITH {_SQL_DOCS}, ") :]
+    return f"""WITH {_SQL_DOCS}, whole AS ({DETECT}), top AS (WITH {one}), {_CHARS}, {_SWAPPED},
+n AS (SELECT doc_id, count(*) AS n FROM chars WHERE {_KIND} IS NOT NULL GROUP BY doc_id), h AS (SELECT doc_id, count(*) AS h FROM swapped WHERE c <> d AND NOT regexp_full_match(c, '{_WHITE}') GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS k, string_agg(start || '-' || "end", ',' ORDER BY rank) AS places FROM top GROUP BY doc_id)
+SELECT doc_id, ai_probability, verdict, coalesce(n, 0) + coalesce(h, 0) AS n_findings, coalesce(k, 0) AS n_segments, coalesce(places, '') AS places FROM whole LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+def model_score(spark, sf_dir, texts=whole):
     """The optional model's three states, with a stand-in that scores by length."""
     docs = texts(spark, sf_dir).withColumn("length", F.char_length("text"))
     return scorer.score_with(docs, lambda: lambda t: {"score": len(t) / 1000}).select("doc_id", "model_score.enabled", "model_score.available", F.round("model_score.score", 6).alias("score"))
@@ -373,10 +426,17 @@ def model_score(spark, sf_dir, texts=injected):
 MODEL_SCORE = f"WITH {_SQL_DOCS} SELECT doc_id, true AS enabled, true AS available, round(least(1.0, length(text) / 1000.0::DOUBLE), 6) AS score FROM docs"
 
 
-def findings_report(spark, sf_dir, texts=injected):
+def findings_report(spark, sf_dir, texts=whole):
     return src.findings_json(hidden.findings(texts(spark, sf_dir)), ["doc_id"])
 
 
+#: The reader's form of JSON: two blanks a level, a list's braces on the lines of its brackets.
+_ENTRY = r"""'{\n    "kind" : "' || kind || '",\n    "char" : ' || to_json(c) || ',\n    "codepoint" : "' || codepoint || '",\n    "index" : ' || i || ',\n    "note" : ' || to_json(note) || '\n  }'""".replace(r"\n", "' || chr(10) || '")
+FINDINGS_REPORT = f"""WITH {_SQL_DOCS}, {_CHARS}, {_SWAPPED},
+every AS (SELECT doc_id, 0 AS part, i, c, {_KIND} AS kind, CASE c {_NOTES} ELSE 'UNKNOWN' END AS note FROM chars WHERE {_KIND} IS NOT NULL UNION ALL SELECT doc_id, 1, i, c, 'homoglyph', 'normalizes to ' || d FROM swapped WHERE c <> d AND NOT regexp_full_match(c, '{_WHITE}')),
+listed AS (SELECT doc_id, string_agg({_ENTRY}, ', ' ORDER BY part, i) AS found FROM (SELECT *, {_CODE} AS codepoint FROM every) GROUP BY doc_id)
+SELECT doc_id, '{{' || chr(10) || '  "findings" : [ ' || CASE WHEN found IS NULL THEN '' ELSE found || ' ' END || ']' || chr(10) || '}}' AS report FROM docs LEFT JOIN listed USING (doc_id)"""
+
 # State
 
 CAPACITY, WINDOW_S = 3, 86_400.0
@@ -396,7 +456,7 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS key, t AS ts, allowed, retry AS ret
 
 
 QUERIES = (
-    detect_verdict, validate_docs, token_stats, lexicon_hits, verdict_by_source, labels_vs_score, conversation_roles, top_segments, invisible_findings, finding_counts, clean_text, line_kinds, protected_spans, merge_ranges,
+    detect_verdict, validate_docs, token_stats, lexicon_hits, verdict_by_source, labels_vs_score, conversation_roles, top_segments, invisible_findings, finding_counts, clean_text, line_kinds, protected_spans, merged_spans, merge_ranges,
     rule_audit, tell_scrub, thousands, headings, lexical_swap, restructure, vary_vocabulary, post_polish, swap_candidates, rewritten, before_after, detect_report, model_score, findings_report, admission,
 )
 
@@ -405,17 +465,13 @@ QUERIES = (
 _ASCII_PASSIVE = f"regexp_extract_all(text, '{metrics.PASSIVE['en'].replace(chr(39), chr(39) * 2)}')"
 _PASSIVE = _ASCII_PASSIVE.replace("(text,", r"(regexp_replace(text, '[^\x00-\x7F\P{L}]', '_', 'g'),")
 
-#: The queries of documents over whole(): the first ones keep to English rows, some with their texts replaced.
-WHOLE = {f"{f.__name__}_whole": partial(f, texts=whole) for f in QUERIES if "texts" in signature(f).parameters}
-
-
 def queries():
-    return {f.__name__: f for f in QUERIES} | WHOLE
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     known = {
         "detect_verdict": DETECT, "validate_docs": VALIDATE, "token_stats": TOKEN_STATS, "lexicon_hits": LEXICON_HITS, "verdict_by_source": VERDICT_BY_SOURCE, "labels_vs_score": LABELS, "conversation_roles": ROLES, "top_segments": SEGMENTS,
-        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(), "swap_candidates": SWAP_CANDIDATES, "model_score": MODEL_SCORE, "admission": ADMISSION,
+        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(), "swap_candidates": SWAP_CANDIDATES, "model_score": MODEL_SCORE, "admission": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT,
     }
-    return known | {f"{k}_whole": v.replace(_SQL_DOCS, _SQL_WHOLE).replace(_ASCII_PASSIVE, _PASSIVE) for k, v in known.items() if f"{k}_whole" in WHOLE}
+    return {k: v.replace(_ASCII_PASSIVE, _PASSIVE) for k, v in known.items()}

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.admission import OUT, Window, _decide
+from ..operators.admission import OUT, Gate, requests
 
 
-def admission_stream(df: DataFrame, capacity: int, window_s: float, idle_ms: int = 3_600_000) -> DataFrame:
-    """The streaming form of operators.admission: rows of a batch in order of time, keys apart. A key idle for idle_ms is forgotten."""
-    rows = df.select(F.col("event_id").cast("long").alias("event_id"), F.col("key").cast("string").alias("key"), F.col("ts").cast("double").alias("ts")).dropna(subset=["key", "ts"])
+def admission_stream(df: DataFrame, capacity: int, window_s: float, idle_ms: int | None = None) -> DataFrame:
+    """The streaming form of operators.admission: rows of a micro-batch in order of time, keys apart.
+
+    A key's state is its latest `capacity` admitted times. With idle_ms, a key that is idle so long is forgotten; the query must then run on.
+    """
 
     def step(key, batches, state):
         import pandas as pd
@@ -19,10 +20,13 @@ def admission_stream(df: DataFrame, capacity: int, window_s: float, idle_ms: int
         if state.hasTimedOut:
             state.remove()
             return
-        window = Window(capacity, window_s, state.get[0] if state.exists else ())
-        if found := list(batches):
-            yield _decide(pd.concat(found), window)
-        state.update((list(window.times),))
-        state.setTimeoutDuration(idle_ms)
-
-    return rows.groupBy("key").applyInPandasWithState(step, OUT, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        gate = Gate(capacity, window_s, key[0], state.get[0] if state.exists else ())
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        allowed, retry = gate.decide(rows["key"], rows["ts"].tolist())
+        state.update((list(gate.admitted),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield rows.assign(allowed=allowed, retry_after_s=retry)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return requests(df).groupBy("key").applyInPandasWithState(step, OUT, "times array<double>", "append", timeout)
