@@ -1,9 +1,10 @@
 """License scans with a positional rare-token index, in DataFrame expressions only.
 
-The index lists, for the highest-IDF words of each template, where the word stands in it. A file's occurrences of such
-words are looked up; each gives a template and the place where it would begin. Places on which enough of a template's
-rare words agree are kept if the template's key phrase stands there word for word. All of it happens within the row:
-nothing is shuffled but the document counts of the templates' own words.
+The index lists, for the highest-IDF words of each template's key phrase, where the word stands in the template. A file's occurrences of
+those words are looked up; each gives the templates that have the word and the place where they would begin. Postings are
+intersected by that place: only a template that two rare words of the file put at one and the same place goes on to be verified,
+by its key phrase word for word and by the share of its words, weighted by IDF, that stand there. All of it happens within
+the row: nothing is shuffled but the document counts of the templates' own words.
 """
 
 from __future__ import annotations
@@ -38,16 +39,28 @@ TEMPLATES = [
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
-RARE, LEAST_COVERAGE = 3, 0.6
+#: Whole notices as the licences print them, with their mandatory phrases. Files hold them word for word, perhaps cut at either end.
+NOTICES = [
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "unless required by applicable law or agreed to in writing"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "included in all copies or substantial portions of the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce the above copyright notice"),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "either version 2 of the license or at your option any later version"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "either version 3 of the license or at your option any later version"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "the author disclaims all warranties with regard to this software"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "free to copy modify publish use compile sell or distribute this software"),
+]
+#: Postings of a template, and how many of them must agree on its place.
+RARE, AGREE, LEAST_COVERAGE = 3, 2, 0.6
 POSTING = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("word", T.StringType()), ("at", T.IntegerType()), ("template", T.IntegerType()), ("key_at", T.IntegerType()))]))
 TEMPLATE = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (
-    ("template", T.IntegerType()), ("label", T.StringType()), ("base", T.BooleanType()), ("words", T.ArrayType(T.StringType())), ("weights", T.ArrayType(T.DoubleType())), ("key_at", T.IntegerType()), ("key", T.ArrayType(T.StringType())), ("agree", T.IntegerType()))]))
+    ("template", T.IntegerType()), ("label", T.StringType()), ("base", T.BooleanType()), ("words", T.ArrayType(T.StringType())), ("weights", T.ArrayType(T.DoubleType())), ("key_at", T.IntegerType()), ("key", T.ArrayType(T.StringType())))]))
 
 
 def templates() -> list[tuple[str, list[str], int, list[str], bool]]:
     """label, words, where the key phrase begins, key phrase, whether it is one of PHRASES."""
     out = [(label, p.split(), 0, p.split(), True) for p, label in PHRASES.items()]
-    for label, text, key in TEMPLATES:
+    for label, text, key in TEMPLATES + NOTICES:
         w, k = text.split(), key.split()
         out.append((label, w, next(i for i in range(len(w)) if w[i : i + len(k)] == k), k, False))
     return out
@@ -70,10 +83,9 @@ def index(idf: dict[str, float]) -> tuple[list, list]:
     """Postings of each template's rarest words, and the templates' table."""
     postings, table = [], []
     for k, (label, words, key_at, key, base) in enumerate(templates()):
-        in_key = [i for i in range(key_at, key_at + len(key))]
-        by = sorted(in_key, key=lambda i: (-idf[words[i]], i))[: 1 if base else RARE]
-        postings += [(words[i], i, k, key_at) for i in by]
-        table.append((k, label, base, words, [idf[w] for w in words], key_at, key, min(2, len(by))))
+        rarest = sorted(range(key_at, key_at + len(key)), key=lambda i: (-idf[words[i]], i))[:RARE]
+        postings += [(words[i], i, k, key_at) for i in rarest]
+        table.append((k, label, base, words, [idf[w] for w in words], key_at, key))
     return postings, table
 
 
@@ -89,6 +101,10 @@ def _literal(rows: list, kind: T.ArrayType) -> Column:
     return one(rows, kind)
 
 
+#: A place is a number below _PLACES: how far a template would begin behind _BEFORE words before the text.
+_PLACES, _BEFORE = 1 << 40, 1 << 20
+
+
 def places(words: Column, idf: dict[str, float]) -> Column:
     """Each place of each template in an array of words: template, label, base, at (words from 0), coverage (0 to 1, by IDF).
 
@@ -99,7 +115,13 @@ def places(words: Column, idf: dict[str, float]) -> Column:
     rare = sorted({w for w, *_ in postings})
     table_col, postings_col = _literal(table, TEMPLATE), _literal(postings, POSTING)
     hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*rare), F.struct(w.alias("word"), i.alias("i")))), lambda h: h.isNotNull())
-    begun = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(postings_col, lambda p: (p["word"] == h["word"]) & (h["i"] - p["at"] + p["key_at"] >= 0)), lambda p: F.struct(p["template"].alias("template"), (h["i"] - p["at"]).alias("at")))))
+    # One number for a template and the place where it would begin, which may lie before the text.
+    begun = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(postings_col, lambda p: (p["word"] == h["word"]) & (h["i"] - p["at"] + p["key_at"] >= 0)), lambda p: p["template"].cast("long") * _PLACES + (h["i"] - p["at"] + _BEFORE))))
+
+    def agreed(sorted_: Column) -> Column:
+        """Postings intersected: numbers that stand AGREE times in a row."""
+        kept = F.filter(F.transform(sorted_, lambda x, i: F.when((i >= AGREE - 1) & (F.get(sorted_, i - (AGREE - 1)) == x), x)), lambda x: x.isNotNull())
+        return F.transform(F.array_distinct(kept), lambda x: F.struct(F.floor(x / _PLACES).cast("int").alias("template"), (x % _PLACES - _BEFORE).cast("int").alias("at")))
 
     def verified(found: Column) -> Column:
         def one(c):
@@ -108,17 +130,16 @@ def places(words: Column, idf: dict[str, float]) -> Column:
                 size = F.size(t["words"]) - left
                 own, weights = F.slice(t["words"], left + 1, size), F.slice(t["weights"], left + 1, size)
                 there = F.slice(words, at + 1, size)
-                agree = F.aggregate(F.zip_with(there, own, lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(0), lambda n, same: n + same.cast("int"))
                 covered = F.aggregate(F.zip_with(F.zip_with(there, own, lambda a, b: F.coalesce(a == b, F.lit(False))), weights, lambda same, v: F.when(same, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
                 total = F.aggregate(weights, F.lit(0.0), lambda s, v: s + v)
                 key = F.slice(words, c["at"] + t["key_at"] + 1, F.size(t["key"])) == t["key"]
-                return F.struct(t["template"].alias("template"), t["label"].alias("label"), t["base"].alias("base"), at.alias("at"), F.when(key & (agree >= t["agree"]), covered / total).alias("coverage"))
+                return F.struct(t["template"].alias("template"), t["label"].alias("label"), t["base"].alias("base"), at.alias("at"), F.when(key, covered / total).alias("coverage"))
 
             return known(F.element_at(table_col, c["template"] + 1))
 
-        return F.filter(F.transform(F.array_distinct(found), one), lambda p: p["base"] & p["coverage"].isNotNull() | (p["coverage"] >= LEAST_COVERAGE))
+        return F.filter(F.transform(found, one), lambda p: p["base"] & p["coverage"].isNotNull() | (p["coverage"] >= LEAST_COVERAGE))
 
-    return verified(begun)
+    return F.element_at(F.transform(F.array(F.array_sort(begun)), lambda b: verified(agreed(b))), 1)
 
 
 def license_scan(df: DataFrame) -> DataFrame:
