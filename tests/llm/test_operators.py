@@ -207,27 +207,48 @@ def test_licenses_that_open_with_the_key_phrase(spark):
     assert [(r["labels"], r["score"]) for r in license_scan(spark.createDataFrame([(1, "public license v 2 0"), (2, "commons attribution 4 0 international license")], "doc_id long, text string")).collect()] == [("", 0.0)] * 2
 
 
-def test_lm_scores(docs, none, spark):
-    from textloom.llm.lm_scoring import lm_scores
+def backoff_by_hand(rows, order):
+    words = [t.encode().lower().split() for _, t in rows]
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    own = [grams(w) for w in words]
+    every = sum(own, Counter())
+    n_words, out = sum(map(len, words)), []
+    for w, mine in zip(words, own, strict=True):
+        total, short = 0.0, 0
+        for j in range(len(w)):
+            p, used = max(every[(w[j],)] - mine[(w[j],)], 0.5) / max(n_words - len(w), 1), 1
+            for n in range(2, min(order, j + 1) + 1):
+                g = tuple(w[j - n + 1 : j + 1])
+                c, h = every[g] - mine[g], every[g[:-1]] - mine[g[:-1]]
+                p, used = (c / h, n) if c > 0 and h > 0 else (0.4 * p, used)
+            total, short = total + math.log10(min(p, 1)), short + (used == 1)
+        out.append((len(w), total / len(w) if w else None, short))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(docs, none, spark, order, monkeypatch):
+    from textloom.llm import lm_scoring as lm
 
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 400)  # several chunks and partitions
+    monkeypatch.setattr(lm, "GRAMS_PER_PARTITION", 50)
     rng = random.Random(6)
-    rows = [(i, " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randint(0, 30)))) for i in range(60)]
-    words = {i: t.encode().lower().split() for i, t in rows}
-    one, two = Counter(), Counter()
-    for w in words.values():
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
-    for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        w = words[r["doc_id"]]
-        own, pairs, total = Counter(w), Counter(zip(w, w[1:], strict=False)), 0.0
-        for j, x in enumerate(w):
-            p = max(one[x] - own[x], 0.5) / (sum(one.values()) - len(w))
-            if j:
-                c, h = two[w[j - 1], x] - pairs[w[j - 1], x], one[w[j - 1]] - own[w[j - 1]]
-                p = c / h if c > 0 and h > 0 else 0.4 * p
-            total += math.log10(min(p, 1))
-        assert r["n_tokens"] == len(w) and (r["score"] is None if not w else abs(r["score"] - total / len(w)) < 1e-9)
-    assert lm_scores(docs).count() == len(AWKWARD) and lm_scores(none).count() == 0
+    rows = [(i, " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(100, "g h i j"), (101, "g h i j k"), (102, "only here are these words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit("x")).withColumn("round", F.lit(1))
+    got = {r["doc_id"]: r for r in lm.lm_scores(df, order).collect()}
+    for (i, _), (n, score, short) in zip(rows, backoff_by_hand(rows, order), strict=True):
+        assert (got[i]["n_tokens"], got[i]["n_backoff"]) == (n, short) and (got[i]["score"] is None if score is None else abs(got[i]["score"] - score) < 1e-9)
+    if order == 3:
+        assert lm.lm_scores(docs).count() == len(AWKWARD) and lm.lm_scores(none).count() == 0
+
+
+def test_packing():
+    from textloom.llm.lm_scoring import packed, packed_sorted, unpacked, unpacked_sorted
+
+    r = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        x, c = np.unique(r.integers(0, 2**64 - 1, n, np.uint64)), r.integers(0, 2**32 - 1, n, np.uint32)
+        assert (unpacked_sorted(packed_sorted(x)) == x).all() and (unpacked(packed(c), "<u4") == c).all()
 
 
 def edits_fit(code, item, w, e):
