@@ -28,19 +28,47 @@ FREQUENT = {
     "he": "של את על לא הוא זה היא עם כל אני גם כי או אם יש אבל מה היה רק יותר אין כמו בין עד לפני אחרי אחד".split(),
 }
 MACHINE_WORDS = {
-    "en": {"leverage": ["use"], "utilize": ["use"], "robust": ["solid", "strong"], "seamless": ["smooth"], "comprehensive": ["full"], "pivotal": ["key"], "crucial": ["key"], "delve": ["look"], "facilitate": ["help"], "foster": ["build"], "tapestry": ["mix"], "multifaceted": ["complex"], "intricate": ["complex"], "holistic": ["whole"], "moreover": ["also"], "furthermore": ["also"], "streamline": ["simplify"], "underscore": ["show"]},
+    "en": {
+        "leverage": ["use"], "utilize": ["use"], "robust": ["solid", "strong"], "seamless": ["smooth"], "comprehensive": ["full"], "pivotal": ["key"], "crucial": ["key"], "delve": ["look"], "facilitate": ["help"], "foster": ["build"],
+        "tapestry": ["mix"], "multifaceted": ["complex"], "intricate": ["complex"], "holistic": ["whole"], "moreover": ["also"], "furthermore": ["also"], "streamline": ["simplify"], "underscore": ["show"], "additionally": ["also"], "consequently": ["so"],
+        "nevertheless": ["still"], "nonetheless": ["still"], "paramount": ["vital"], "plethora": ["lot"], "myriad": ["many"], "realm": ["field"], "landscape": ["field"], "embark": ["start"], "endeavor": ["try"], "elevate": ["raise"],
+        "harness": ["use"], "unleash": ["free"], "unlock": ["open"], "empower": ["help"], "enhance": ["improve"], "optimize": ["improve"], "bolster": ["support"], "garner": ["get"], "showcase": ["show"], "exemplify": ["show"],
+        "elucidate": ["explain"], "meticulous": ["careful"], "meticulously": ["carefully"], "seamlessly": ["smoothly"], "effortlessly": ["easily"], "notably": ["mainly"], "arguably": ["perhaps"], "invaluable": ["useful"], "indispensable": ["needed"], "transformative": ["big"],
+        "groundbreaking": ["new"], "innovative": ["new"], "dynamic": ["lively"], "vibrant": ["lively"], "bustling": ["busy"], "profound": ["deep"], "nuanced": ["subtle"], "compelling": ["strong"], "noteworthy": ["notable"], "commendable": ["good"],
+        "testament": ["proof"], "cornerstone": ["base"], "beacon": ["guide"], "journey": ["path"], "synergy": ["teamwork"], "paradigm": ["model"], "ecosystem": ["system"], "stakeholders": ["people"], "actionable": ["useful"], "scalable": ["growing"],
+        "proactive": ["early"], "proactively": ["early"], "mitigate": ["reduce"], "navigate": ["handle"], "resonate": ["connect"], "spearhead": ["lead"], "orchestrate": ["arrange"], "augment": ["add"], "cultivate": ["grow"], "ascertain": ["find"],
+        "commence": ["begin"], "culminate": ["end"],
+    },
     "he": {"מקיף": ["מלא"], "מכריע": ["חשוב"], "מורכב": ["סבוך"], "להטמיע": ["ליישם"]},
 }
 MACHINE_PHRASES = {
-    "en": {"it is important to note": "note", "plays a crucial role": "matters", "a wide range of": "many", "in today's world": "today", "in the realm of": "in", "on the other hand": "but"},
+    "en": {
+        "it is important to note": "note", "plays a crucial role": "matters", "a wide range of": "many", "in today's world": "today", "in the realm of": "in", "on the other hand": "but", "it is worth noting": "note", "it is worth mentioning": "note",
+        "plays a vital role": "matters", "plays a pivotal role": "matters", "a testament to": "proof of", "at the end of the day": "finally", "in the ever-evolving": "in the changing", "in the world of": "in", "when it comes to": "with", "as a result of": "from",
+        "in light of": "given", "in the face of": "despite", "a variety of": "many", "a multitude of": "many", "an array of": "many", "the importance of": "why", "in conclusion": "finally", "to sum up": "finally", "in summary": "finally",
+        "first and foremost": "first", "last but not least": "last", "not only that": "also", "needless to say": "clearly", "it goes without saying": "clearly", "by and large": "mostly", "more often than not": "often", "for the most part": "mostly",
+        "in many ways": "often", "to a certain extent": "partly", "on a regular basis": "often", "in close proximity": "near", "with the aim of": "to", "with a view to": "to", "in an effort to": "to", "as well as": "and", "in addition to": "besides",
+        "take into consideration": "consider", "gain a deeper understanding": "learn", "shed light on": "explain", "pave the way for": "allow", "strike a balance": "balance", "stand the test of time": "last", "push the boundaries": "go further", "raise the bar": "do better",
+        "open up new possibilities": "help", "unlock the potential": "use", "harness the power": "use", "foster a sense of": "build", "a deep dive into": "a look at",
+    },
     "he": {"חשוב לציין": "נציין", "בעידן של היום": "היום"},
 }
 SYNONYMS = {
-    "en": {"big": ["large"], "quick": ["fast"], "begin": ["start"], "help": ["aid"], "show": ["display"], "buy": ["purchase"], "large": ["big"], "people": ["folks"], "important": ["key"], "many": ["plenty of"]},
+    "en": {
+        "big": ["large"], "quick": ["fast"], "begin": ["start"], "help": ["aid"], "show": ["display"], "buy": ["purchase"], "large": ["big"], "people": ["folks"], "important": ["key"], "many": ["plenty of"], "small": ["little"], "often": ["frequently"],
+        "use": ["apply"], "need": ["require"], "get": ["obtain"], "give": ["offer"], "find": ["spot"], "think": ["believe"], "try": ["attempt"], "ask": ["inquire"], "keep": ["hold"], "change": ["shift"], "end": ["finish"], "work": ["labor"], "job": ["task"],
+        "problem": ["issue"], "idea": ["notion"], "plan": ["scheme"], "part": ["piece"], "place": ["spot"], "kind": ["sort"], "reason": ["cause"], "result": ["outcome"], "goal": ["aim"], "chance": ["shot"], "hard": ["tough"], "easy": ["simple"], "good": ["fine"],
+        "bad": ["poor"], "new": ["fresh"], "old": ["aged"], "fast": ["quick"], "slow": ["sluggish"], "clear": ["plain"], "sure": ["certain"], "right": ["correct"], "wrong": ["mistaken"], "happy": ["glad"], "sad": ["unhappy"], "smart": ["bright"], "rich": ["wealthy"],
+        "strong": ["sturdy"], "build": ["make"], "choose": ["pick"], "learn": ["study"], "speak": ["talk"], "allow": ["let"],
+    },
     "he": {"גדול": ["רחב"], "מהיר": ["זריז"], "חשוב": ["מרכזי"]},
 }
-VOCABULARY = {"very": ["really", "quite"], "however": ["still", "yet"], "because": ["since"], "for example": ["say"], "important": ["big"], "different": ["other"], "difficult": ["tough"], "improve": ["lift"]}
-FRAGMENTS = ["And it shows.", "Simple as that.", "No surprise there.", "Worth a pause."]
+VOCABULARY = {
+    "very": ["really", "quite"], "however": ["still", "yet"], "because": ["since"], "for example": ["say"], "important": ["big"], "different": ["other"], "difficult": ["tough"], "improve": ["lift"], "additional": ["more"], "approximately": ["about"],
+    "assist": ["help"], "attempt": ["try"], "complete": ["finish"], "consider": ["weigh"], "currently": ["now"], "demonstrate": ["show"], "determine": ["find"], "ensure": ["make sure"], "especially": ["above all"], "frequently": ["often"], "immediately": ["at once"],
+    "in addition": ["also"], "individuals": ["people"], "necessary": ["needed"], "obtain": ["get"], "primarily": ["mainly"], "provide": ["give"], "purchase": ["buy"], "require": ["need"], "significant": ["big"], "therefore": ["so"],
+}
+FRAGMENTS = ["And it shows.", "Simple as that.", "No surprise there.", "Worth a pause.", "That counts.", "Not by chance.", "Few would argue.", "And rightly so."]
 
 
 def lexicon(spark: SparkSession, frequent=FREQUENT, machine=MACHINE_WORDS) -> DataFrame:
