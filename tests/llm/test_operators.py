@@ -457,6 +457,86 @@ def test_winnowing_wherever_a_passage_stands(spark):
     assert all(set(got[100 + j].values()) & set(got[k].values()) for j in (0, 1) for k in (0, 1, 2, 3))
 
 
+def test_ids_beyond_doubles(spark):
+    """A null id beside them doesn't make whole numbers inexact."""
+    from textloom.llm import jaccard_join, lm_scoring, sentencepiece_sa, token_counts, token_files, toxicity
+
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "some words that stand here"), (None, "other words"), (-big, None)], "doc_id long, text string").coalesce(1)
+    bpe, piece = common.tokenizer_path("byte_bpe_50k.json"), common.tokenizer_path("piece_bpe_32k.model")
+    model = toxicity.Model(((" words ", 1.0),), 1.0, 0.0)
+    found = {
+        "op1": sentencepiece_sa.encode_and_decode(df, piece), "op2": token_files.encode_to_files(spark, df, bpe, 2, 50257), "op4": toxicity.toxicity(df, model),
+        "op6": lm_scoring.lm_scores(df), "op8": jaccard_join.jaccard_join(df, 3, 90), "op9": token_counts.token_counts(df, bpe),
+    }
+    for name, rows in found.items():
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows.collect()) == [(False, -big), (False, big), (True, 0)], name
+
+
+def toxicity_by_hand(text, model):
+    from textloom.llm.toxicity import folded
+
+    words, exact = folded(text).split(), {f.strip(): w for f, w in model.lexicon if f.endswith(" ")}
+    begin = {f.strip(): w for f, w in model.lexicon if not f.endswith(" ")}
+    excused = {i for e in model.exceptions for i in range(len(words)) for j in range(len(e.split())) if words[i - j : i - j + len(e.split())] == e.split() and i >= j}
+    total = hits = 0
+    for i, w in enumerate(words):
+        weights = [exact[w]] * (w in exact) + [v for b, v in begin.items() if w.startswith(b)]
+        if weights and i not in excused:
+            total, hits = total + max(weights), hits + 1
+    x = model.slope * total / (1 + math.log1p(len(words) / 200)) + model.bias
+    return 1 / (1 + math.exp(-max(-30, min(30, x)))), hits, len(words)
+
+
+def test_toxicity_against_hand(spark):
+    from textloom.llm.toxicity import EXCEPTIONS, Model, folded, toxicity
+
+    assert [folded(t).strip() for t in ("You 1d10t!", "М0r0n", "ＳＣＵＭ", "year 2024 b4", "@ss $cum!!")] == ["you idiot", "moron", "scum", "year 2024 ba", "ass scum"]
+    model = Model(((" idiot ", 2.0), (" moro", 1.5), (" moron ", 2.5), (" trash ", 1.0), (" scum ", 3.0)), 0.9, -1.0)
+    r, pool = random.Random(8), "you idiot 1diot idiots moronic m0ron trash can bin scum hello there the a Моrоn".split()
+    texts = [" ".join(r.choice(pool) for _ in range(r.randint(0, 40))) for _ in range(150)] + list(EXCEPTIONS) + ["", None]
+    got = {x["doc_id"]: x for x in toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        score, hits, words = toxicity_by_hand(t or "", model)
+        assert (got[i]["n_hits"], got[i]["n_words"]) == (hits, words) and abs(got[i]["score"] - score) < 1e-12 and got[i]["predicted"] == (score >= 0.5), t
+
+
+def test_lexicon_against_hand(spark, sf_dir):
+    from textloom.llm.toxicity import FALSE_SHARE, LEAST_PRECISION, chance, features, held_out, learned, weight
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = {r["text"]: 0 for r in docs.join(labels.filter(~held_out()), "doc_id").select(F.coalesce("text", F.lit("")).alias("text")).collect()}
+    for r in docs.join(labels.filter(~held_out()), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").collect():
+        rows[r["text"]] = max(rows[r["text"]], r["toxic"])
+    n = Counter(rows.values())
+    toxic, clean = Counter(), Counter()
+    for t, y in rows.items():
+        (toxic if y else clean).update(features(t))
+    p = {f: chance(c, clean[f], n[1], n[0]) for f, c in toxic.items()}
+    ranked = sorted(p.values())
+    limit = max((x for k, x in enumerate(ranked, 1) if x * len(p) <= FALSE_SHARE * k), default=-1.0)
+    want = {(f, weight(c, clean[f], n[1], n[0])) for f, c in toxic.items() if p[f] <= limit and c >= LEAST_PRECISION * (c + clean[f])}
+    assert want and set(learned(docs, labels).lexicon) == want
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Null and empty texts, repeated rows and ids, extra columns, labels and benchmark without rows: through run(), stage by stage from stored tables."""
+    import corpus_pipeline
+
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, long, "x"), (2, long, "y"), (2, long, "y"), (3, None, "n"), (4, "", "e"), (None, "no id here at all", "z"), (5, long + " thirteen", "v"), (6, "quite another text, by itself", "w")]
+    spark.createDataFrame(rows, "doc_id long, text string, piece_ids string").withColumn("found", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(9, "quite another text, by itself"), (10, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 1), (False, 3), (False, 4), (True, 0)]
+    assert all(r["decoded"] == (r["text"] or "") for r in got) and [len(r["piece_ids"]) for r in got if not r["text"]] == [0, 0]
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).filter("false").write.parquet(str(empty / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -35,7 +35,7 @@ PREFIXES, FALSE_SHARE, LEAST_PRECISION = (4, 5, 6, 7), 0.05, 0.9
 _FOLD = str.maketrans(LOOKALIKES)
 _UNLEET = str.maketrans(SUBSTITUTES)
 _WORD = re.compile(r"[^\W_]+")
-_DISGUISED = re.compile(r"(?=[0-9@$!|]*[^\W\d_])[^\W_@$!|]*[0-9@$!|](?:[^\W_]|[@$!|](?=[^\W_]))*")
+_DISGUISED = re.compile(r"(?=[0-9@$!|]*[^\W\d_])[^\W_@$!|]*(?:[0-9]|[@$!|](?=[^\W_]))(?:[^\W_]|[@$!|](?=[^\W_]))*")  # a sign at a word's end is none of it
 
 
 def folded(text: str) -> str:
