@@ -481,7 +481,7 @@ def toxicity_by_hand(text, model):
     excused = {i for e in model.exceptions for i in range(len(words)) for j in range(len(e.split())) if words[i - j : i - j + len(e.split())] == e.split() and i >= j}
     total = hits = 0
     for i, w in enumerate(words):
-        weights = [exact[w]] * (w in exact) + [v for b, v in begin.items() if w.startswith(b)]
+        weights = ([exact[w]] if w in exact else []) + [v for b, v in begin.items() if w.startswith(b)]
         if weights and i not in excused:
             total, hits = total + max(weights), hits + 1
     x = model.slope * total / (1 + math.log1p(len(words) / 200)) + model.bias
