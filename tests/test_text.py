@@ -240,6 +240,19 @@ def test_sinks_and_dictionaries(spark, tmp_path):
     assert [tuple(r) for r in src.ranks(words).orderBy("rank").collect()] == [("b", 1), ("a", 2)]
 
 
+def test_dictionaries_by_spark(spark, tmp_path):
+    (tmp_path / "words").write_text("the\nof\n\nand\nof\n", encoding="utf-8")
+    assert {(r["word"], r["rank"]) for r in src.word_list(spark, str(tmp_path / "words")).collect()} == {("the", 1), ("and", 3), ("of", 4)}
+    (tmp_path / "d.json").write_text('{"en": {"big": ["large", "great"]}, "he": {}}', encoding="utf-8")
+    assert [tuple(r) for r in src.dictionary(spark, str(tmp_path / "d.json"), "en").collect()] == [("big", ["large", "great"])]
+    assert src.dictionary(spark, str(tmp_path / "d.json"), "fr").count() == src.dictionary(spark, str(tmp_path / "none"), "en").count() == src.word_list(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_leading_signals(spark):
+    found = metrics.detect(frame(spark, ["One two three. Four five six. Seven eight nine. It might perhaps be so."]), ["doc_id"]).select(metrics.leading_signals().alias("s")).first()["s"]
+    assert [x["name"] for x in found][0] == "Burstiness (low)" and len(found) == 3 and [x["value"] for x in found] == sorted((x["value"] for x in found), reverse=True)
+
+
 def test_entry_without_the_subpackage():
     """In a copy without the two folders and the pipeline, the entry and the other queries still stand."""
     import shutil

@@ -126,6 +126,17 @@ def detect(df: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
 REASONS = [("phrase", "AI phrase density"), ("burstiness", "Low burstiness"), ("perplexity", "Predictable vocabulary"), ("passive", "Passive voice"), ("transition", "Transition overuse"), ("pronoun", "Pronoun pattern")]
 
 
+#: What a text's leading signals are called, in the order that breaks ties, and the metric of each.
+SIGNALS = [("AI phrase density", "ai_phrase_density"), ("Burstiness (low)", "burstiness"), ("Passive voice", "passive_voice_ratio"), ("Transitions", "transition_word_frequency"), ("Hedging", "hedging_ratio")]
+
+
+def leading_signals(k: int = 3) -> Column:
+    """array<struct<name, value>> of a detect() row's k greatest signals, greatest first. Even sentences are a signal, so burstiness counts down from 1."""
+    value = lambda m: 1.0 - F.least(F.lit(1.0), F.col(m)) if m == "burstiness" else F.col(m)
+    each = F.array(*[F.struct((-value(m)).alias("down"), F.lit(o).alias("o"), F.lit(name).alias("name")) for o, (name, m) in enumerate(SIGNALS)])
+    return F.transform(F.slice(F.array_sort(each), 1, k), lambda x: F.struct(x["name"].alias("name"), (-x["down"]).alias("value")))
+
+
 def top_segments(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """The k most machine-like sentences of at least three words of each text: keys, rank, start, end, text, sub_score, reason.
 

@@ -148,6 +148,15 @@ DETECT = f"""WITH {_SQL_DOCS}, {_KEYED}, {_detect_sql("keyed")}
 SELECT row_id AS doc_id, language, CAST(n_words AS BIGINT) AS n_words, {", ".join(f"round({m}, 6) AS {m}" for m in metrics.METRICS)}, round(ai_probability, 6) AS ai_probability, {_VERDICT} AS verdict FROM fused"""
 
 
+def leading_signals(spark, sf_dir, texts=whole):
+    found = metrics.detect(texts(spark, sf_dir), ["doc_id"]).select("doc_id", F.posexplode(metrics.leading_signals()).alias("rank", "s"))
+    return found.select("doc_id", (F.col("rank") + 1).cast("long").alias("rank"), "s.name", F.round("s.value", 6).alias("value"))
+
+
+LEADING = f"""WITH {_SQL_DOCS}, {_KEYED}, {_detect_sql("keyed")}, each AS ({" UNION ALL ".join(f"SELECT row_id, {o} AS o, '{name}' AS name, {'1.0 - least(1.0, burstiness)' if m == 'burstiness' else m} AS value FROM fused" for o, (name, m) in enumerate(metrics.SIGNALS))}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY value DESC, o) AS rank FROM each) SELECT row_id AS doc_id, rank, name, round(value, 6) AS value FROM ranked WHERE rank <= 3"""
+
+
 def lexicon_hits(spark, sf_dir, texts=whole):
     """Words in the lexicon's classes over the whole corpus, by language: the counted semi-joins."""
     docs = texts(spark, sf_dir)
@@ -456,7 +465,7 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS key, t AS ts, allowed, retry AS ret
 
 
 QUERIES = (
-    detect_verdict, validate_docs, token_stats, lexicon_hits, verdict_by_source, labels_vs_score, conversation_roles, top_segments, invisible_findings, finding_counts, clean_text, line_kinds, protected_spans, merged_spans, merge_ranges,
+    detect_verdict, leading_signals, validate_docs, token_stats, lexicon_hits, verdict_by_source, labels_vs_score, conversation_roles, top_segments, invisible_findings, finding_counts, clean_text, line_kinds, protected_spans, merged_spans, merge_ranges,
     rule_audit, tell_scrub, thousands, headings, lexical_swap, restructure, vary_vocabulary, post_polish, swap_candidates, rewritten, before_after, detect_report, model_score, findings_report, admission,
 )
 
@@ -471,7 +480,7 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     known = {
-        "detect_verdict": DETECT, "validate_docs": VALIDATE, "token_stats": TOKEN_STATS, "lexicon_hits": LEXICON_HITS, "verdict_by_source": VERDICT_BY_SOURCE, "labels_vs_score": LABELS, "conversation_roles": ROLES, "top_segments": SEGMENTS,
+        "detect_verdict": DETECT, "leading_signals": LEADING, "validate_docs": VALIDATE, "token_stats": TOKEN_STATS, "lexicon_hits": LEXICON_HITS, "verdict_by_source": VERDICT_BY_SOURCE, "labels_vs_score": LABELS, "conversation_roles": ROLES, "top_segments": SEGMENTS,
         "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(), "swap_candidates": SWAP_CANDIDATES, "model_score": MODEL_SCORE, "admission": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT,
     }
     return {k: v.replace(_ASCII_PASSIVE, _PASSIVE) for k, v in known.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,30 @@ def read_dictionary(path: str, section: str | None = None) -> dict:
     return found.get(section, {}) if section else found
 
 
+def _whole_file(spark: SparkSession, path: str) -> DataFrame:
+    """One row with a file's text, read by Spark from any store; no row if there is no such file."""
+    try:
+        return spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "value string")
+
+
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """word, rank of a list with a word on each line: blank lines don't count, and a word that stands twice has its last line's rank."""
+    words = F.filter(F.transform(F.split("value", "\n"), F.trim), lambda w: w != "")
+    rows = _whole_file(spark, path).select(F.posexplode(words).alias("i", "word"))
+    return rows.groupBy("word").agg((F.max("i") + 1).alias("rank"))
+
+
+def dictionary(spark: SparkSession, path: str, section: str | None = None) -> DataFrame:
+    """word, options of a JSON dictionary of lists, or of one section of it; a missing file or section is empty."""
+    kind = "map<string,array<string>>" if section is None else f"struct<`{section}`:map<string,array<string>>>"
+    found = F.from_json("value", kind)
+    return _whole_file(spark, path).select(F.explode(found if section is None else found[section]).alias("word", "options"))
+
+
 def ranks(df: DataFrame, word: str = "word", n: int = 5000) -> DataFrame:
     """word, rank of the n most frequent words of a column of words: a frequency list made from a corpus."""
     from pyspark.sql.window import Window
