@@ -312,6 +312,49 @@ def protected_spans(spark, sf_dir, texts=whole):
     return rows.select("doc_id", F.col("r.s").cast("long").alias("s"), F.col("r.e").cast("long").alias("e"), "r.kind")
 
 
+#: The span patterns without look-arounds, which RE2 lacks: what must not stand before is matched too, and sorted out or left off behind.
+_WITHOUT_LOOKING = {
+    "link": lines.SPANS["link"].replace(r"(?<!\!)", "!?"), "ref_link": lines.SPANS["ref_link"].replace(r"(?<!\!)", "!?"), "ref_definition": lines.SPANS["ref_definition"].replace(r"\[(?!\^)[^\]\n]+", r"\[[^\]\n\^][^\]\n]*"),
+    "mention": lines.SPANS["mention"].replace("(?<![A-Za-z0-9_])", "(?:^|[^A-Za-z0-9_])"), "hashtag": lines.SPANS["hashtag"].replace("(?<![A-Za-z0-9_])", "(?:^|[^A-Za-z0-9_])"), "title": lines.TITLE_RUN.replace(r"\s", _WHITE),  # blanks of all kinds, as in Python
+}
+
+
+def _matches_sql(name: str, pattern: str) -> str:
+    """doc_id, text, kind, x, pos: every match of a pattern and its place, from the lengths of the matches and of what is between them."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, text, '{name}' AS kind, unnest(m) AS x, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(q[:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[:i - 1], lambda y: length(y))), 0))) AS pos
+ FROM (SELECT doc_id, text, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS q FROM docs) WHERE len(m) > 0"""
+
+
+def _spans_sql() -> str:
+    """CTEs up to `spans` (doc_id, s, e, kind): protected spans, headings among them."""
+    every = " UNION ALL ".join(_matches_sql(k, v) for k, v in (lines.SPANS | _WITHOUT_LOOKING).items())
+    lined = "WITH " + LINE_KINDS[len(f"WITH {_SQL_DOCS}, ") :]
+    return f"""found AS ({every}), lined AS ({lined}),
+titles AS (SELECT doc_id, x, pos, right(rtrim(text[:pos], ' ' || chr(9)), 1) AS before FROM found WHERE kind = 'title'),
+spans AS (SELECT doc_id, pos + CASE WHEN kind IN ('mention', 'hashtag') AND x[1] NOT IN ('@', '#') THEN 1 ELSE 0 END AS s, pos + length(x) AS e, kind FROM found WHERE kind <> 'title' AND NOT (kind IN ('link', 'ref_link') AND x[1] = '!')
+ UNION ALL SELECT doc_id, pos, pos + length(x), 'proper_noun' FROM titles WHERE before <> '' AND before NOT IN ('.', '!', '?', ':', chr(10))
+ UNION ALL SELECT doc_id, pos + length(regexp_extract(x, '^{lines.TITLE_TOKEN}{_WHITE}+')), pos + length(x), 'proper_noun' FROM titles WHERE (before = '' OR before IN ('.', '!', '?', ':', chr(10))) AND len(regexp_extract_all(x, '{lines.TITLE_TOKEN}')) >= 3
+ UNION ALL SELECT doc_id, start, "end", kind FROM lined WHERE kind = 'heading' UNION ALL SELECT doc_id, start, start + body_start, kind FROM lined WHERE kind <> 'heading' AND body_start > 0)"""
+
+
+#: Spans that touch are one.
+_MERGED_SQL = """reached AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans),
+islands AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM reached),
+merged AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM islands GROUP BY doc_id, island)"""
+PROTECTED = f"WITH {_SQL_DOCS}, {_spans_sql()} SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, kind FROM spans"
+MERGED_SPANS = f"""WITH {_SQL_DOCS}, {_spans_sql()}, {_MERGED_SQL}
+SELECT docs.doc_id, count(s) AS n, CAST(coalesce(sum(e - s), 0) AS BIGINT) AS covered, CAST(min(s) AS BIGINT) AS first, CAST(max(e) AS BIGINT) AS last FROM docs LEFT JOIN merged USING (doc_id) GROUP BY docs.doc_id"""
+#: A run of digits, commas, points and hyphens has a number to change if it begins with four digits or more and ends there or goes on with a hyphen.
+THOUSANDS = f"""WITH {_SQL_DOCS}, {_spans_sql()}, {_MERGED_SQL},
+cut AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9,.\\-]+') AS m, regexp_split_to_array(text, '[0-9,.\\-]+') AS q FROM docs),
+placed AS (SELECT doc_id, unnest(q) AS between, unnest(list_append(m, '')) AS x, generate_subscripts(q, 1) AS i FROM cut),
+starts AS (SELECT *, sum(length(between) + length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS pos, regexp_extract(x, '^([0-9]{{4,}})(-|$)', 1) AS digits FROM placed),
+judged AS (SELECT *, digits <> '' AND NOT regexp_full_match(digits, '(19|20)[0-9][0-9]') AND NOT EXISTS (SELECT 1 FROM merged WHERE merged.doc_id = starts.doc_id AND s < pos + length(digits) AND e > pos) AS changes FROM starts),
+plain AS (SELECT *, CASE WHEN ltrim(digits, '0') = '' THEN '0' ELSE ltrim(digits, '0') END AS d FROM judged)
+SELECT doc_id, md5(string_agg(between || CASE WHEN changes THEN reverse(regexp_replace(regexp_replace(reverse(d), '([0-9]{{3}})', '\\1,', 'g'), ',$', '')) || x[length(digits) + 1:] ELSE x END, '' ORDER BY i)) AS text_md5, CAST(count(*) FILTER (changes) AS BIGINT) AS n_changed FROM plain GROUP BY doc_id"""
+
+
 def merged_spans(spark, sf_dir, texts=whole):
     """The union of each text's protected spans, headings included: how many, how many characters they cover, and the outermost places."""
     rows = texts(spark, sf_dir).select("doc_id", lines.merged_ranges()("text").alias("r"))
@@ -481,6 +524,6 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     known = {
         "detect_verdict": DETECT, "leading_signals": LEADING, "validate_docs": VALIDATE, "token_stats": TOKEN_STATS, "lexicon_hits": LEXICON_HITS, "verdict_by_source": VERDICT_BY_SOURCE, "labels_vs_score": LABELS, "conversation_roles": ROLES, "top_segments": SEGMENTS,
-        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(), "swap_candidates": SWAP_CANDIDATES, "model_score": MODEL_SCORE, "admission": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT,
+        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(), "swap_candidates": SWAP_CANDIDATES, "model_score": MODEL_SCORE, "admission": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT, "protected_spans": PROTECTED, "merged_spans": MERGED_SPANS, "thousands": THOUSANDS,
     }
     return {k: v.replace(_ASCII_PASSIVE, _PASSIVE) for k, v in known.items()}
