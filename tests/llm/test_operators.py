@@ -424,7 +424,8 @@ def test_edited_fingerprints(spark, docs, none):
 
     r = random.Random(4)
     rows = [(i, t) for i, t in AWKWARD if i is not None][:-1]
-    rows += [(1000 + i, "".join(r.choice("abcdef gh") for _ in range(r.randint(0, 400)))) for i in range(25)]
+    rows += [(1000 + i, "".join(r.choice("abcdef gh") for _ in range(r.randint(0, 400)))) for i in range(120)]
+    rows += [(2000 + i, "".join(r.choice("ab ") for _ in range(r.randint(0, 90)))) for i in range(120)] + [(3000 + i, " " * (i % 3 * 30) + "aab" * i) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1)).withColumn("next", F.lit("x")).withColumn("h", F.lit(2))
     order = sorted(((i, t or "") for i, t in rows), reverse=True)
     edits = {i: t[: len(t) - len(t) // 2] + order[(j + 1) % len(order)][1][: len(t) // 2] for j, (i, t) in enumerate(order)}

@@ -95,35 +95,49 @@ def _kept(solid_: Column, k: int, w: int) -> Column:
     return _let(sums, chosen)
 
 
-def spliced(kept: Column, front: Column, back: Column, k: int = K, w: int = W) -> Column:
-    """winnowed() of a text whose front is that of a text with these kept hashes, without hashing the front again.
+def spliced(kept: Column, next_kept: Column, front: Column, back: Column, k: int = K, w: int = W) -> Column:
+    """winnowed() of a text that is the front of one text and the beginning of another, from what those two keep; only the seam is hashed.
 
-    front and back have no blanks. Windows within the front keep what they kept; the others are looked at anew. A window that begins before those
-    may still keep a place behind their beginning: its least hash is the least of those kept within it.
+    front and back have no blanks. Windows within the front keep what they kept in its text, windows within the back what they kept in the other.
+    The windows of either that are cut off at a side may have kept a place beyond: its least hash is the least of those kept within it. Windows across
+    the seam are looked at anew; with a short back, so is all of it.
     """
-    begin = F.greatest(F.char_length(front) - (k + w - 2), F.lit(0))
+    span = k + w - 1  # code points that a window looks at
+    m = F.char_length(front)
+    begin = F.greatest(m - (span - 1), F.lit(0))
+    pack = lambda v: _packed(v["hash"], v["position"])
 
-    def put_together(p: Column) -> Column:
-        rest = F.transform(_let(F.concat(F.substring(front, p + 1, F.char_length(front)), back), lambda s: _kept(s, k, w)), lambda v: F.struct(v["hash"].alias("hash"), (v["position"] + p).alias("position")))
-        near = F.filter(kept, lambda v: (v["position"] > p - w) & (v["position"] < p + w - 1))
-        pack = lambda v: _packed(v["hash"], v["position"])
+    def least(near: Column, first: Column, last: Column) -> Column:
+        """What the windows that begin from first to last keep, packed; near holds all that they may."""
+        return F.transform(F.sequence(first, F.greatest(first, last)), lambda s: F.array_min(F.transform(F.filter(near, lambda v: (v["position"] >= s) & (v["position"] < s + w)), pack)))
 
-        def crossing(near: Column, rest: Column) -> Column:
-            least = F.transform(F.sequence(F.greatest(p - (w - 1), F.lit(0)), F.greatest(p - 1, F.lit(0))), lambda s: F.array_min(F.transform(F.filter(near, lambda v: (v["position"] >= s) & (v["position"] < s + w)), pack)))
-            return F.filter(near, lambda v: (v["position"] >= p) & F.array_contains(least, pack(v)) & ~F.exists(F.slice(rest, 1, 2 * w), lambda r: r["position"] == v["position"]))
+    def of_front(p: Column) -> Column:
+        """What windows that begin before p keep at p or behind."""
+        near = F.filter(kept, lambda v: (v["position"] > p - w) & (v["position"] < p + w - 1))
+        found = _let(near, lambda n: _let(least(n, F.greatest(p - (w - 1), F.lit(0)), p - 1), lambda l: F.filter(n, lambda v: (v["position"] >= p) & F.array_contains(l, pack(v)))))
+        return F.when(p > 0, found).otherwise(F.array().cast(KEPT))
 
-        def whole(rest: Column) -> Column:
-            across = _let(near, lambda n: crossing(n, rest))
-            both = lambda a: F.concat(F.filter(kept, lambda v: v["position"] < p), F.array_sort(F.concat(a, F.slice(rest, 1, 2 * w)), _by_position), F.slice(rest, 2 * w + 1, F.size(rest)))
-            return F.when(p == 0, rest).otherwise(_let(across, both))
+    def of_back(last: Column) -> Column:
+        """What the other text's windows that begin up to `last` keep, at its place in the whole."""
+        near = F.filter(next_kept, lambda v: (v["position"] > last - w) & (v["position"] < last + w))
+        found = _let(least(near, F.greatest(last - (w - 2), F.lit(0)), last), lambda l: F.filter(next_kept, lambda v: (v["position"] <= last) | (v["position"] < last + w) & F.array_contains(l, pack(v))))
+        return F.transform(found, lambda v: F.struct(v["hash"].alias("hash"), (v["position"] + m).alias("position")))
 
-        return _let(rest, whole)
+    def put_together(p: Column) -> Column:
+        whole_back = (m == 0) | (F.char_length(back) < span)
+        seam = F.concat(F.substring(front, p + 1, F.char_length(front)), F.when(whole_back, back).otherwise(F.substring(back, F.lit(1), F.lit(span - 1))))
+        # A seam that is shorter than a window, behind a front that isn't, has nothing across it.
+        anew = F.transform(_let(seam, lambda s: F.when((p > 0) & (F.char_length(s) < span), F.array().cast(KEPT)).otherwise(_kept(s, k, w))), lambda v: F.struct(v["hash"].alias("hash"), (v["position"] + p).alias("position")))
+        behind = F.when(whole_back, F.array().cast(KEPT)).otherwise(of_back(F.char_length(back) - span))
 
-    return _let(begin, put_together)
+        def merged(anew: Column, behind: Column) -> Column:
+            at_seam = F.array_sort(F.concat(of_front(p), anew, F.slice(behind, 1, 2 * w)), lambda a, b: a["position"] - b["position"])
+            once = _let(at_seam, lambda x: F.filter(x, lambda v, i: (i == 0) | (F.get(x, i - 1)["position"] != v["position"])))
+            return F.concat(F.filter(kept, lambda v: v["position"] < p), once, F.slice(behind, 2 * w + 1, F.size(behind)))
 
+        return _let(anew, lambda x: _let(behind, lambda y: merged(x, y)))
 
-def _by_position(a: Column, b: Column) -> Column:
-    return a["position"] - b["position"]
+    return _let(begin, lambda p: put_together(p))
 
 
 def hashes(kept: Column) -> Column:
@@ -183,14 +197,14 @@ def edited_fingerprints(df: DataFrame) -> DataFrame:
     """
     rows, window = _with_next(common.texts(df))
     # Only texts cross the shuffle: hashes are made behind it, between two windows that share its order.
-    rows = rows.withColumn("next", F.lead("text").over(window)).withColumn("kept", winnowed(F.col("text"))).withColumn("h", hashes(F.col("kept")))
-    rows = rows.withColumn("next_h", F.lead("h").over(window)).filter(~F.col("extra"))
+    rows = rows.withColumn("next", F.lead("text").over(window)).withColumn("kept", winnowed(F.col("text")))
+    rows = rows.withColumn("next_kept", F.lead("kept").over(window)).filter(~F.col("extra")).withColumn("h", hashes(F.col("kept")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.substring(F.col("text"), F.lit(1), n - half).alias("front"), F.substring(F.col("next"), F.lit(1), half).alias("back"), "kept", "h", "next_h")
-    rows = rows.withColumn("edited_kept", spliced(F.col("kept"), solid(F.col("front")), solid(F.col("back")))).withColumn("edited_h", hashes(F.col("edited_kept")))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.substring(F.col("text"), F.lit(1), n - half).alias("front"), F.substring(F.col("next"), F.lit(1), half).alias("back"), "kept", "h", "next_kept")
+    rows = rows.withColumn("edited_kept", spliced(F.col("kept"), F.col("next_kept"), solid(F.col("front")), solid(F.col("back")))).withColumn("edited_h", hashes(F.col("edited_kept")))
     alike = F.array_position(F.zip_with(F.slice("kept", 1, F.least(F.size("kept"), F.size("edited_kept"))), F.slice("edited_kept", 1, F.least(F.size("kept"), F.size("edited_kept"))), lambda a, b: a == b), False)
     n_alike = F.when(alike > 0, alike - 1).otherwise(F.least(F.size("kept"), F.size("edited_kept"))).cast("int")
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.concat("front", "back"), 256).alias("edited_sha256"), digest(F.col("kept")).alias("fingerprint"), digest(F.col("edited_kept")).alias("edited_fingerprint"), likeness(F.col("h"), F.col("edited_h")).alias("near_edited"),
-        likeness(F.col("h"), F.col("next_h")).alias("near_next"), F.size("h").cast("long").alias("n_kept"), F.when(n_alike > 0, F.element_at("kept", n_alike)["position"]).otherwise(-1).cast("long").alias("same_until"))
+        likeness(F.col("h"), hashes(F.col("next_kept"))).alias("near_next"), F.size("h").cast("long").alias("n_kept"), F.when(n_alike > 0, F.element_at("kept", n_alike)["position"]).otherwise(-1).cast("long").alias("same_until"))
