@@ -14,7 +14,7 @@ import re
 #: The published pattern of the byte-level pre-tokenizer.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: What remembered chunks may take, in bytes, with what an entry costs besides; longer chunks than KEPT characters aren't remembered.
-CACHE_BYTES, KEPT, _ENTRY = 96_000_000, 1000, 200
+CACHE_BYTES, KEPT, _ENTRY = 200_000_000, 1000, 200
 _BETWEEN_SPACES = re.compile(r" (?<=\s )(?:\s|\Z)")
 
 
