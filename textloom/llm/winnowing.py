@@ -102,8 +102,12 @@ def spliced(kept: Column, next_kept: Column, front: Column, back: Column, k: int
     The windows of either that are cut off at a side may have kept a place beyond: its least hash is the least of those kept within it. Windows across
     the seam are looked at anew; with a short back, so is all of it.
     """
+    # Lengths are bound once for the row: within a lambda they would be counted anew for every element.
+    return _let(F.char_length(front), lambda m: _let(F.char_length(back), lambda n: _put_together(kept, next_kept, front, back, m, n, k, w)))
+
+
+def _put_together(kept: Column, next_kept: Column, front: Column, back: Column, m: Column, n: Column, k: int, w: int) -> Column:
     span = k + w - 1  # code points that a window looks at
-    m = F.char_length(front)
     begin = F.greatest(m - (span - 1), F.lit(0))
     pack = lambda v: _packed(v["hash"], v["position"])
 
@@ -120,15 +124,15 @@ def spliced(kept: Column, next_kept: Column, front: Column, back: Column, k: int
     def of_back(last: Column) -> Column:
         """What the other text's windows that begin up to `last` keep, at its place in the whole."""
         near = F.filter(next_kept, lambda v: (v["position"] > last - w) & (v["position"] < last + w))
-        found = _let(least(near, F.greatest(last - (w - 2), F.lit(0)), last), lambda l: F.filter(next_kept, lambda v: (v["position"] <= last) | (v["position"] < last + w) & F.array_contains(l, pack(v))))
+        found = _let(_let(near, lambda x: least(x, F.greatest(last - (w - 2), F.lit(0)), last)), lambda l: F.filter(next_kept, lambda v: (v["position"] <= last) | (v["position"] < last + w) & F.array_contains(l, pack(v))))
         return F.transform(found, lambda v: F.struct(v["hash"].alias("hash"), (v["position"] + m).alias("position")))
 
     def put_together(p: Column) -> Column:
-        whole_back = (m == 0) | (F.char_length(back) < span)
-        seam = F.concat(F.substring(front, p + 1, F.char_length(front)), F.when(whole_back, back).otherwise(F.substring(back, F.lit(1), F.lit(span - 1))))
+        whole_back = (m == 0) | (n < span)
+        seam = F.concat(F.substring(front, p + 1, m), F.when(whole_back, back).otherwise(F.substring(back, F.lit(1), F.lit(span - 1))))
         # A seam that is shorter than a window, behind a front that isn't, has nothing across it.
         anew = F.transform(_let(seam, lambda s: F.when((p > 0) & (F.char_length(s) < span), F.array().cast(KEPT)).otherwise(_kept(s, k, w))), lambda v: F.struct(v["hash"].alias("hash"), (v["position"] + p).alias("position")))
-        behind = F.when(whole_back, F.array().cast(KEPT)).otherwise(of_back(F.char_length(back) - span))
+        behind = F.when(whole_back, F.array().cast(KEPT)).otherwise(_let(n - span, of_back))
 
         def merged(anew: Column, behind: Column) -> Column:
             at_seam = F.array_sort(F.concat(of_front(p), anew, F.slice(behind, 1, 2 * w)), lambda a, b: a["position"] - b["position"])
@@ -202,7 +206,8 @@ def edited_fingerprints(df: DataFrame) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.substring(F.col("text"), F.lit(1), n - half).alias("front"), F.substring(F.col("next"), F.lit(1), half).alias("back"), "kept", "h", "next_kept")
-    rows = rows.withColumn("edited_kept", spliced(F.col("kept"), F.col("next_kept"), solid(F.col("front")), solid(F.col("back")))).withColumn("edited_h", hashes(F.col("edited_kept")))
+    rows = rows.withColumn("_front", solid(F.col("front"))).withColumn("_back", solid(F.col("back")))
+    rows = rows.withColumn("edited_kept", spliced(F.col("kept"), F.col("next_kept"), F.col("_front"), F.col("_back"))).withColumn("edited_h", hashes(F.col("edited_kept")))
     alike = F.array_position(F.zip_with(F.slice("kept", 1, F.least(F.size("kept"), F.size("edited_kept"))), F.slice("edited_kept", 1, F.least(F.size("kept"), F.size("edited_kept"))), lambda a, b: a == b), False)
     n_alike = F.when(alike > 0, alike - 1).otherwise(F.least(F.size("kept"), F.size("edited_kept"))).cast("int")
     return rows.select(
