@@ -81,10 +81,38 @@ def op10_winnowing(spark, sf_dir):
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    from .source_divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+#: All sources by all kept terms, zeros included, in whole numbers of any size.
+OP13 = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM d),
+kept AS (SELECT lang, t FROM w GROUP BY lang, t HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, t, count(*) AS n FROM w JOIN kept USING (lang, t) GROUP BY lang, source, t),
+g AS (SELECT DISTINCT lang, source FROM d), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang), ng AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source), nl AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+cl AS (SELECT lang, t, sum(n) AS n FROM c GROUP BY lang, t),
+p AS (SELECT lang, source, t, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (coalesce(total, 0) + 2 * v) AS p FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, t) LEFT JOIN ng USING (lang, source)),
+q AS (SELECT lang, t, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS q FROM cl JOIN v USING (lang) JOIN nl USING (lang)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL
+ UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM v)),
+terms AS (SELECT lang, source, 'term' AS part, t AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
+
 def queries():
-    found = (op1_sentencepiece, op2_token_files, op3_chat_tree, op4_toxicity, op5_license_scan, op6_lm_scores, op7_decontamination, op8_jaccard_join, op9_token_counts, op10_winnowing)
+    found = (op1_sentencepiece, op2_token_files, op3_chat_tree, op4_toxicity, op5_license_scan, op6_lm_scores, op7_decontamination, op8_jaccard_join, op9_token_counts, op10_winnowing, op11_spelling_variants, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op3_chat_tree": OP3}
+    return {"op3_chat_tree": OP3, "op13_source_divergence": OP13}
