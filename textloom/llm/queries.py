@@ -87,6 +87,12 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark, sf_dir):
+    from .personal_data import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark, sf_dir):
     from .source_divergence import source_divergence
 
@@ -110,7 +116,7 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 
 
 def queries():
-    found = (op1_sentencepiece, op2_token_files, op3_chat_tree, op4_toxicity, op5_license_scan, op6_lm_scores, op7_decontamination, op8_jaccard_join, op9_token_counts, op10_winnowing, op11_spelling_variants, op13_source_divergence)
+    found = (op1_sentencepiece, op2_token_files, op3_chat_tree, op4_toxicity, op5_license_scan, op6_lm_scores, op7_decontamination, op8_jaccard_join, op9_token_counts, op10_winnowing, op11_spelling_variants, op12_personal_data, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 
