@@ -106,15 +106,11 @@ def test_tells_in_both_forms(spark):
     assert rows[0]["text"] == "We examine it to learn, as it is a guide to all of us here." and "`in order to`" in rows[2]["text"]
 
 
-def test_headings():
-    assert rewrite.heading_case("# The Big API Plan\nSome prose here that is long enough to be no heading at all.")[0].startswith("# The big API plan\n")
-
-
-def test_swaps_are_repeatable_and_grow_with_strength():
-    text = " ".join(["We leverage robust and seamless plans that are crucial to people."] * 30)
-    count = lambda s: len(rewrite.swaps(text, "en", s, rewrite.Chance(7, "x"))[1])
-    assert rewrite.swaps(text, "en", "medium", rewrite.Chance(7, "x")) == rewrite.swaps(text, "en", "medium", rewrite.Chance(7, "x"))
-    assert 0 < count("light") < count("medium") < count("aggressive")
+def test_headings(spark):
+    texts = ["# The Big API Plan\nSome prose here that is long enough to be no heading at all.", "1. My IPHONE 4S And Ios App: The GitHub\n\n> NASA'S Own Words", "", None, "# המוצר Of The Year"]
+    rows = rewrite.headings(frame(spark, texts), ["doc_id"]).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == ["# The big API plan\nSome prose here that is long enough to be no heading at all.", "1. My iphone 4S and iOS app: the GitHub\n\n> NASA'S own words", "", None, "# המוצר Of The Year"]
+    assert [r["transformations"] for r in rows] == [["headings:1"], ["headings:2"], [], [], []]
 
 
 def test_sentences_and_abbreviations():
@@ -137,6 +133,8 @@ def test_pivots():
     assert rewrite.unpivoted("It isn't just about speed; it's about trust.") == ("Speed. It's trust.", 1)
     assert rewrite.unpivoted("One; two three four; this is so. Next; no.") == ("One; Two three four. This is so. Next; no.", 1)
     assert rewrite.unpivoted("A short; it's x.") == ("A short; it's x.", 0)
+    assert rewrite.unpivoted("This was not merely a matter of taste; that is really about money! It will not be only fun; it is work.") == ("Taste. That is money! Fun. It is work.", 2)
+    assert rewrite.unpivoted("They all went home; its end is near. He said it is; it.") == ("They all went home; its end is near. He said it is; it.", 0)
 
 
 def test_workflow(spark):

@@ -19,8 +19,13 @@ def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     By doubling: each round combines every element with the one 1, 2, 4, ... places before it, so an array of n elements takes log2(n) rounds
     over it. Empty arrays stay empty.
     """
-    rounds = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.pow(F.lit(2.0), k).cast("long")), lambda step: step < F.size(values))
-    return F.aggregate(rounds, values, lambda done, step: F.transform(done, lambda x, i: F.when(i >= step, op(F.get(done, (i - step).cast("int")), x)).otherwise(x)))
+    steps = F.array(*[F.lit(1 << k) for k in range(31)])
+
+    def doubled(x: Column) -> Column:
+        rounds = F.filter(steps, lambda step: step < F.size(x))
+        return F.aggregate(rounds, x, lambda done, step: F.transform(done, lambda v, i: F.when(i >= step, op(F.get(done, i - step), v)).otherwise(v)))
+
+    return let(values, doubled)
 
 
 def sums(values: Column) -> Column:
@@ -30,4 +35,4 @@ def sums(values: Column) -> Column:
 
 def before(values: Column, first) -> Column:
     """The array moved on by one place: `first`, then all values but the last."""
-    return F.transform(values, lambda _, i: F.when(i == 0, first).otherwise(F.get(values, i - 1)))
+    return let(values, lambda x: F.transform(x, lambda _, i: F.when(i == 0, first).otherwise(F.get(x, i - 1))))

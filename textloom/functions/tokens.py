@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import arrays
+
 #: What a word is, by language, and where sentences end.
 WORD = {"en": "[A-Za-z']+", "he": "[\\u05D0-\\u05EA]+"}
 SENTENCE_END = r"[.!?]+\s+"
@@ -31,18 +33,24 @@ def segments(text: Column) -> Column:
 
     The text is cut before the blanks that follow an end mark, so that the pieces' lengths add up to places.
     """
-    pieces = F.split(text, SEGMENT_CUT, -1)
-    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda found, p: F.array_append(found, F.element_at(found, -1) + F.char_length(p)))
-    found = F.element_at(F.transform(F.array(F.struct(pieces.alias("p"), ends.alias("e"))), lambda x: F.transform(x["p"], lambda piece, i: _placed(piece, i, x["e"]))), 1)
-    return F.filter(found, lambda s: s["text"] != "")
+
+    def placed(pieces: Column) -> Column:
+        ends = arrays.sums(F.transform(pieces, lambda p: F.char_length(p).cast("long")))
+        return arrays.let(ends, lambda e: F.transform(pieces, lambda piece, i: _placed(piece, i, F.get(e, i).cast("int"))))
+
+    return F.filter(arrays.let(F.split(text, SEGMENT_CUT, -1), placed), lambda s: s["text"] != "")
 
 
-def _placed(piece: Column, i: Column, ends: Column) -> Column:
+def _placed(piece: Column, i: Column, end: Column) -> Column:
     own = F.when(i == 0, piece).otherwise(F.regexp_replace(piece, r"^\s+", ""))
-    end = F.element_at(ends, i + 2)
     return F.struct((end - F.char_length(own)).alias("start"), end.alias("end"), own.alias("text"))
 
 
-def occurrences(text: Column, phrase: str) -> Column:
-    """How often a phrase stands in a text, without overlaps."""
-    return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(phrase)))) / len(phrase)).cast("int")
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<s, e, value>> (code points) of a pattern's matches, in order: places add up from the lengths of the matches and of what is between."""
+
+    def placed(x: Column) -> Column:
+        ends = arrays.sums(F.transform(x["m"], lambda v, i: (F.char_length(F.get(x["q"], i)) + F.char_length(v)).cast("long")))
+        return arrays.let(ends, lambda e: F.transform(x["m"], lambda v, i: F.struct((F.get(e, i) - F.char_length(v)).cast("int").alias("s"), F.get(e, i).cast("int").alias("e"), v.alias("value"))))
+
+    return arrays.let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("q")), placed)

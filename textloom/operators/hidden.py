@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import tokens
+
 # Characters that are stripped, only reported, or turned into plain spaces.
 STRIP = {
     "\u200B": "ZERO WIDTH SPACE", "\u200C": "ZERO WIDTH NON-JOINER", "\u200D": "ZERO WIDTH JOINER", "\u2060": "WORD JOINER", "\u180E": "MONGOLIAN VOWEL SEPARATOR",
@@ -49,9 +51,15 @@ def scan(text: Column) -> Column:
     return F.when(text.rlike(_ANY), found).otherwise(F.array().cast(FINDING))
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts):
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def nfkc(text: Column | str) -> Column:
+    """Compatibility form, which has no built-in function. Texts of ASCII alone, most of them, stay in the JVM."""
+
+    @F.pandas_udf(StringType())
+    def run(texts):
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(run.asNondeterministic()(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def homoglyphs(text: Column, normal: Column, equal_lengths: bool) -> Column:
@@ -74,17 +82,8 @@ SURPLUS = r"(?<=\S)[ \t]{2,}"
 
 def surplus(text: Column) -> Column:
     """A finding for each run of several blanks behind something on its line."""
-    runs, between = F.regexp_extract_all(text, F.lit(SURPLUS), F.lit(0)), F.split(text, SURPLUS, -1)
-    none = F.array().cast(FINDING)
-
-    def step(done, x):
-        at = done["at"] + F.char_length(x["between"])
-        one = F.struct(F.lit("excessive_whitespace").alias("kind"), F.substring(x["run"], 1, 1).alias("char"), code_point(x["run"]).alias("codepoint"), at.alias("index"), F.concat(F.char_length(x["run"]).cast("string"), F.lit(" blanks in a row")).alias("note"))
-        return F.struct((at + F.char_length(x["run"])).alias("at"), F.concat(done["found"], F.array(one)).alias("found"))
-
-    pairs = F.slice(F.arrays_zip(runs.alias("run"), between.alias("between")), 1, F.size(runs))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
-    return F.when(text.rlike(SURPLUS), found).otherwise(none)
+    one = lambda x: F.struct(F.lit("excessive_whitespace").alias("kind"), F.left(x["value"], F.lit(1)).alias("char"), code_point(x["value"]).alias("codepoint"), x["s"].alias("index"), F.concat(F.char_length(x["value"]).cast("string"), F.lit(" blanks in a row")).alias("note"))
+    return F.when(text.rlike(SURPLUS), F.transform(tokens.matches(text, SURPLUS), one).cast(FINDING)).otherwise(F.array().cast(FINDING))
 
 
 def findings(df: DataFrame) -> DataFrame:

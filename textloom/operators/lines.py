@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays
+
 # Patterns of line starts and of protected spans.
 HEADING = r"^\s*#{1,6}\s+"
 LIST_MARKER = r"^\s*(?:\d+[.)]|[-*•–])\s+"
@@ -61,30 +63,25 @@ def line_kinds(df: DataFrame, keys: list[str]) -> DataFrame:
 
     Starts are added up within the row, so no line's text is shuffled.
     """
-    cut = df.select(*keys, F.split("text", "\n", -1).alias("_lines"))
-    starts = F.aggregate("_lines", F.array(F.lit(0).cast("long")), lambda found, x: F.array_append(found, F.element_at(found, -1) + F.char_length(x) + 1))
-    rows = cut.select(*keys, F.posexplode(F.arrays_zip(F.col("_lines").alias("text"), F.slice(starts, 1, F.size("_lines")).alias("start"))).alias("line", "x")).select(*keys, "line", "x.*")
+    starts = lambda x: arrays.before(arrays.sums(F.transform(x, lambda t: F.char_length(t).cast("long") + 1)), F.lit(0).cast("long"))
+    cut = df.select(*keys, arrays.let(F.split("text", "\n", -1), lambda x: F.arrays_zip(x.alias("text"), starts(x).alias("start"))).alias("_lines"))
+    rows = cut.select(*keys, F.posexplode("_lines").alias("line", "x")).select(*keys, "line", "x.*")
     return rows.withColumn("end", (F.col("start") + F.char_length("text")).cast("long")).withColumn("k", line_kind(F.col("text"))).select(*keys, "line", "start", "end", "text", "k.kind", "k.body_start")
 
 
 def merged(spans: Column) -> Column:
-    """Union of spans array<struct<s, e>>: touching ones become one."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(done) > 0) & (x["s"] <= last["e"]), grown).otherwise(F.concat(done, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
-
-    return F.aggregate(F.array_sort(spans), none, step)
-
+    """Union of spans array<struct<s, e>>: touching ones become one. A span begins where none before it reaches; running maxima say where it ends."""
 
-def overlaps(spans: Column, s: Column, e: Column) -> Column:
-    return F.exists(spans, lambda r: (r["s"] < e) & (r["e"] > s))
+    def union(x: Column) -> Column:
+        def cut(reach: Column) -> Column:
+            last = F.size(x) - 1
+            starts = F.transform(x, lambda r, i: F.when((i == 0) | (r["s"] > F.get(reach, i - 1)), r["s"]))
+            ends = F.transform(reach, lambda m, i: F.when((i == last) | (F.get(x, i + 1)["s"] > m), m))
+            return F.zip_with(F.array_compact(starts), F.array_compact(ends), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
 
+        return arrays.let(arrays.running(F.transform(x, lambda r: r["e"]), F.greatest), cut)
 
-def covers(spans: Column, at: Column) -> Column:
-    return F.exists(spans, lambda r: (r["s"] <= at) & (at < r["e"]))
+    return arrays.let(F.array_sort(spans), union)
 
 
 # Matches with offsets have no built-in function: this part runs in Python, in Arrow batches.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions import tokens
+from ..functions import phrases, tokens
 
 #: The passive's pattern by language, and the weights of the sub-scores (sum 1).
 PASSIVE = {
@@ -49,11 +49,9 @@ def with_shape(df: DataFrame) -> DataFrame:
     df = df.withColumn("sentence_start_diversity", F.size(F.array_distinct("_starts")) / F.greatest(F.size("_starts"), F.lit(1)))
     passive = F.when(en, F.regexp_count("text", F.lit(PASSIVE["en"]))).otherwise(F.regexp_count("text", F.lit(PASSIVE["he"])))
     df = df.withColumn("passive_voice_ratio", passive / F.greatest("n_sentences", F.lit(1)))
-    small = F.lower("text")
-    hits = lambda lists: F.when(en, sum((tokens.occurrences(small, p) for p in lists["en"]), F.lit(0))).otherwise(sum((tokens.occurrences(small, p) for p in lists["he"]), F.lit(0)))
-    df = df.withColumn("phrase_hits", hits(lx.MACHINE_PHRASES))
     many = {k: [q for q in v if " " in q] for k, v in lx.QUANTIFIERS.items()}
-    return df.withColumn("quantifier_phrases", hits(many)).drop("_s", "_l", "_starts")
+    df = df.withColumn("_p", phrases.counts(F.lower("text"), F.col("language"), {"machine": lx.MACHINE_PHRASES, "many": many}))
+    return df.withColumn("phrase_hits", F.col("_p.machine")).withColumn("quantifier_phrases", F.col("_p.many")).drop("_s", "_l", "_starts", "_p")
 
 
 def metrics(df: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
@@ -67,8 +65,8 @@ def metrics(df: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
     joined = shaped.join(F.broadcast(lx.lexicon(df.sparkSession)), ["language", "word"], "left")
     unknown = F.when(F.col("language") == "en", lx.vocabulary_size("en")).otherwise(lx.vocabulary_size("he")) + 1
     flag = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("long")).alias(c)
-    out = joined.groupBy(*keys).agg(
-        F.first("language").alias("language"), *[F.first(c).alias(c) for c in (*keep, *own)],
+    # A row's own numbers are keys too: they hang on its keys, and without them as values the aggregation hashes instead of sorting all words.
+    out = joined.groupBy(*keys, "language", *keep, *own).agg(
         F.sum(F.when(F.col("word").isNotNull(), F.coalesce("rank", unknown))).alias("ranks"),
         *[flag(c) for c in ("is_machine", "is_transition", "is_hedge", "is_quantifier", "is_pronoun")],
     )
@@ -140,15 +138,16 @@ def leading_signals(k: int = 3) -> Column:
 def top_segments(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """The k most machine-like sentences of at least three words of each text: keys, rank, start, end, text, sub_score, reason.
 
-    Ties go to the earlier sentence. start and end are code points of the text.
+    Ties go to the earlier sentence. start and end are code points of the text. Only numbers of sentences are shuffled; the winners' texts are cut last.
     """
     from pyspark.sql.window import Window
 
     found = df.select(*keys, "language", F.explode(tokens.segments(F.coalesce("text", F.lit("")))).alias("s")).select(*keys, "language", "s.*")
-    found = found.filter(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= 3).withColumn("segment", F.col("text"))
-    scored = detect(found, [*keys, "start", "end"], ["segment"])
+    found = found.filter(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= 3)
+    scored = detect(found, [*keys, "start", "end"])
     parts = sub_scores()
     best = F.array_max(F.array(*[F.struct(parts[name].alias("v"), F.lit(-o).alias("o"), F.lit(label).alias("label")) for o, (name, label) in enumerate(REASONS)]))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ai_probability"), "start"))
     scored = scored.withColumn("reason", best["label"]).withColumn("rank", rank).filter(F.col("rank") <= k)
-    return scored.select(*keys, "rank", "start", "end", F.col("segment").alias("text"), F.col("ai_probability").alias("sub_score"), "reason")
+    cut = scored.join(df.select(*keys, "text"), keys).withColumn("text", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
+    return cut.select(*keys, "rank", "start", "end", "text", F.col("ai_probability").alias("sub_score"), "reason")

@@ -264,7 +264,7 @@ def scrub_tells(df: DataFrame, rules: list[Rule] = TELLS) -> DataFrame:
         rows = [(None, []) if t is None else scrubbed(t, rules) for t in texts]
         return pd.DataFrame({"text": [t for t, _ in rows], "log": [x for _, x in rows]})
 
-    found = df.withColumn("_r", run(F.when(hits(F.col("text"), rules), F.col("text"))))
+    found = df.withColumn("_r", run.asNondeterministic()(F.when(hits(F.col("text"), rules), F.col("text"))))  # so marked, it is neither repeated nor merged with later steps
     return found.withColumn("text", F.coalesce("_r.text", "text")).withColumn("transformations", F.coalesce("_r.log", F.array().cast("array<string>"))).drop("_r")
 
 
@@ -309,5 +309,5 @@ def numbers(df: DataFrame) -> DataFrame:
         rows = [(None, 0) if t is None else numbered(t) for t in texts]
         return pd.DataFrame({"text": [t for t, _ in rows], "n": [n for _, n in rows]})
 
-    out = df.withColumn("_r", run(F.when(F.col("text").rlike("[0-9]{4}"), F.col("text"))))
+    out = df.withColumn("_r", run.asNondeterministic()(F.when(F.col("text").rlike("[0-9]{4}"), F.col("text"))))
     return out.withColumn("text", F.coalesce("_r.text", "text")).withColumn("n_changed", F.coalesce("_r.n", F.lit(0)).cast("long")).drop("_r")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions import tokens
+from ..functions import phrases, tokens
 from ..operators import admission as adm
-from ..operators import hidden, lines, metrics, rewrite, rules, scorer
+from ..operators import hidden, intervals, lines, metrics, rewrite, rules, scorer, sentences, swaps
 from ..sources import documents as src
 from . import workflows
 
@@ -47,6 +47,10 @@ def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.expr(_READ_AS).alias("language"), "source").unionByName(beside.filter("lang IS NOT NULL").drop("lang"))
 
 
+#: Blanks of all kinds, for RE2.
+_WHITE = r"[\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def _q(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -209,6 +213,30 @@ keyed AS (SELECT doc_id || '-' || i AS row_id, doc_id, i, language, text, stop -
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ai_probability DESC, start) AS rank FROM fused)
 SELECT doc_id, rank, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", md5(text) AS text_md5, round(ai_probability, 6) AS sub_score, {_REASON} AS reason FROM ranked WHERE rank <= 5"""
 
+def phrase_places(spark, sf_dir, texts=whole):
+    """Every place of every machine-like phrase, in the lower-cased text."""
+    rows = texts(spark, sf_dir).select("doc_id", F.explode(phrases.places(F.lower("text"), F.col("language"), lx.MACHINE_PHRASES)).alias("p"))
+    return rows.select("doc_id", "p.phrase", F.col("p.start").cast("long").alias("start"))
+
+
+PHRASE_PLACES = f"""WITH {_SQL_DOCS}, p(language, phrase) AS (VALUES {", ".join(f"('{lang}', '{x.replace(chr(39), chr(39) * 2)}')" for lang, some in lx.MACHINE_PHRASES.items() for x in some)}),
+cut AS (SELECT doc_id, phrase, string_split(lower(text), phrase) AS q FROM docs JOIN p USING (language) WHERE contains(lower(text), phrase)),
+placed AS (SELECT doc_id, phrase, unnest(q) AS x, generate_subscripts(q, 1) AS i, len(q) AS n FROM cut)
+SELECT doc_id, phrase, CAST(sum(length(x)) OVER (PARTITION BY doc_id, phrase ORDER BY i) + (i - 1) * length(phrase) AS BIGINT) AS start FROM placed QUALIFY i < n"""
+
+
+def structural_burstiness(spark, sf_dir, texts=whole):
+    return texts(spark, sf_dir).select("doc_id", F.round(sentences.structural_burstiness(F.col("text")), 6).alias("burstiness"), F.size(sentences.sentence_lengths(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+#: A mark is put where a piece ends; pieces behind one that ends in an abbreviation have its island.
+STRUCTURAL = f"""WITH {_SQL_DOCS}, cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])({_WHITE}+)([A-Zא-ת])', '\\1' || chr(1) || '\\3', 'g'), chr(1)) AS q FROM docs),
+pieces AS (SELECT doc_id, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM cut),
+flagged AS (SELECT *, lower(regexp_extract(x, '([A-Za-z.]+)\\.\\z', 1)) IN ({_q(sentences.ABBREVIATIONS)}) AS short FROM pieces WHERE x <> ''),
+numbered AS (SELECT *, sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS island FROM flagged),
+lengths AS (SELECT doc_id, coalesce(island, 0) AS island, sum(len(regexp_extract_all(x, '{_WHITE.replace("[", "[^", 1)}+'))) AS n FROM numbered GROUP BY ALL)
+SELECT docs.doc_id, round(CASE WHEN coalesce(max(n), 0) = 0 THEN 0 ELSE stddev_pop(n) / avg(n) END, 6) AS burstiness, count(n) AS n_sentences FROM docs LEFT JOIN lengths USING (doc_id) GROUP BY docs.doc_id"""
+
 # Hidden characters
 
 _SPACES = "".join(hidden.SPACES)
@@ -217,7 +245,6 @@ _CONTROL_SQL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}]"
 _KIND = f"""CASE WHEN c IN ({_q(hidden.STRIP)}) THEN 'zero_width' WHEN c IN ({_q(hidden.REPORT_ONLY)}) THEN 'bidi_mark' WHEN c = '{hidden.BOM}' THEN 'bom' WHEN c = '{chr(0xA0)}' THEN 'nbsp' WHEN c IN ({_q(hidden.SPACES)}) THEN 'special_space'
  WHEN regexp_full_match(c, '{_CONTROL_SQL}') THEN 'control' END"""
 _KINDS = ["zero_width", "bidi_mark", "bom", "nbsp", "special_space", "control"]
-_WHITE = r"[\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def _compatible() -> dict[str, str]:
@@ -362,6 +389,33 @@ def merged_spans(spark, sf_dir, texts=whole):
     return rows.select("doc_id", F.size("r").cast("long").alias("n"), covered.cast("long").alias("covered"), F.array_min(F.transform("r", lambda x: x["s"])).cast("long").alias("first"), F.array_max(F.transform("r", lambda x: x["e"])).cast("long").alias("last"))
 
 
+def findings_in_spans(spark, sf_dir, texts=whole):
+    """Hidden characters that stand in protected spans, with the span that each lies in."""
+    docs = texts(spark, sf_dir)
+    points = docs.select("doc_id", F.explode(hidden.scan(F.col("text"))).alias("f")).select("doc_id", "f.kind", "f.index")
+    spans = docs.select("doc_id", F.explode(lines.merged_ranges()("text")).alias("r")).select("doc_id", "r.*")
+    found = intervals.points_within(points, spans, ["doc_id"], "index")
+    return found.select("doc_id", "kind", F.col("index").cast("long").alias("index"), F.col("other_s").cast("long").alias("s"), F.col("other_e").cast("long").alias("e"))
+
+
+FINDINGS_IN_SPANS = f"""WITH {_SQL_DOCS}, {_spans_sql()}, {_MERGED_SQL}, {_CHARS}
+SELECT doc_id, {_KIND} AS kind, CAST(i AS BIGINT) AS index, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM chars JOIN merged USING (doc_id) WHERE s <= i AND i < e AND {_KIND} IS NOT NULL"""
+
+
+def segments_over_spans(spark, sf_dir, texts=whole):
+    """Sentences that protected spans reach into: how many, and how many of the sentence's characters they cover."""
+    docs = texts(spark, sf_dir)
+    found = docs.select("doc_id", F.explode(tokens.segments(F.col("text"))).alias("x")).select("doc_id", "x.start", "x.end")
+    spans = docs.select("doc_id", F.explode(lines.merged_ranges()("text")).alias("r")).select("doc_id", "r.*")
+    met = intervals.overlapping(found, spans, ["doc_id"], ("start", "end"))
+    inside = F.least("end", "other_e") - F.greatest("start", "other_s")
+    return met.groupBy("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).agg(F.count("*").alias("n_spans"), F.sum(inside).cast("long").alias("covered"))
+
+
+SEGMENTS_OVER_SPANS = f"""WITH {_SQL_DOCS}, {_spans_sql()}, {_MERGED_SQL}, {SEGMENTS[len(f"WITH {_SQL_DOCS}, ") : SEGMENTS.index("keyed AS")]} cut AS (SELECT doc_id, stop - length(text) AS start, stop FROM placed WHERE text <> '')
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", count(*) AS n_spans, CAST(sum(least(stop, e) - greatest(start, s)) AS BIGINT) AS covered FROM cut JOIN merged USING (doc_id) WHERE s < stop AND start < e GROUP BY ALL"""
+
+
 def merge_ranges(spark, sf_dir):
     """Union of intervals: each user's events as [second, second + 600 * (1 + event_id % 5)), merged. An island begins where no earlier interval reaches."""
     from pyspark.sql.window import Window
@@ -418,6 +472,19 @@ def headings(spark, sf_dir, texts=whole):
     return _digest(rewrite.headings(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
 
+def _headings_sql() -> str:
+    first = LINE_KINDS[len(f"WITH {_SQL_DOCS}, ") : LINE_KINDS.rindex("SELECT doc_id, CAST(line")].rstrip()
+    allowed = "CASE lower(w) " + " ".join(f"WHEN '{a.lower()}' THEN '{a}'" for a in rewrite.ACRONYMS) + " END"
+    token, mark = (p.replace("'", "''") for p in (rewrite._TOKEN, rewrite._MARK))
+    return f"""WITH {_SQL_DOCS}, {first},
+cut_up AS (SELECT doc_id, line, x, regexp_extract(x, '{mark}') AS mark, x[length(regexp_extract(x, '{mark}')) + 1:] AS body FROM named JOIN docs USING (doc_id) WHERE kind = 'heading' AND language = 'en' AND NOT regexp_matches(x, '[\\x{{590}}-\\x{{5FF}}]')),
+toks AS (SELECT *, regexp_extract_all(body, '{token}') AS m, regexp_split_to_array(body, '{token}') AS q FROM cut_up),
+cased AS (SELECT *, list_transform(m, lambda w, i: coalesce({allowed}, CASE WHEN i = 1 OR regexp_matches(w, '[0-9]') OR regexp_full_match(w, '[A-Z][A-Z''&\\-]{{0,3}}[A-Z]') THEN w ELSE lower(w) END)) AS n FROM toks),
+new AS (SELECT doc_id, line, mark || array_to_string(list_transform(q, lambda g, i: g || coalesce(n[i], '')), '') AS y FROM cased),
+whole AS (SELECT doc_id, string_agg(coalesce(y, x), chr(10) ORDER BY line) AS t, count(*) FILTER (y <> x) AS n FROM named LEFT JOIN new USING (doc_id, line) GROUP BY doc_id)
+SELECT doc_id, md5(t) AS text_md5, CAST(length(t) AS BIGINT) AS chars, CAST(n > 0 AS BIGINT) AS n_changes FROM whole"""
+
+
 def lexical_swap(spark, sf_dir, texts=whole):
     return _digest(rewrite.lexical_swap(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
@@ -446,6 +513,45 @@ SWAP_CANDIDATES = f"""WITH {_SQL_DOCS}, o(language, word, options) AS (VALUES {"
 SELECT doc_id, word, count(*) AS n, CAST(max(options) AS BIGINT) AS options FROM (SELECT doc_id, language, unnest({_WORDS.format("text")}) AS word FROM docs) JOIN o USING (language, word) GROUP BY doc_id, word"""
 
 
+def swapped_words(spark, sf_dir, texts=whole):
+    """Phrases, machine-like words and synonyms swapped by chance outside protected spans."""
+    return _digest(swaps.swapped(_stated(texts(spark, sf_dir)), ["doc_id"]))
+
+
+def _swapped_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    alt = ", ".join(f"('{lang}', {quoted(w)}, '{layer}', [{_q(o)}])" for layer, some in (("word", lx.MACHINE_WORDS), ("synonym", lx.SYNONYMS)) for lang, t in some.items() for w, o in t.items())
+    phr = ", ".join(f"('{lang}', {quoted(p)}, {quoted(r)})" for lang, some in lx.MACHINE_PHRASES.items() for p, r in some.items())
+    chance = lambda layer, place, first=1: f"(CAST('0x' || substr(md5(concat_ws(':', '0', {layer}, doc_id, {place})), {first}, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+    ratio = "CASE strength " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in swaps.RATIOS.items()) + " END"
+    layer = "CASE layer " + " ".join(f"WHEN '{k}' THEN {{}}" for k in swaps.LAYERS) + " END"
+    share, number = layer.format(*[f"{v}::DOUBLE" for v in swaps.LAYERS.values()]), layer.format(*range(1, len(swaps.LAYERS) + 1))
+    cased = lambda old, new: f"CASE WHEN language = 'he' THEN {new} WHEN length({old}) > 1 AND {old} = upper({old}) AND {old} <> lower({old}) THEN upper({new}) WHEN {old}[1] = upper({old}[1]) AND {old}[1] <> lower({old}[1]) THEN upper(({new})[1]) || ({new})[2:] ELSE {new} END"
+    en, he = (quoted(swaps.TOKEN[k]) for k in ("en", "he"))
+    low = f"translate(text, '{swaps._UPPER}', '{swaps._LOWER}')"
+    return f"""WITH {_SQL_DOCS}, {_spans_sql()}, {_MERGED_SQL},
+alt(language, word, layer, options) AS (VALUES {alt}), phr(language, phrase, new) AS (VALUES {phr}),
+st AS (SELECT *, ['light', 'medium', 'aggressive'][((doc_id % 3) + 3) % 3 + 1] AS strength FROM docs),
+toks AS (SELECT *, CASE WHEN language = 'he' THEN regexp_extract_all(text, {he}) ELSE regexp_extract_all(text, {en}) END AS m, CASE WHEN language = 'he' THEN regexp_split_to_array(text, {he}) ELSE regexp_split_to_array(text, {en}) END AS q FROM st),
+tok AS (SELECT doc_id, language, strength, unnest(q) AS between, unnest(list_append(m, '')) AS x, generate_subscripts(q, 1) AS i FROM toks),
+placed_tok AS (SELECT *, CAST(sum(length(between) + length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS BIGINT) AS s FROM tok),
+v AS (SELECT doc_id, language, strength, s, x, n, CASE WHEN language = 'he' THEN x[:n] ELSE '' END AS prefix, CASE WHEN language = 'he' THEN x[n + 1:] ELSE lower(x) END AS word FROM placed_tok, (SELECT unnest(range(0, {swaps.MOST_CLITICS + 1})) AS n)
+ WHERE x <> '' AND (language = 'he' AND length(x) > n AND translate(x[:n], '{swaps.CLITICS}', '') = '' OR language <> 'he' AND n = 0)),
+w AS (SELECT *, {number} AS number, options[CAST(floor({chance("layer", "s", 9)} * len(options)) AS BIGINT) + 1] AS pick FROM v JOIN alt USING (language, word) WHERE {chance("layer", "s")} < {ratio} * {share}),
+best AS (SELECT doc_id, s, s + length(x) AS e, number AS layer, x AS old, CASE WHEN language = 'he' THEN prefix || pick ELSE {cased("x", "pick")} END AS new FROM w QUALIFY row_number() OVER (PARTITION BY doc_id, s ORDER BY number, CASE WHEN n = 0 THEN -9 ELSE -n END) = 1),
+pcut AS (SELECT doc_id, language, strength, text, phrase, new, string_split({low}, phrase) AS q FROM st JOIN phr USING (language) WHERE contains({low}, phrase)),
+pat AS (SELECT *, unnest(q) AS x, generate_subscripts(q, 1) AS i, len(q) AS n FROM pcut),
+pplace AS (SELECT * EXCLUDE (q), CAST(sum(length(x)) OVER (PARTITION BY doc_id, phrase ORDER BY i) + (i - 1) * length(phrase) AS BIGINT) AS s FROM pat QUALIFY i < n),
+pold AS (SELECT *, text[s + 1:s + length(phrase)] AS old FROM pplace WHERE NOT regexp_matches(CASE WHEN s > 0 THEN text[s] ELSE '' END || substr(text, CAST(s + length(phrase) + 1 AS BIGINT), 1), '[\\p{{L}}\\p{{N}}_]') AND {chance("'phrase'", "CAST(s AS BIGINT)")} < {ratio}),
+edits AS (SELECT * FROM best UNION ALL SELECT doc_id, s, s + length(phrase), 1, old, {cased("old", "new")} FROM pold),
+free AS (SELECT * FROM edits a WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.doc_id = a.doc_id AND m.s < a.e AND a.s < m.e)),
+kept AS (SELECT * FROM free a WHERE NOT EXISTS (SELECT 1 FROM free b WHERE b.doc_id = a.doc_id AND b.s < a.e AND a.s < b.e AND row(b.layer, b.s - b.e, b.s) < row(a.layer, a.s - a.e, a.s))),
+gaps AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS prev FROM kept),
+built AS (SELECT gaps.doc_id, string_agg(text[prev + 1:s] || new, '' ORDER BY s) AS head, max(e) AS last, count(*) AS n FROM gaps JOIN docs USING (doc_id) GROUP BY gaps.doc_id),
+done AS (SELECT doc_id, coalesce(head || text[last + 1:], text) AS t, coalesce(n, 0) AS n FROM docs LEFT JOIN built USING (doc_id))
+SELECT doc_id, md5(t) AS text_md5, CAST(length(t) AS BIGINT) AS chars, CAST(n AS BIGINT) AS n_changes FROM done"""
+
+
 def rewritten(spark, sf_dir, texts=whole):
     return _digest(workflows.rewritten(_stated(texts(spark, sf_dir)), ["doc_id"]))
 
@@ -508,8 +614,8 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS key, t AS ts, allowed, retry AS ret
 
 
 QUERIES = (
-    detect_verdict, leading_signals, validate_docs, token_stats, lexicon_hits, verdict_by_source, labels_vs_score, conversation_roles, top_segments, invisible_findings, finding_counts, clean_text, line_kinds, protected_spans, merged_spans, merge_ranges,
-    rule_audit, tell_scrub, thousands, headings, lexical_swap, restructure, vary_vocabulary, post_polish, swap_candidates, rewritten, before_after, detect_report, model_score, findings_report, admission,
+    detect_verdict, leading_signals, validate_docs, token_stats, lexicon_hits, verdict_by_source, labels_vs_score, conversation_roles, top_segments, phrase_places, structural_burstiness, invisible_findings, finding_counts, clean_text, line_kinds, protected_spans, merged_spans, findings_in_spans, segments_over_spans, merge_ranges,
+    rule_audit, tell_scrub, thousands, headings, lexical_swap, restructure, vary_vocabulary, post_polish, swap_candidates, swapped_words, rewritten, before_after, detect_report, model_score, findings_report, admission,
 )
 
 
@@ -523,7 +629,7 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     known = {
-        "detect_verdict": DETECT, "leading_signals": LEADING, "validate_docs": VALIDATE, "token_stats": TOKEN_STATS, "lexicon_hits": LEXICON_HITS, "verdict_by_source": VERDICT_BY_SOURCE, "labels_vs_score": LABELS, "conversation_roles": ROLES, "top_segments": SEGMENTS,
-        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(), "swap_candidates": SWAP_CANDIDATES, "model_score": MODEL_SCORE, "admission": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT, "protected_spans": PROTECTED, "merged_spans": MERGED_SPANS, "thousands": THOUSANDS,
+        "detect_verdict": DETECT, "leading_signals": LEADING, "validate_docs": VALIDATE, "token_stats": TOKEN_STATS, "lexicon_hits": LEXICON_HITS, "verdict_by_source": VERDICT_BY_SOURCE, "labels_vs_score": LABELS, "conversation_roles": ROLES, "top_segments": SEGMENTS, "phrase_places": PHRASE_PLACES, "structural_burstiness": STRUCTURAL, "findings_in_spans": FINDINGS_IN_SPANS, "segments_over_spans": SEGMENTS_OVER_SPANS,
+        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(), "swap_candidates": SWAP_CANDIDATES, "swapped_words": _swapped_sql(), "lexical_swap": _swapped_sql(), "headings": _headings_sql(), "model_score": MODEL_SCORE, "admission": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT, "protected_spans": PROTECTED, "merged_spans": MERGED_SPANS, "thousands": THOUSANDS,
     }
     return {k: v.replace(_ASCII_PASSIVE, _PASSIVE) for k, v in known.items()}
