@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. run() writes each stage's rows to the shared folder
 and hands them, read back, to the next one. All but the last return the columns of documents.
 
-Null and empty texts are kept by all filters and have no pieces; a row without doc_id is kept by the join, of rows that repeat a doc_id one is left.
+Null and empty texts are kept by all filters and have no pieces; a row without doc_id is kept by the join, of rows that repeat doc_id and text one is left.
 Without labels no text is toxic, without benchmark none holds an item; an empty table gives an empty result. Columns of documents called
 piece_ids or decoded give way to the last stage's own.
 """

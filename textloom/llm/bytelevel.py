@@ -10,11 +10,13 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
+from functools import partial
 
 #: The published pattern of the byte-level pre-tokenizer.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: What remembered chunks may take, in bytes, with what an entry costs besides; longer chunks than KEPT characters aren't remembered.
-CACHE_BYTES, KEPT, _ENTRY = 200_000_000, 1000, 200
+#: What remembered chunks may take in a worker, in bytes, with what an entry costs besides (as measured); longer chunks than KEPT characters aren't remembered.
+CACHE_BYTES, KEPT, _ENTRY = 350_000_000, 1000, 330
 _BETWEEN_SPACES = re.compile(r" (?<=\s )(?:\s|\Z)")
 
 
@@ -62,25 +64,26 @@ class MergeCounter:
         """Initial symbols minus merges of one piece, in O(n log n)."""
         symbols = [self.start[b] for b in word.encode("utf-8", "surrogatepass")]
         n, get = len(symbols), self.merges.get
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = [(m[0], i, symbols[i], symbols[i + 1], m[1]) for i in range(n - 1) if (m := get((symbols[i], symbols[i + 1])))]
+        many = list if n < 4096 else partial(array, "q")  # plain numbers for long pieces
+        symbols, after, before = many(symbols), many(range(1, n + 1)), many(range(-1, n - 1))
+        heap = [m[0] * n + i for i in range(n - 1) if (m := get((symbols[i], symbols[i + 1])))]  # rank and place in one number
         heapq.heapify(heap)
         merged = 0
         while heap:
-            _, i, left, right, new = heapq.heappop(heap)
+            rank, i = divmod(heapq.heappop(heap), n)
             j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
+            if j >= n or symbols[i] < 0 or (m := get((symbols[i], symbols[j]))) is None or m[0] != rank:
                 continue  # one of the two was merged meanwhile
-            symbols[i], symbols[j] = new, -1
+            new = symbols[i] = m[1]
+            symbols[j] = -1
             merged += 1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 if m := get((new, symbols[k])):
-                    heapq.heappush(heap, (m[0], i, new, symbols[k], m[1]))
+                    heapq.heappush(heap, m[0] * n + i)
             if (h := before[i]) >= 0 and (m := get((symbols[h], new))):
-                heapq.heappush(heap, (m[0], h, symbols[h], new, m[1]))
+                heapq.heappush(heap, m[0] * n + h)
         return n - merged
 
     def plain(self, text: str) -> int:

@@ -328,7 +328,8 @@ def jaccard_join(df: DataFrame, k: int, percent: int, folder: str | None = None)
 
 
 def one_of_each(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df without near duplicates: of each component the row with its least doc_id. Rows without doc_id stay, repeated ids don't.
+    """The rows of df without near duplicates: of each component what its least doc_id has. Rows without doc_id stay; of rows that repeat both doc_id
+    and text one is left, but different texts under one doc_id all stay, as none is a copy of the other.
 
     Only the ids of what stays, and the ids that are repeated, meet the rows; texts are not shuffled as long as the ids can be broadcast.
     """
@@ -337,5 +338,5 @@ def one_of_each(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     stay = common.small(common.stored(found.filter("doc_id = component_id").select("doc_id").distinct(), folder, "stay"))
     repeated = common.small(common.stored(df.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), folder, "repeated"))
     rows = df.join(stay, "doc_id", "left_semi")
-    once = rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    once = rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     return once.select(df.columns).unionByName(df.filter("doc_id IS NULL"))

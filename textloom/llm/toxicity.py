@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text and normalised by length.
 
 Folding undoes disguises: compatibility forms, case, look-alike letters of other scripts, and digits or signs
-that stand for letters. The lexicon (words and word beginnings with weights) is learned from labelled rows;
+that stand for letters. The lexicon (whole words with weights) is learned from labelled rows;
 exception phrases switch off matches inside them. A logistic curve over the normalised weight gives the score.
 """
 
@@ -29,8 +29,9 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish"
 
 #: Rows of the sample that is learned from. Only this bounds the learning.
 SAMPLE_ROWS = 20_000
-#: Lengths of word beginnings; the share of entries that may stand in the lexicon by chance; the share of toxic rows among those with an entry.
-PREFIXES, FALSE_SHARE, LEAST_PRECISION = (4, 5, 6, 7), 0.05, 0.9
+#: The share of entries that may stand in the lexicon by chance; the share of toxic rows among those with an entry. Entries are whole words:
+#: beginnings of words would also match harmless ones ('path' of 'pathetic'), and found no toxic text more on held-out rows.
+FALSE_SHARE, LEAST_PRECISION = 0.05, 0.7
 
 _FOLD = str.maketrans(LOOKALIKES)
 _UNLEET = str.maketrans(SUBSTITUTES)
@@ -49,16 +50,12 @@ def folded(text: str) -> str:
 
 
 def features(text: str) -> set[str]:
-    out = set()
-    for w in set(folded(text).split()):
-        out.add(f" {w} ")
-        out.update(f" {w[:n]}" for n in PREFIXES if len(w) >= n)
-    return out
+    return {f" {w} " for w in folded(text).split()}
 
 
 @dataclass(frozen=True)
 class Model:
-    """lexicon: (" word " or " beginning", weight); the score is logistic in slope * normalised weight + bias."""
+    """lexicon: (" word ", weight); the score is logistic in slope * normalised weight + bias."""
 
     lexicon: tuple[tuple[str, float], ...]
     slope: float
@@ -138,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """The lexicon and curve from labelled rows (doc_id, toxic), a sample of at most sample_rows rows by hash of doc_id.
 
     docs: (doc_id, text). Equal texts count once. A feature enters if it is commoner in toxic rows than chance allows (accepted()) and
-    nearly all rows that have it are toxic. Without toxic or clean rows the model matches nothing and says 0.
+    most rows that have it (LEAST_PRECISION) are toxic. Without toxic or clean rows the model matches nothing and says 0.
     """
     # The sample is bounded, so it may be broadcast, and so may what is counted in it.
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
