@@ -213,6 +213,9 @@ def test_admission_stream(spark, tmp_path):
     """The stream decides like the batch form when rows come in order of time, over several micro-batches and a restart."""
     from textloom.streaming.admission import admission_stream
 
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = sorted(requests_of(2, 120), key=lambda r: (r[2], r[0]))
     schema = "event_id long, key string, ts double"
 
@@ -225,6 +228,7 @@ def test_admission_stream(spark, tmp_path):
     run(rows[:70], 0)
     run(rows[70:], 1)
     got = {r["event_id"]: r["allowed"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    spark.conf.set(provider, old)
     assert got == brute(rows, 3, 20.0)
 
 

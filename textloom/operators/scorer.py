@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SCORE = "enabled boolean, available boolean, score double, detail string"
+SCORE = (("score", T.DoubleType()), ("detail", T.StringType()))
 #: Sampling settings by strength.
 SAMPLING = {"light": {"temperature": 0.4, "top_p": 0.85}, "medium": {"temperature": 0.7, "top_p": 0.90}, "aggressive": {"temperature": 0.95, "top_p": 0.95}}
 
@@ -21,36 +23,46 @@ def as_score(value) -> float:
     return max(0.0, min(1.0, float(value)))
 
 
-def score_with(df: DataFrame, load=None) -> DataFrame:
+def score_with(df: DataFrame, load=None, batch: int = 256) -> DataFrame:
     """df with model_score: disabled without a loader; unavailable, and why, if it fails to load or to score; else the score.
 
-    load() gives a function of a text. It runs once per Python worker and batch iterator, never on the driver.
+    load() gives a function of a text, or one of a list of texts if that function has `batched` set. It runs once per Python worker, never on the
+    driver; the model is kept there between tasks, and texts come to it `batch` at a time.
     """
     if load is None:
         return df.withColumn("model_score", F.expr("named_struct('enabled', false, 'available', false, 'score', cast(null as double), 'detail', cast(null as string))"))
 
-    def run(batches):
-        import pandas as pd
+    def make():
+        import numpy as np
 
         try:
             scorer, why = load(), None
         except Exception as e:  # the model is optional
             scorer, why = None, str(e)
-        for texts in batches:
-            rows = []
+
+        def each(texts):
             for t in texts:
                 try:
-                    rows.append((True, scorer is not None, as_score(scorer(t or "")) if scorer else None, why))
+                    yield as_score(scorer(t or "")), None
                 except Exception as e:
-                    rows.append((True, False, None, str(e)))
-            yield pd.DataFrame(rows, columns=["enabled", "available", "score", "detail"]).astype({"score": "float64"})
+                    yield None, str(e)
 
-    from collections.abc import Iterator
+        def predict(texts):
+            if scorer is None:
+                found = [(None, why)] * len(texts)
+            elif getattr(scorer, "batched", False):
+                try:
+                    found = [(as_score(x), None) for x in scorer([t or "" for t in texts])]
+                except Exception as e:
+                    found = [(None, str(e))] * len(texts)
+            else:
+                found = list(each(texts))
+            return {"score": np.array([x for x, _ in found], object), "detail": np.array([w for _, w in found], object)}
 
-    import pandas as pd
+        return predict
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return df.withColumn("model_score", F.pandas_udf(f"struct<{','.join(f'{n}:{t}' for n, t in (x.split() for x in SCORE.split(', ')))}>")(run)("text"))
+    score = predict_batch_udf(make, return_type=T.StructType([T.StructField(n, t) for n, t in SCORE]), batch_size=batch)
+    return df.withColumn("_m", score("text")).withColumn("model_score", F.struct(F.lit(True).alias("enabled"), F.col("_m.score").isNotNull().alias("available"), F.col("_m.score").alias("score"), F.col("_m.detail").alias("detail"))).drop("_m")
 
 
 def rewritten_by(df: DataFrame, client=None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import phrases, tokens
 from ..operators import admission as adm
-from ..operators import hidden, intervals, lines, metrics, rewrite, rules, scorer, sentences, swaps
+from ..operators import hidden, intervals, lines, metrics, render, rewrite, rules, scorer, sentences, swaps
 from ..sources import documents as src
 from . import workflows
 
@@ -575,13 +575,59 @@ t AS (SELECT doc_id, count(*) AS k, string_agg(start || '-' || "end", ',' ORDER
 SELECT doc_id, ai_probability, verdict, coalesce(n, 0) + coalesce(h, 0) AS n_findings, coalesce(k, 0) AS n_segments, coalesce(places, '') AS places FROM whole LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+#: What the model of model_score() looks at: length and the share of letters.
+_SEEN = {"a": "ln(1.0::DOUBLE + length(text))", "b": "length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / greatest(length(text), 1)::DOUBLE"}
+
+
 def model_score(spark, sf_dir, texts=whole):
-    """The optional model's three states, with a stand-in that scores by length."""
-    docs = texts(spark, sf_dir).withColumn("length", F.char_length("text"))
-    return scorer.score_with(docs, lambda: lambda t: {"score": len(t) / 1000}).select("doc_id", "model_score.enabled", "model_score.available", F.round("model_score.score", 6).alias("score"))
+    """The optional model's three states: left out, broken, and there. The model is a Gaussian for each class of quality with common variances,
+    learned from all labelled documents: means and variances are all that the loader takes along."""
+    n = F.char_length("text")
+    seen = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").dropna(subset=["quality"]), "doc_id").filter("text IS NOT NULL")
+    seen = seen.select("quality", F.log1p(n).alias("a"), (F.char_length(F.regexp_replace("text", r"[^\p{L}]", "")) / F.greatest(n, F.lit(1))).alias("b"))
+    mean = lambda c, k: F.avg(F.when(F.col("quality") == k, F.col(c)))
+    m = seen.agg(*[mean(c, k).alias(f"{c}{k}") for c in "ab" for k in (0, 1)], *[F.var_pop(c).alias(f"v{c}") for c in "ab"]).first().asDict()
+
+    def load():
+        import math
+
+        def score(t: str) -> float:
+            x = {"a": math.log1p(len(t)), "b": sum(map(str.isalpha, t)) / max(len(t), 1)}
+            return 1 / (1 + math.exp(-sum(((x[c] - m[f"{c}0"]) ** 2 - (x[c] - m[f"{c}1"]) ** 2) / (2 * m[f"v{c}"]) for c in "ab")))
+
+        return score
+
+    def broken():
+        raise OSError("no weights")
+
+    docs = texts(spark, sf_dir)
+    states = [scorer.score_with(docs, f).select("doc_id", F.lit(name).alias("state"), "model_score.enabled", "model_score.available", F.round("model_score.score", 6).alias("score"), "model_score.detail") for name, f in (("off", None), ("broken", broken), ("on", load))]
+    return states[0].unionByName(states[1]).unionByName(states[2])
+
+
+_APART = " + ".join(f"((({e}) - {c}0) ** 2 - (({e}) - {c}1) ** 2) / (2 * v{c})" for c, e in _SEEN.items())
+MODEL_SCORE = f"""WITH {_SQL_DOCS}, x AS (SELECT quality, {", ".join(f"{e} AS {c}" for c, e in _SEEN.items())} FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL),
+m AS (SELECT {", ".join(f"avg({c}) FILTER (quality = {k}) AS {c}{k}" for c in _SEEN for k in (0, 1))}, {", ".join(f"var_pop({c}) AS v{c}" for c in _SEEN)} FROM x)
+SELECT doc_id, 'off' AS state, false AS enabled, false AS available, NULL::DOUBLE AS score, NULL::VARCHAR AS detail FROM docs UNION ALL SELECT doc_id, 'broken', true, false, NULL, 'no weights' FROM docs
+UNION ALL SELECT doc_id, 'on', true, true, round(1 / (1 + exp(-({_APART}))), 6), NULL FROM docs, m"""
+
+
+def rendered(spark, sf_dir, texts=whole):
+    """Texts with marks around their most machine-like sentences, and around hidden characters, within them or apart."""
+    docs = texts(spark, sf_dir)
+    top = metrics.top_segments(docs, ["doc_id"]).select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), F.lit("mark").alias("tag"))
+    marks = docs.select("doc_id", F.explode(hidden.scan(F.col("text"))).alias("f")).select("doc_id", F.col("f.index").alias("s"), (F.col("f.index") + 1).alias("e"), F.col("f.kind").alias("tag"))
+    out = render.rendered(docs, ["doc_id"], top.unionByName(marks))
+    return out.select("doc_id", F.md5("rendered").alias("rendered_md5"), F.char_length("rendered").cast("long").alias("chars"))
 
 
-MODEL_SCORE = f"WITH {_SQL_DOCS} SELECT doc_id, true AS enabled, true AS available, round(least(1.0, length(text) / 1000.0::DOUBLE), 6) AS score FROM docs"
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+RENDERED = f"""WITH {_SQL_DOCS}, top AS (WITH {SEGMENTS[len(f"WITH {_SQL_DOCS}, ") :]}), {_CHARS}, spans AS (SELECT doc_id, start AS s, "end" AS e, 'mark' AS tag FROM top UNION ALL SELECT doc_id, i, i + 1, {_KIND} FROM chars WHERE {_KIND} IS NOT NULL),
+marks AS (SELECT doc_id, s AS place, 1 AS opens, -e AS o, '<' || tag || '>' AS m FROM spans UNION ALL SELECT doc_id, e, 0, -s, '</' || tag || '>' FROM spans),
+cut AS (SELECT *, coalesce(lag(place) OVER (PARTITION BY doc_id ORDER BY place, opens, o), 0) AS prev FROM marks),
+built AS (SELECT doc_id, string_agg({_ESCAPED.format("text[prev + 1:place]")} || m, '' ORDER BY place, opens, o) AS head, max(place) AS last FROM cut JOIN docs USING (doc_id) GROUP BY doc_id),
+done AS (SELECT doc_id, coalesce(head || {_ESCAPED.format("text[last + 1:]")}, {_ESCAPED.format("text")}) AS t FROM docs LEFT JOIN built USING (doc_id))
+SELECT doc_id, md5(t) AS rendered_md5, CAST(length(t) AS BIGINT) AS chars FROM done"""
 
 
 def findings_report(spark, sf_dir, texts=whole):
@@ -615,7 +661,7 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS key, t AS ts, allowed, retry AS ret
 
 QUERIES = (
     detect_verdict, leading_signals, validate_docs, token_stats, lexicon_hits, verdict_by_source, labels_vs_score, conversation_roles, top_segments, phrase_places, structural_burstiness, invisible_findings, finding_counts, clean_text, line_kinds, protected_spans, merged_spans, findings_in_spans, segments_over_spans, merge_ranges,
-    rule_audit, tell_scrub, thousands, headings, lexical_swap, restructure, vary_vocabulary, post_polish, swap_candidates, swapped_words, rewritten, before_after, detect_report, model_score, findings_report, admission,
+    rule_audit, tell_scrub, thousands, headings, lexical_swap, restructure, vary_vocabulary, post_polish, swap_candidates, swapped_words, rewritten, before_after, detect_report, model_score, rendered, findings_report, admission,
 )
 
 
@@ -630,6 +676,6 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     known = {
         "detect_verdict": DETECT, "leading_signals": LEADING, "validate_docs": VALIDATE, "token_stats": TOKEN_STATS, "lexicon_hits": LEXICON_HITS, "verdict_by_source": VERDICT_BY_SOURCE, "labels_vs_score": LABELS, "conversation_roles": ROLES, "top_segments": SEGMENTS, "phrase_places": PHRASE_PLACES, "structural_burstiness": STRUCTURAL, "findings_in_spans": FINDINGS_IN_SPANS, "segments_over_spans": SEGMENTS_OVER_SPANS,
-        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(), "swap_candidates": SWAP_CANDIDATES, "swapped_words": _swapped_sql(), "lexical_swap": _swapped_sql(), "headings": _headings_sql(), "model_score": MODEL_SCORE, "admission": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT, "protected_spans": PROTECTED, "merged_spans": MERGED_SPANS, "thousands": THOUSANDS,
+        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(), "swap_candidates": SWAP_CANDIDATES, "swapped_words": _swapped_sql(), "lexical_swap": _swapped_sql(), "headings": _headings_sql(), "model_score": MODEL_SCORE, "rendered": RENDERED, "admission": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT, "protected_spans": PROTECTED, "merged_spans": MERGED_SPANS, "thousands": THOUSANDS,
     }
     return {k: v.replace(_ASCII_PASSIVE, _PASSIVE) for k, v in known.items()}
