@@ -23,15 +23,65 @@ def _table(category: str, *rows: tuple[str, str, str]) -> list[Rule]:
     return [Rule(category, pattern, new, tag) for tag, pattern, new in rows]
 
 
-# Rules of our own, by category: tag, pattern, replacement. Callers may pass others.
-TELLS = [
+# Patterns and replacements that have to be these for the same texts to come out.
+_FIXED = [
+    *_table(
+        "vocab",
+        ("delve", r"\bdelve into\b", "examine"),
+        ("delves", r"\bdelves into\b", "examines"),
+    ),
+    *_table(
+        "copula",
+        ("serves_as", r"\b(?:serves|acts|functions) as (an?|the)\b", "is $1"),
+    ),
+    *_table(
+        "redundant",
+        ("in_order_to", r"\bin order to\b", "to"),
+        ("due_to_the_fact", r"\bdue to the fact that\b", "because"),
+        ("prior_to", r"\bprior to\b", "before"),
+        ("number_of", r"\ba (?:large|significant) number of\b", "many"),
+        ("at_this_point", r"\bat this point in time\b", "now"),
+        ("in_the_event", r"\bin the event that\b", "if"),
+        ("for_the_purpose", r"\bfor the purpose of\b", "for"),
+        ("in_spite", r"\bin spite of the fact that\b", "although"),
+    ),
+    *_table(
+        "hedging",
+        ("may_possibly", r"\bmay possibly\b", "may"),
+    ),
+    *_table(
+        "landscape",
+        ("landscape", r"\bthe (?:digital|modern|current) landscape\b", "the field"),
+        ("fast_paced", r"\bin today'?s fast[- ]paced world\b", "today"),
+    ),
+    *_table(
+        "phrase",
+        ("things_that", r"\bthings that actually ", "things that "),
+        ("in_a_way", r"\bis done in a way that is\b", "is"),
+        ("quick_win", r"\ba quick win\b", "a win"),
+    ),
+    *_table(
+        "filler",
+        ("end_of_day", r"\bAt the end of the day,?[ \t]*", ""),
+        ("said_and_done", r"\bWhen all is said and done,?[ \t]*", ""),
+        ("speak", r"\bThe results speak for themselves[.,:;!?][ \t]*", ""),
+    ),
+    *_table(
+        "hacky",
+        ("next_level", r"\btake your\s+(\w+)\s+to the next level\b", "improve your $1"),
+        ("cutting_edge", r"\bcutting[- ]edge\b", "modern"),
+        ("bridge", r"\bbridge the gap between\b", "connect"),
+        ("state_of_the_art", r"\bstate[- ]of[- ]the[- ]art\b", "modern"),
+        ("paradigm", r"\ba paradigm shift\b", "a change"),
+    ),
+]
+# Rules of our own, by the same categories. Callers may pass others.
+_OWN = [
     *_table(
         "vocab",
         ("signpost", r"\b(?:Furthermore|Moreover|Additionally),[ \t]+", ""),
         ("worth_noting", r"\bIt is (?:worth noting|important to note) that[ \t]+", ""),
         ("in_summary", r"\bIn (?:conclusion|summary|essence),[ \t]+", ""),
-        ("delve", r"\bdelve into\b", "examine"),
-        ("delves", r"\bdelves into\b", "examines"),
         ("showcases", r"\bshowcases\b", "shows"),
         ("underscores", r"\bunderscores the (?:importance|need)\b", "shows the need"),
         ("tapestry", r"\ba rich tapestry of\b", "a mix of"),
@@ -49,7 +99,6 @@ TELLS = [
     ),
     *_table(
         "copula",
-        ("serves_as", r"\b(?:serves|acts|functions) as (an?|the)\b", "is $1"),
         ("served_as", r"\b(?:served|acted|functioned) as (an?|the)\b", "was $1"),
         ("serve_as", r"\b(?:serve|act|function) as (?:the|an?)\b", "are"),
         ("stands_as", r"\bstands as (an?|the)\b", "is $1"),
@@ -59,24 +108,15 @@ TELLS = [
     ),
     *_table(
         "redundant",
-        ("in_order_to", r"\bin order to\b", "to"),
-        ("due_to_the_fact", r"\bdue to the fact that\b", "because"),
-        ("prior_to", r"\bprior to\b", "before"),
-        ("number_of", r"\ba (?:large|significant) number of\b", "many"),
-        ("at_this_point", r"\bat this point in time\b", "now"),
-        ("in_the_event", r"\bin the event that\b", "if"),
         ("with_regard", r"\bwith (?:regard|respect) to\b", "about"),
-        ("for_the_purpose", r"\bfor the purpose of\b", "for"),
         ("has_the_ability", r"\bhas the ability to\b", "can"),
         ("have_the_ability", r"\bhave the ability to\b", "can"),
-        ("in_spite", r"\bin spite of the fact that\b", "although"),
         ("majority", r"\bthe (?:vast )?majority of\b", "most"),
         ("each_and_every", r"\beach and every\b", "every"),
     ),
     *_table(
         "hedging",
         ("potentially", r"\b(could|might) potentially\b", "$1"),
-        ("may_possibly", r"\bmay possibly\b", "may"),
         ("might_perhaps", r"\bmight perhaps\b", "might"),
         ("could_argue", r"\bone could argue that[ \t]+", ""),
         ("generally_speaking", r"\bGenerally speaking,[ \t]+", ""),
@@ -97,8 +137,6 @@ TELLS = [
     ),
     *_table(
         "landscape",
-        ("landscape", r"\bthe (?:digital|modern|current) landscape\b", "the field"),
-        ("fast_paced", r"\bin today'?s fast[- ]paced world\b", "today"),
         ("digital_age", r"\bin the digital age\b", "today"),
         ("in_the_realm", r"\bin the (?:realm|world) of\b", "in"),
         ("forefront", r"\bat the forefront of\b", "leading"),
@@ -110,76 +148,84 @@ TELLS = [
         ("dive_deeper", r"\bdive deeper into\b", "look closer at"),
         ("lets_explore", r"\bLet'?s (?:explore|unpack) (?:this|it)[.!][ \t]*", ""),
     ),
+    *_table(
+        "phrase",
+        ("what_matters", r"\bwhat (?:truly|really) matters\b", "what counts"),
+        ("here_is_the_thing", r"\bhere's the thing[:,][ \t]+", ""),
+        ("the_key_is", r"\bthe key here is to\b", "it helps to"),
+        ("make_no_mistake", r"\bmake no mistake[:,][ \t]+", ""),
+        ("in_other_words", r"\bin other words,[ \t]+", ""),
+        ("simply_put", r"\bsimply put,[ \t]+", ""),
+        ("the_bottom_line", r"\bthe bottom line is that\b", "in short,"),
+        ("a_wide_range", r"\ba wide (?:range|variety|array) of\b", "many"),
+        ("on_a_daily_basis", r"\bon a (?:daily|regular) basis\b", "often"),
+        ("in_terms_of", r"\bin terms of how\b", "in how"),
+        ("first_and_foremost", r"\bfirst and foremost\b", "first"),
+        ("last_but_not_least", r"\blast but not least\b", "last"),
+        ("the_fact_that", r"\bthe simple fact that\b", "that"),
+        ("is_able_to", r"\bis able to\b", "can"),
+        ("are_able_to", r"\bare able to\b", "can"),
+        ("take_into_account", r"\btake into (?:account|consideration)\b", "consider"),
+        ("with_that_in_mind", r"\bwith that in mind,[ \t]+", ""),
+    ),
+    *_table(
+        "filler",
+        ("to_be_clear", r"\bTo be clear,[ \t]*", ""),
+        ("to_be_honest", r"\bTo be honest,[ \t]*", ""),
+        ("truth_is", r"\bThe truth is,[ \t]*", ""),
+        ("goes_without", r"\bIt goes without saying(?: that)?,?[ \t]*", ""),
+        ("in_the_long_run", r"\bIn the grand scheme of things,?[ \t]*", ""),
+        ("all_things", r"\bAll things considered,[ \t]*", ""),
+        ("by_and_large", r"\bBy and large,[ \t]*", ""),
+        ("as_we_know", r"\bAs we all know,[ \t]*", ""),
+    ),
+    *_table(
+        "hacky",
+        ("harness", r"\b(?:harness|unleash|unlock) the (?:full )?(?:power|potential) of\b", "use"),
+        ("game_changer", r"\ba (?:real |true )?game[- ]changer\b", "a big change"),
+        ("one_stop", r"\bone[- ]stop shop\b", "single place"),
+        ("best_of_breed", r"\bbest[- ](?:of|in)[- ](?:breed|class)\b", "good"),
+        ("move_the_needle", r"\bmoves? the needle\b", "helps"),
+        ("low_hanging", r"\blow[- ]hanging fruit\b", "easy gains"),
+        ("win_win", r"\ba win[- ]win\b", "good for both"),
+        ("think_outside", r"\bthink outside the box\b", "be inventive"),
+        ("synergy", r"\bcreates? synergies\b", "work together"),
+        ("mission_critical", r"\bmission[- ]critical\b", "essential"),
+        ("supercharge", r"\bsupercharge your\b", "speed up your"),
+        ("skyrocket", r"\bskyrocket\b", "rise"),
+        ("turbocharge", r"\bturbocharge\b", "speed up"),
+        ("stay_ahead", r"\bstay ahead of the curve\b", "keep up"),
+        ("raise_the_bar", r"\braises? the bar\b", "sets a standard"),
+        ("hit_the_ground", r"\bhit the ground running\b", "start fast"),
+        ("peace_of_mind", r"\bgives? you peace of mind\b", "reassures you"),
+        ("future_proof", r"\bfuture[- ]proof\b", "lasting"),
+        ("at_scale", r"\bscale new heights\b", "grow"),
+        ("no_brainer", r"\ba no[- ]brainer\b", "easy"),
+    ),
 ]
-PHRASES = _table(
-    "phrase",
-    ("things_that", r"\bthings that actually ", "things that "),
-    ("in_a_way", r"\bis done in a way that is\b", "is"),
-    ("quick_win", r"\ba quick win\b", "a win"),
-    ("what_matters", r"\bwhat (?:truly|really) matters\b", "what counts"),
-    ("here_is_the_thing", r"\bhere's the thing[:,][ \t]+", ""),
-    ("the_key_is", r"\bthe key here is to\b", "it helps to"),
-    ("make_no_mistake", r"\bmake no mistake[:,][ \t]+", ""),
-    ("in_other_words", r"\bin other words,[ \t]+", ""),
-    ("simply_put", r"\bsimply put,[ \t]+", ""),
-    ("the_bottom_line", r"\bthe bottom line is that\b", "in short,"),
-    ("a_wide_range", r"\ba wide (?:range|variety|array) of\b", "many"),
-    ("on_a_daily_basis", r"\bon a (?:daily|regular) basis\b", "often"),
-    ("in_terms_of", r"\bin terms of how\b", "in how"),
-    ("first_and_foremost", r"\bfirst and foremost\b", "first"),
-    ("last_but_not_least", r"\blast but not least\b", "last"),
-    ("the_fact_that", r"\bthe simple fact that\b", "that"),
-    ("is_able_to", r"\bis able to\b", "can"),
-    ("are_able_to", r"\bare able to\b", "can"),
-    ("take_into_account", r"\btake into (?:account|consideration)\b", "consider"),
-    ("with_that_in_mind", r"\bwith that in mind,[ \t]+", ""),
-)
-FILLERS = _table(
-    "filler",
-    ("end_of_day", r"\bAt the end of the day,?[ \t]*", ""),
-    ("said_and_done", r"\bWhen all is said and done,?[ \t]*", ""),
-    ("speak", r"\bThe results speak for themselves[.,:;!?][ \t]*", ""),
-    ("to_be_clear", r"\bTo be clear,[ \t]*", ""),
-    ("to_be_honest", r"\bTo be honest,[ \t]*", ""),
-    ("truth_is", r"\bThe truth is,[ \t]*", ""),
-    ("goes_without", r"\bIt goes without saying(?: that)?,?[ \t]*", ""),
-    ("in_the_long_run", r"\bIn the grand scheme of things,?[ \t]*", ""),
-    ("all_things", r"\bAll things considered,[ \t]*", ""),
-    ("by_and_large", r"\bBy and large,[ \t]*", ""),
-    ("as_we_know", r"\bAs we all know,[ \t]*", ""),
-)
-HACKY = _table(
-    "hacky",
-    ("harness", r"\b(?:harness|unleash|unlock) the (?:full )?(?:power|potential) of\b", "use"),
-    ("next_level", r"\btake your\s+(\w+)\s+to the next level\b", "improve your $1"),
-    ("cutting_edge", r"\bcutting[- ]edge\b", "modern"),
-    ("bridge", r"\bbridge the gap between\b", "connect"),
-    ("game_changer", r"\ba (?:real |true )?game[- ]changer\b", "a big change"),
-    ("state_of_the_art", r"\bstate[- ]of[- ]the[- ]art\b", "modern"),
-    ("one_stop", r"\bone[- ]stop shop\b", "single place"),
-    ("best_of_breed", r"\bbest[- ](?:of|in)[- ](?:breed|class)\b", "good"),
-    ("move_the_needle", r"\bmoves? the needle\b", "helps"),
-    ("low_hanging", r"\blow[- ]hanging fruit\b", "easy gains"),
-    ("win_win", r"\ba win[- ]win\b", "good for both"),
-    ("paradigm", r"\ba paradigm shift\b", "a change"),
-    ("think_outside", r"\bthink outside the box\b", "be inventive"),
-    ("synergy", r"\bcreates? synergies\b", "work together"),
-    ("mission_critical", r"\bmission[- ]critical\b", "essential"),
-    ("supercharge", r"\bsupercharge your\b", "speed up your"),
-    ("skyrocket", r"\bskyrocket\b", "rise"),
-    ("turbocharge", r"\bturbocharge\b", "speed up"),
-    ("stay_ahead", r"\bstay ahead of the curve\b", "keep up"),
-    ("raise_the_bar", r"\braises? the bar\b", "sets a standard"),
-    ("hit_the_ground", r"\bhit the ground running\b", "start fast"),
-    ("peace_of_mind", r"\bgives? you peace of mind\b", "reassures you"),
-    ("future_proof", r"\bfuture[- ]proof\b", "lasting"),
-    ("at_scale", r"\bscale new heights\b", "grow"),
-    ("no_brainer", r"\ba no[- ]brainer\b", "easy"),
-)
+
+
+def _rules(*categories: str) -> list[Rule]:
+    """The rules of some categories, category after category: fixed ones, then our own."""
+    return [r for c in categories for r in (*_FIXED, *_OWN) if r.category == c]
+
+
+TELLS = _rules("vocab", "copula", "redundant", "hedging", "sycophantic", "chatbot", "landscape", "dive")
+PHRASES, FILLERS, HACKY = _rules("phrase"), _rules("filler"), _rules("hacky")
 #: An empty adjective between a determiner and a common noun.
 INTENSIFIER = r"(?i)\b(a|an|the|this|that|these|those|our|your|their|its|my)\s+(?:genuine|real|actual|truly|true|specific|deeper|deep)\s+(?=(?-i:[a-z][a-z'\-]{2,})\b)"
 
 
+def sample(rule: Rule) -> str:
+    """A text that the rule's pattern matches: the first of each choice, without what may be left out."""
+    p, last = rule.pattern.replace(r"\b", ""), None
+    while p != last:  # groups, innermost first
+        last, p = p, re.sub(r"\((?:\?:)?([^()]*)\)(\??)", lambda m: "" if m[2] else m[1].split("|")[0], p)
+    p = re.sub(r"\[ \\t\]\+|\\s\+", " ", re.sub(r"\[ \\t\]\*", "", p))
+    p = re.sub(r"\[(.)[^\]]*\](\??)", lambda m: "" if m[2] else m[1], p)
+    return re.sub(r".\?", "", p).replace(r"\w+", "work")
+
+
 def folded(text: Column, rules: list[Rule]) -> Column:
     """struct<text, log>: the text after all rules, in order, whatever the case of letters; of each rule that matched, tag and count.
 

@@ -27,23 +27,43 @@ INJECTED = {
     8: "'It is important to note that data plays a crucial role. It is due to the fact that things that actually work serve us. ' || text",
     9: "'It isn''t just about speed,or a deep look; it''s about trust. Here 0012500 and 00123 were sold. At the end of the day, we harness the power of data. ' || text",
 }
-HEBREW = "חשוב לציין כי המוצר הזה הוא מקיף. אולי נראה אותו מחר, אולם לא היום. אנחנו רוצים לראות הרבה דברים."
+#: Behind them stands something that each rewriting rule has work with: a tenth of the rules in each.
+_SAMPLES = [f"{rules.sample(r)} it goes on from here." for r in (*rules.TELLS, *rules.PHRASES, *rules.FILLERS, *rules.HACKY)]
+INJECTED = {k: f"{x} || ' So it was. " + " ".join(_SAMPLES[k::10]).replace("'", "''") + "'" if k != 7 else x for k, x in INJECTED.items()}
+HEBREW = [
+    "חשוב לציין כי המוצר הזה הוא מקיף. אולי נראה אותו מחר, אולם לא היום. אנחנו רוצים לראות הרבה דברים.",
+    "הדוח המקיף נכתב בידי צוות גדול. הוא נשלח אתמול. ייתכן שהמחיר מכריע, ולכן נמתין.",
+    "בעידן של היום הכול מהיר. אני חושב שזה חשוב. לפיכך כדאי להטמיע את התהליך המורכב לאט.",
+    "כמה אנשים באו. רבים מהם נשארו! האם הם יחזרו? כנראה שכן, אבל מי יודע.",
+    "המערכת הוטמעה בשנה שעברה. היא נבדקה שוב ושוב. בנוסף נמצאו בה מספר תקלות.",
+    "שלום",
+    "לכאורה הכול פשוט. אך כשבוחנים את הפרטים, רואים עד כמה הנושא מורכב ומכריע. מגוון דעות נשמע.",
+    "היא אמרה לו. הוא אמר לה. הם אמרו להם. אנחנו שתקנו, ואתם הקשבתם.",
+    "פרק ראשון\nבפרק הזה נדבר על העיר הגדולה והמהירה. חשוב לציין שהיא גדולה, וחשוב לזכור זאת.\n- סעיף אחד ארוך שיש בו הרבה מילים על נושא אחד בלבד.",
+    "ד\"ר כהן הגיע ב-12 בינואר. הפגישה נקבעה לשעה 10. בפרט נדון במחיר המקיף, שהוסכם מראש, ובמועד שנקבע.",
+]
 _CASES = " ".join(f"WHEN {k} THEN {v}" for k, v in INJECTED.items())
 TEXT = f"CASE CAST(doc_id % 10 AS INT) {_CASES} ELSE text END"
+_HEBREW_SQL = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in HEBREW) + "][CAST(doc_id % 10 AS INT) + 1]"
 _READ_AS = "CASE WHEN lang = 'he' THEN 'he' ELSE 'en' END"
 #: Every stored document with its own text, all languages but Hebrew read as English; the texts with something put in are rows beside them.
 _SQL_DOCS = f"""docs AS (SELECT doc_id, text, {_READ_AS} AS language, source FROM documents UNION ALL SELECT -1 - doc_id, {TEXT}, 'en', source FROM documents WHERE lang = 'en'
- UNION ALL SELECT -1 - doc_id, '{HEBREW}', 'he', source FROM documents WHERE lang <> 'en')"""
+ UNION ALL SELECT -1 - doc_id, {_HEBREW_SQL}, 'he', source FROM documents WHERE lang <> 'en')"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spark_text() -> str:
+    """TEXT as Spark's SQL writes it."""
+    return TEXT.replace("\n", "\\n").replace("''", "\\'")
+
+
 def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of documents with their own texts; below them, under negative ids, a row for each with a text that the operators have work with."""
     docs = table(spark, sf_dir, "documents")
-    beside = docs.select(F.expr("-1 - doc_id").alias("doc_id"), F.when(F.col("lang") == "en", F.expr(TEXT.replace("\n", "\\n").replace("''", "\\'"))).otherwise(F.lit(HEBREW)).alias("text"), F.when(F.col("lang") == "en", "en").otherwise("he").alias("language"), "source", "lang")
+    beside = docs.select(F.expr("-1 - doc_id").alias("doc_id"), F.when(F.col("lang") == "en", F.expr(_spark_text())).otherwise(F.element_at(F.array(*map(F.lit, HEBREW)), (F.col("doc_id") % 10).cast("int") + 1)).alias("text"), F.when(F.col("lang") == "en", "en").otherwise("he").alias("language"), "source", "lang")
     return docs.select("doc_id", "text", F.expr(_READ_AS).alias("language"), "source").unionByName(beside.filter("lang IS NOT NULL").drop("lang"))
 
 
@@ -442,13 +462,41 @@ def rule_audit(spark, sf_dir, texts=whole):
     return rows.groupBy(F.col("c.tag").alias("tag")).agg(F.sum("c.n").cast("long").alias("n"), F.count("*").alias("docs"))
 
 
-def _rule_audit_sql() -> str:
-    text, parts = "text", []
-    for r in rules.TELLS:
-        p = r.pattern.replace("'", "''")
-        parts.append(f"SELECT '{r.tag}' AS tag, len(regexp_extract_all({text}, '(?i){p}')) AS n FROM docs")
-        text = f"regexp_replace({text}, '{p}', '{r.replacement.replace('$1', chr(92) + '1').replace(chr(39), chr(39) * 2)}', 'gi')"
-    return f"WITH {_SQL_DOCS}, c AS ({' UNION ALL '.join(parts)}) SELECT tag, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM c WHERE n > 0 GROUP BY tag"
+def _rule_audit_sql(table: list[rules.Rule]) -> str:
+    parts = [f"SELECT '{r.tag}' AS tag, len(regexp_extract_all(t, '(?i){r.pattern.replace(chr(39), chr(39) * 2)}')) AS n FROM r{i}" for i, r in enumerate(table)]
+    return f"WITH {_SQL_DOCS}, whole_texts AS (SELECT doc_id, 0 AS k, '' AS kept, text AS t FROM docs), {_stepped_sql(table, 'whole_texts')}, c AS ({' UNION ALL '.join(parts)}) SELECT tag, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM c WHERE n > 0 GROUP BY tag"
+
+
+def post_audit(spark, sf_dir, texts=whole):
+    """How often each phrase, filler and worn phrase is rewritten, corpus-wide, on the whole text."""
+    rows = texts(spark, sf_dir).select(F.explode(rules.rule_counts(F.col("text"), _POST)).alias("c"))
+    return rows.groupBy(F.col("c.tag").alias("tag")).agg(F.sum("c.n").cast("long").alias("n"), F.count("*").alias("docs"))
+
+
+_POST = [*rules.PHRASES, *rules.FILLERS, *rules.HACKY]
+
+
+def _stepped_sql(table: list[rules.Rule], source: str) -> str:
+    """CTEs from `source` (doc_id, k, kept, t) to `stepped`: t after all rules in order, f with a bit for each that matched, n with its matches by rule."""
+    steps, last = [], f"SELECT doc_id, k, kept, t, 0::HUGEINT AS f FROM {source}"
+    for i, r in enumerate(table):
+        p, new = r.pattern.replace("'", "''"), r.replacement.replace("$1", "\\1").replace("'", "''")
+        steps.append(f"r{i} AS ({last})")
+        last = f"SELECT doc_id, k, kept, regexp_replace(t, '{p}', '{new}', 'gi') AS t, f + CASE WHEN regexp_matches(t, '(?i){p}') THEN {1 << i}::HUGEINT ELSE 0 END AS f FROM r{i}"
+    return ", ".join(steps) + f", stepped AS ({last})"
+
+
+def _tell_scrub_sql() -> str:
+    merged = _MERGED_SQL.replace("FROM spans)", "FROM spans WHERE kind <> 'heading')")
+    tidy = "regexp_replace(regexp_replace(t, '  +', ' ', 'g'), '[ \\t]+([!?.,:;])', '\\1', 'g')"
+    return f"""WITH {_SQL_DOCS}, {_spans_sql()}, {merged},
+segs AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS prev FROM merged),
+parts AS (SELECT doc_id, s AS k, text[prev + 1:s] AS t, text[s + 1:e] AS kept FROM segs JOIN docs USING (doc_id)
+ UNION ALL SELECT doc_id, 1099511627776::BIGINT, text[coalesce(stop, 0) + 1:], '' FROM docs LEFT JOIN (SELECT doc_id, max(e) AS stop FROM merged GROUP BY doc_id) USING (doc_id)),
+{_stepped_sql(rules.TELLS, "parts")},
+glued AS (SELECT doc_id, string_agg(t || kept, '' ORDER BY k) AS t, bit_or(f) AS f FROM stepped GROUP BY doc_id),
+tidied AS (SELECT glued.doc_id, f, CASE WHEN t = text THEN t ELSE array_to_string(list_transform(string_split(regexp_replace({tidy}, '(\\A|[.!?][ \\t]+)([a-z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x, i: CASE WHEN i > 1 THEN upper(x[1]) || x[2:] ELSE x END), '') END AS t FROM glued JOIN docs USING (doc_id))
+SELECT doc_id, md5(t) AS text_md5, CAST(length(t) AS BIGINT) AS chars, CAST(bit_count(f) AS BIGINT) AS n_changes FROM tidied"""
 
 
 def _stated(df: DataFrame) -> DataFrame:
@@ -661,7 +709,7 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS key, t AS ts, allowed, retry AS ret
 
 QUERIES = (
     detect_verdict, leading_signals, validate_docs, token_stats, lexicon_hits, verdict_by_source, labels_vs_score, conversation_roles, top_segments, phrase_places, structural_burstiness, invisible_findings, finding_counts, clean_text, line_kinds, protected_spans, merged_spans, findings_in_spans, segments_over_spans, merge_ranges,
-    rule_audit, tell_scrub, thousands, headings, lexical_swap, restructure, vary_vocabulary, post_polish, swap_candidates, swapped_words, rewritten, before_after, detect_report, model_score, rendered, findings_report, admission,
+    rule_audit, post_audit, tell_scrub, thousands, headings, lexical_swap, restructure, vary_vocabulary, post_polish, swap_candidates, swapped_words, rewritten, before_after, detect_report, model_score, rendered, findings_report, admission,
 )
 
 
@@ -676,6 +724,6 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     known = {
         "detect_verdict": DETECT, "leading_signals": LEADING, "validate_docs": VALIDATE, "token_stats": TOKEN_STATS, "lexicon_hits": LEXICON_HITS, "verdict_by_source": VERDICT_BY_SOURCE, "labels_vs_score": LABELS, "conversation_roles": ROLES, "top_segments": SEGMENTS, "phrase_places": PHRASE_PLACES, "structural_burstiness": STRUCTURAL, "findings_in_spans": FINDINGS_IN_SPANS, "segments_over_spans": SEGMENTS_OVER_SPANS,
-        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(), "swap_candidates": SWAP_CANDIDATES, "swapped_words": _swapped_sql(), "lexical_swap": _swapped_sql(), "headings": _headings_sql(), "model_score": MODEL_SCORE, "rendered": RENDERED, "admission": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT, "protected_spans": PROTECTED, "merged_spans": MERGED_SPANS, "thousands": THOUSANDS,
+        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(rules.TELLS), "post_audit": _rule_audit_sql(_POST), "tell_scrub": _tell_scrub_sql(), "swap_candidates": SWAP_CANDIDATES, "swapped_words": _swapped_sql(), "lexical_swap": _swapped_sql(), "headings": _headings_sql(), "model_score": MODEL_SCORE, "rendered": RENDERED, "admission": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT, "protected_spans": PROTECTED, "merged_spans": MERGED_SPANS, "thousands": THOUSANDS,
     }
     return {k: v.replace(_ASCII_PASSIVE, _PASSIVE) for k, v in known.items()}
