@@ -3,7 +3,7 @@
 The index lists, for the highest-IDF words of each template's key phrase, where the word stands in the template. A file's occurrences of
 those words are looked up; each gives the templates that have the word and the place where they would begin. Postings are
 intersected by that place: only a template that two rare words of the file put at one and the same place goes on to be verified,
-by its key phrase word for word and by the share of its words, weighted by IDF, that stand there. All of it happens within
+by a key phrase word for word and by the share of its words, weighted by IDF, that stand there or a few words off. All of it happens within
 the row: nothing is shuffled but the document counts of the templates' own words.
 """
 
@@ -50,8 +50,16 @@ NOTICES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "free to copy modify publish use compile sell or distribute this software"),
 ]
+#: Another phrase of each notice of which one has to be there, so that a word put into either doesn't hide the notice.
+OTHER_KEYS = {
+    "apache-2.0": "you may not use this file except in compliance with the license", "mit": "permission is hereby granted free of charge", "bsd": "redistributions of source code must retain the above copyright notice",
+    "gpl-2.0": "license as published by the free software foundation either version 2", "gpl-3.0": "license as published by the free software foundation either version 3",
+    "isc": "permission to use copy modify and or distribute this software", "mpl-2.0": "subject to the terms of the mozilla public license", "unlicense": "free and unencumbered software released into the public domain",
+}
 #: Postings of a template, and how many of them must agree on its place.
 RARE, AGREE, LEAST_COVERAGE = 3, 2, 0.6
+#: How far words may have moved from their places, by words put in or taken out.
+BAND = 4
 POSTING = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("word", T.StringType()), ("at", T.IntegerType()), ("template", T.IntegerType()), ("key_at", T.IntegerType()))]))
 TEMPLATE = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (
     ("template", T.IntegerType()), ("label", T.StringType()), ("base", T.BooleanType()), ("words", T.ArrayType(T.StringType())), ("weights", T.ArrayType(T.DoubleType())), ("key_at", T.IntegerType()), ("key", T.ArrayType(T.StringType())))]))
@@ -60,7 +68,7 @@ TEMPLATE = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (
 def templates() -> list[tuple[str, list[str], int, list[str], bool]]:
     """label, words, where the key phrase begins, key phrase, whether it is one of PHRASES."""
     out = [(label, p.split(), 0, p.split(), True) for p, label in PHRASES.items()]
-    for label, text, key in TEMPLATES + NOTICES:
+    for label, text, key in TEMPLATES + NOTICES + [(label, text, OTHER_KEYS[label]) for label, text, _ in NOTICES]:
         w, k = text.split(), key.split()
         out.append((label, w, next(i for i in range(len(w)) if w[i : i + len(k)] == k), k, False))
     return out
@@ -126,12 +134,15 @@ def places(words: Column, idf: dict[str, float]) -> Column:
     def verified(found: Column) -> Column:
         def one(c):
             def known(t):
-                at, left = F.greatest(c["at"], F.lit(0)), F.greatest(-c["at"], F.lit(0))
-                size = F.size(t["words"]) - left
-                own, weights = F.slice(t["words"], left + 1, size), F.slice(t["weights"], left + 1, size)
-                there = F.slice(words, at + 1, size)
-                covered = F.aggregate(F.zip_with(F.zip_with(there, own, lambda a, b: F.coalesce(a == b, F.lit(False))), weights, lambda same, v: F.when(same, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-                total = F.aggregate(weights, F.lit(0.0), lambda s, v: s + v)
+                at, own = F.greatest(c["at"], F.lit(0)), t["words"]
+
+                def same(k, d):
+                    return F.coalesce(F.get(words, c["at"] + k + d) == F.get(own, k), F.lit(False))
+
+                # A word is there if it stands at its place or a few words off, and so does one beside it.
+                there = F.transform(own, lambda _, k: (c["at"] + k >= 0) & F.exists(F.sequence(F.lit(-BAND), F.lit(BAND)), lambda d: same(k, d) & (same(k + 1, d) | same(k - 1, d))))
+                covered = F.aggregate(F.zip_with(there, t["weights"], lambda on, v: F.when(on, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+                total = F.aggregate(F.slice(t["weights"], F.greatest(-c["at"], F.lit(0)) + 1, F.size(own)), F.lit(0.0), lambda s, v: s + v)
                 key = F.slice(words, c["at"] + t["key_at"] + 1, F.size(t["key"])) == t["key"]
                 return F.struct(t["template"].alias("template"), t["label"].alias("label"), t["base"].alias("base"), at.alias("at"), F.when(key, covered / total).alias("coverage"))
 
