@@ -119,3 +119,33 @@ def test_arrays(spark):
     df = spark.createDataFrame([([3, 1, 2],), ([],), ([5],)], "a array<long>")
     rows = df.select(arrays.sums(F.col("a")).alias("s"), arrays.before(F.col("a"), F.lit(0).cast("long")).alias("b")).collect()
     assert [(r["s"], r["b"]) for r in rows] == [([3, 4, 6], [0, 3, 1]), ([], []), ([5], [0])]
+
+
+def test_own_words_and_phrases_in_the_metrics(spark, tmp_path):
+    from textloom.functions import lexicon as lx
+    from textloom.operators import metrics
+    from textloom.plans import workflows
+
+    (tmp_path / "ranks").write_text("zeta\nAlpha\nbeta\n", encoding="utf-8")
+    own = lx.with_ranks(lx.lexicon(spark), "en", src.word_list(spark, str(tmp_path / "ranks")))
+    own = lx.with_flag(own, "en", "is_machine", spark.createDataFrame([("Beta", ["b"])], "word string, options array<string>"))
+    assert lx.vocabulary_sizes(own)["en"] == 3 and own.filter("language = 'en' AND is_machine").count() == 1
+    df = spark.createDataFrame([(1, "Alpha beta gamma alpha beta. Moreover so to say.", "en")], "doc_id long, text string, language string")
+    r = metrics.metrics(df, ["doc_id"], (), own, {"en": ["so to say"], "he": []}).first()
+    import math
+
+    assert r["ai_phrase_density"] == pytest.approx((2 + 3) / 9) and r["transition_word_frequency"] == pytest.approx(1 / 9)
+    assert r["perplexity_proxy"] == pytest.approx(math.log((2 + 3 + 4 + 2 + 3 + 4 * 4) / 9 + 1) / math.log(3 + 2))
+    out = workflows.detect(df, ["doc_id"], None, own, {"en": ["so to say"], "he": []}).first()
+    assert out["ai_phrase_density"] == r["ai_phrase_density"] and len(out["segments"]) == 2
+
+
+def test_own_rules_in_the_rewriting(spark):
+    from textloom.operators import rules
+    from textloom.plans import workflows
+
+    df = spark.createDataFrame([(1, "We went there zigzag, in order to see all of the plan, and it was good.", "en")], "doc_id long, text string, language string")
+    own = [rules.Rule("vocab", r"\bzigzag\b", "straight", "zig")]
+    known = spark.createDataFrame([("en", "nothing", "word", ["x"])], "language string, word string, layer string, options array<string>")
+    r = workflows.rewritten(df, ["doc_id"], seed=3, tells=own, known=known, phrases={}).first()
+    assert "straight" in r["text"] and "in order to" in r["text"] and "tells:zig:1" in r["transformations"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The word sets of the metrics.
 TRANSITIONS = {
@@ -89,5 +90,35 @@ def lexicon(spark: SparkSession, frequent=FREQUENT, machine=MACHINE_WORDS) -> Da
     return spark.createDataFrame(data, "language string, word string, rank int, is_machine boolean, is_transition boolean, is_hedge boolean, is_quantifier boolean, is_pronoun boolean")
 
 
+#: Rows of a table of words that may be broadcast.
+BROADCAST_ROWS = 200_000
+FLAGS = ("is_machine", "is_transition", "is_hedge", "is_quantifier", "is_pronoun")
+
+
+def small(words: DataFrame) -> DataFrame:
+    """A table of words, marked to be broadcast if a count says that it is small."""
+    return F.broadcast(words) if words.count() <= BROADCAST_ROWS else words
+
+
+def with_ranks(words: DataFrame, language: str, ranks: DataFrame) -> DataFrame:
+    """A lexicon with the frequency list of one language replaced by ranks (word, rank), as sources.documents.word_list() and ranks() give them."""
+    mine = words.filter(F.col("language") == language).drop("rank")
+    new = mine.join(ranks.select(F.lower("word").alias("word"), F.col("rank").cast("int").alias("rank")).groupBy("word").agg(F.max("rank").alias("rank")), "word", "full")
+    new = new.select(F.lit(language).alias("language"), "word", "rank", *[F.coalesce(c, F.lit(False)).alias(c) for c in FLAGS])
+    return new.unionByName(words.filter(F.col("language") != language))
+
+
+def with_flag(words: DataFrame, language: str, flag: str, listed: DataFrame) -> DataFrame:
+    """A lexicon in which the words of a dictionary (word, ...) and no others of one language have a flag of FLAGS."""
+    new = words.filter(F.col("language") == language).drop(flag).join(listed.select(F.lower("word").alias("word"), F.lit(True).alias(flag)).distinct(), "word", "full")
+    new = new.select(F.lit(language).alias("language"), "word", "rank", *[F.coalesce(c, F.lit(False)).alias(c) for c in FLAGS])
+    return new.unionByName(words.filter(F.col("language") != language))
+
+
+def vocabulary_sizes(words: DataFrame) -> dict[str, int]:
+    found = {r["language"]: r["n"] for r in words.groupBy("language").agg(F.count("rank").alias("n")).collect()}
+    return {k: found.get(k, 0) for k in ("en", "he")}
+
+
 def vocabulary_size(language: str, frequent=FREQUENT) -> int:
     return len({w.lower() for w in frequent.get(language, ())})

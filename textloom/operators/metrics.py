@@ -32,8 +32,8 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
-def with_shape(df: DataFrame) -> DataFrame:
-    """Adds words, n_words, n_sentences and the metrics that need no dictionary."""
+def with_shape(df: DataFrame, machine_phrases: dict = lx.MACHINE_PHRASES, quantifiers: dict = lx.QUANTIFIERS) -> DataFrame:
+    """Adds words, n_words, n_sentences and the metrics that need no dictionary of words. Phrases by language are parameters."""
     en = F.col("language") == "en"
     df = df.withColumn("words", tokens.words(F.col("text"), F.col("language"))).withColumn("_s", tokens.sentences(F.col("text")))
     df = df.withColumn("n_words", F.size("words")).withColumn("n_sentences", F.size("_s"))
@@ -49,21 +49,24 @@ def with_shape(df: DataFrame) -> DataFrame:
     df = df.withColumn("sentence_start_diversity", F.size(F.array_distinct("_starts")) / F.greatest(F.size("_starts"), F.lit(1)))
     passive = F.when(en, F.regexp_count("text", F.lit(PASSIVE["en"]))).otherwise(F.regexp_count("text", F.lit(PASSIVE["he"])))
     df = df.withColumn("passive_voice_ratio", passive / F.greatest("n_sentences", F.lit(1)))
-    many = {k: [q for q in v if " " in q] for k, v in lx.QUANTIFIERS.items()}
-    df = df.withColumn("_p", phrases.counts(F.lower("text"), F.col("language"), {"machine": lx.MACHINE_PHRASES, "many": many}))
+    many = {k: [q for q in v if " " in q] for k, v in quantifiers.items()}
+    df = df.withColumn("_p", phrases.counts(F.lower("text"), F.col("language"), {"machine": machine_phrases, "many": many}))
     return df.withColumn("phrase_hits", F.col("_p.machine")).withColumn("quantifier_phrases", F.col("_p.many")).drop("_s", "_l", "_starts", "_p")
 
 
-def metrics(df: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
+def metrics(df: DataFrame, keys: list[str], keep: list[str] = (), lexicon: DataFrame | None = None, machine_phrases: dict = lx.MACHINE_PHRASES) -> DataFrame:
     """keys, keep, the twelve metrics, n_words, n_sentences of each (text, language) in df; keys identify its rows.
 
-    language is 'en' or 'he'. A text without words has metrics of 0; null texts count as empty.
+    language is 'en' or 'he'. A text without words has metrics of 0; null texts count as empty. lexicon: words of one's own, as functions.lexicon.lexicon()
+    gives them or with_ranks() changes them; machine_phrases: phrases by language.
     """
+    sizes = {k: lx.vocabulary_size(k) for k in ("en", "he")} if lexicon is None else lx.vocabulary_sizes(lexicon)
+    lexicon = lx.lexicon(df.sparkSession) if lexicon is None else lexicon
     df = df.withColumn("text", F.coalesce("text", F.lit("")))
     own = ["n_words", "n_sentences", "burstiness", "avg_sentence_length", "sentence_length_stdev", "vocab_diversity", "sentence_start_diversity", "passive_voice_ratio", "phrase_hits", "quantifier_phrases"]
-    shaped = with_shape(df).select(*keys, *keep, "language", *own, F.explode_outer("words").alias("word"))
-    joined = shaped.join(F.broadcast(lx.lexicon(df.sparkSession)), ["language", "word"], "left")
-    unknown = F.when(F.col("language") == "en", lx.vocabulary_size("en")).otherwise(lx.vocabulary_size("he")) + 1
+    shaped = with_shape(df, machine_phrases).select(*keys, *keep, "language", *own, F.explode_outer("words").alias("word"))
+    joined = shaped.join(lx.small(lexicon), ["language", "word"], "left")
+    unknown = F.when(F.col("language") == "en", sizes["en"]).otherwise(sizes["he"]) + 1
     flag = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("long")).alias(c)
     # A row's own numbers are keys too: they hang on its keys, and without them as values the aggregation hashes instead of sorting all words.
     out = joined.groupBy(*keys, "language", *keep, *own).agg(
@@ -71,7 +74,7 @@ def metrics(df: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
         *[flag(c) for c in ("is_machine", "is_transition", "is_hedge", "is_quantifier", "is_pronoun")],
     )
     n = F.col("n_words")
-    size = F.when(F.col("language") == "en", lx.vocabulary_size("en")).otherwise(lx.vocabulary_size("he"))
+    size = F.when(F.col("language") == "en", sizes["en"]).otherwise(sizes["he"])
     any_word = lambda c: F.when(n == 0, F.lit(0.0)).otherwise(c)
     return out.select(
         *keys, *keep, "language", "n_words", "n_sentences",
@@ -114,9 +117,9 @@ def verdict(p: Column) -> Column:
     return F.when(p < F.lit(0.35), "human").when(p < F.lit(0.65), "mixed").otherwise("ai")
 
 
-def detect(df: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
+def detect(df: DataFrame, keys: list[str], keep: list[str] = (), lexicon: DataFrame | None = None, machine_phrases: dict = lx.MACHINE_PHRASES) -> DataFrame:
     """metrics(), ai_probability and verdict of each row."""
-    out = metrics(df, keys, keep).withColumn("ai_probability", fused())
+    out = metrics(df, keys, keep, lexicon, machine_phrases).withColumn("ai_probability", fused())
     return out.withColumn("verdict", verdict(F.col("ai_probability")))
 
 
@@ -135,7 +138,7 @@ def leading_signals(k: int = 3) -> Column:
     return F.transform(F.slice(F.array_sort(each), 1, k), lambda x: F.struct(x["name"].alias("name"), (-x["down"]).alias("value")))
 
 
-def top_segments(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+def top_segments(df: DataFrame, keys: list[str], k: int = 5, lexicon: DataFrame | None = None, machine_phrases: dict = lx.MACHINE_PHRASES) -> DataFrame:
     """The k most machine-like sentences of at least three words of each text: keys, rank, start, end, text, sub_score, reason.
 
     Ties go to the earlier sentence. start and end are code points of the text. Only numbers of sentences are shuffled; the winners' texts are cut last.
@@ -144,7 +147,7 @@ def top_segments(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
 
     found = df.select(*keys, "language", F.explode(tokens.segments(F.coalesce("text", F.lit("")))).alias("s")).select(*keys, "language", "s.*")
     found = found.filter(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= 3)
-    scored = detect(found, [*keys, "start", "end"])
+    scored = detect(found, [*keys, "start", "end"], (), lexicon, machine_phrases)
     parts = sub_scores()
     best = F.array_max(F.array(*[F.struct(parts[name].alias("v"), F.lit(-o).alias("o"), F.lit(label).alias("label")) for o, (name, label) in enumerate(REASONS)]))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ai_probability"), "start"))

@@ -84,11 +84,11 @@ def _by_language(f) -> str:
 
 def validate_docs(spark, sf_dir):
     docs = src.with_options(table(spark, sf_dir, "documents").withColumn("language", F.col("lang")))
-    return docs.select("doc_id", F.coalesce(src.rejection(), F.lit("ok")).alias("reason"), F.char_length("text").cast("long").alias("chars"))
+    return docs.select("doc_id", F.coalesce(src.rejection(), F.lit("ok")).alias("reason"), F.char_length("text").cast("long").alias("chars"), F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("words"))
 
 
 VALIDATE = f"""SELECT doc_id, CASE WHEN text IS NULL OR length(text) = 0 THEN 'empty' WHEN length(text) > {src.HARD_CAP} THEN 'too_long' WHEN NOT regexp_matches(text, '\\S') THEN 'blank'
- WHEN lang NOT IN ('en', 'he') THEN 'language' WHEN length(text) > {src.DEFAULT_CAP} THEN 'over_cap' ELSE 'ok' END AS reason, CAST(length(text) AS BIGINT) AS chars FROM documents"""
+ WHEN lang NOT IN ('en', 'he') THEN 'language' WHEN length(text) > {src.DEFAULT_CAP} THEN 'over_cap' ELSE 'ok' END AS reason, CAST(length(text) AS BIGINT) AS chars, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS words FROM documents"""
 
 #: Hebrew words are whole runs of letters, so the passive's pattern is one of words.
 _HE_PASSIVE = "נ[א-ת]{3,5}|הו[א-ת]{2,4}"
@@ -612,7 +612,7 @@ def before_after(spark, sf_dir, texts=whole):
 def detect_report(spark, sf_dir, texts=whole):
     found = workflows.detect(texts(spark, sf_dir), ["doc_id"])
     places = F.concat_ws(",", F.transform("segments", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
-    return found.select("doc_id", F.round("ai_probability", 6).alias("ai_probability"), "verdict", F.size("findings").cast("long").alias("n_findings"), F.coalesce(F.size("segments"), F.lit(0)).cast("long").alias("n_segments"), places.alias("places"))
+    return found.select("doc_id", F.round("ai_probability", 6).alias("ai_probability"), "verdict", F.size("findings").cast("long").alias("n_findings"), F.size(F.slice("findings", 1, src.SHOWN)).cast("long").alias("n_shown"), F.coalesce(F.size("segments"), F.lit(0)).cast("long").alias("n_segments"), places.alias("places"))
 
 
 def _detect_report_sql() -> str:
@@ -620,7 +620,7 @@ def _detect_report_sql() -> str:
     return f"""WITH {_SQL_DOCS}, whole AS ({DETECT}), top AS (WITH {one}), {_CHARS}, {_SWAPPED},
 n AS (SELECT doc_id, count(*) AS n FROM chars WHERE {_KIND} IS NOT NULL GROUP BY doc_id), h AS (SELECT doc_id, count(*) AS h FROM swapped WHERE c <> d AND NOT regexp_full_match(c, '{_WHITE}') GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS k, string_agg(start || '-' || "end", ',' ORDER BY rank) AS places FROM top GROUP BY doc_id)
-SELECT doc_id, ai_probability, verdict, coalesce(n, 0) + coalesce(h, 0) AS n_findings, coalesce(k, 0) AS n_segments, coalesce(places, '') AS places FROM whole LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+SELECT doc_id, ai_probability, verdict, coalesce(n, 0) + coalesce(h, 0) AS n_findings, least({src.SHOWN}, coalesce(n, 0) + coalesce(h, 0)) AS n_shown, coalesce(k, 0) AS n_segments, coalesce(places, '') AS places FROM whole LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
 #: What the model of model_score() looks at: length and the share of letters.

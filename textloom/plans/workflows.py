@@ -8,17 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as lx
 from ..operators import hidden, metrics, rewrite, scorer
 from ..sources.documents import with_options
 
 LOG_LIMIT = 50
 
 
-def detect(df: DataFrame, keys: list[str], load=None) -> DataFrame:
-    """Metrics, probability, verdict, findings, the top five sentences and the optional model's score of each text."""
+def detect(df: DataFrame, keys: list[str], load=None, lexicon: DataFrame | None = None, machine_phrases: dict = lx.MACHINE_PHRASES) -> DataFrame:
+    """Metrics, probability, verdict, findings, the top five sentences and the optional model's score of each text, by one's own words and phrases if given."""
     df = with_options(df)
-    found = metrics.detect(df, keys)
-    top = metrics.top_segments(df, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "start", "end", "text", "sub_score", "reason"))).alias("segments"))  # five at most
+    found = metrics.detect(df, keys, (), lexicon, machine_phrases)
+    top = metrics.top_segments(df, keys, 5, lexicon, machine_phrases).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "start", "end", "text", "sub_score", "reason"))).alias("segments"))  # five at most
     marks = scorer.score_with(hidden.findings(df), load).select(*keys, "findings", "model_score")
     return found.join(marks, keys).join(top, keys, "left")
 
@@ -30,13 +31,13 @@ def _cleaned(df: DataFrame, wanted) -> DataFrame:
     return out.withColumn("report", report).withColumn("text", F.when(wanted, F.col("text")).otherwise(F.col("_raw"))).drop("_raw", "removed_count", "normalized_count", "findings")
 
 
-def rewritten(df: DataFrame, keys: list[str], client=None, use_client: bool = False) -> DataFrame:
-    """keys, language, strength, source (the text as it was), text, transformations (50 at most), report of the first cleaning."""
+def rewritten(df: DataFrame, keys: list[str], client=None, use_client: bool = False, seed: int = 0, **tables) -> DataFrame:
+    """seed and tables (tells, known, phrases) go to rewrite.layers(). Gives keys, language, strength, source (the text as it was), text, transformations (50 at most), report of the first cleaning."""
     df = with_options(df).select(*keys, "text", "language", "strength", "clean_watermarks").withColumn("source", F.col("text"))
     df = _cleaned(df, F.col("clean_watermarks")).withColumnRenamed("report", "first_report")
     if use_client:
         df = _cleaned(scorer.rewritten_by(df, client), F.lit(True)).drop("report")
-    df = rewrite.layers(df, keys)
+    df = rewrite.layers(df, keys, seed, **tables)
     df = _cleaned(df, F.lit(True)).drop("report")
     return df.withColumn("transformations", F.slice("transformations", 1, LOG_LIMIT)).withColumnRenamed("first_report", "report")
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Limits and choices of a request.
 HARD_CAP, DEFAULT_CAP = 50_000, 10_000
+#: How many findings a report shows.
+SHOWN = 20
 LANGUAGES, STRENGTHS = ("en", "he"), ("light", "medium", "aggressive")
 
 
@@ -96,6 +98,7 @@ def write_markdown(df: DataFrame, path: str, text: str = "text") -> None:
     df.select(F.concat(F.lit("\uFEFF"), F.col(text)).alias("value")).write.mode("overwrite").option("lineSep", "\n\n").text(path)
 
 
-def findings_json(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and a readable JSON report of each row's findings."""
+def findings_json(df: DataFrame, keys: list[str], shown: int | None = None) -> DataFrame:
+    """keys and a readable JSON report of each row's findings, of the first `shown` if given."""
+    df = df if shown is None else df.withColumn("findings", F.slice("findings", 1, shown))
     return df.select(*keys, F.to_json(F.struct("findings"), {"pretty": "true"}).alias("report"))
