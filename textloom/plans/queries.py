@@ -22,7 +22,7 @@ INJECTED = {
     3: "substring(text, 1, 12) || '\u200B' || substring(text, 13, 8) || '\u00A0' || substring(text, 21, 9) || '\uFEFF' || substring(text, 30) || '\u200E'",
     4: "text || ' It was good — very good. Sold 12500 and 8000 units in 2026'",
     5: "'# The Big Plan\n1. First Part\n- a longer list item that ends here with many words in it.\nMeta Title (12 characters): the body\n> quoted words stand here and go on for quite some time.\n\n' || text",
-    6: "text || ' See https://example.org/a_b and `code here`, [a link](https://x.org/y_(z)), @someone and #topic (see 12).'",
+    6: "text || ' See https://example.org/a_b and `co\u200Bde here`, [a\u00AD link](https://x.org/y_(z)), @someone and #topic (see 12).'",
     7: "'12 + 30 = 42?!'",
     8: "'It is important to note that data plays a crucial role. It is due to the fact that things that actually work serve us. ' || text",
     9: "'It isn''t just about speed,or a deep look; it''s about trust. Here 0012500 and 00123 were sold. At the end of the day, we harness the power of data. ' || text",
