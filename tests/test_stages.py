@@ -176,3 +176,28 @@ def test_state_of_a_stream_outlives_restarts_and_expires(spark, tmp_path, rocksd
     assert decided("idle") == {1: True, 2: True, 3: False, 5: True}
     known = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("c", 3.0)], "key string, ts double")
     assert run([(1, "a", 2.0), (2, "c", 4.0), (3, "c", 5.0)], admitted=known, state="known") == {1: False, 2: True, 3: False}
+
+
+@pytest.mark.parametrize("gap", [1.0, 40.0])
+def test_a_key_over_several_tasks(spark, gap):
+    rng, at, rows = random.Random(8), 0.0, []
+    for i in range(6000):  # one key has most of the requests; with long gaps its ranges come apart
+        at += rng.choice([0.0, 0.5, 1.0]) if rng.random() < 0.98 else gap
+        rows.append((i, "hot" if rng.random() < 0.9 else f"k{rng.randint(0, 9)}", at))
+    df = spark.createDataFrame(rows + [(9000, None, 1.0), (9001, "hot", None)], "event_id long, key string, ts double").repartition(5)
+    got = adm.admission_in_ranges(df, 4, 10.0, range_rows=500).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, adm.admission(df, 4, 10.0).collect())) and len(got) == 6000
+    assert sorted(map(tuple, adm.admission_in_ranges(df.limit(50), 4, 10.0).collect())) == sorted(map(tuple, adm.admission(df.limit(50), 4, 10.0).collect()))
+
+
+def test_settings_of_the_session(spark):
+    from textloom.sources import documents as src
+
+    assert src.settings(spark) == src.Settings()
+    spark.conf.set("spark.textloom.cap", "77")
+    spark.conf.set("spark.textloom.strength", "light")
+    try:
+        assert src.settings(spark) == src.Settings(strength="light", cap=77)
+    finally:
+        spark.conf.unset("spark.textloom.cap")
+        spark.conf.unset("spark.textloom.strength")

@@ -226,6 +226,9 @@ def sample(rule: Rule) -> str:
     return re.sub(r".\?", "", p).replace(r"\w+", "work")
 
 
+PHRASES.sort(key=lambda r: -len(sample(r)))  # longest first, so that no phrase takes a part of a longer one away
+
+
 def folded(text: Column, rules: list[Rule]) -> Column:
     """struct<text, log>: the text after all rules, in order, whatever the case of letters; of each rule that matched, tag and count.
 

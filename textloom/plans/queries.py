@@ -481,7 +481,7 @@ def _stepped_sql(table: list[rules.Rule], source: str) -> str:
     steps, last = [], f"SELECT doc_id, k, kept, t, 0::HUGEINT AS f FROM {source}"
     for i, r in enumerate(table):
         p, new = r.pattern.replace("'", "''"), r.replacement.replace("$1", "\\1").replace("'", "''")
-        steps.append(f"r{i} AS ({last})")
+        steps.append(f"r{i} AS MATERIALIZED ({last})")
         last = f"SELECT doc_id, k, kept, regexp_replace(t, '{p}', '{new}', 'gi') AS t, f + CASE WHEN regexp_matches(t, '(?i){p}') THEN {1 << i}::HUGEINT ELSE 0 END AS f FROM r{i}"
     return ", ".join(steps) + f", stepped AS ({last})"
 
@@ -700,6 +700,12 @@ def admission(spark, sf_dir):
     return adm.admission(events, CAPACITY, WINDOW_S)
 
 
+def admission_ranges(spark, sf_dir):
+    """The same with each user's requests in ranges of time: eight ranges of all requests, walked apart and mended where they meet."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("ts"))
+    return adm.admission_in_ranges(events, CAPACITY, WINDOW_S, range_rows=max(1, -(-events.count() // 8)))
+
+
 ADMISSION = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, floor(epoch(ts))::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 run AS (SELECT event_id, user_id, t, i, [t] AS kept, true AS allowed, 0::BIGINT AS retry FROM e WHERE i = 1
  UNION ALL SELECT n.event_id, n.user_id, n.t, n.i, CASE WHEN len(k) < {CAPACITY} THEN list_append(k, n.t) ELSE k END, len(k) < {CAPACITY}, CASE WHEN len(k) < {CAPACITY} THEN 0 ELSE CAST(floor(greatest(0, {WINDOW_S} - (n.t - k[1]))) AS BIGINT) + 1 END
@@ -709,7 +715,7 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS key, t AS ts, allowed, retry AS ret
 
 QUERIES = (
     detect_verdict, leading_signals, validate_docs, token_stats, lexicon_hits, verdict_by_source, labels_vs_score, conversation_roles, top_segments, phrase_places, structural_burstiness, invisible_findings, finding_counts, clean_text, line_kinds, protected_spans, merged_spans, findings_in_spans, segments_over_spans, merge_ranges,
-    rule_audit, post_audit, tell_scrub, thousands, headings, lexical_swap, restructure, vary_vocabulary, post_polish, swap_candidates, swapped_words, rewritten, before_after, detect_report, model_score, rendered, findings_report, admission,
+    rule_audit, post_audit, tell_scrub, thousands, headings, lexical_swap, restructure, vary_vocabulary, post_polish, swap_candidates, swapped_words, rewritten, before_after, detect_report, model_score, rendered, findings_report, admission, admission_ranges,
 )
 
 
@@ -724,6 +730,6 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     known = {
         "detect_verdict": DETECT, "leading_signals": LEADING, "validate_docs": VALIDATE, "token_stats": TOKEN_STATS, "lexicon_hits": LEXICON_HITS, "verdict_by_source": VERDICT_BY_SOURCE, "labels_vs_score": LABELS, "conversation_roles": ROLES, "top_segments": SEGMENTS, "phrase_places": PHRASE_PLACES, "structural_burstiness": STRUCTURAL, "findings_in_spans": FINDINGS_IN_SPANS, "segments_over_spans": SEGMENTS_OVER_SPANS,
-        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(rules.TELLS), "post_audit": _rule_audit_sql(_POST), "tell_scrub": _tell_scrub_sql(), "swap_candidates": SWAP_CANDIDATES, "swapped_words": _swapped_sql(), "lexical_swap": _swapped_sql(), "headings": _headings_sql(), "model_score": MODEL_SCORE, "rendered": RENDERED, "admission": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT, "protected_spans": PROTECTED, "merged_spans": MERGED_SPANS, "thousands": THOUSANDS,
+        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(rules.TELLS), "post_audit": _rule_audit_sql(_POST), "tell_scrub": _tell_scrub_sql(), "swap_candidates": SWAP_CANDIDATES, "swapped_words": _swapped_sql(), "lexical_swap": _swapped_sql(), "headings": _headings_sql(), "model_score": MODEL_SCORE, "rendered": RENDERED, "admission": ADMISSION, "admission_ranges": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT, "protected_spans": PROTECTED, "merged_spans": MERGED_SPANS, "thousands": THOUSANDS,
     }
     return {k: v.replace(_ASCII_PASSIVE, _PASSIVE) for k, v in known.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from dataclasses import dataclass, fields
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,28 @@ SHOWN = 20
 LANGUAGES, STRENGTHS = ("en", "he"), ("light", "medium", "aggressive")
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What the session says, under spark.textloom.<name>, or the defaults."""
+
+    language: str = "en"
+    strength: str = "medium"
+    cap: int = DEFAULT_CAP
+    capacity: int = 30
+    window_s: float = 60.0
+    seed: int = 0
+
+
+def settings(spark: SparkSession) -> Settings:
+    found = {f.name: spark.conf.get(f"spark.textloom.{f.name}", None) for f in fields(Settings)}
+    return Settings(**{f.name: type(f.default)(found[f.name]) for f in fields(Settings) if found[f.name] is not None})
+
+
 def read_documents(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """doc_id, text, language, strength, clean_watermarks of stored requests; missing options get their defaults."""
     df = spark.read.schema("doc_id long, text string, language string, strength string, clean_watermarks boolean").json(path) if form == "json" else spark.read.format(form).load(path)
-    return with_options(df)
+    of = settings(spark)
+    return with_options(df, of.language, of.strength)
 
 
 def with_options(df: DataFrame, language: Column | str | None = None, strength: str = "medium") -> DataFrame:
