@@ -116,21 +116,17 @@ class MergeCounter:
 
 
 class CachedEncoder:
-    """Ids by the tokenizers library, as packed bytes; the library encodes each distinct chunk once and then a cache answers."""
+    """Ids by the tokenizers library, as packed bytes; the library encodes each distinct word with the space before it once and then a cache answers."""
 
     def __init__(self, path: str, dtype: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = tuple(special_tokens(path))
-        self.dtype, self.cache_bytes, self.held = dtype, cache_bytes, 0
+        self.kind = {2: "H", 4: "I"}[int(dtype[-1])]  # little-endian, as the machines are
+        self.cache_bytes, self.held = cache_bytes, 0
         self.cache: dict[str, bytes] = {}
 
-    def packed(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
     def encode_all(self, batch: list[str]) -> list[bytes]:
         """The packed ids of each text. New chunks of some million characters at a time go to the library together."""
         out, some, size = [], [], 0
@@ -143,22 +139,25 @@ class CachedEncoder:
         return out + self._encode(some)
 
     def _encode(self, batch: list[str]) -> list[bytes]:
-        import numpy as np
-
-        cut = [None if any(s in t for s in self.specials) else chunks(t) for t in batch]
+        heads, cut = [], []  # what stands before a text's first space; the words behind each space, or None for a text that must be treated whole
+        for t in batch:
+            words = None if _BETWEEN_SPACES.search(t) or any(s in t for s in self.specials) else t.split(" ")
+            heads.append(t if words is None else words.pop(0))
+            cut.append(words)
         if self.held > self.cache_bytes:
             self.cache.clear()
             self.held = 0
         new = list(set().union(*filter(None, cut)).difference(self.cache))
         rare: dict[str, bytes] = {}
         if new:
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            encoded = self.tokenizer.encode_batch_fast(list(map(" ".__add__, new)), add_special_tokens=False)
             for w, e in zip(new, encoded, strict=True):
-                packed = np.array(e.ids, self.dtype).tobytes()
+                packed = array(self.kind, e.ids).tobytes()
                 if len(w) > KEPT:
                     rare[w] = packed
                 else:
                     self.cache[w] = packed
                     self.held += len(w) + len(packed) + _ENTRY
         get = self.cache.__getitem__ if not rare else lambda w: rare[w] if w in rare else self.cache[w]
-        return [self.packed(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(batch, cut, strict=True)]
+        firsts = [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
+        return [first if words is None else first + b"".join(map(get, words)) for first, words in zip(firsts, cut, strict=True)]
