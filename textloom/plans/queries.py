@@ -627,7 +627,7 @@ SELECT doc_id, ai_probability, verdict, coalesce(n, 0) + coalesce(h, 0) AS n_fin
 _SEEN = {"a": "ln(1.0::DOUBLE + length(text))", "b": "length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / greatest(length(text), 1)::DOUBLE"}
 
 
-def model_score(spark, sf_dir, texts=whole):
+def model_states(spark, sf_dir, texts=whole):
     """The optional model's three states: left out, broken, and there. The model is a Gaussian for each class of quality with common variances,
     learned from all labelled documents: means and variances are all that the loader takes along."""
     n = F.char_length("text")
@@ -653,13 +653,21 @@ def model_score(spark, sf_dir, texts=whole):
     return states[0].unionByName(states[1]).unionByName(states[2])
 
 
+def model_score(spark, sf_dir, texts=whole):
+    """The scores of the model that is there."""
+    return model_states(spark, sf_dir, texts).filter("state = 'on'").select("doc_id", "enabled", "available", "score")
+
+
 _APART = " + ".join(f"((({e}) - {c}0) ** 2 - (({e}) - {c}1) ** 2) / (2 * v{c})" for c, e in _SEEN.items())
-MODEL_SCORE = f"""WITH {_SQL_DOCS}, x AS (SELECT quality, {", ".join(f"{e} AS {c}" for c, e in _SEEN.items())} FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL),
+MODEL_STATES = f"""WITH {_SQL_DOCS}, x AS (SELECT quality, {", ".join(f"{e} AS {c}" for c, e in _SEEN.items())} FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL),
 m AS (SELECT {", ".join(f"avg({c}) FILTER (quality = {k}) AS {c}{k}" for c in _SEEN for k in (0, 1))}, {", ".join(f"var_pop({c}) AS v{c}" for c in _SEEN)} FROM x)
 SELECT doc_id, 'off' AS state, false AS enabled, false AS available, NULL::DOUBLE AS score, NULL::VARCHAR AS detail FROM docs UNION ALL SELECT doc_id, 'broken', true, false, NULL, 'no weights' FROM docs
 UNION ALL SELECT doc_id, 'on', true, true, round(1 / (1 + exp(-({_APART}))), 6), NULL FROM docs, m"""
 
 
+MODEL_SCORE = f"SELECT doc_id, enabled, available, score FROM ({MODEL_STATES}) WHERE state = 'on'"
+
+
 def rendered(spark, sf_dir, texts=whole):
     """Texts with marks around their most machine-like sentences, and around hidden characters, within them or apart."""
     docs = texts(spark, sf_dir)
@@ -715,7 +723,7 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS key, t AS ts, allowed, retry AS ret
 
 QUERIES = (
     detect_verdict, leading_signals, validate_docs, token_stats, lexicon_hits, verdict_by_source, labels_vs_score, conversation_roles, top_segments, phrase_places, structural_burstiness, invisible_findings, finding_counts, clean_text, line_kinds, protected_spans, merged_spans, findings_in_spans, segments_over_spans, merge_ranges,
-    rule_audit, post_audit, tell_scrub, thousands, headings, lexical_swap, restructure, vary_vocabulary, post_polish, swap_candidates, swapped_words, rewritten, before_after, detect_report, model_score, rendered, findings_report, admission, admission_ranges,
+    rule_audit, post_audit, tell_scrub, thousands, headings, lexical_swap, restructure, vary_vocabulary, post_polish, swap_candidates, swapped_words, rewritten, before_after, detect_report, model_score, model_states, rendered, findings_report, admission, admission_ranges,
 )
 
 
@@ -730,6 +738,6 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     known = {
         "detect_verdict": DETECT, "leading_signals": LEADING, "validate_docs": VALIDATE, "token_stats": TOKEN_STATS, "lexicon_hits": LEXICON_HITS, "verdict_by_source": VERDICT_BY_SOURCE, "labels_vs_score": LABELS, "conversation_roles": ROLES, "top_segments": SEGMENTS, "phrase_places": PHRASE_PLACES, "structural_burstiness": STRUCTURAL, "findings_in_spans": FINDINGS_IN_SPANS, "segments_over_spans": SEGMENTS_OVER_SPANS,
-        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(rules.TELLS), "post_audit": _rule_audit_sql(_POST), "tell_scrub": _tell_scrub_sql(), "swap_candidates": SWAP_CANDIDATES, "swapped_words": _swapped_sql(), "lexical_swap": _swapped_sql(), "headings": _headings_sql(), "model_score": MODEL_SCORE, "rendered": RENDERED, "admission": ADMISSION, "admission_ranges": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT, "protected_spans": PROTECTED, "merged_spans": MERGED_SPANS, "thousands": THOUSANDS,
+        "invisible_findings": FINDINGS, "finding_counts": COUNTS, "clean_text": CLEAN, "line_kinds": LINE_KINDS, "merge_ranges": MERGE, "rule_audit": _rule_audit_sql(rules.TELLS), "post_audit": _rule_audit_sql(_POST), "tell_scrub": _tell_scrub_sql(), "swap_candidates": SWAP_CANDIDATES, "swapped_words": _swapped_sql(), "lexical_swap": _swapped_sql(), "headings": _headings_sql(), "model_score": MODEL_SCORE, "model_states": MODEL_STATES, "rendered": RENDERED, "admission": ADMISSION, "admission_ranges": ADMISSION, "detect_report": _detect_report_sql(), "findings_report": FINDINGS_REPORT, "protected_spans": PROTECTED, "merged_spans": MERGED_SPANS, "thousands": THOUSANDS,
     }
     return {k: v.replace(_ASCII_PASSIVE, _PASSIVE) for k, v in known.items()}
