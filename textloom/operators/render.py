@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from . import intervals
 
 EVENTS = "array<struct<at:int,mark:string>>"
@@ -61,5 +62,6 @@ def rendered(df: DataFrame, keys: list[str], spans: DataFrame) -> DataFrame:
     """df (keys, text, ...) with `rendered`: the text, its markup characters escaped, with <tag> and </tag> around each span (keys, s, e, tag).
 
     Spans are code points, end exclusive, and lie within the text; crossing ones are clipped; empty ones go. A null text stays null.
+    Clipping looks at the spans three times, so they are stored, not found anew each time.
     """
-    return df.join(events(clipped(spans, keys), keys), keys, "left").withColumn("rendered", woven(F.col("text"), F.col("events"))).drop("events")
+    return df.join(events(clipped(stored(spans), keys), keys), keys, "left").withColumn("rendered", woven(F.col("text"), F.col("events"))).drop("events")
