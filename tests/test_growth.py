@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicon as lx
-from textloom.operators import metrics
+from textloom.operators import hidden, metrics
+from textloom.plans import workflows
 
 
 def plan(df):
@@ -35,3 +36,20 @@ def test_sentences_of_a_text_are_joined_with_nothing(spark):
     top = metrics.top_segments(frame(spark, ["One sentence is here. Another one stands there! " * 3]), ["doc_id"])
     assert plan(top).count("Join") == 0 and plan(top).count("Exchange") == 1
     assert [(r["rank"], r["start"], r["text"]) for r in top.orderBy("rank").collect()][0][2] in ("One sentence is here.", "Another one stands there!")
+
+
+def test_hidden_characters_are_found_without_a_walk_over_all(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = frame(spark, ["a\u200Bb", "Ａ \uFEFFb\x07", "plain", None, "ﬁx it", "\U000E0041x \u3000 y —  z"])
+    found = hidden.findings(df)
+    assert "split(" not in plan(found) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "500"
+    got = {r["doc_id"]: [(f["kind"], f["index"]) for f in r["findings"]] for r in found.collect()}
+    assert got == {0: [("zero_width", 1)], 1: [("bom", 2), ("control", 4), ("homoglyph", 0)], 2: [], 3: [], 4: [("homoglyph", 0), ("homoglyph", 1), ("homoglyph", 3), ("homoglyph", 4)], 5: [("control", 0), ("special_space", 3)]}
+    out = {r["doc_id"]: (r["text"], r["removed_count"], r["normalized_count"]) for r in hidden.clean(df).collect()}
+    assert out == {0: ("ab", 1, 0), 1: ("A b", 2, 0), 2: ("plain", 0, 0), 3: (None, 0, 0), 4: ("fix it", 0, 0), 5: ("x   y, z", 1, 1)}
+
+
+def test_a_report_looks_at_texts_for_sentences_and_once_more(spark):
+    found = workflows.detect(frame(spark, ["One sentence is here. Another one stands there! ", "", None]), ["doc_id"])
+    assert plan(found).count("Join") == 1 and plan(found).count("Scan") == 2
+    assert {r["doc_id"]: len(r["segments"] or []) for r in found.collect()} == {0: 2, 1: 0, 2: 0}
