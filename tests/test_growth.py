@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicon as lx
-from textloom.operators import hidden, metrics
+from textloom.operators import hidden, metrics, swaps
 from textloom.plans import workflows
 
 
@@ -53,3 +53,20 @@ def test_a_report_looks_at_texts_for_sentences_and_once_more(spark):
     found = workflows.detect(frame(spark, ["One sentence is here. Another one stands there! ", "", None]), ["doc_id"])
     assert plan(found).count("Join") == 1 and plan(found).count("Scan") == 2
     assert {r["doc_id"]: len(r["segments"] or []) for r in found.collect()} == {0: 2, 1: 0, 2: 0}
+
+
+def test_tokens_that_no_table_knows_become_no_rows(spark):
+    df = frame(spark, ["Big plans, don't help BIG_ones x-ray", None]).unionByName(frame(spark, ["והגדול"], "he")).withColumns({"strength": F.lit("medium"), "key": F.lit("k")})
+    found = lambda known: sorted((r["s"], r["e"], r["old"], r["prefix"], r["word"]) for r in swaps.words(df, ["doc_id"], known).collect())
+    assert found({"en": {"big", "don't"}, "he": {"גדול"}}) == [(0, 3, "Big", "", "big"), (0, 6, "והגדול", "וה", "גדול"), (11, 16, "don't", "", "don't")]
+    assert [x for x in found(None) if x[2].isascii()] == [(0, 3, "Big", "", "big"), (4, 9, "plans", "", "plans"), (11, 16, "don't", "", "don't"), (17, 21, "help", "", "help"), (22, 30, "BIG_ones", "", "big_ones"), (31, 36, "x-ray", "", "x-ray")]
+    assert [x[3:] for x in found(None) if not x[2].isascii()] == [("", "והגדול"), ("ו", "הגדול"), ("וה", "גדול")]
+
+
+def test_both_sides_of_a_rewriting_are_measured_in_one_row(spark):
+    df = frame(spark, ["It is important to note that we leverage plans. It was taken.", ""]).withColumns({"source": F.lit("We leverage robust plans, moreover."), "text": F.col("text")})
+    both = workflows.before_and_after(df, ["doc_id"])
+    assert "Join" not in plan(both) and "Exchange" not in plan(both)
+    one = lambda c: {r["doc_id"]: r["ai_probability"] for r in metrics.detect(df.withColumn("text", F.col(c)), ["doc_id"]).collect()}
+    a, b = one("source"), one("text")
+    assert {r["doc_id"]: (r["probability_before"], r["probability_after"]) for r in both.collect()} == {k: (a[k], b[k]) for k in a}

@@ -6,23 +6,25 @@ Chance is read off an md5 of seed, layer, key and place, so any engine that has
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import batches as batch
 from ..functions import lexicon as lx
 from ..functions import phrases as ph
-from ..functions import tokens
 from . import lines
 
 # How often a hit is swapped, by strength; how much rarer synonyms are; letters that stand before a Hebrew word.
 RATIOS = {"light": 0.20, "medium": 0.50, "aggressive": 0.85}
 SYNONYM_SHARE = 0.30
 CLITICS, MOST_CLITICS = "והבלכמש", 3
-#: A word is a run of letters and digits, with marks inside it; in Hebrew, of letters.
+#: A word is a run of letters and digits, with marks inside it; in Hebrew, of letters. For Python, letters and digits of all scripts and _ are \w.
 TOKEN = {"en": r"[\p{L}\p{N}_]+(?:['\-]+[\p{L}\p{N}_]+)*", "he": "[א-ת]+"}
+_TOKEN = {k: re.compile(p.replace(r"[\p{L}\p{N}_]", r"\w")) for k, p in TOKEN.items()}
 #: Layers in the order in which they have a place, and how often each swaps, as a share of the strength's ratio.
 LAYERS = {"phrase": 1.0, "word": 1.0, "synonym": SYNONYM_SHARE}
 #: Rows of a table of alternatives that may be broadcast.
@@ -57,21 +59,48 @@ def cased(old: Column, new: Column) -> Column:
     return F.when(capitals, F.upper(new)).when((first == F.upper(first)) & (first != F.lower(first)), F.concat(F.upper(F.left(new, F.lit(1))), F.substring(new, 2, 10_000))).otherwise(new)
 
 
-def words(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, language, strength, key, s, e, old, prefix, word: every token of df, lower-cased as word; Hebrew ones again for each prefix they may have."""
-    every = F.when(F.col("language") == "he", tokens.matches(F.col("text"), TOKEN["he"])).otherwise(tokens.matches(F.col("text"), TOKEN["en"]))
-    rows = df.select(*keys, "language", "strength", "key", F.explode(every).alias("t")).select(*keys, "language", "strength", "key", "t.s", "t.e", F.col("t.value").alias("old"))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(MOST_CLITICS)), lambda n: F.struct(F.left("old", n).alias("prefix"), F.substring("old", n + 1, F.char_length("old")).alias("word")))
-    fit = F.filter(cut, lambda x: (x["word"] != "") & (F.translate(x["prefix"], CLITICS, "") == ""))
-    whole = F.array(F.struct(F.lit("").alias("prefix"), F.lower("old").alias("word")))
-    return rows.withColumn("v", F.explode(F.when(F.col("language") == "he", fit).otherwise(whole))).select(*rows.columns, "v.prefix", "v.word")
+def forms(text: str, language: str) -> Iterator[tuple[int, int, str, str]]:
+    """(place, length of the prefix, token, lower-cased rest) of every token; a Hebrew one again for each prefix that it may have."""
+    if language != "he":
+        for m in _TOKEN["en"].finditer(text):
+            yield m.start(), 0, m[0], m[0].lower()
+        return
+    for m in _TOKEN["he"].finditer(text):
+        old = m[0]
+        for n in range(min(MOST_CLITICS + 1, len(old))):
+            if n and old[n - 1] not in CLITICS:
+                break
+            yield m.start(), n, old, old[n:]
+
+
+def words(df: DataFrame, keys: list[str], known: dict[str, set[str]] | None = None) -> DataFrame:
+    """keys, language, strength, key, s, e, old, prefix, word: every token of df, lower-cased as word; Hebrew ones again for each prefix they may have.
+
+    known: words by language; tokens that are none of them are left out before they become rows.
+    """
+    fields = {"s": pa.int32(), "n": pa.int32(), "old": pa.string(), "word": pa.string()}
+
+    @F.arrow_udf("array<struct<s:int,n:int,old:string,word:string>>")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, languages in batches:
+            rows = ((t or "", lang, None if known is None else known.get(lang, ())) for t, lang in zip(texts.to_pylist(), languages.to_pylist(), strict=True))
+            yield batch.nested(([x for x in forms(t, lang) if some is None or x[3] in some] for t, lang, some in rows), fields)
+
+    batch.small(df.sparkSession)
+    rows = df.select(*keys, "language", "strength", "key", F.explode(run("text", "language")).alias("t"))
+    return rows.select(*keys, "language", "strength", "key", "t.s", (F.col("t.s") + F.char_length("t.old")).alias("e"), "t.old", F.left("t.old", F.col("t.n")).alias("prefix"), "t.word")
 
 
 def hits(df: DataFrame, keys: list[str], known: DataFrame, phrases: dict[str, dict[str, str]], seed: int) -> DataFrame:
     """keys and the edits that chance accepts: s, e, layer, old, new. A token counts once in its first layer, by its whole form or else its longest prefix."""
     df = df.withColumn("key", F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]))
     few = known.count() <= BROADCAST_ROWS
-    met = words(df, keys).join(F.broadcast(known) if few else known, ["language", "word"])
+    mine: dict[str, set[str]] | None = None
+    if few:  # as many as may be broadcast: tasks have them at hand
+        mine = {}
+        for r in known.select("language", "word").distinct().collect():
+            mine.setdefault(r["language"], set()).add(r["word"])
+    met = words(df, keys, mine).join(F.broadcast(known) if few else known, ["language", "word"])
     share = F.element_at(F.create_map(*[F.lit(x) for pair in LAYERS.items() for x in pair]), F.col("layer"))
     met = met.filter(chance(seed, F.col("layer"), F.col("key"), F.col("s")) < ratio(F.col("strength")) * share)
     pick = F.element_at("options", (F.floor(chance(seed, F.col("layer"), F.col("key"), F.col("s"), 9) * F.size("options")) + 1).cast("int"))
@@ -82,7 +111,7 @@ def hits(df: DataFrame, keys: list[str], known: DataFrame, phrases: dict[str, di
     one = met.select(*keys, "s", F.struct(number.alias("layer"), order.alias("order"), "e", "old", new.alias("new")).alias("x")).groupBy(*keys, "s").agg(F.min("x").alias("x")).select(*keys, "s", "x.e", "x.layer", "x.old", "x.new")
     flat = {lang: {p.translate(str.maketrans(_UPPER, _LOWER)): r for p, r in some.items()} for lang, some in phrases.items()}
     table = F.create_map(*[F.lit(x) for lang, some in flat.items() for p, r in some.items() for x in (f"{lang}:{p}", r)]) if any(flat.values()) else F.create_map().cast("map<string,string>")
-    placed = df.select(*keys, "language", "strength", "key", "text", F.explode(ph.places(F.translate("text", _UPPER, _LOWER), F.col("language"), flat)).alias("p"))
+    placed = df.select(*keys, "language", "strength", "key", "text", F.explode(ph.places(F.col("text"), F.col("language"), flat, fold=True)).alias("p"))
     s, size = F.col("p.start"), F.char_length("p.phrase")
     beside = F.concat(F.when(s > 0, F.substring("text", s, F.lit(1))).otherwise(F.lit("")), F.substring("text", s + size + 1, F.lit(1)))
     placed = placed.filter(~beside.rlike(r"[\p{L}\p{N}_]") & (chance(seed, F.lit("phrase"), F.col("key"), s) < ratio(F.col("strength"))))
