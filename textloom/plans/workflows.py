@@ -46,7 +46,8 @@ def rewritten(df: DataFrame, keys: list[str], client=None, use_client: bool = Fa
 
 
 def before_and_after(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, probability and verdict of a rewritten() frame's source and text."""
-    side = lambda name: metrics.detect(df.select(*keys, F.col(name).alias("text"), "language"), keys)
-    a = side("source").select(*keys, F.col("ai_probability").alias("probability_before"), F.col("verdict").alias("verdict_before"))
-    return a.join(side("text").select(*keys, F.col("ai_probability").alias("probability_after"), F.col("verdict").alias("verdict_after")), keys)
+    """keys, probability and verdict of a rewritten() frame's source and text. The frame is made once; both texts of a row are measured in it."""
+    out = metrics.detect(df.select(*keys, F.col("source").alias("text"), "language", F.col("text").alias("_new")), keys, ["_new"])
+    out = out.select(*keys, "language", F.col("_new").alias("text"), F.col("ai_probability").alias("probability_before"), F.col("verdict").alias("verdict_before"))
+    out = metrics.detect(out, keys, ["probability_before", "verdict_before"])
+    return out.select(*keys, "probability_before", "verdict_before", F.col("ai_probability").alias("probability_after"), F.col("verdict").alias("verdict_after"))
