@@ -251,6 +251,19 @@ def test_packing():
         assert (unpacked_sorted(packed_sorted(x)) == x).all() and (unpacked(packed(c), "<u4") == c).all()
 
 
+def test_what_chunks_send_is_small():
+    """Texts without repeats and small numbers are sent by their entropy: LZ4, which Spark shuffles with, would leave both as they are."""
+    from textloom.llm.lm_scoring import packed, squeezed, unpacked, unsqueezed
+
+    r = np.random.default_rng(2)
+    text = "".join(r.choice(list("etaoinsh rdlu"), 3000)).encode()
+    totals = np.minimum(r.geometric(0.5, 20_000), 200).astype("<u4")
+    assert len(squeezed(text)) < 0.6 * len(text) and len(packed(totals)) < 0.5 * len(totals)
+    for x in (text, b"", "x\x00漢😀".encode()):
+        assert unsqueezed(squeezed(x)) == x
+    assert (unpacked(packed(totals), "<u4") == totals).all()
+
+
 def edits_fit(code, item, w, e):
     for s in range(len(item) - w + 1):
         row = [0] * (len(code) + 1)

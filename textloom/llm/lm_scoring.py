@@ -6,10 +6,15 @@ up its count table, joins it to every chunk's n-grams and sends the totals back;
 
 Words and bigrams go in the first round. A longer n-gram can only be in another document if the two shorter ones in it are: each
 further round sends those alone, which is exact, as the others' counts are 0.
+
+Texts go to their chunk compressed one by one, and n-grams, counts and totals compressed part by part: Spark's own LZ4 has no entropy coding, which is
+most of what words without repeats and small numbers have to give.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +26,47 @@ SENT = "chunk long, part long, round int, grams binary, counts binary"
 ANSWERED = "chunk long, part long, round int, totals binary"
 
 
+@lru_cache(maxsize=1)
+def _codec():
+    import pyarrow as pa
+
+    return pa.Codec("zstd", 1)
+
+
+def squeezed(data: bytes) -> bytes:
+    """Compressed, behind its length in eight bytes."""
+    return len(data).to_bytes(8, "little") + (_codec().compress(data, asbytes=True) if data else b"")
+
+
+def unsqueezed(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return _codec().decompress(memoryview(data)[8:], size, asbytes=True) if size else b""
+
+
+def _squeezed_texts(batches):
+    """(chunk, doc_id, text) with text as bytes for the shuffle."""
+    import pyarrow as pa
+
+    for b in batches:
+        small = [squeezed(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("doc_id"), pa.array(small, pa.binary())], names=["chunk", "doc_id", "text"])
+
+
+def _texts(rows) -> list[str]:
+    return [unsqueezed(t).decode("utf-8", "surrogatepass") for t in rows.column("text").to_pylist()]
+
+
 def packed(values) -> bytes:
-    """Whole numbers byte by byte: all lowest bytes first. Where they are small, the rest are zeros, which Spark's compression takes away."""
+    """Whole numbers byte by byte: all lowest bytes first, as the rest are zeros where they are small; then compressed."""
     import numpy as np
 
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
 
 
 def unpacked(data: bytes, dtype: str):
     import numpy as np
 
-    size = np.dtype(dtype).itemsize
+    data, size = unsqueezed(data), np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).reshape(-1).view(dtype)
 
 
@@ -124,7 +159,8 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Da
     sums = docs.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")).first()
     chars, n_words = sums["chars"] or 0, sums["words"] or 0
     chunks, partitions = max(1, -(-chars // CHUNK_CHARS)), max(1, -(-chars * order // (CHARS_PER_WORD * GRAMS_PER_PARTITION)))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    common.modest_batches(df.sparkSession)
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text").mapInArrow(_squeezed_texts, "chunk long, doc_id long, text binary")
     rounds = max(1, order - 1)
 
     def send(r: int):
@@ -132,7 +168,7 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Da
             import numpy as np
             import pyarrow as pa
 
-            chunk = Chunk(rows.column("text").to_pylist(), order)
+            chunk = Chunk(_texts(rows), order)
             values, n = chunk.of_round(r, chunk.known(_rows(answered), r - 1))
             part = _part(values, partitions)
             edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
@@ -158,7 +194,7 @@ def lm_scores(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Da
         import numpy as np
         import pyarrow as pa
 
-        chunk = Chunk(rows.column("text").to_pylist(), order)
+        chunk = Chunk(_texts(rows), order)
         others, doc, sizes = chunk.known(_rows(answered), rounds)[:order], chunk.doc, chunk.sizes
         rest = np.maximum(n_words - sizes[doc], 1).astype(np.float64)
         p, used = np.maximum(others[0], 0.5) / rest, np.ones(len(doc), np.int64)
