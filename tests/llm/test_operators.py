@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -62,6 +65,16 @@ def test_chunks_never_change_tokens():
     assert [np.frombuffer(b, "<u2").tolist() for b in CachedEncoder(path, "<u2").encode_all(texts)] == want
 
 
+def test_encoder_keeps_to_its_core():
+    """Spark deals tasks to cores; the library starts no threads of its own beside them."""
+    code = (
+        "import os; from textloom.llm import bytelevel, common; e = bytelevel.CachedEncoder(common.tokenizer_path('byte_bpe_50k.json'), '<u2');"
+        "n = len(os.listdir('/proc/self/task')); e.encode_all([f'word{i} and others{i}' for i in range(2000)]); print(len(os.listdir('/proc/self/task')) - n)"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.strip() == "0"
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 from array import array
 from functools import partial
@@ -121,6 +122,7 @@ class CachedEncoder:
     def __init__(self, path: str, dtype: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core: the library's own threads would wait for each other on it
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = tuple(special_tokens(path))
         self.kind = {2: "H", 4: "I"}[int(dtype[-1])]  # little-endian, as the machines are
