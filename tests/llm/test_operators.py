@@ -445,6 +445,14 @@ def test_winnowing(spark, k, w):
         assert got[i] == winnow_by_hand(t, k, w), (i, k, w)
 
 
+def test_winnowing_reads_each_place_once(spark):
+    """A kept value's place is taken out of its low bits once, not anew wherever it is used: all of this is done for each element."""
+    from textloom.llm.winnowing import _MASK, winnowed
+
+    plan = spark.range(1).select(winnowed(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count(str(_MASK)) <= 4
+
+
 def test_edited_fingerprints(spark, docs, none):
     from textloom.llm.winnowing import K, W, digest, edited_fingerprints, winnowed
 

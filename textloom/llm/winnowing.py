@@ -26,9 +26,10 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _turned(x: Column, by: Column) -> Column:
-    """64 bits turned left."""
-    return F.call_function("shiftleft", x, by).bitwiseOR(F.call_function("shiftrightunsigned", x, -by))  # shifts count modulo 64
+def _turned(x: Column, by: Column, right: bool = False) -> Column:
+    """64 bits turned left, or right."""
+    left, back = (-by, by) if right else (by, -by)
+    return F.call_function("shiftleft", x, left).bitwiseOR(F.call_function("shiftrightunsigned", x, back))  # shifts count modulo 64
 
 
 def _together(values: Column, n: int, join) -> Column:
@@ -55,7 +56,7 @@ def _together(values: Column, n: int, join) -> Column:
 def rolled(solid: Column, k: int) -> Column:
     """The sums of every k neighbours of at least k code points. A code point's hash is turned right by its own place before they are added (without
     carry); turned left by the gram's place, a sum is the gram's cyclic polynomial."""
-    placed = F.transform(F.split(solid, ""), lambda c, i: _turned(F.xxhash64(c), -i))
+    placed = F.transform(F.split(solid, ""), lambda c, i: _turned(F.xxhash64(c), i, right=True))
     return F.slice(_let(placed, lambda v: _together(v, k, lambda x, y: x.bitwiseXOR(y))), 1, F.char_length(solid) - (k - 1))
 
 
@@ -63,16 +64,16 @@ def _least_of(values: Column, w: int) -> Column:
     """The least of every w neighbours; of all, if there are fewer."""
     if w == 1:
         return values
-    return F.slice(_together(values, w, lambda a, b: F.least(a, b)), 1, F.greatest(F.size(values) - (w - 1), F.least(F.size(values), F.lit(1))))
+    return F.slice(_together(values, w, lambda a, b: F.when(b < a, b).otherwise(a)), 1, F.greatest(F.size(values) - (w - 1), F.least(F.size(values), F.lit(1))))
 
 
 def _packed(hash_: Column, position: Column) -> Column:
-    return hash_.bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.lit(_MASK).cast("long") - position)
+    return hash_.bitwiseOR(F.lit(_MASK).cast("long")) - position
 
 
 def solid(text: Column) -> Column:
-    """A text without its blanks."""
-    return F.regexp_replace(text, r"\s+", "")
+    """A text without its blanks. Plain spaces, which most of them are, go first, without a regular expression."""
+    return F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), r"\s+", "")
 
 
 def winnowed(text: Column, k: int = K, w: int = W) -> Column:
@@ -89,8 +90,8 @@ def _kept(solid_: Column, k: int, w: int) -> Column:
 
     def chosen(sums: Column) -> Column:
         packed = F.transform(sums, lambda x, i: _packed(_turned(x, i), i))
-        at = lambda v: (F.lit(_MASK) - v.bitwiseAND(F.lit(_MASK))).cast("int")
-        return F.transform(F.array_distinct(_let(packed, lambda v: _least_of(v, w))), lambda v: F.struct(_turned(F.element_at(sums, at(v) + 1), at(v)).alias("hash"), at(v).alias("position")))
+        at = F.transform(F.array_distinct(_let(packed, lambda v: _least_of(v, w))), lambda v: F.bitwise_not(v).bitwiseAND(F.lit(_MASK)).cast("int"))
+        return F.transform(at, lambda p: F.struct(_turned(F.get(sums, p), p).alias("hash"), p.alias("position")))
 
     return _let(sums, chosen)
 
@@ -115,17 +116,22 @@ def _put_together(kept: Column, next_kept: Column, front: Column, back: Column,
         """What the windows that begin from first to last keep, packed; near holds all that they may."""
         return F.transform(F.sequence(first, F.greatest(first, last)), lambda s: F.array_min(F.transform(F.filter(near, lambda v: (v["position"] >= s) & (v["position"] < s + w)), pack)))
 
-    def of_front(p: Column) -> Column:
+    # Positions grow along an array of what is kept: what lies near a place is cut out by number, not looked for in all of it.
+    def of_front(p: Column, before: Column) -> Column:
         """What windows that begin before p keep at p or behind."""
-        near = F.filter(kept, lambda v: (v["position"] > p - w) & (v["position"] < p + w - 1))
+        near = F.filter(F.slice(kept, F.greatest(before - w, F.lit(0)) + 1, 2 * w), lambda v: (v["position"] > p - w) & (v["position"] < p + w - 1))
         found = _let(near, lambda n: _let(least(n, F.greatest(p - (w - 1), F.lit(0)), p - 1), lambda l: F.filter(n, lambda v: (v["position"] >= p) & F.array_contains(l, pack(v)))))
         return F.when(p > 0, found).otherwise(F.array().cast(KEPT))
 
     def of_back(last: Column) -> Column:
         """What the other text's windows that begin up to `last` keep, at its place in the whole."""
-        near = F.filter(next_kept, lambda v: (v["position"] > last - w) & (v["position"] < last + w))
-        found = _let(_let(near, lambda x: least(x, F.greatest(last - (w - 2), F.lit(0)), last)), lambda l: F.filter(next_kept, lambda v: (v["position"] <= last) | (v["position"] < last + w) & F.array_contains(l, pack(v))))
-        return F.transform(found, lambda v: F.struct(v["hash"].alias("hash"), (v["position"] + m).alias("position")))
+
+        def found(until: Column) -> Column:
+            near = F.filter(F.slice(next_kept, F.greatest(F.size(until) - w, F.lit(0)) + 1, 2 * w), lambda v: (v["position"] > last - w) & (v["position"] < last + w))
+            beyond = _let(near, lambda x: _let(least(x, F.greatest(last - (w - 2), F.lit(0)), last), lambda l: F.filter(x, lambda v: (v["position"] > last) & F.array_contains(l, pack(v)))))
+            return F.concat(until, beyond)
+
+        return F.transform(_let(F.filter(next_kept, lambda v: v["position"] <= last), found), lambda v: F.struct(v["hash"].alias("hash"), (v["position"] + m).alias("position")))
 
     def put_together(p: Column) -> Column:
         whole_back = (m == 0) | (n < span)
@@ -134,12 +140,12 @@ def _put_together(kept: Column, next_kept: Column, front: Column, back: Column,
         anew = F.transform(_let(seam, lambda s: F.when((p > 0) & (F.char_length(s) < span), F.array().cast(KEPT)).otherwise(_kept(s, k, w))), lambda v: F.struct(v["hash"].alias("hash"), (v["position"] + p).alias("position")))
         behind = F.when(whole_back, F.array().cast(KEPT)).otherwise(_let(n - span, of_back))
 
-        def merged(anew: Column, behind: Column) -> Column:
-            at_seam = F.array_sort(F.concat(of_front(p), anew, F.slice(behind, 1, 2 * w)), lambda a, b: a["position"] - b["position"])
+        def merged(before: Column, anew: Column, behind: Column) -> Column:
+            at_seam = F.array_sort(F.concat(of_front(p, F.size(before)), anew, F.slice(behind, 1, 2 * w)), lambda a, b: a["position"] - b["position"])
             once = _let(at_seam, lambda x: F.filter(x, lambda v, i: (i == 0) | (F.get(x, i - 1)["position"] != v["position"])))
-            return F.concat(F.filter(kept, lambda v: v["position"] < p), once, F.slice(behind, 2 * w + 1, F.size(behind)))
+            return F.concat(before, once, F.slice(behind, 2 * w + 1, F.size(behind)))
 
-        return _let(anew, lambda x: _let(behind, lambda y: merged(x, y)))
+        return _let(F.filter(kept, lambda v: v["position"] < p), lambda b: _let(anew, lambda x: _let(behind, lambda y: merged(b, x, y))))
 
     return _let(begin, lambda p: put_together(p))
 
