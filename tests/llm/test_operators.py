@@ -453,6 +453,36 @@ def test_winnowing_reads_each_place_once(spark):
     assert 1 <= plan.count(str(_MASK)) <= 4
 
 
+def test_winnowing_evaluates_nothing_twice(spark, docs):
+    """A letter is hashed once, not for each shift of its turn; a row's sets of hashes, and where it differs from its edited text, are made once."""
+    from textloom.llm.winnowing import edited_fingerprints, winnowed
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    with_limits = {"spark.sql.maxPlanStringLength": "1000000", "spark.sql.debug.maxToStringFields": "1000"}
+    for name, value in with_limits.items():
+        spark.conf.set(name, value)
+    try:
+        assert plan(spark.range(1).select(winnowed(F.col("id").cast("string")).alias("kept"))).count("xxhash64(") == 2  # of letters, and of a short text
+        whole = plan(edited_fingerprints(docs))
+    finally:
+        for name in with_limits:
+            spark.conf.unset(name)
+    assert (whole.count("array_intersect("), whole.count("array_position(")) == (2, 1)
+
+
+def test_winnowing_around_a_window(spark):
+    """Texts of one gram, of one window, of one more and of one less, and grams longer than a turn of 64 bits."""
+    from textloom.llm.winnowing import winnowed
+
+    r = random.Random(6)
+    for k, w in ((16, 8), (64, 3), (65, 8), (66, 2), (130, 5)):
+        texts = ["".join(r.choice("abcé😀 ") for _ in range(2 * k + w)) for _ in range(3)]
+        texts = [t[:n] for t in ("".join(x.split()) for x in texts) for n in (0, 1, k - 1, k, k + 1, k + w - 2, k + w - 1, k + w, len(t))]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for x in df.select("doc_id", "text", winnowed(F.col("text"), k, w).alias("kept")).collect():
+            assert [tuple(v) for v in x["kept"]] == winnow_by_hand(x["text"], k, w), (k, w, len(x["text"]))
+
+
 def test_edited_fingerprints(spark, docs, none):
     from textloom.llm.winnowing import K, W, digest, edited_fingerprints, winnowed
 

@@ -27,48 +27,54 @@ def _let(value: Column, body) -> Column:
 
 
 def _turned(x: Column, by: Column, right: bool = False) -> Column:
-    """64 bits turned left, or right."""
-    left, back = (-by, by) if right else (by, -by)
-    return F.call_function("shiftleft", x, left).bitwiseOR(F.call_function("shiftrightunsigned", x, back))  # shifts count modulo 64
+    """64 bits turned left, or right. Shifts count modulo 64, so the bits that come back go one place and ~by more: 64 - by without arithmetic, whose overflow would be checked for every element."""
+    one, other = ("shiftrightunsigned", "shiftleft") if right else ("shiftleft", "shiftrightunsigned")
+    return F.call_function(one, x, by).bitwiseOR(F.call_function(other, F.call_function(other, x, F.lit(1)), F.bitwise_not(by)))
+
+
+def _behind(values: Column, by: int) -> Column:
+    """Every element so many places later; zeros stand before. (Cutting off an array's front instead costs several times as much.)"""
+    return F.concat(F.array_repeat(F.lit(0).cast("long"), by), values)
 
 
 def _together(values: Column, n: int, join) -> Column:
-    """join() over every n neighbours of an array, in about log n steps: a run of 2 m is two of m. Runs that would end beyond the array give anything."""
+    """At every place of an array, join() over its element and the n - 1 before it, in about log n steps: a run of 2 m is two of m.
+
+    The first n - 1 places, whose runs would begin before the array, give anything, as do some that follow the last.
+    """
     have: dict[int, Column] = {1: values}
 
     def grown(size: int, bits: str) -> Column:
         if not bits:
             return have[size]
-        v = have[size]
-        double = F.zip_with(v, F.slice(v, size + 1, F.greatest(F.size(v) - size, F.lit(0))), join)
+        double = F.zip_with(have[size], _behind(have[size], size), join)
 
         def further(d: Column) -> Column:
             have[2 * size] = d
             if bits[0] == "0":
                 return grown(2 * size, bits[1:])
-            return _let(F.zip_with(d, F.slice(values, 2 * size + 1, F.greatest(F.size(values) - 2 * size, F.lit(0))), join), lambda o: (have.update({2 * size + 1: o}), grown(2 * size + 1, bits[1:]))[1])
+            return _let(F.zip_with(d, _behind(values, 2 * size), join), lambda o: (have.update({2 * size + 1: o}), grown(2 * size + 1, bits[1:]))[1])
 
         return _let(double, further)
 
     return grown(1, f"{n:b}"[1:])
 
 
-def rolled(solid: Column, k: int) -> Column:
-    """The sums of every k neighbours of at least k code points. A code point's hash is turned right by its own place before they are added (without
-    carry); turned left by the gram's place, a sum is the gram's cyclic polynomial."""
-    placed = F.transform(F.split(solid, ""), lambda c, i: _turned(F.xxhash64(c), i, right=True))
-    return F.slice(_let(placed, lambda v: _together(v, k, lambda x, y: x.bitwiseXOR(y))), 1, F.char_length(solid) - (k - 1))
+def _ahead(k: int) -> int:
+    """How far rolled() has a gram's sum behind the gram's place: k - 1, rounded up so that the place turns by as much."""
+    return -(-(k - 1) // 64) * 64
 
 
-def _least_of(values: Column, w: int) -> Column:
-    """The least of every w neighbours; of all, if there are fewer."""
-    if w == 1:
-        return values
-    return F.slice(_together(values, w, lambda a, b: F.when(b < a, b).otherwise(a)), 1, F.greatest(F.size(values) - (w - 1), F.least(F.size(values), F.lit(1))))
+def rolled(solid: Column, k: int) -> Column:
+    """The sum of every k code points, _ahead(k) places behind that of their first. A code point's hash is turned right by its own place before they are
+    added (without carry); turned left by the gram's place, a sum is the gram's cyclic polynomial."""
+    hashed = F.transform(F.split(solid, ""), lambda c: F.xxhash64(c))  # by itself, as turning looks at it twice
+    sums = _let(F.transform(hashed, lambda x, i: _turned(x, i, right=True)), lambda v: _together(v, k, lambda x, y: x.bitwiseXOR(y)))
+    return _behind(sums, _ahead(k) - (k - 1))
 
 
 def _packed(hash_: Column, position: Column) -> Column:
-    return hash_.bitwiseOR(F.lit(_MASK).cast("long")) - position
+    return hash_.bitwiseOR(F.lit(_MASK).cast("long")).bitwiseXOR(position)
 
 
 def solid(text: Column) -> Column:
@@ -86,14 +92,17 @@ def winnowed(text: Column, k: int = K, w: int = W) -> Column:
 
 def _kept(solid_: Column, k: int, w: int) -> Column:
     n = F.char_length(solid_)
-    sums = F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(solid_))).otherwise(rolled(solid_, k))
 
     def chosen(sums: Column) -> Column:
         packed = F.transform(sums, lambda x, i: _packed(_turned(x, i), i))
-        at = F.transform(F.array_distinct(_let(packed, lambda v: _least_of(v, w))), lambda v: F.bitwise_not(v).bitwiseAND(F.lit(_MASK)).cast("int"))
-        return F.transform(at, lambda p: F.struct(_turned(F.get(sums, p), p).alias("hash"), p.alias("position")))
+        first = _ahead(k) + 1
+        least = lambda v: F.slice(_together(v, w, lambda a, b: F.least(a, b)) if w > 1 else v, first + w - 1, n - (k + w - 2))
+        of_windows = _let(packed, lambda v: F.when(n < k + w - 1, F.array(F.array_min(F.slice(v, first, n - (k - 1))))).otherwise(least(v)))
+        at = F.transform(F.array_distinct(of_windows), lambda v: F.bitwise_not(v).bitwiseAND(F.lit(_MASK)).cast("int"))
+        return F.transform(at, lambda p: F.struct(_turned(F.get(sums, p), p).alias("hash"), (p - _ahead(k)).alias("position")))
 
-    return _let(sums, chosen)
+    short = F.when(n == 0, F.array().cast(KEPT)).otherwise(F.array(F.struct(F.xxhash64(solid_).alias("hash"), F.lit(0).alias("position"))))
+    return F.when(n < k, short).otherwise(_let(rolled(solid_, k), chosen))
 
 
 def spliced(kept: Column, next_kept: Column, front: Column, back: Column, k: int = K, w: int = W) -> Column:
@@ -151,16 +160,16 @@ def _put_together(kept: Column, next_kept: Column, front: Column, back: Column,
 
 
 def hashes(kept: Column) -> Column:
-    return F.array_distinct(F.transform(kept, lambda v: v["hash"]))
+    return F.array_distinct(kept["hash"])
 
 
 def positions(kept: Column) -> Column:
-    return F.transform(kept, lambda v: v["position"])
+    return kept["position"]
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of distinct hashes; 1 if both are empty."""
-    return _let(F.size(F.array_intersect(a, b)), lambda both: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both)))
+def likeness(a: Column, b: Column, both: Column) -> Column:
+    """Jaccard similarity of two arrays of distinct hashes that have so many in common; 1 if both are empty."""
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def digest(kept: Column) -> Column:
@@ -171,7 +180,7 @@ def digest(kept: Column) -> Column:
 def fingerprints(df: DataFrame) -> DataFrame:
     """doc_id, hashes, positions of each row: the general form. Null and blank texts keep nothing."""
     out = common.texts(df).withColumn("kept", winnowed(F.col("text")))
-    return out.select("doc_id", F.transform("kept", lambda v: v["hash"]).alias("hashes"), positions(F.col("kept")).alias("positions"))
+    return out.select("doc_id", F.col("kept")["hash"].alias("hashes"), positions(F.col("kept")).alias("positions"))
 
 
 def _with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
@@ -213,9 +222,12 @@ def edited_fingerprints(df: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.substring(F.col("text"), F.lit(1), n - half).alias("front"), F.substring(F.col("next"), F.lit(1), half).alias("back"), "kept", "h", "next_kept")
     rows = rows.withColumn("_front", solid(F.col("front"))).withColumn("_back", solid(F.col("back")))
-    rows = rows.withColumn("edited_kept", spliced(F.col("kept"), F.col("next_kept"), F.col("_front"), F.col("_back"))).withColumn("edited_h", hashes(F.col("edited_kept")))
-    alike = F.array_position(F.zip_with(F.slice("kept", 1, F.least(F.size("kept"), F.size("edited_kept"))), F.slice("edited_kept", 1, F.least(F.size("kept"), F.size("edited_kept"))), lambda a, b: a == b), False)
-    n_alike = F.when(alike > 0, alike - 1).otherwise(F.least(F.size("kept"), F.size("edited_kept"))).cast("int")
+    rows = rows.withColumn("edited_kept", spliced(F.col("kept"), F.col("next_kept"), F.col("_front"), F.col("_back")))
+    # What is used more than once is a column of its own: an expression would be evaluated wherever it stands.
+    rows = rows.withColumns({"edited_h": hashes(F.col("edited_kept")), "next_h": hashes(F.col("next_kept")), "shorter": F.least(F.size("kept"), F.size("edited_kept"))})
+    rows = rows.withColumns({"both_edited": F.size(F.array_intersect("h", "edited_h")), "both_next": F.size(F.array_intersect("h", "next_h"))})
+    rows = rows.withColumn("differs", F.array_position(F.zip_with(F.slice("kept", 1, F.col("shorter")), F.slice("edited_kept", 1, F.col("shorter")), lambda a, b: a == b), False))
+    rows = rows.withColumn("n_alike", F.when(F.col("differs") > 0, F.col("differs") - 1).otherwise(F.col("shorter")).cast("int"))
     return rows.select(
-        "doc_id", "n_chars", F.sha2(F.concat("front", "back"), 256).alias("edited_sha256"), digest(F.col("kept")).alias("fingerprint"), digest(F.col("edited_kept")).alias("edited_fingerprint"), likeness(F.col("h"), F.col("edited_h")).alias("near_edited"),
-        likeness(F.col("h"), hashes(F.col("next_kept"))).alias("near_next"), F.size("h").cast("long").alias("n_kept"), F.when(n_alike > 0, F.element_at("kept", n_alike)["position"]).otherwise(-1).cast("long").alias("same_until"))
+        "doc_id", "n_chars", F.sha2(F.concat("front", "back"), 256).alias("edited_sha256"), digest(F.col("kept")).alias("fingerprint"), digest(F.col("edited_kept")).alias("edited_fingerprint"), likeness(F.col("h"), F.col("edited_h"), F.col("both_edited")).alias("near_edited"),
+        likeness(F.col("h"), F.col("next_h"), F.col("both_next")).alias("near_next"), F.size("h").cast("long").alias("n_kept"), F.when(F.col("n_alike") > 0, F.element_at("kept", F.col("n_alike"))["position"]).otherwise(-1).cast("long").alias("same_until"))
